@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import chat, sharding, topk
+from wickline.llm import chat, sharding, topk, urls
 from wickline.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url, judged by rules and then by its path template."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
@@ -35,9 +43,37 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(events))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op3_exact_topk, op8_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op8_chat_format)}
 
 ORACLE_SQL = {
+    "op2_url_templates": """
+        WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), '') AS h,
+                          coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        r0 AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+        r1 AS (SELECT *, '.' || host AS d, regexp_replace(path, '[0-9]+', '*', 'g') AS look FROM r0),
+        r AS (SELECT page_id, host, path, look,
+                     CASE WHEN d LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                          WHEN d LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+                          WHEN d LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+                          WHEN d LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+                          WHEN d LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM r1),
+        l AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS label FROM r),
+        t0 AS (SELECT host, look, string_split(look, '/') AS s, string_split(look, '/')[1] AS t, count(*) AS n,
+                      count(*) FILTER (label = 'allow') AS a, count(*) FILTER (label = 'block') AS b FROM l GROUP BY host, look),
+        v0 AS (SELECT host, t FROM t0 GROUP BY host, t HAVING count(DISTINCT s[2]) > 20 AND count(DISTINCT s[2]) * 2.0 > sum(n)),
+        t1 AS (SELECT host, look, s, n, a, b, t || CASE WHEN s[2] IS NULL THEN '' WHEN (host, t) IN (SELECT (host, t) FROM v0) THEN '/*' ELSE '/' || s[2] END AS t FROM t0),
+        v1 AS (SELECT host, t FROM t1 GROUP BY host, t HAVING count(DISTINCT s[3]) > 20 AND count(DISTINCT s[3]) * 2.0 > sum(n)),
+        t2 AS (SELECT host, look, s, n, a, b, t || CASE WHEN s[3] IS NULL THEN '' WHEN (host, t) IN (SELECT (host, t) FROM v1) THEN '/*' ELSE '/' || s[3] END AS t FROM t1),
+        v2 AS (SELECT host, t FROM t2 GROUP BY host, t HAVING count(DISTINCT s[4]) > 20 AND count(DISTINCT s[4]) * 2.0 > sum(n)),
+        t3 AS (SELECT host, look, a, b, t || CASE WHEN s[4] IS NULL THEN '' WHEN (host, t) IN (SELECT (host, t) FROM v2) THEN '/*' ELSE '/' || s[4] END
+                      || CASE WHEN len(s) > 4 THEN '/' || array_to_string(s[5:], '/') ELSE '' END AS t FROM t2),
+        g AS (SELECT coalesce(sum(b) / nullif(sum(a) + sum(b), 0), 0.5) AS base FROM t3),
+        p AS (SELECT t, (sum(b) + 5.0 * (SELECT base FROM g)) / (sum(b) + sum(a) + 5.0) AS p FROM t3 GROUP BY t),
+        c AS (SELECT host, t, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(a) + sum(b) AS DOUBLE) AS m FROM t3 GROUP BY host, t),
+        j AS (SELECT host, t, CASE WHEN m = 0 OR abs(b / nullif(m, 0) - p) <= 2.0 * sqrt(p * (1 - p) / m) THEN p ELSE (b + 5.0 * p) / (m + 5.0) END AS purity FROM c JOIN p USING (t))
+        SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM l JOIN t3 USING (host, look) JOIN j USING (host, t)
+    """,
     "op3_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
