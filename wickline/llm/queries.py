@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import chat, sharding, topk, urls
+from wickline.llm import chat, fingerprints, sharding, topk, urls
 from wickline.llm.common import table
 
 
@@ -43,7 +43,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(events))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op8_chat_format)}
+def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside that of its edited text."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op8_chat_format, op10_prefix_fingerprints)}
 
 ORACLE_SQL = {
     "op2_url_templates": """
