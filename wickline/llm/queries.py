@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import chat, fingerprints, sharding, topk, urls
+from wickline.llm import bpe, chat, fingerprints, sharding, topk, urls
 from wickline.llm.common import table
 
 
@@ -35,6 +35,13 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(queries, vectors, k=10)
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by the public word-end vocabulary, encoded and decoded."""
+    import public_tokenizers
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -48,7 +55,7 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op8_chat_format, op10_prefix_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op7_bpe_tree, op8_chat_format, op10_prefix_fingerprints)}
 
 ORACLE_SQL = {
     "op2_url_templates": """
