@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, chat, fingerprints, sharding, topk, urls
+from wickline.llm import bpe, chat, fingerprints, mixing, sharding, topk, urls
 from wickline.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(queries, vectors, k=10)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and the words that the mix takes of each."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by the public word-end vocabulary, encoded and decoded."""
     import public_tokenizers
@@ -55,7 +60,7 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op7_bpe_tree, op8_chat_format, op10_prefix_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op5_source_mix, op7_bpe_tree, op8_chat_format, op10_prefix_fingerprints)}
 
 ORACLE_SQL = {
     "op2_url_templates": """
@@ -94,6 +99,24 @@ ORACLE_SQL = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    # valid up to `rows_per_task` documents a size band, where each band is one part
+    "op5_source_mix": """
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight FROM s),
+        o AS (SELECT *, 2.0 * source_size / weight AS full_at,
+                     1.5 * (sum(source_size) OVER ())::DOUBLE - 2.0 * coalesce((sum(source_size) OVER b)::DOUBLE, 0) AS rest,
+                     sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open_weight
+              FROM w WINDOW b AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT coalesce(arg_min(rest / open_weight, full_at) FILTER (rest / open_weight < full_at), 1e300) AS level FROM o),
+        t AS (SELECT source, source_size, CASE WHEN level * weight >= 2.0 * source_size THEN 2.0 * source_size ELSE level * weight END::DOUBLE AS target,
+                     ('0x' || substr(md5('0:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM o, l),
+        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.start, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
+                     row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS place
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(size * least(floor(rate * place + start) - floor(rate * (place - 1) + start), ceil(rate)) AS BIGINT) AS taken FROM p
+    """,
     "op8_chat_format": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
