@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, chat, fingerprints, mixing, sharding, topk, urls
+from wickline.llm import bpe, chat, fingerprints, lm, mixing, sharding, topk, urls
 from wickline.llm.common import table
 
 
@@ -55,12 +55,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(events))
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by a model of nine tenths of the documents."""
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~lm.held_out(F.col("doc_id")))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside that of its edited text."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op5_source_mix, op7_bpe_tree, op8_chat_format, op10_prefix_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op5_source_mix, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints)}
 
 ORACLE_SQL = {
     "op2_url_templates": """
