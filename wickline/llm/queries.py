@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, chat, fingerprints, lm, mixing, sharding, topk, urls
-from wickline.llm.common import table
+from wickline.llm import bpe, chat, fingerprints, lm, mixing, sharding, topk, toxicity, urls
+from wickline.llm.common import doc_remainder, table
 
 
 def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a machine that has seen two thirds of the labels."""
+    docs, remainder = table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder != 1)
+    scored = docs.select("doc_id", (remainder == 1).alias("held_out"), toxicity.score(model, F.col("text"), spark).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by the public word-end vocabulary, encoded and decoded."""
     import public_tokenizers
@@ -66,7 +74,7 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op5_source_mix, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op5_source_mix, op6_toxicity, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints)}
 
 ORACLE_SQL = {
     "op2_url_templates": """
