@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIFT, _FIRST, _SECOND = np.uint64(33), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
 # The words of all operators are maximal runs of other bytes than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,3 +45,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def doc_remainder(doc_id, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: a bijection that spreads every bit."""
+    x = (x ^ (x >> _SHIFT)) * _FIRST
+    x = (x ^ (x >> _SHIFT)) * _SECOND
+    return x ^ (x >> _SHIFT)
+
+
+class Hasher:
+    """64-bit hashes of words, remembered for those met before."""
+
+    #: Words that a worker remembers at most; then it starts anew.
+    REMEMBERED = 500_000
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def words(self, text: bytes) -> list[int]:
+        if len(self.known) > self.REMEMBERED:
+            self.known.clear()
+        known, new = self.known.get, self._new
+        return [known(w) or new(w) for w in text.lower().split()]
+
+    def _new(self, word: bytes) -> int:
+        found = self.known[word] = xxhash.xxh3_64_intdigest(word) or 1
+        return found

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickline.llm.common import mixed_bits
+
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (911_382_323, 972_663_749)
 SPAN, KEEP = 16, 64
@@ -106,15 +108,9 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
     return low
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def bottom(hashes: np.ndarray, keep: int) -> np.ndarray:
     """The ``keep`` smallest distinct of the mixed hashes, in order."""
-    mixed = _mix(hashes)
+    mixed = mixed_bits(hashes)
     share = 4.0 * keep / max(1, len(mixed))
     while share < 1:
         few = np.unique(mixed[mixed < np.uint64(int(share * 2.0**64))])

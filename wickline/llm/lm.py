@@ -22,52 +22,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickline.llm.common import doc_remainder, materialize
+from wickline.llm.common import Hasher, doc_remainder, materialize, mixed_bits
 
 SEGMENTS = 256
 #: Most bits of the filter: 64 MB.
 FILTER_BITS = 1 << 29
 #: Most words whose exact counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 21
-#: Most words whose hashes a worker remembers, and n-grams that it sums up at a time.
-REMEMBERED, SUMMED = 500_000, 3_000_000
+#: N-grams that a worker sums up at a time.
+SUMMED = 3_000_000
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds white space
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33, _S56 = np.uint64(33), np.uint64(56)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S33)) * _M1
-    x = (x ^ (x >> _S33)) * _M2
-    return x ^ (x >> _S33)
+_S56 = np.uint64(56)
 
 
 def word_gram(words: np.ndarray) -> np.ndarray:
     """Key of a single word in the filter."""
-    return _mix(words ^ np.uint64(0x9E3779B97F4A7C15))
+    return mixed_bits(words ^ np.uint64(0x9E3779B97F4A7C15))
 
 
 def pair_gram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Key of two words in order."""
-    return _mix(first * np.uint64(0xD6E8FEB86659FD93) + _mix(second))
-
-
-class Hasher:
-    """64-bit hashes of words, remembered for those met before."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def words(self, text: bytes) -> list[int]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, new = self.known.get, self._new
-        return [known(w) or new(w) for w in text.lower().split()]
-
-    def _new(self, word: bytes) -> int:
-        found = self.known[word] = xxhash.xxh3_64_intdigest(word) or 1
-        return found
+    return mixed_bits(first * np.uint64(0xD6E8FEB86659FD93) + mixed_bits(second))
 
 
 def _sequences(batch: pa.RecordBatch, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +91,7 @@ def _counts(of_pairs: bool):
 
 def bit_places(grams: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     """Three places in a segment of ``bits`` (a power of two, 2^21 at most) for a level of each n-gram."""
-    g = _mix(grams + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    g = mixed_bits(grams + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     mask = np.uint64(bits - 1)
     return [g & mask, (g >> np.uint64(21)) & mask, (g >> np.uint64(42)) & mask]
 

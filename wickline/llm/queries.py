@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, chat, fingerprints, lm, mixing, sharding, topk, toxicity, urls
+from wickline.llm import bpe, chat, fingerprints, lm, mixing, neardup, sharding, topk, toxicity, urls
 from wickline.llm.common import doc_remainder, table
 
 
@@ -35,6 +35,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(queries, vectors, k=10)
 
 
+def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates, by three-word shingles and 85 per cent."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, numerator=85)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and the words that the mix takes of each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
@@ -74,7 +79,7 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op5_source_mix, op6_toxicity, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op4_minhash_join, op5_source_mix, op6_toxicity, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints)}
 
 ORACLE_SQL = {
     "op2_url_templates": """
@@ -113,6 +118,17 @@ ORACLE_SQL = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op4_minhash_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+        FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
     # valid up to `rows_per_task` documents a size band, where each band is one part
     "op5_source_mix": """
         WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
