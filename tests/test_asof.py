@@ -1,0 +1,119 @@
+"""Point-in-time reads and analyses, and that nothing of the future leaks into them."""
+
+import random
+from datetime import timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from wickline.config import AnalysisConfig, utc
+from wickline.operators import asof, classify
+
+from .conftest import BASE
+
+SCHEMA = "session_id string, open_time timestamp, ts timestamp, seq long, open double, high double, low double, close double, is_closed boolean, confidence double"
+
+
+def at(seconds):
+    return BASE + timedelta(seconds=seconds)
+
+
+def snap(ts, seq, high, low, close, closed, session="s", open_time=BASE, confidence=0.9):
+    return (session, open_time, at(ts), seq, 100.0, float(high), float(low), float(close), closed, confidence)
+
+
+@pytest.fixture
+def states(spark):
+    return spark.createDataFrame([snap(20, 1, 103, 99, 101, False), snap(40, 2, 104, 98, 99, False), snap(40, 3, 104, 98, 99, False), snap(65, 4, 105, 97, 102, True), snap(20, 9, 1, 1, 1, False, session="other")], SCHEMA)
+
+
+@pytest.mark.parametrize("second, close, seq", [(20, 101, 1), (39, 101, 1), (40, 99, 3), (65, 102, 4), (1000, 102, 4)])
+def test_as_of_is_inclusive_and_isolated(spark, states, second, close, seq):
+    rows = asof.as_of(states, at(second), "s").collect()
+    assert [(r.close, r.seq) for r in rows] == [(close, seq)]
+    many = asof.as_of_many(states, spark.createDataFrame([("s", at(second))], "session_id string, as_of timestamp")).collect()
+    assert [(r.close, r.seq) for r in many] == [(close, seq)]
+
+
+def test_before_all_knowledge(spark, states):
+    assert asof.as_of(states, at(19)).count() == 0
+
+
+def test_naive_instants_are_refused():
+    with pytest.raises(ValueError, match="timezone-aware"):
+        utc(BASE.replace(tzinfo=None), "as_of")
+
+
+def test_last_known_ties_and_missing(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 0, 2), ("b", 5, 3)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 5, 1, "x"), ("a", 5, 2, "y"), ("a", 6, 3, "z")], "k string, u int, n int, v string")
+    rows = asof.last_known(left, right, ["k"], "t", "u", ["v"], tie=["n"]).orderBy("id").collect()
+    assert [r.v for r in rows] == ["y", None, None]
+
+
+CONFIG = AnalysisConfig(2, 3, Decimal("0.01"), 0.8)
+HISTORY = [(101, 97, 99, 0.95), (102, 98, 100, 0.90), (103, 99, 101, 0.92)]
+
+
+def history(rows):
+    return [snap(60 * (i + 1), i, h, lo, c, True, open_time=BASE + timedelta(minutes=i), confidence=q) for i, (h, lo, c, q) in enumerate(rows)]
+
+
+def decision(spark, rows, second=600, config=CONFIG, persisted=True):
+    requests = spark.createDataFrame([("s", at(second))], "session_id string, as_of timestamp")
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = classify.analyze(df, requests, config, persisted).first()
+    two = classify.analyze_in_order(df, requests, config, persisted).select(*one.asDict()).first()
+    assert one == two
+    return one
+
+
+def test_rising_history(spark):
+    d = decision(spark, history(HISTORY))
+    assert (d.market_state, d.confidence) == ("UP", 0.90)
+    assert list(d.evidence) == [
+        "STATE_RULE=RISING_STRUCTURE", "BASIC_TREND=RISING_STRUCTURE", "BASIC_LATERALIZATION=FALSE", "DATA_QUALITY=0.9",
+        "TREND_PAIRS=2", "LATERALIZATION_WINDOW_CANDLES=3", "LATERALIZATION_MAX_RANGE_RATIO=0.01", "MINIMUM_DATA_QUALITY=0.8",
+    ]
+
+
+def test_short_history(spark):
+    d = decision(spark, history(HISTORY[:2]), persisted=False)
+    assert (d.market_state, d.confidence) == ("UNCERTAIN", 0.0)
+    assert list(d.evidence) == ["STATE_RULE=INSUFFICIENT_HISTORY", "BASIC_TREND=NONE", "BASIC_LATERALIZATION=NONE", "DATA_QUALITY=NONE"]
+    assert decision(spark, history(HISTORY), second=1).state_rule == "INSUFFICIENT_HISTORY"
+
+
+@pytest.mark.parametrize("trend, lateral, quality, rule, state", [
+    ("RISING_STRUCTURE", False, None, "MISSING_DATA_QUALITY", "UNCERTAIN"), ("RISING_STRUCTURE", False, 0.79, "LOW_DATA_QUALITY", "UNCERTAIN"),
+    ("RISING_STRUCTURE", None, 0.8, "MISSING_LATERALIZATION", "UNCERTAIN"), ("RISING_STRUCTURE", True, 0.8, "SIDEWAYS", "SIDEWAYS"),
+    ("RISING_STRUCTURE", False, 0.8, "RISING_STRUCTURE", "UP"), ("FALLING_STRUCTURE", False, 0.8, "FALLING_STRUCTURE", "DOWN"),
+    ("MIXED_STRUCTURE", False, 0.8, "UNCERTAIN_FALLBACK", "UNCERTAIN"), (None, False, 0.8, "UNCERTAIN_FALLBACK", "UNCERTAIN"),
+])
+def test_decision_table(spark, trend, lateral, quality, rule, state):
+    row = spark.createDataFrame([(3, trend, lateral, quality)], "closed int, trend string, lateral boolean, quality double")
+    d = classify.decide(row, CONFIG).first()
+    assert (d.state_rule, d.market_state) == (rule, state)
+    assert d.confidence == (0.0 if state == "UNCERTAIN" else quality)
+
+
+def test_nothing_leaks_from_the_future(spark):
+    random.seed(7)
+    rows = []
+    for i in range(120):
+        session, bucket = random.choice("ab"), random.randrange(8)
+        low, high = random.uniform(90, 100), random.uniform(100, 110)
+        rows.append(snap(random.randrange(600), i, high, low, random.uniform(low, high), random.random() < 0.6, session, BASE + timedelta(minutes=bucket), random.choice([None, 0.7, 0.9])))
+    whole = spark.createDataFrame(rows, SCHEMA)
+    for second in (60, 300, 450):
+        requests = spark.createDataFrame([("a", at(second)), ("b", at(second))], "session_id string, as_of timestamp")
+        past = whole.where(F.col("ts") <= F.lit(at(second)))
+        assert sorted(map(str, classify.analyze(whole, requests, CONFIG).collect())) == sorted(map(str, classify.analyze(past, requests, CONFIG).collect()))
+        assert sorted(map(str, asof.as_of(whole, at(second)).collect())) == sorted(map(str, asof.as_of(past, at(second)).collect()))
+
+
+@pytest.mark.parametrize("args", [(0, 3, "0.1", 0.5), (1, 2, "0.1", 0.5), (1, 3, "-1", 0.5), (1, 3, "NaN", 0.5), (1, 3, "0.1", 1.5), (1, 3, "0.1", True), (True, 3, "0.1", 0.5)])
+def test_config_is_checked(args):
+    with pytest.raises(ValueError):
+        AnalysisConfig(args[0], args[1], Decimal(args[2]), args[3])
