@@ -1,0 +1,89 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wickline.llm import lm
+
+from .conftest import EDGES
+
+
+def tokens(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
+
+
+def brute(rows, modulus):
+    seen = Counter()
+    for doc, text in rows:
+        if zlib.crc32(("" if doc is None else str(doc)).encode()) % modulus:
+            seen.update(tokens(text))
+    total, kinds = sum(seen.values()), len(seen)
+    out = []
+    for doc, text in rows:
+        t = tokens(text)
+        base = sum(math.log10((seen[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)
+        out.append((doc, zlib.crc32(("" if doc is None else str(doc)).encode()) % modulus != 0, len(t), sum(1 for w in t if seen[w]), total, round(base, 6)))
+    return sorted(map(str, out))
+
+
+def scored(df, modulus):
+    return lm.score_documents(df, ~lm.held_out(F.col("doc_id"), modulus)).collect()
+
+
+def columns(rows):
+    return sorted(str((r.doc_id, r.trained, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))) for r in rows)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 21, 4, 0])
+def test_exact_columns_by_either_path(documents, monkeypatch, broadcast):
+    monkeypatch.setattr(lm, "BROADCAST_WORDS", broadcast)
+    rows = [*EDGES, *[(200 + i, f"the word {i % 7} and Word{i} the the") for i in range(60)]]
+    got = scored(documents(rows), 3)
+    assert columns(got) == brute(rows, 3)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1
+
+
+def test_small_pieces_change_nothing(documents, monkeypatch):
+    rows = [(i, f"a b {i} c d " * (i % 5)) for i in range(40)]
+    whole = {r.doc_id: r.score for r in scored(documents(rows), 4)}
+    monkeypatch.setattr(lm, "AT_ONCE", 3)
+    monkeypatch.setattr(lm, "SUMMED", 5)
+    again = {r.doc_id: r.score for r in scored(documents(rows), 4)}
+    assert whole.keys() == again.keys() and all(abs(whole[k] - again[k]) < 1e-9 for k in whole)
+
+
+def test_model_beats_single_words_on_held_out_text(documents):
+    rows = [(i, "one two three four five six seven eight " * 3) for i in range(200)]
+    held = [r for r in scored(documents(rows), 5) if not r.trained]
+    assert held and all(r.score > r.base_score + 5 for r in held)
+
+
+def test_nothing_to_learn_from(documents):
+    got = lm.score_documents(documents([(1, "a b")]), F.lit(False)).first()
+    assert (got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (3, 0, 0, pytest.approx(0.0)) and math.isfinite(got.score)
+    assert lm.score_documents(documents([(1, "a")]).limit(0), F.lit(True)).collect() == []
+
+
+def test_filter_quantises_and_rarely_errs():
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)
+    counts = np.minimum(rng.zipf(1.5, 20_000), 1_000_000)
+    bits, table = 1 << 12, np.zeros(lm.SEGMENTS * (1 << 12) // 8, dtype=np.uint8)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
+    for out in lm._segments(bits)(iter([batch])):
+        at = out.column("segment")[0].as_py() * bits // 8
+        table[at : at + bits // 8] = np.frombuffer(out.column("bits")[0].as_py(), dtype=np.uint8)
+    model = lm.Filter(table, bits)
+    got, want = model.level(grams), lm.levels(counts)
+    assert (got >= want).all() and (got == want).mean() > 0.95
+    absent = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (model.level(absent) > 0).mean() < 0.03
+    assert list(lm.expected(np.array([0, 1, 2, 3]))) == [0, 1, 2.5, 5.5]
