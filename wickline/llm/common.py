@@ -58,7 +58,7 @@ class Hasher:
     """64-bit hashes of words, remembered for those met before."""
 
     #: Words that a worker remembers at most; then it starts anew.
-    REMEMBERED = 500_000
+    REMEMBERED = 50_000
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
