@@ -129,7 +129,7 @@ ORACLE_SQL = {
     "price_interpolation": sql("""SELECT t.session_id, t.seq, t.y, round(CASE WHEN t.y = y0 THEN p0 ELSE p0 + (p1 - p0) * (t.y - y0) / (y1 - y0) END, 9) AS price, CASE WHEN y0 IS NULL THEN 'Y_OUTSIDE_CALIBRATED_RANGE' END AS reason
         FROM (SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS day, seq, seq % 450 + 50 AS y FROM ticks) t LEFT JOIN (SELECT session_id, day, y AS y0, price AS p0, lead(y) OVER w AS y1, lead(price) OVER w AS p1 FROM anchors WINDOW w AS (PARTITION BY session_id, day ORDER BY y)) s
         ON s.session_id = t.session_id AND s.day = t.day AND (t.y = y0 OR (y0 < t.y AND t.y < y1))""", "anchors", "ticks"),
-    "anchor_calibration": sql("""SELECT session_id, day, n AS anchors, min_y, max_y, CASE WHEN reason IS NULL THEN CASE WHEN falls THEN 'PRICE_INCREASES_UP' ELSE 'PRICE_INCREASES_DOWN' END END AS orientation, CASE WHEN reason IS NULL THEN round(least_c * greatest(0.0, 1 - dev), 9) END AS confidence, reason FROM
+    "anchor_calibration": sql("""SELECT session_id, day, n AS anchors, min_y::INTEGER AS min_y, max_y::INTEGER AS max_y, CASE WHEN reason IS NULL THEN CASE WHEN falls THEN 'PRICE_INCREASES_UP' ELSE 'PRICE_INCREASES_DOWN' END END AS orientation, CASE WHEN reason IS NULL THEN round(least_c * greatest(0.0, 1 - dev), 9) END AS confidence, reason FROM
         (SELECT *, CASE WHEN n < 2 THEN 'INSUFFICIENT_PRICE_ANCHORS' WHEN NOT falls AND NOT rises THEN 'NON_MONOTONIC_PRICE_ANCHORS' WHEN dev > 0.05 THEN 'INCONSISTENT_PRICE_ANCHORS' END AS reason FROM
          (SELECT session_id, day, count(*) AS n, min(y) AS min_y, max(y) AS max_y, min(confidence) AS least_c, bool_and(gap < 0) AS falls, bool_and(gap > 0) AS rises, max(abs(slope - m) / nullif(m, 0)) AS dev FROM
           (SELECT *, avg(slope) OVER (PARTITION BY session_id, day) AS m FROM (SELECT *, abs((lead(price) OVER w - price) / nullif(lead(y) OVER w - y, 0)) AS slope, lead(price) OVER w - price AS gap FROM anchors WINDOW w AS (PARTITION BY session_id, day ORDER BY y, price))) GROUP BY ALL))""", "anchors"),
@@ -148,6 +148,9 @@ ORACLE_SQL = {
     "coverage": sql("SELECT policy_id, count(*) FILTER (market_state = 'UNCERTAIN') AS uncertain_count, round(count(*) FILTER (market_state <> 'UNCERTAIN') / count(*)::DOUBLE, 9) AS coverage, round(count(*) FILTER (market_state = 'UNCERTAIN') / count(*)::DOUBLE, 9) AS uncertain_frequency FROM good GROUP BY policy_id", "good"),
     "confidence_calibration": sql("SELECT policy_id, bin, n, round(mean_confidence, 9) AS mean_confidence, round(observed_accuracy, 9) AS observed_accuracy, round(absolute_gap, 9) AS absolute_gap FROM allbins", "allbins"),
     "calibration_gap": sql("SELECT policy_id, round(sum(n * absolute_gap) / nullif(sum(n), 0)::DOUBLE, 9) AS weighted_alignment_gap FROM allbins GROUP BY policy_id", "allbins"),
+    "chart_reading": sql("""SELECT image, x::INTEGER AS x, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction, top AS body_top, bottom AS body_bottom, CASE WHEN high < top THEN high END AS upper_top, CASE WHEN low > bottom THEN low END AS lower_bottom, 13 AS width FROM
+        (SELECT session_id || '/' || strftime(open_time, '%Y%m%d') AS image, 100 + 25 * row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS x, close >= open AS up, 100 + floor((500.0::DOUBLE - high) * 0.6::DOUBLE)::INTEGER AS high, 100 + floor((500.0::DOUBLE - low) * 0.6::DOUBLE)::INTEGER AS low,
+                100 + floor((500.0::DOUBLE - greatest(open, close)) * 0.6::DOUBLE)::INTEGER AS top, 100 + floor((500.0::DOUBLE - least(open, close)) * 0.6::DOUBLE)::INTEGER AS bottom FROM bars) WHERE x <= 600 AND low - high + 1 >= 5""", "bars"),
     "order_series_features": sql("""SELECT session_id, open_time, open, high, low, close, CASE WHEN k >= 5 AND count(ch) OVER v = 4 THEN round(stddev_pop(ch) OVER v, 9) END AS volatility,
         CASE WHEN k > 2 THEN CASE WHEN min(up) OVER p = 1 THEN 'RISING_STRUCTURE' WHEN min(down) OVER p = 1 THEN 'FALLING_STRUCTURE' ELSE 'MIXED_STRUCTURE' END END AS trend,
         CASE WHEN k >= 4 AND first_value(close) OVER v <> 0 THEN NOT (min(up) OVER q = 1) AND NOT (min(down) OVER q = 1) AND (max(high) OVER v - min(low) OVER v) / abs(first_value(close) OVER v) <= 1.5 END AS "lateral" FROM

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from wickline import schema
 from wickline.config import AnalysisConfig
-from wickline.operators import asof, candles, capture, classify, features, outcome, price_scale, reconstruction, replay, store
+from wickline.operators import asof, candles, capture, classify, features, outcome, price_scale, reconstruction, replay, store, vision
 from wickline.sources import readers
 
 SESSION = ["session_id"]
@@ -337,6 +337,38 @@ def calibration_gap(spark, sf):
     return outcome.weighted_gap(outcome.calibration(_pairs(spark, sf), ["policy_id"]), ["policy_id"]).withColumns(_nine("weighted_alignment_gap"))
 
 
+def _pictures(spark, sf):
+    """A chart image for each session and day, with its first 20 candles as bars 25 pixels apart."""
+    def y_of(price):
+        return (F.lit(100) + F.floor((F.lit(500.0) - price) * 0.6)).cast("int")
+
+    c = candles_from_ticks(spark, sf).withColumn("day", F.date_format("open_time", "yyyyMMdd"))
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "day").orderBy("open_time"))).where("k <= 20")
+    up = F.col("close") >= F.col("open")
+    bar = F.struct((F.col("k") * 25 + 100).alias("x"), y_of(F.col("high")).alias("high"), y_of(F.col("low")).alias("low"), y_of(F.greatest("open", "close")).alias("top"), y_of(F.least("open", "close")).alias("bottom"), up.alias("up"))
+    bars = c.groupBy(F.concat_ws("/", "session_id", "day").alias("image")).agg(F.collect_list(bar).alias("bars"))
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for image, shapes in zip(batch.column("image").to_pylist(), batch.column("bars").to_pylist()):
+                page = np.full((560, 800, 3), 255, dtype=np.uint8)
+                page[60:480, 80:720] = vision.COLOURS["background"][0]
+                page[60:480, 640] = page[440, 80:640] = vision.COLOURS["border"][0]
+                for s in shapes:
+                    page[s["high"] : s["low"] + 1, s["x"]] = page[s["top"] : s["bottom"] + 1, s["x"] - 6 : s["x"] + 7] = vision.COLOURS["UP" if s["up"] else "DOWN"][0]
+                yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([vision.encode_png(page)], pa.binary())], ["image", "content"])
+
+    return bars.mapInArrow(draw, "image string, content binary")
+
+
+def chart_reading(spark, sf):
+    """Candles read back from drawn charts, in pixels."""
+    return vision.visual_candles(_pictures(spark, sf)).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
+
+
 def order_series_features(spark, sf):
     """The structural features of daily candles of the orders, by priority."""
     c = candles.candles(readers.daily_ticks(spark, sf, "orders")).withColumn("is_closed", F.lit(True))
@@ -396,7 +428,7 @@ _ALL = (
     constraint_violations, key_duplicates, orphan_audit, idempotent_merge_plan, replay_visible, replay_release_steps, sequence_validation, direction, amplitude, returns, volatility,
     hh_hl_lh_ll, basic_trend, basic_lateralization, data_quality, last_closed, analysis_decision, analysis_evidence, analysis_dense, reconstruction_match, reconstruction_metrics, normalize_dedup,
     ohlc_reject_reasons, bands, frame_change_flags, price_interpolation, anchor_calibration, spacing_shift_median, exposure_frontier, policy_registration, policy_eligibility, outcome_reference,
-    outcome_horizon, outcome_state, outcome_evidence, availability_status, confusion_matrix, precision_recall, coverage, confidence_calibration, calibration_gap, order_series_features, lineitem_candles,
+    outcome_horizon, outcome_state, outcome_evidence, availability_status, confusion_matrix, precision_recall, coverage, confidence_calibration, calibration_gap, chart_reading, order_series_features, lineitem_candles,
     capture_cadence, conflict_fold, exact_returns, exact_volatility, tracked_frames,
 )
 QUERIES = {f.__name__: f for f in _ALL}
