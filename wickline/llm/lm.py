@@ -29,8 +29,8 @@ SEGMENTS = 256
 FILTER_BITS = 1 << 29
 #: Most words whose exact counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 21
-#: N-grams that a worker sums up at a time.
-SUMMED = 3_000_000
+#: N-grams that a worker sums up at a time, and words that it looks up at a time.
+SUMMED, AT_ONCE = 1_500_000, 100_000
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds white space
 _S56 = np.uint64(56)
@@ -46,15 +46,21 @@ def pair_gram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed_bits(first * np.uint64(0xD6E8FEB86659FD93) + mixed_bits(second))
 
 
-def _sequences(batch: pa.RecordBatch, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts of a batch, an end behind each text, and where each text starts."""
+def _sequences(batch: pa.RecordBatch, hasher: Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Words of a batch's texts, an end behind each, in pieces of about ``AT_ONCE`` words.
+
+    Yields the first row of a piece, its words, and where each text starts in them.
+    """
     words: list[int] = []
-    starts = []
-    for text in batch.column("text").cast(pa.binary()).to_pylist():
+    starts: list[int] = []
+    first = 0
+    for row, text in enumerate(batch.column("text").cast(pa.binary())):
         starts.append(len(words))
-        words.extend(hasher.words(text))
+        words.extend(hasher.words(text.as_py()))
         words.append(END)
-    return np.array(words, dtype=np.uint64), np.array(starts, dtype=np.int64)
+        if len(words) >= AT_ONCE or row + 1 == batch.num_rows:
+            yield first, np.array(words, dtype=np.uint64), np.array(starts, dtype=np.int64)
+            words, starts, first = [], [], row + 1
 
 
 def _before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -75,14 +81,12 @@ def _counts(of_pairs: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000], pa.int64())], ["gram", "n"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, starts = _sequences(batch, hasher)
-            held.append(pair_gram(_before(words, starts), words) if of_pairs else words)
-            size += len(words)
-            if size > SUMMED:
-                yield from out()
-                held, size = [], 0
+            for _, words, starts in _sequences(batch, hasher):
+                held.append(pair_gram(_before(words, starts), words) if of_pairs else words)
+                size += len(words)
+                if size > SUMMED:
+                    yield from out()
+                    held, size = [], 0
         if held:
             yield from out()
 
@@ -184,9 +188,10 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     summed = grams.repartition("segment").groupBy("segment", "gram").agg(F.sum("n").alias("n"))
     made = summed.select("gram", "n").mapInArrow(_segments(bits), "segment long, bits binary")
     table = np.zeros(SEGMENTS * bits // 8, dtype=np.uint8)
-    for row in made.toLocalIterator():
-        at = row["segment"] * (bits // 8)
-        table[at : at + bits // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    for batch in made.toArrow().to_batches():
+        for segment, packed in zip(batch.column("segment").to_pylist(), batch.column("bits")):
+            at = segment * (bits // 8)
+            table[at : at + bits // 8] = np.frombuffer(packed.as_buffer(), dtype=np.uint8)
 
     least, room = 1 << 62, BROADCAST_WORDS
     for r in sorted(by_level, key=lambda r: -r["level"]):
@@ -194,32 +199,33 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
             break
         room -= r["words"]
         least = 1 << r["level"]
-    frequent = words.where(F.col("n") >= least).toPandas().sort_values("gram")
-    exact = (frequent["gram"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
+    frequent = words.where(F.col("n") >= least).toArrow()  # as arrays: rows would take many times the memory
+    in_order = np.argsort(frequent.column("gram").to_numpy())
+    exact = tuple(frequent.column(c).to_numpy()[in_order] for c in ("gram", "n"))
     all_exact = len(exact[0]) == distinct
     model = spark.sparkContext.broadcast((table, bits, exact))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits, (grams, counts) = model.value
         probe, hasher = Filter(table, bits), Hasher()
-        logs = np.log10(counts + 0.1)
+        logs, unknown = np.log10(counts + 0.1), np.log10(0.1) if all_exact else 0.0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w, starts = _sequences(batch, hasher)
-            lengths = np.diff(np.append(starts, len(w)))
-            score = np.add.reduceat(score_tokens(probe, w, _before(w, starts), total, distinct, weight), starts)
-            signed = w.view(np.int64)
-            at = np.minimum(np.searchsorted(grams, signed), max(0, len(grams) - 1))
-            held = grams[at] == signed if len(grams) else np.zeros(len(w), dtype=bool)
-            part = np.where(held, logs[at], np.log10(0.1) if all_exact else 0.0) if len(grams) else np.full(len(w), np.log10(0.1) if all_exact else 0.0)
-            known, base = np.add.reduceat(held.astype(np.int64), starts), np.add.reduceat(part, starts)
-            ends = np.append(starts, len(w))
-            rest = pa.array([None if all_exact else signed[a:b][~held[a:b]] for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("trained"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rest],
-                ["doc_id", "trained", "n_tokens", "n_known", "part", "score", "rest"],
-            )
+            for first, w, starts in _sequences(batch, hasher):
+                ends = np.append(starts, len(w))
+                score = np.add.reduceat(score_tokens(probe, w, _before(w, starts), total, distinct, weight), starts)
+                signed = w.view(np.int64)
+                if len(grams):
+                    at = np.minimum(np.searchsorted(grams, signed), len(grams) - 1)
+                    held = grams[at] == signed
+                    part = np.where(held, logs[at], unknown)
+                else:
+                    held, part = np.zeros(len(w), dtype=bool), np.full(len(w), unknown)
+                rest = pa.array([None if all_exact else signed[a:b][~held[a:b]] for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))
+                own = batch.slice(first, len(starts))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), own.column("trained"), pa.array(np.diff(ends)), pa.array(np.add.reduceat(held.astype(np.int64), starts)), pa.array(np.add.reduceat(part, starts)), pa.array(score), rest],
+                    ["doc_id", "trained", "n_tokens", "n_known", "part", "score", "rest"],
+                )
 
     scored = rows.mapInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, part double, score double, rest array<long>")
     if not all_exact:
