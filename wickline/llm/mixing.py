@@ -75,7 +75,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     kept = [c for c in docs.columns if c.lower() != "mix"]
     size = word_count(F.col(text))
     band = F.floor(F.log2(size + 1) * 16).cast("int")
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("id"), F.col(source).alias("src"), size.alias("size"), band.alias("band"))
+    # plain columns under names of their own, so that those nobody asks for are never shuffled
+    rows = docs.select(*[F.col(c).alias(f"row_{i}") for i, c in enumerate(kept)], F.col(key).alias("id"), F.col(source).alias("src"), size.alias("size"), band.alias("band"))
 
     counts = rows.groupBy("src", "band").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(MOST_PLAN_ROWS + 1).toPandas()
     if len(counts) > MOST_PLAN_ROWS:
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     placed = dealt.withColumn("place", place)
     crossed = F.floor(F.col("rate") * F.col("place") + F.col("start")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("start"))
     copies = F.least(crossed, F.ceil("rate")).cast("long")
-    return placed.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
+    return placed.select(*[F.col(f"row_{i}").alias(c) for i, c in enumerate(kept)], F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
