@@ -77,3 +77,15 @@ def test_pixels_to_prices(spark):
     scale = price_scale.calibrate(anchors, ["image"])
     up = price_scale.map_candles(visual, anchors, ["image"], scale).orderBy("x").select("open", "high", "low", "close", F.col("confidence") <= 0.97).first()
     assert tuple(up) == (95.0, 103.0, 93.0, 101.0, True)
+
+
+def test_boxes_and_crops(spark):
+    boxes = [(0, 0, 10, 20, True), (790, 0, 10, 5, True), (791, 0, 10, 5, False), (-1, 0, 5, 5, False), (0, 0, 0, 5, False)]
+    df = spark.createDataFrame([(str(i), bytearray(vision.encode_png(picture())), *b[:4]) for i, b in enumerate(boxes)], "image string, content binary, x int, y int, width int, height int")
+    fits = df.select("image", vision.region_fits(F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.lit(800), F.lit(560)).alias("ok")).collect()
+    assert [r.ok for r in sorted(fits, key=lambda r: r.image)] == [b[4] for b in boxes]
+    for r in vision.cropped(df).collect():
+        x, y, w, h, ok = boxes[int(r.image)]
+        assert (r.content is not None) == ok
+        if ok:
+            assert (vision.decode_png(bytes(r.content)) == picture()[y : y + h, x : x + w]).all()

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -194,6 +194,24 @@ def visual_candles(images: DataFrame) -> DataFrame:
     )
 
 
+def region_fits(x: Column, y: Column, width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """Whether a box has an area and lies within its image."""
+    return (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= image_width) & (y + height <= image_height)
+
+
+def cropped(images: DataFrame) -> DataFrame:
+    """Images (image, content, x, y, width, height) cut to their box and encoded again; content is null where the box does not fit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, *box in zip(*(batch.column(c).to_pylist() for c in ("image", "content", "x", "y", "width", "height"))):
+                pixels, (x, y, w, h) = decode_png(content), box
+                fits = pixels is not None and None not in box and min(x, y) >= 0 < min(w, h) and x + w <= pixels.shape[1] and y + h <= pixels.shape[0]
+                out = encode_png(pixels[y : y + h, x : x + w]) if fits else None
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([out], pa.binary())], ["image", "content"])
+
+    return images.select(F.col("image").cast("string").alias("image"), "content", "x", "y", "width", "height").mapInArrow(run, "image string, content binary")
+
+
 def observe(images: DataFrame) -> DataFrame:
     """One row an image: status of the chart, or CANDLE_DETECTION_FAILED without candles; candles as an array; least confidence."""
     chart = charts(images).select("image", "status", "visual_quality", F.col("confidence").alias("_chart"))
