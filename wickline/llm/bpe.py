@@ -18,13 +18,16 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Bytes of text whose results a worker holds at a time.
+AT_ONCE = 500_000
 
 # Parts of printable ASCII and precomposed Latin letters need no normalisation
 # but lower case.
@@ -175,11 +178,15 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(spec)
         for batch in batches:
-            out = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            out, size, first = [], 0, 0
+            for row, value in enumerate(batch.column("text").cast(pa.binary())):
+                text = value.as_py()
                 ids, n, decoded = code.text(text)
-                out.append((*_digests(ids, n, decoded), *([list(map(int, ids.split()))] if with_ids else [])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out), types[1:]))], names) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+                out.append((*_digests(ids, n, decoded), *([np.fromstring(ids, dtype=np.int32, sep=" ")] if with_ids else [])))
+                size += len(text)
+                if size > AT_ONCE or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(out)), *(pa.array(x, t) for x, t in zip(zip(*out), types[1:]))], names)
+                    out, size, first = [], 0, row + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units of a long text: plain stretches, short pretokens, and leaves of long ones."""
