@@ -154,11 +154,14 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
 
 
-def score_tokens(model: Filter, words: np.ndarray, before: np.ndarray, total: int, distinct: int, weight: float) -> np.ndarray:
+def score_tokens(model: Filter, words: np.ndarray, starts: np.ndarray, total: int, distinct: int, weight: float) -> np.ndarray:
     """log10 probability of each word after the one before it, smoothed towards that of the word alone."""
-    alone = (expected(model.level(word_gram(words))) + 0.1) / (total + 0.1 * (distinct + 1))
-    of_first = expected(model.level(word_gram(before)))
-    of_pair = np.minimum(expected(model.level(pair_gram(before, words))), of_first)
+    counts = expected(model.level(word_gram(words)))
+    alone = (counts + 0.1) / (total + 0.1 * (distinct + 1))
+    # the last word of a text is its end, so the count of an end stands at the end of the piece
+    of_first = np.append(counts[-1:], counts[:-1])
+    of_first[starts] = counts[-1]
+    of_pair = np.minimum(expected(model.level(pair_gram(_before(words, starts), words))), of_first)
     return np.log10((of_pair + weight * np.minimum(alone, 1.0)) / (of_first + weight))
 
 
@@ -212,7 +215,7 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
         for batch in batches:
             for first, w, starts in _sequences(batch, hasher):
                 ends = np.append(starts, len(w))
-                score = np.add.reduceat(score_tokens(probe, w, _before(w, starts), total, distinct, weight), starts)
+                score = np.add.reduceat(score_tokens(probe, w, starts, total, distinct, weight), starts)
                 signed = w.view(np.int64)
                 if len(grams):
                     at = np.minimum(np.searchsorted(grams, signed), len(grams) - 1)
