@@ -57,3 +57,12 @@ def test_documents(spark, documents):
 
 def test_empty_table(spark, documents):
     assert bpe.encode_documents(documents([(1, "a")]).limit(0), PATH).collect() == []
+
+
+def test_long_runs_without_tokens_keep_their_rows(spark, documents):
+    rows = [(1, " " * 5_000), (1, " " * 5_000), (2, " 　" + "　" * 5_000), (None, " " * 5_000), (3, "a " + " " * 5_000)]
+    got = bpe.encode_documents(documents(rows), PATH, with_ids=True).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(got) == len(rows)
+    assert sorted(str(r.doc_id) for r in got if tuple(r[1:]) == (0, empty, empty, [])) == ["1", "1", "2", "None"]
+    assert [(r.n_tokens, r.ids) for r in got if r.doc_id == 3] == [(1, expected("a")[0])]

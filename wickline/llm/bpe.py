@@ -204,8 +204,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                             units.append((at, 0, True, "id", str(special)))
                         else:
                             units.extend((at, i, i + leaf >= len(pretoken), "leaf", pretoken[i : i + leaf]) for i in range(0, len(pretoken), leaf))
-                if units:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(units)), *(pa.array(x) for x in zip(*units))], ["doc", "unit", "leaf", "ends", "kind", "text"])
+                units = units or [(0, 0, True, "text", "")]  # a run that the tokenizer drops whole
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(units)), *(pa.array(x) for x in zip(*units))], ["doc", "unit", "leaf", "ends", "kind", "text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(spec)
