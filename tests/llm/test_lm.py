@@ -87,3 +87,45 @@ def test_filter_quantises_and_rarely_errs():
     absent = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     assert (model.level(absent) > 0).mean() < 0.03
     assert list(lm.expected(np.array([0, 1, 2, 3]))) == [0, 1, 2.5, 5.5]
+
+
+def test_filter_probed_by_segment_gives_the_same_scores(documents, monkeypatch):
+    rows = [*EDGES, *[(200 + i, f"the word {i % 7} and Word{i} the the") for i in range(60)]]
+    whole = sorted(str((r.doc_id, r.trained, r.n_tokens, round(r.score, 6))) for r in scored(documents(rows), 3))
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 500)
+    again = scored(documents(rows), 3)
+    assert sorted(str((r.doc_id, r.trained, r.n_tokens, round(r.score, 6))) for r in again) == whole
+    assert columns(again) == brute(rows, 3)
+    assert lm.score_documents(documents([(1, "a")]).limit(0), F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("tokens", [10**8, 10**9, 10**12])
+def test_filter_size_follows_the_tokens(tokens):
+    bits, segments = lm.filter_size(tokens)
+    assert 6 * tokens <= bits * segments < 12 * tokens and bits <= lm.SEGMENT_BITS
+
+
+def test_tenfold_tokens_err_no_more(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 12)
+    rng = np.random.default_rng(2)
+    rates = []
+    for size in (150_000, 1_500_000):
+        grams = rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
+        bits, segments = lm.filter_size(size)
+        table = np.zeros(segments * bits // 8, dtype=np.uint8)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.sort(grams).view(np.int64)), pa.array(np.ones(size, dtype=np.int64))], ["gram", "n"])
+        for out in lm._segments(bits, segments)(iter([batch])):
+            at = out.column("segment")[0].as_py() * bits // 8
+            table[at : at + bits // 8] = np.frombuffer(out.column("bits")[0].as_py(), dtype=np.uint8)
+        absent = rng.integers(0, 1 << 63, 50_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        rates.append((lm.Filter(table, bits, segments).level(absent) > 0).mean())
+    assert max(rates) < 0.07
+
+
+def test_a_full_filter_ends_at_the_largest_level():
+    bits = 1 << 12
+    full = lm.Filter(np.full(lm.SEGMENTS * bits // 8, 255, dtype=np.uint8), bits, top=5)
+    assert set(full.level(np.arange(10, dtype=np.uint64))) == {5}

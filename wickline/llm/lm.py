@@ -3,9 +3,11 @@
 Counts of single words and word pairs are quantised to levels 1 + floor(log2 c)
 and every level up to an n-gram's own is set in a Bloom filter.  A reader
 probes level 1, 2, ... until a probe fails, which gives the quantised count.
-The filter is built in 256 segments by as many groups, put together on the
-driver and broadcast; its bits follow the size of the corpus up to
-``FILTER_BITS``, beyond which counts grow less sure instead of the filter.
+The filter is built in segments by as many groups; its bits follow the counted
+levels without an end.  Up to ``BROADCAST_BITS`` it is put together on the
+driver and broadcast.  A larger one stays in its segments, of which a task
+holds one at a time: the n-grams of each piece of the texts are sent to their
+segments, and the levels found there come back to their piece.
 
 The word counts themselves are kept exactly too, for the base score.  The most
 frequent ones, at most ``BROADCAST_WORDS``, are broadcast; all others are
@@ -18,22 +20,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickline.llm.common import Hasher, doc_remainder, materialize, mixed_bits
 
-SEGMENTS = 256
-#: Most bits of the filter: 64 MB.
-FILTER_BITS = 1 << 29
+#: Fewest segments of the filter, and most bits of one.
+SEGMENTS, SEGMENT_BITS = 256, 1 << 21
+#: Most bits of a filter that is broadcast: 64 MB.  Larger ones are probed by segment.
+BROADCAST_BITS = 1 << 29
+#: Bytes of text whose n-grams are looked up together in a filter that is not broadcast.
+PIECE_BYTES = 1 << 20
 #: Most words whose exact counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 21
 #: N-grams that a worker sums up at a time, and words that it looks up at a time.
 SUMMED, AT_ONCE = 1_500_000, 100_000
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds white space
-_S56 = np.uint64(56)
+
+
+def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
+    """Segment of each n-gram: its top bits; ``segments`` is a power of two."""
+    if segments == 1:
+        return np.zeros(len(grams), dtype=np.int64)
+    return (grams >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+
+
+def filter_size(held: int) -> tuple[int, int]:
+    """(bits of a segment, segments) for ``held`` levels to set, at six bits and more each."""
+    bits, segments = 1 << 12, SEGMENTS
+    while bits * segments < 6 * held:
+        if bits < SEGMENT_BITS:
+            bits *= 2
+        else:
+            segments *= 2
+    return bits, segments
 
 
 def word_gram(words: np.ndarray) -> np.ndarray:
@@ -104,40 +128,46 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(counts)).astype(np.int64)
 
 
-def _segments(bits: int):
-    """Bits of each segment that comes in, as (segment, bytes)."""
+def _segments(bits: int, segments: int = SEGMENTS, in_order: bool = False):
+    """Bits of each segment that comes in, as (segment, bytes); segments ``in_order`` are given out one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
+
+        def out(done):
+            for s in done:
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(found.pop(s), bitorder="little").tobytes()])], ["segment", "bits"])
+
         for batch in batches:
             grams = batch.column("gram").to_numpy().view(np.uint64)
             level = levels(batch.column("n").to_numpy())
-            segment = (grams >> _S56).astype(np.int64)
+            segment = segment_of(grams, segments)
             for s in np.unique(segment):
+                if in_order:
+                    yield from out([x for x in found if x != s])
                 here = found.setdefault(int(s), np.zeros(bits, dtype=bool))
                 own, tops = grams[segment == s], level[segment == s]
                 for j in range(1, int(tops.max()) + 1):
                     for place in bit_places(own[tops >= j], j, bits):
                         here[place] = True
-        for s, here in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(here, bitorder="little").tobytes()])], ["segment", "bits"])
+        yield from out(list(found))
 
     return run
 
 
 class Filter:
-    """A finished filter."""
+    """A finished filter, or some of its segments; ``top`` is the largest level stored."""
 
-    def __init__(self, table: np.ndarray, bits: int) -> None:
-        self.table, self.bits = table, bits
+    def __init__(self, table: np.ndarray, bits: int, segments: int = SEGMENTS, top: int = 63) -> None:
+        self.table, self.bits, self.segments, self.top = table, bits, segments, top
 
     def level(self, grams: np.ndarray) -> np.ndarray:
         """Quantised count of each n-gram, 0 for those not held."""
         distinct, back = np.unique(grams, return_inverse=True)
         out = np.zeros(len(distinct), dtype=np.int64)
-        alive, base = np.arange(len(distinct)), (distinct >> _S56) * np.uint64(self.bits // 8)
+        alive, base = np.arange(len(distinct)), segment_of(distinct, self.segments).astype(np.uint64) * np.uint64(self.bits // 8)
         level = 1
-        while len(alive):
+        while len(alive) and level <= self.top:
             hit = np.arange(len(alive))
             for place in bit_places(distinct[alive], level, self.bits):
                 p = place[hit]
@@ -149,6 +179,80 @@ class Filter:
         return out[back]
 
 
+class Found:
+    """Levels that were looked up before, by n-gram; all others are 0."""
+
+    def __init__(self, grams: np.ndarray, level: np.ndarray) -> None:
+        order = np.argsort(grams)
+        self.grams, self.found = grams[order], level[order]
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(len(grams), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.found[at], 0).astype(np.int64)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their piece of about ``PIECE_BYTES``, unlike in all tasks."""
+    first, size = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        ends = size + np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield batch.append_column("piece", pa.array(first + ends // PIECE_BYTES))
+        size = int(ends[-1]) if len(ends) else size
+
+
+def _asked(segments: int):
+    """The n-grams of each piece of rows, packed by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for piece, part in _by(batch, "piece"):
+                for _, words, starts in _sequences(part, hasher):
+                    grams = np.unique(np.concatenate([word_gram(words), pair_gram(_before(words, starts), words)]))
+                    segment = segment_of(grams, segments)
+                    cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1), len(grams)]
+                    packed = pa.array([grams[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
+                    yield pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]]), pa.array(np.full(len(packed), piece)), packed], ["segment", "piece", "grams"])
+
+    return run
+
+
+def _by(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Stretches of a batch with one value of a column."""
+    values = batch.column(name).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1), len(values)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield int(values[a]), batch.slice(a, b - a)
+
+
+def _probed(bits: int, segments: int, top: int):
+    """Levels of the n-grams that come behind the bits of their segment, as (piece, grams, levels), both packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, None
+        for batch in batches:
+            for segment, part in _by(batch, "segment"):
+                if segment != now:
+                    now, table = segment, None
+                of_bits = pc.is_valid(part.column("bits"))
+                for x in part.column("bits").filter(of_bits):
+                    table = np.frombuffer(x.as_py(), dtype=np.uint8)
+                asked = part.filter(pc.invert(of_bits))
+                for at in range(0, 0 if table is None else asked.num_rows, 1_000):
+                    some = asked.slice(at, 1_000)
+                    packed = some.column("grams").to_pylist()
+                    grams = np.frombuffer(b"".join(packed), dtype=np.uint64)
+                    level = Filter(table, bits, 1, top).level(grams).astype(np.uint8)
+                    cuts = np.cumsum([0, *(len(x) // 8 for x in packed)])
+                    own = [(grams[i:j][level[i:j] > 0].tobytes(), level[i:j][level[i:j] > 0].tobytes()) for i, j in zip(cuts, cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([some.column("piece"), *(pa.array(x, pa.binary()) for x in zip(*own))], ["piece", "grams", "levels"])
+
+    return run
+
+
 def expected(level: np.ndarray) -> np.ndarray:
     """Count in the middle of a level; 0 for level 0."""
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
@@ -182,19 +286,24 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     by_level = words.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum("n").alias("total"), F.count("*").alias("words")).collect()
     total, distinct = sum(r["total"] for r in by_level), sum(r["words"] for r in by_level)
 
-    bits = 1 << 12
-    while bits < (1 << 21) and bits * SEGMENTS < min(FILTER_BITS, 6 * total):
-        bits *= 2
+    # a pair sets no more levels than it has tokens
+    bits, segments = filter_size(total + sum(r["words"] * (r["level"] + 1) for r in by_level))
+    top = max((r["level"] + 1 for r in by_level), default=0)  # no pair is more frequent than its words
+    whole = bits * segments <= BROADCAST_BITS
+    segment = F.shiftrightunsigned("gram", 65 - segments.bit_length())
     keyed = words.mapInArrow(_keyed, "gram long, n long")
     pairs = learnt.mapInArrow(_counts(True), "gram long, n long")
-    grams = pairs.unionByName(keyed).withColumn("segment", F.shiftrightunsigned("gram", 56).cast("int"))
+    grams = pairs.unionByName(keyed).withColumn("segment", segment)
     summed = grams.repartition("segment").groupBy("segment", "gram").agg(F.sum("n").alias("n"))
-    made = summed.select("gram", "n").mapInArrow(_segments(bits), "segment long, bits binary")
-    table = np.zeros(SEGMENTS * bits // 8, dtype=np.uint8)
-    for batch in made.toArrow().to_batches():
-        for segment, packed in zip(batch.column("segment").to_pylist(), batch.column("bits")):
-            at = segment * (bits // 8)
-            table[at : at + bits // 8] = np.frombuffer(packed.as_buffer(), dtype=np.uint8)
+    summed = summed if whole else summed.sortWithinPartitions("segment")
+    made = summed.select("gram", "n").mapInArrow(_segments(bits, segments, not whole), "segment long, bits binary")
+    table = None
+    if whole:
+        table = np.zeros(segments * bits // 8, dtype=np.uint8)
+        for batch in made.toArrow().to_batches():
+            for number, packed in zip(batch.column("segment").to_pylist(), batch.column("bits")):
+                at = number * (bits // 8)
+                table[at : at + bits // 8] = np.frombuffer(packed.as_buffer(), dtype=np.uint8)
 
     least, room = 1 << 62, BROADCAST_WORDS
     for r in sorted(by_level, key=lambda r: -r["level"]):
@@ -206,13 +315,32 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     in_order = np.argsort(frequent.column("gram").to_numpy())
     exact = tuple(frequent.column(c).to_numpy()[in_order] for c in ("gram", "n"))
     all_exact = len(exact[0]) == distinct
-    model = spark.sparkContext.broadcast((table, bits, exact))
+    model = spark.sparkContext.broadcast((table, exact))
+
+    def with_models(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Filter | Found]]:
+        """Rows and what to probe for them: the filter, or the levels that come before the rows of a piece."""
+        if whole:
+            probe = Filter(model.value[0], bits, segments, top)
+            yield from ((batch, probe) for batch in batches)
+            return
+        now, held, probe = None, [], None
+        for batch in batches:
+            for piece, part in _by(batch, "piece"):
+                if piece != now:
+                    now, held, probe = piece, [], None
+                of_text = pc.is_null(part.column("grams"))
+                looked_up, texts = part.filter(pc.invert(of_text)), part.filter(of_text)
+                if looked_up.num_rows:
+                    held.append(tuple(np.frombuffer(b"".join(looked_up.column(c).to_pylist()), dtype=t) for c, t in (("grams", np.uint64), ("levels", np.uint8))))
+                if texts.num_rows:
+                    probe = probe or Found(*map(np.concatenate, zip(*held or [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))])))
+                    yield texts, probe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits, (grams, counts) = model.value
-        probe, hasher = Filter(table, bits), Hasher()
+        grams, counts = model.value[1]
+        hasher = Hasher()
         logs, unknown = np.log10(counts + 0.1), np.log10(0.1) if all_exact else 0.0
-        for batch in batches:
+        for batch, probe in with_models(batches):
             for first, w, starts in _sequences(batch, hasher):
                 ends = np.append(starts, len(w))
                 score = np.add.reduceat(score_tokens(probe, w, starts, total, distinct, weight), starts)
@@ -230,6 +358,12 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
                     ["doc_id", "trained", "n_tokens", "n_known", "part", "score", "rest"],
                 )
 
+    if not whole:
+        rows = materialize(rows.mapInArrow(_numbered, "doc_id long, trained boolean, text string, piece long"), "pieces")
+        asked = rows.mapInArrow(_asked(segments), "segment long, piece long, grams binary")
+        met = made.unionByName(asked, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", F.isnull("bits"))
+        found = met.mapInArrow(_probed(bits, segments, top), "piece long, grams binary, levels binary")
+        rows = rows.unionByName(found, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.isnull("grams"))
     scored = rows.mapInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, part double, score double, rest array<long>")
     if not all_exact:
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
