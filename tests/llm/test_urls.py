@@ -56,3 +56,11 @@ def test_plan_is_native(spark):
 def test_deep_paths_keep_their_tail(spark, depth):
     row = judged(spark, [(1, "http://a.net/a/b/c/d/e")], depth=depth).first()
     assert row.template == "/a/b/c/d/e"
+
+
+def test_segments_of_any_depth_become_wildcards(spark):
+    slugs = [a + b for a in "abcdef" for b in "ghijkl"]
+    rows = [(i, f"http://x.com/de/a/b/c/d/e/{s}") for i, s in enumerate(slugs)] + [(100 + i, f"http://y.net/de/a/b/c/d/e/{s}z") for i, s in enumerate(slugs)]
+    rows += [(200 + i, f"http://x.com/fr/{i}") for i in range(100)]
+    found = {r.page_id: r for r in judged(spark, rows).collect()}
+    assert {(found[100 + i].template, found[100 + i].verdict) for i in range(36)} == {("/de/a/b/c/d/e/*", "block")}

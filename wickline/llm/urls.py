@@ -18,7 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wickline.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Levels of the tree between two cuts of its lineage.
+LEVELS = 4
 PARTS = r"(?s)://([^/?#]*)([^?#]*)"
 
 
@@ -41,11 +45,13 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def template_tree(rows: DataFrame, depth: int, max_children: int, repeats: float) -> DataFrame:
+def template_tree(rows: DataFrame, depth: int | None, max_children: int, repeats: float) -> DataFrame:
     """(host, look, template, allowed, blocked) for each (host, look) of ``rows`` (host, look, label).
 
     ``look`` is the path with its runs of digits replaced; ``template`` has
-    wildcards too for the segments, down to ``depth``, that vary by count.
+    wildcards too for the segments, down to ``depth``, that vary by count;
+    without a ``depth`` the tree goes down as far as a segment can vary: to
+    where no more than ``max_children`` paths are left.
     """
     tree = rows.groupBy("host", "look").agg(
         F.count("*").alias("n"),
@@ -53,6 +59,10 @@ def template_tree(rows: DataFrame, depth: int, max_children: int, repeats: float
         F.count(F.when(F.col("label") == "block", 1)).alias("blocked"),
     )
     tree = tree.withColumn("segments", F.split("look", "/")).withColumn("template", F.element_at("segments", 1))
+    if depth is None:
+        tree = materialize(tree, "paths")
+        longest = tree.select(F.size("segments").alias("size")).orderBy(F.desc("size")).limit(max_children + 1).agg(F.min("size"), F.count("*")).first()
+        depth = longest[0] - 1 if longest[1] > max_children else 0
     for level in range(1, depth + 1):
         segment = F.get("segments", F.lit(level))
         nodes = tree.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.count_distinct(segment).alias("children"))
@@ -60,11 +70,13 @@ def template_tree(rows: DataFrame, depth: int, max_children: int, repeats: float
         tree = tree.join(varies, ["host", "template"], "left").withColumn(
             "template", F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("varies"), "*").otherwise(segment)))
         ).drop("varies")
+        if level % LEVELS == 0 and level < depth:
+            tree = materialize(tree, "levels")
     deeper = F.slice("segments", depth + 2, F.greatest(F.size("segments") - depth - 1, F.lit(0)))
     return tree.withColumn("template", F.concat("template", F.when(F.size("segments") > depth + 1, F.concat(F.lit("/"), F.array_join(deeper, "/"))).otherwise("")))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", depth: int = 3, max_children: int = 20, repeats: float = 2.0, z: float = 2.0, strength: float = 5.0, reject: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", depth: int | None = None, max_children: int = 20, repeats: float = 2.0, z: float = 2.0, strength: float = 5.0, reject: float = 0.5) -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) of every row.
 
     The urls that a rule decides are the labels.  purity is the smoothed share
