@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,21 +43,55 @@ def brute_kernel(a, b, p, decay):
     return total
 
 
-@pytest.mark.parametrize("a, b", [("abcab", "abc"), ("idiot", "id-iot"), ("aaaa", "aa"), ("xyz", "abc"), ("ab", "ab")])
-def test_kernel(a, b):
-    for p in (1, 2, 3):
-        raw = toxicity._raw_kernel(toxicity._codes([a])[0], toxicity._codes([b])[0], p, 0.7)[0, 0]
-        assert abs(raw - brute_kernel(a, b, p, 0.7)) < 1e-12
-        assert abs(toxicity._own(a, p, 0.7) - brute_kernel(a, a, p, 0.7)) < 1e-12
+def brute_normal(a, b):
+    """The kernel over its norms; gaps hold places but match nothing."""
+    def own(x, y):
+        return brute_kernel(x.replace("-", "\0"), y.replace("-", "\1"), toxicity.ORDER, toxicity.DECAY)
 
+    norm = own(a, a) * own(b, b)
+    return own(a, b) / norm**0.5 if norm else 0.0
 
-def test_kernel_matrix_pads_without_effect():
-    a, b = ["idiot", "id", "", "idiotic"], ["idiot", "tidy thing"]
-    got = toxicity.kernel(a, b)
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            norm = brute_kernel(x, x, 3, 0.7) * brute_kernel(y, y, 3, 0.7)
-            assert abs(got[i, j] - (brute_kernel(x, y, 3, 0.7) ** 2 / norm if norm else 0)) < 1e-9
+
+SPANS = ["idiot", "i-d-i-o-t", "idxiot", "aaaa", "aa", "abcabc", "xyz", "ab-c", "réeux", "worthless", "or-thes"]
+
+
+def test_kernel_against_all_subsequences():
+    got = toxicity.kernel(SPANS, SPANS[:9])
+    for i, x in enumerate(SPANS):
+        for j, y in enumerate(SPANS[:9]):
+            assert abs(got[i, j] - brute_normal(x, y)) < 1e-9, (x, y)
+
+
+def test_folded_weights_give_the_margins_of_the_landmarks():
+    clean = {s: 0.2 for s in ("oron", "lose", "thorn", "athe", "otherwise")}
+    landmarks = ["moron", "idiot", "oron", "lose"]
+    model = toxicity.train(Counter({"moron": 3, "idiot": 2}), clean, landmarks, 0.1)
+    gram = np.array([[brute_normal(a, b) for b in landmarks] for a in landmarks])
+    values, vectors = np.linalg.eigh(gram)
+    disguised = sorted({d for s in ("idiot", "moron") for d in toxicity.inserted(s)})
+    spans = ["idiot", "moron", *disguised, *sorted(clean)]
+    features = np.array([[brute_normal(s, b) for b in landmarks] for s in spans]) @ (vectors / np.sqrt(np.maximum(values, 1e-4)))
+    x = np.hstack([features, np.ones((len(spans), 1))])
+    y = np.repeat([1.0, -1.0], [2 + len(disguised), len(clean)])
+    weight = np.array([0.4, 0.6, *[2.0 / len(disguised)] * len(disguised), *[0.2] * len(clean)])
+
+    def loss(w):
+        return (w[:-1] ** 2).sum() / 2000 + (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+    w = np.zeros(x.shape[1])  # plain gradient steps, as brute force
+    step = 1 / (1e-3 + 2 * np.linalg.norm((x * weight[:, None]).T @ x, 2))
+    for _ in range(60_000):
+        w -= step * (np.append(w[:-1] / 1000, 0) - 2 * x.T @ (weight * y * np.maximum(0, 1 - y * (x @ w))))
+    assert loss(toxicity.machine(x, y, weight, 1000.0)) <= loss(w) + 1e-6
+    assert np.abs(model.margins(spans) - x @ w).max() < 0.05
+
+
+def test_spans():
+    assert {"idiot", "i-d-i-o-t", "id-iot"} <= toxicity.spans_of("An IDIOT, i. d. i. o. t or id iot!")
+    assert toxicity.normal("!!Id10t--") == "idiot" and toxicity.normal("a**b") == "a-b"
+    long = toxicity.stretches("x" * 7 + "abcdefghijklmno" + "y" * 200)
+    assert all(len(s) <= toxicity.LONGEST for s in long) and any("abcdefghijklmno" in s for s in long)
+    assert "".join(toxicity.stretches("z" * 203))[-3:] == "zzz" and sum(map(len, toxicity.stretches("z" * 203))) >= 203
 
 
 @pytest.fixture(scope="module")
@@ -67,8 +102,9 @@ def model(spark):
     return toxicity.fit(docs, labels, F.col("doc_id") % 3 != 1)
 
 
-def test_finds_the_insults(model):
-    assert sorted(model.fragments) == sorted(INSULTS)
+def test_landmarks_are_spans_of_labelled_sentences(model):
+    spans = set().union(*(toxicity.spans_of(t) for _, t, _ in corpus(900, 1)))
+    assert set(model.landmarks) <= spans and set(INSULTS) <= set(model.landmarks)
 
 
 @pytest.mark.parametrize("disguise", [False, True])
@@ -76,8 +112,8 @@ def test_held_out_accuracy(model, disguise):
     rows = corpus(600, 2, disguise)
     scores = model.scores([t for _, t, _ in rows])
     y = np.array([label for *_, label in rows])
-    assert ((scores >= 0.7) == y).mean() > 0.98
-    assert scores[y == 1].min() > scores[y == 0].mean()
+    assert ((scores >= 0.7) == y).mean() > (0.95 if disguise else 0.98)
+    assert (scores[y == 1][:, None] > scores[y == 0]).mean() > 0.99
 
 
 def test_scores_are_whole_and_defined(spark, documents, model):
@@ -86,7 +122,7 @@ def test_scores_are_whole_and_defined(spark, documents, model):
     got = df.select("doc_id", toxicity.score(model, F.col("text"), spark).alias("s")).collect()
     assert len(got) == len(rows) and all(r.s is not None and 0 <= r.s <= 1 for r in got)
     by_id = {r.doc_id: r.s for r in got}
-    assert min(by_id[60], by_id[61], by_id[62]) >= 0.7 and max(by_id[1], by_id[2], by_id[8]) < 0.1
+    assert min(by_id[60], by_id[61], by_id[62]) >= 0.7 and max(by_id[1], by_id[2], by_id[8]) < 0.3
     assert df.limit(0).select(toxicity.score(model, F.col("text"), spark).alias("s")).collect() == []
 
 

@@ -1,17 +1,25 @@
 """Toxicity by a subsequence string-kernel support vector machine.
 
-Insulting fragments are mined from labelled documents: starts of words whose
-documents are labelled toxic far beyond chance.  They and the clean windows
-that look most like them are the Nyström landmarks.  The instances are labelled sentences, each seen through its suspect
-windows: stretches that hold a fragment's letters in order, with inserted
-characters allowed between them.  A window's features are its gap-weighted
-subsequence kernels with all landmarks, whitened by the landmarks' own kernel
-matrix, and a linear support vector machine separates the windows of insults,
-also with inserted characters, from those that clean documents hold.  Outside
-the windows no landmark shares a subsequence closely enough to matter; a
-document's score comes from its worst window.
-
-Mining and fitting use a sample of labelled rows of at most ``toxic_rows`` and
+A text is seen through its spans: every word, every two neighbouring short
+pieces together, every run of single characters, and overlapping stretches of
+long words.  The kernel of two spans sums over the subsequences of ``ORDER``
+letters that both hold, each weighted down by the letters and gaps it spreads
+over, so that inserted characters cost little and a stretched insult still
+resembles itself.
+
+The machine is trained on labelled sentences.  A sentence of a clean document
+is a negative instance in each of its spans.  A sentence of a toxic document is
+a positive one in its witness, the span that tells most about the label, if any
+does; as it is not known which sentences are to blame, a document may get one
+more in later rounds, the span that the machine so far puts highest.  Spans of the labelled sentences are the Nystroem
+landmarks: those that tell most of toxic documents, frequent clean ones and the
+clean ones that come closest.  A linear machine separates the whitened kernels
+with the landmarks.  As it is linear in the kernel, its weights fold into one
+table over the subsequences of the landmarks, which gives the same margins at
+the cost of one look-up a subsequence.  A document's score comes from its worst
+span; no span is left out.
+
+Fitting uses a sample of labelled rows of at most ``toxic_rows`` and
 ``clean_rows`` rows; scoring reads all of every text.
 """
 
@@ -21,6 +29,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,277 +41,384 @@ from pyspark.sql import types as T
 from wickline.llm.common import materialize
 
 # Look-alikes that stand for letters.
-LOOKALIKES = str.maketrans("013457@$", "oieastas")
+LOOKALIKES = dict(zip("013457@$", "oieastas"))
+#: Letters of a subsequence, and the weight of each place it spreads over.
 ORDER, DECAY = 3, 0.7
-SHORTEST, LONGEST, MOST_FRAGMENTS, MOST_LANDMARKS = 3, 12, 64, 64
-GAP = r"(?:[^\w\s]{0,2}|\w|\s)"
-NO_WINDOW = -2.0
-_WORDS = re.compile(r"[^\W_]+")
+#: Longest span, and how far the stretches of longer words are apart; pieces that are joined in twos.
+LONGEST, STEP, SHORT = 20, 5, 4
+#: Letters fall into so many classes: a to z each their own, all others by code point.
+CLASSES = 64
+#: Words whose margins a worker remembers in each of two generations.
+REMEMBERED = 200_000
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 
 
-def normal(text: str) -> str:
-    return text.lower().translate(LOOKALIKES)
-
-
-def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    width = max(map(len, strings), default=0)
-    out = np.zeros((len(strings), width), dtype=np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
-    return out, np.array(list(map(len, strings)))
-
-
-def _raw_kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarray:
-    """Gap-weighted subsequence kernel of all pairs of two arrays of padded codes."""
-    n, m = len(a), len(b)
-    pair = [[(a[:, i, None] == b[None, :, j]) & (a[:, i, None] != 0) for j in range(b.shape[1])] for i in range(a.shape[1])]
-    # prefixes[i][j]: kernel of length-q subsequences that may end before i and j, weighted to there
-    ones = np.ones((n, m))
-    before = [[ones] * (b.shape[1] + 1) for _ in range(a.shape[1] + 1)]
-    total = np.zeros((n, m))
-    for q in range(1, order + 1):
-        zero = np.zeros((n, m))
-        after = [[zero] * (b.shape[1] + 1) for _ in range(a.shape[1] + 1)]
-        total = np.zeros((n, m))
-        for i in range(1, a.shape[1] + 1):
-            row = zero
-            for j in range(1, b.shape[1] + 1):
-                met = pair[i - 1][j - 1] * (decay * decay) * before[i - 1][j - 1]
-                total = total + met
-                row = decay * row + met
-                after[i][j] = decay * after[i - 1][j] + row
-        before = after
-    return total
-
-
-def kernel(a: list[str], b: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Squared normalised subsequence kernel: 1 for equal strings of ``order`` letters and more."""
-    if not a or not b:
-        return np.zeros((len(a), len(b)))
-    codes_b, _ = _codes(b)
-    own_b = np.array([_raw_kernel(codes_b[i : i + 1, : len(s)], codes_b[i : i + 1, : len(s)], order, decay)[0, 0] for i, s in enumerate(b)])
-    out = np.zeros((len(a), len(b)))
-    by_length = defaultdict(list)
-    for i, s in enumerate(a):
-        by_length[len(s)].append(i)
-    for length, where in by_length.items():  # equal lengths, so that padding costs nothing
-        for at in range(0, len(where), 512):
-            some = where[at : at + 512]
-            codes, _ = _codes([a[i] for i in some])
-            own = np.zeros(len(some))
-            for k, i in enumerate(some):
-                own[k] = _own(a[i], order, decay)
-            cross = _raw_kernel(codes, codes_b, order, decay) if length else np.zeros((len(some), len(b)))
-            out[some] = cross**2 / np.maximum(own[:, None] * own_b[None, :], 1e-300)
-    return out
-
-
-def _own(s: str, order: int, decay: float) -> float:
-    """Kernel of a string with itself."""
-    n = len(s)
-    same = np.array([[x == y for y in s] for x in s], dtype=float).reshape(n, n)
-    before, total = np.ones((n + 1, n + 1)), 0.0
-    for _ in range(order):
-        met = same * decay * decay * before[:-1, :-1]
-        total = met.sum()
-        after = np.zeros((n + 1, n + 1))
-        for i in range(n):
-            row = 0.0
-            for j in range(n):
-                row = decay * row + met[i, j]
-                after[i + 1, j + 1] = decay * after[i, j + 1] + row
-        before = after
-    return float(total)
+class _Normal(dict):
+    """Characters to lower-case letters, all that are none to a gap."""
+
+    def __missing__(self, point: int) -> str:
+        c = LOOKALIKES.get(chr(point), chr(point))
+        self[point] = found = c if c.isalpha() else "-"
+        return found
+
+
+class _Classes(dict):
+    """Characters of normal spans to classes, gaps to 0."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = found = chr(0 if c == "-" else point - 96 if "a" <= c <= "z" else 27 + point % (CLASSES - 27))
+        return found
+
+
+_NORMAL, _CLASSES = _Normal(), _Classes()
+
+
+def normal(piece: str) -> str:
+    """Lower-case letters of a piece; what stands between them is one gap, outer gaps are dropped."""
+    found = piece.lower().translate(_NORMAL)
+    return found if "-" not in found else re.sub("-+", "-", found).strip("-")
+
+
+def stretches(span: str) -> list[str]:
+    """The span itself, or overlapping stretches of a long one."""
+    if len(span) <= LONGEST:
+        return [span] if len(span) >= ORDER else []
+    return [span[i : i + LONGEST] for i in range(0, len(span) - LONGEST + STEP, STEP)]
+
+
+def pieces_of(text: str) -> set[str]:
+    """Words, short neighbours and spelled-out runs of a text, as they stand."""
+    words = text.lower().split()
+    found = set(words)
+    found.update([f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) <= SHORT and len(b) <= SHORT])
+    found.update([m[0] for m in _SPELLED.finditer(text)])
+    return found
+
+
+def spans_of(text: str) -> set[str]:
+    """All normal spans of a text."""
+    return {s for p in pieces_of(text) for s in stretches(normal(p))}
+
+
+@lru_cache(maxsize=LONGEST + 1)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ordered places of ``ORDER`` letters among n, and their weights."""
+    at = np.indices((n,) * ORDER, dtype=np.int32).reshape(ORDER, -1)
+    at = at[:, (np.diff(at, axis=0) > 0).all(axis=0)]
+    return at, DECAY ** (at[-1] - at[0] + 1.0)
+
+
+@lru_cache(maxsize=LONGEST + 1)
+def _reach(n: int) -> np.ndarray:
+    """Weight of the gap from an earlier place (column) to a later one (row)."""
+    apart = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(apart > 0, DECAY ** (apart - 1.0), 0.0)
+
+
+def _codes(spans: list[str]) -> np.ndarray:
+    """Classes of spans of one length."""
+    joined = "".join(spans).translate(_CLASSES).encode("latin-1")
+    return np.frombuffer(joined, dtype=np.uint8).reshape(len(spans), -1).astype(np.int32)
+
+
+def _norms(codes: np.ndarray) -> np.ndarray:
+    """Square root of each span's kernel with itself."""
+    same = (codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)
+    step, reach = same * DECAY**2, _reach(codes.shape[1])
+    held = step
+    for _ in range(ORDER - 1):
+        held = step * (reach @ held @ reach.T)
+    return np.sqrt(held.sum(axis=(1, 2)))
+
+
+def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the subsequence at each of a span's places (0 where it meets a gap), and the places' weights."""
+    at, weight = _places(codes.shape[1])
+    number = np.zeros((len(codes), at.shape[1]), dtype=np.int32)
+    for place in at:
+        number = number * CLASSES + codes[:, place]
+    if not codes.all():
+        number[np.logical_or.reduce([codes[:, place] == 0 for place in at])] = 0
+    return number, weight
+
+
+class Table:
+    """Values (a number, or a row of numbers) of subsequences; all others have 0."""
+
+    def __init__(self, numbers: np.ndarray, values: np.ndarray) -> None:
+        self.row = np.zeros(CLASSES**ORDER, dtype=np.int32)
+        self.row[numbers] = np.arange(1, len(numbers) + 1)
+        self.row[0] = 0
+        self.values = np.concatenate([np.zeros_like(values[:1]) if len(values) else np.zeros((1, *values.shape[1:])), values])
+
+    def sums(self, spans: list[str]) -> np.ndarray:
+        """Weighted sum of the values of each span's subsequences, over the span's norm."""
+        out = np.zeros((len(spans), *self.values.shape[1:]))
+        by_length = defaultdict(list)
+        for i, s in enumerate(spans):
+            by_length[len(s)].append(i)
+        for length, where in by_length.items():
+            if length < ORDER:
+                continue
+            at_once = max(1, 1_000_000 // (_places(length)[0].shape[1] * max(1, out[0].size)))
+            for i in range(0, len(where), at_once):
+                some = where[i : i + at_once]
+                codes = _codes([spans[j] for j in some])
+                number, weight = _subsequences(codes)
+                value = self.values[self.row[number]]
+                found = value @ weight if value.ndim == 2 else np.einsum("bts,t->bs", value, weight)
+                out[some] = (found.T / np.maximum(_norms(codes), 1e-300)).T
+        return out
+
+
+def table_of(landmarks: list[str]) -> Table:
+    """The landmarks' subsequences with their normalised weights, a column a landmark."""
+    held: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for column, span in enumerate(landmarks):
+        codes = _codes([span])
+        number, weight = _subsequences(codes)
+        norm = float(_norms(codes)[0])
+        if norm > 0:
+            held.append((number[0], weight / norm, column))
+    numbers = np.unique(np.concatenate([n for n, _, _ in held] or [np.zeros(0, np.int32)]))
+    numbers = numbers[numbers > 0]
+    values = np.zeros((len(numbers) + 1, len(landmarks)))
+    for number, weight, column in held:
+        np.add.at(values[:, column], np.where(number > 0, np.searchsorted(numbers, number), len(numbers)), weight)
+    return Table(numbers, values[:-1])
+
+
+def kernel(a: list[str], b: list[str]) -> np.ndarray:
+    """Normalised subsequence kernel: 1 for equal spans of ``ORDER`` letters and more."""
+    return table_of(b).sums(a) if a and b else np.zeros((len(a), len(b)))
 
 
 @dataclass
 class Model:
-    """A fitted classifier; without fragments every text has the score ``base``."""
+    """A fitted classifier; without a table every text has the score ``base``."""
 
-    fragments: list[str]
     base: float = 0.0
-    landmarks: list[str] = field(default_factory=list)
-    whiten: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    table: Table | None = None
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    _pattern: re.Pattern | None = field(default=None, repr=False)
+    landmarks: list[str] = field(default_factory=list)
     _known: dict[str, float] = field(default_factory=dict, repr=False)
+    _older: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_pattern": None, "_known": {}}
-
-    def windows(self, sentence: str) -> list[str]:
-        """The suspect windows of a normalised sentence."""
-        if self._pattern is None:
-            self._pattern = suspects(self.fragments)
-        return [m[1] for m in self._pattern.finditer(sentence)]
-
-    def margins(self, windows: list[str]) -> np.ndarray:
-        return kernel(windows, self.landmarks) @ self.whiten @ self.weights + self.bias
+        return self.__dict__ | {"_known": {}, "_older": {}}
+
+    def margins(self, spans: list[str]) -> np.ndarray:
+        return self.table.sums(spans) + self.bias
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """Margin of the worst span of each text; that of no letters at all for a text without spans."""
+        pieces = [pieces_of(t) for t in texts]
+        if len(self._known) > REMEMBERED:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        new = []
+        for p in set().union(*pieces).difference(known):
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
+        spans = [stretches(normal(p)) for p in new]
+        flat = list({s for some in spans for s in some})
+        margin = dict(zip(flat, self.margins(flat).tolist()))
+        known.update((p, max([margin[s] for s in some], default=self.bias)) for p, some in zip(new, spans))
+        return np.array([max([known[p] for p in some], default=self.bias) for some in pieces], dtype=float)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Score of each text, 0 to 1."""
-        if not self.fragments:
+        if self.table is None:
             return np.full(len(texts), self.base)
-        found = [set(self.windows(normal(t))) for t in texts]
-        if len(self._known) > 200_000:
-            self._known.clear()
-        new = sorted(set().union(*found).difference(self._known)) if found else []
-        self._known.update(zip(new, self.margins(new)))
-        known = self._known
-        return self.probability(np.array([max((known[w] for w in f), default=NO_WINDOW) for f in found], dtype=float))
+        return self.probability(self.worst(texts))
 
 
-def suspects(fragments: list[str]) -> re.Pattern:
-    """Windows at word starts that hold a fragment's letters in order within one line, with gaps."""
-    gap = GAP.replace(r"|\s", "|[^\\S\n]")
-    forms = sorted(fragments, key=lambda s: (-len(s), s))
-    # looking ahead, so that windows may overlap
-    return re.compile(r"(?<![^\W_])(?=(" + "|".join(gap.join(map(re.escape, s)) for s in forms) + "))")
+def inserted(span: str) -> list[str]:
+    """The span with a character between all of its letters, and with one at each place."""
+    return ["-".join(span)] + [span[:i] + c + span[i:] for i in range(1, len(span)) for c in "-x"]
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of the documents, and of the toxic ones, hold each start of a word."""
-    seen, toxic = Counter(), Counter()
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            held = {w[:k] for w in set(_WORDS.findall(normal(text))) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
-            seen.update(held)
-            if label:
-                toxic.update(held)
-    names = list(toxic)  # those in no toxic document are not asked for
-    for i in range(0, len(names), 50_000):
-        some = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([seen[x] for x in some], pa.int64()), pa.array([toxic[x] for x in some], pa.int64())], ["fragment", "n", "p"])
-
-
-def choose_fragments(found: dict[str, tuple[int, int]], positives: int, base: float) -> list[str]:
-    """Fragments to use, from their (documents, toxic documents).
-
-    A fragment counts if at least nine tenths of its documents are toxic, if
-    they are one and a half per cent of the toxic ones, and if that is no chance
-    (10^-5).  Of the starts of one word the longest is kept that loses few documents.
-    """
-    fine = {f for f, (n, p) in found.items() if p >= 0.9 * n and p >= 0.015 * positives and p * np.log10(1 / max(base, 1e-9)) >= 5}
-    chosen = {}
-    for f in sorted(fine, key=len):
-        if any(f[:k] in fine for k in range(SHORTEST, len(f))):
-            continue
-        longest = max((g for g in fine if g.startswith(f) and found[g][1] >= 0.9 * found[f][1]), key=lambda g: (len(g), g))
-        chosen[longest] = found[longest][1]
-    return sorted(sorted(chosen), key=lambda g: -chosen[g])[:MOST_FRAGMENTS]
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
+    """Weights of the squared-hinge machine by Newton steps; the last column of ``x`` is the bias, which is not shrunk."""
+    shrink = np.append(np.full(x.shape[1] - 1, 1 / cost), 1e-9)
 
+    def loss(w):
+        return 0.5 * (shrink * w * w).sum() + (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
 
-def disguises(landmark: str) -> list[str]:
-    """The landmark, with one inserted character at each place, and with one at all."""
-    out = [landmark] + [mark.join(landmark) for mark in ".-*"]
-    for i in range(1, len(landmark)):
-        out += [landmark[:i] + mark + landmark[i:] for mark in ".-*x"]
-    return out
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        active = y * (x @ w) < 1
+        xa, wa = x[active], weight[active]
+        grad = shrink * w - 2 * xa.T @ (wa * (y[active] - xa @ w))
+        step = np.linalg.solve(np.diag(shrink + 1e-12) + 2 * (xa * wa[:, None]).T @ xa, grad)
+        rate, before = 1.0, loss(w)
+        while rate > 1e-6 and loss(w - rate * step) > before - 1e-4 * rate * float(grad @ step):
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-9:
+            break
+    return w
 
 
-def train(fragments: list[str], clean: Counter, base: float, cost: float = 1_000.0, rounds: int = 3_000) -> Model:
-    """Fit the machine on the fragments with their disguises against the windows of clean sentences.
+def train(witnesses: Counter, clean: dict[str, float], landmarks: list[str], base: float, cost: float = 1_000.0) -> Model:
+    """Fit the machine on witness spans (with their counts) against clean spans (with their shares of clean documents).
 
-    The landmarks are the fragments and the most frequent clean windows.  The
-    fragments themselves weigh as much as all their disguises.
+    A span weighs as much as the share of documents that it would have judged wrongly.
+    Witnesses with inserted characters stand beside the plain ones and weigh twice as much in all.
     """
-    landmarks = fragments + [w for w, _ in clean.most_common() if w not in fragments][: MOST_LANDMARKS - len(fragments) // 2]
-    gram = kernel(landmarks, landmarks)
-    values, vectors = np.linalg.eigh(gram)
-    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6)))
-    good = {d for s in fragments for d in disguises(s)}
-    plain = set(fragments)
-    bad = [w for w in clean if w not in plain]
-    texts = sorted(good - set(bad)) + bad
-    y = np.array([1.0] * (len(texts) - len(bad)) + [-1.0] * len(bad))
-    heavy = max(1.0, (len(texts) - len(bad)) / len(plain))
-    weight = np.array([heavy if t in plain else 1.0 for t in texts[: len(texts) - len(bad)]] + [1.0 + np.log2(clean[t]) for t in bad])
-    for side in (1, -1):
-        weight[y == side] /= max(weight[y == side].sum(), 1e-9)
-    x = np.hstack([kernel(texts, landmarks) @ whiten, np.ones((len(texts), 1))])
-    w = np.zeros(x.shape[1])
-    # squared hinge by accelerated gradient steps
-    step = 1 / (1 / cost + 2 * np.linalg.norm((x * weight[:, None]).T @ x, 2))
-    ahead, momentum = w.copy(), 1.0
-    for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        grad = np.append(ahead[:-1], 0) / cost - 2 * x.T @ (weight * y * slack)
-        new = ahead - step * grad
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
-    model = Model(fragments, base, landmarks, whiten, w[:-1], float(w[-1]))
-    # logistic calibration of the margin
-    margin, t = x @ w, (y + 1) / 2
+    columns = table_of(landmarks)
+    gram = columns.sums(landmarks)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
+    plain = sorted(witnesses)
+    disguised = sorted({d for s in plain for d in inserted(s)} - set(plain) - set(clean))
+    spans = plain + disguised + sorted(clean)
+    y = np.repeat([1.0, 1.0, -1.0], [len(plain), len(disguised), len(clean)])
+    total = sum(witnesses.values())
+    weight = np.concatenate([[witnesses[s] / total for s in plain], np.full(len(disguised), 2.0 / max(1, len(disguised))), [clean[s] for s in sorted(clean)]])
+    x = np.hstack([columns.sums(spans) @ whiten, np.ones((len(spans), 1))])
+    w = machine(x, y, weight, cost)
+    folded = columns.values[1:] @ (whiten @ w[:-1])
+    numbers = np.flatnonzero(columns.row)
+    return Model(base, Table(numbers, folded[columns.row[numbers] - 1]), float(w[-1]), landmarks=landmarks)
+
+
+def calibrated(model: Model, margin: np.ndarray, toxic: np.ndarray) -> Model:
+    """Set the logistic curve from margins to scores by labelled documents, both labels weighing the same."""
+    target = np.where(toxic > 0, 0.99, 0.01)
+    weight = np.where(toxic > 0, 1 / max(1, (toxic > 0).sum()), 1 / max(1, (toxic <= 0).sum()))
     a, b = 2.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        target = np.where(t > 0, 0.98, 0.02)
         d, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-6)
-        grad = np.array([(d * margin).sum(), d.sum()])
-        hess = np.array([[(h * margin**2).sum(), (h * margin).sum()], [(h * margin).sum(), h.sum()]]) + 1e-6 * np.eye(2)
-        change = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(change[0], -1, 1), b - np.clip(change[1], -1, 1)
+        grad = np.array([(d * margin).sum() + 1e-3 * (a - 2), d.sum()])
+        hess = np.array([[(h * margin**2).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-9]])
+        change = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        a, b = a - change[0], b - change[1]
         if np.abs(change).max() < 1e-8:
             break
     model.slope, model.shift = float(max(a, 0.1)), float(b)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_000, clean_rows: int = 4_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the documents, and of the toxic ones, hold each span in a sentence."""
+    seen, toxic = Counter(), Counter()
+
+    def out():
+        names = list(seen)
+        for i in range(0, len(names), 50_000):
+            some = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([seen[x] for x in some], pa.int64()), pa.array([toxic[x] for x in some], pa.int64())], ["span", "n", "p"])
+
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            held = set().union(*map(spans_of, _SENTENCE.findall(text)))
+            seen.update(held)
+            if label:
+                toxic.update(held)
+            if len(seen) > 500_000:
+                yield from out()
+                seen.clear(), toxic.clear()
+    yield from out()
+
+
+def _witnesses(model):
+    """The worst span of each text, its margin and the text's label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                spans = sorted(set().union(*map(spans_of, _SENTENCE.findall(text))))
+                margin = model.value.margins(spans) if spans else np.zeros(0)
+                at = int(margin.argmax()) if spans else -1
+                out.append((spans[at] if spans else None, float(margin[at]) if spans else model.value.bias, label))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.float64(), pa.int32()))], ["span", "margin", "toxic"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_000, clean_rows: int = 4_000, landmarks: int = 256, negatives: int = 20_000, rounds: int = 2, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the labelled rows for which ``trains`` (over the id) holds.
 
     Of each label the rows with the lowest hashes of their id are taken, at most
-    ``toxic_rows`` and ``clean_rows``.  A document that is labelled more than once is
-    toxic if any label says so; null labels are none.  Without toxic rows, or
-    without fragments that tell, every text has the share of toxic rows as score.
+    ``toxic_rows`` and ``clean_rows``; of their clean spans ``negatives`` by
+    hash and a quarter as many that come closest.  A document that is labelled more
+    than once is toxic if any label says so; null labels are none.  Without toxic
+    rows, or where no span tells anything of the label, every text has the share of
+    toxic rows as score.  Other columns are ignored.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & trains).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     base = share.get(1, 0) / max(1, sum(share.values()))
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(rows) for v, rows in ((1, toxic_rows), (0, clean_rows))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most toxic_rows + clean_rows rows
     sample = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    sample = materialize(sample, "labelled")
+    sample = materialize(sample.repartition(max(1, spark.sparkContext.defaultParallelism), "text"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    positives = sizes.get(1, 0)
-    sampled_base = positives / max(1, sum(sizes.values()))
-    found = sample.mapInArrow(_fragments, "fragment string, n long, p long").groupBy("fragment").agg(F.sum("p").alias("p"))
-    found = found.where(F.col("p") >= max(3.0, 0.015 * positives)).orderBy(F.desc("p"), "fragment").limit(20_000)
-    names = {r["fragment"]: r["p"] for r in found.collect()}
-    # a partition without a toxic document keeps silent, so the documents of the fragments left are counted anew
-    spark = docs.sparkSession
-    asked = spark.sparkContext.broadcast(frozenset(names))
-    seen = {r["fragment"]: r["n"] for r in sample.mapInArrow(_documents_with(asked), "fragment string, n long").groupBy("fragment").agg(F.sum("n").alias("n")).collect()}
-    fragments = choose_fragments({f: (seen.get(f, p), p) for f, p in names.items()}, positives, sampled_base)
-    if not fragments:
-        return Model([], base)
-    trial = spark.sparkContext.broadcast(Model(fragments, base))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [w for t in batch.column("text").to_pylist() for s in _SENTENCE.findall(normal(t)) for w in set(trial.value.windows(s))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["window"])
-
-    clean = sample.where("toxic = 0").select("text").mapInArrow(windows, "window string").groupBy("window").count().orderBy(F.desc("count"), "window").limit(20_000)
-    return train(fragments, Counter({r["window"]: r["count"] for r in clean.collect()}), base)
-
-
-def _documents_with(asked):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = Counter(), asked.value
+    rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    if not 0 < rate < 1:
+        return Model(base)
+    spans = materialize(sample.mapInArrow(_told, "span string, n long, p long").groupBy("span").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), "spans")
+
+    # log-likelihood gained by knowing the span, where it speaks for the label
+    n, p = F.col("n"), F.col("p")
+    tells = p * F.log(p / n / rate) + F.when(n > p, (n - p) * F.log((n - p) / n / (1 - rate))).otherwise(0)
+    evidence = F.when(p > n * rate, tells).otherwise(0.0)
+    half = landmarks // 2
+    telling = {r["span"]: r["evidence"] for r in spans.select("span", evidence.alias("evidence")).orderBy(F.desc("evidence"), "span").limit(10 * half).collect()}
+    enough = np.log(max(2, spans.count())) + 2  # what no span of this many would gain by chance
+    sure = {s: e for s, e in telling.items() if e >= enough}
+    if not sure:
+        return Model(base)
+    clean = spans.where("n > p").select("span", ((n - p) / float(max(1, sizes.get(0, 0)))).alias("weight"))
+    against = {r["span"]: r["weight"] for r in clean.orderBy(F.xxhash64("span"), "span").limit(negatives).collect()}
+    frequent = {r["span"]: r["weight"] for r in clean.orderBy(F.desc("weight"), "span").limit(landmarks).collect()}
+    against |= frequent
+
+    told = spark.sparkContext.broadcast(sure)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            best = []
             for text in batch.column("text").to_pylist():
-                seen.update({w[:k] for w in set(_WORDS.findall(normal(text))) for k in range(SHORTEST, min(len(w), LONGEST) + 1)} & names)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["fragment", "n"])
-
-    return run
+                held = [[s for s in spans_of(sentence) if s in told.value] for sentence in _SENTENCE.findall(text)]
+                best.extend({max(some, key=lambda s: (told.value[s], s)) for some in held if some})
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string())], ["span"])
+
+    toxic = sample.where("toxic = 1")
+    told_by = Counter({r["span"]: r["count"] for r in toxic.select("text").mapInArrow(first, "span string").groupBy("span").count().collect()})  # of at most 10 * half spans
+    witnesses = told_by
+    near: list[str] = []
+    for step in range(rounds + 1):
+        chosen = list(telling)[:half] + [s for s in dict.fromkeys([*near[: half // 2], *frequent]) if s not in telling][: landmarks - half]
+        model = train(witnesses, {s: w for s, w in against.items() if s not in sure}, chosen, base)
+        held = spark.sparkContext.broadcast(model)
+        seen = sample.select("text", "toxic").mapInArrow(_witnesses(held), "span string, margin double, toxic int").toPandas()  # at most toxic_rows + clean_rows rows
+        if step == rounds:
+            return calibrated(model, seen["margin"].to_numpy(), seen["toxic"].to_numpy())
+        found = seen[(seen["toxic"] == 1) & (seen["margin"] > 0)]["span"]
+        witnesses = told_by + Counter(s for s in found if s not in told_by)
+
+        @F.pandas_udf(T.DoubleType())
+        def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series(held.value.margins(batch.tolist()), dtype=float)
+
+        closest = clean.withColumn("margin", margins("span")).orderBy(F.desc("margin"), "span").limit(negatives // 4).collect()
+        near = [r["span"] for r in closest if r["span"] not in sure]
+        against |= {r["span"]: r["weight"] for r in closest}
 
 
 def score(model: Model, text: Column, spark) -> Column:
@@ -312,6 +428,8 @@ def score(model: Model, text: Column, spark) -> Column:
     @F.pandas_udf(T.DoubleType())
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(held.value.scores(batch.tolist()), dtype=float)
+            texts = batch.tolist()
+            found = [held.value.scores(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+            yield pd.Series(np.concatenate(found) if found else [], dtype=float)
 
     return scores(F.coalesce(text, F.lit("")))
