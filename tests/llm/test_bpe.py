@@ -66,3 +66,54 @@ def test_long_runs_without_tokens_keep_their_rows(spark, documents):
     assert len(got) == len(rows)
     assert sorted(str(r.doc_id) for r in got if tuple(r[1:]) == (0, empty, empty, [])) == ["1", "1", "2", "None"]
     assert [(r.n_tokens, r.ids) for r in got if r.doc_id == 3] == [(1, expected("a")[0])]
+
+
+def test_long_texts_go_through_the_tree():
+    random.seed(4)
+    code = bpe.Coder(open(PATH, encoding="utf-8").read())
+    words = ["the", "don't", "naïve", "日本語", "x" * 60, "<|endoftext|>", "12ab", "ÉCOLE", "a-b"]
+    for leaf in (3, 7, 50, 300):
+        text = "".join(random.choice(words) + random.choice([" ", "  ", "\n", "\u00a0", ". "]) for _ in range(500))
+        ids, decoded = expected(text)
+        assert code.text(text.encode(), leaf) == (" ".join(map(str, ids)), len(ids), decoded)
+    assert code.seams > 1_000
+
+
+def test_the_tree_is_the_path_of_long_documents(spark):
+    code, seen = bpe.Coder(open(PATH, encoding="utf-8").read()), 0
+    for (text,) in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("octet_length(text) > 4096").collect():
+        before = code.seams
+        ids, decoded = expected(text)
+        assert code.text(text.encode()) == (" ".join(map(str, ids)), len(ids), decoded)
+        seen += code.seams > before
+    assert seen > 5
+
+
+def test_a_file_that_keeps_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, library = bpe.Coder(open(path, encoding="utf-8").read()), tokenizers.Tokenizer.from_file(path)
+    assert not code.by_word and CODE.by_word
+    random.seed(5)
+    for leaf in (5, 40, 4096):
+        for text in ["Hello World and more", "", "  a  b\n\n c ", "<|endoftext|>x" * 9, "z" * 500 + " Ünïcode's  " + "ab" * 300, *("".join(random.choices("aB é\n'1中<|", k=200)) for _ in range(40))]:
+            ids = library.encode(text, add_special_tokens=False).ids
+            decoded = library.decode(ids, skip_special_tokens=False) if ids else ""
+            assert code.text(text.encode(), leaf) == (" ".join(map(str, ids)), len(ids), decoded)
+
+
+def test_spread_texts_of_either_kind_of_file(spark, documents):
+    random.seed(6)
+    rows = [(1, " ".join("".join(random.choices("abcde", k=7)) for _ in range(900))), (2, "Short one"), (3, "Some " + "y" * 3_000 + " End")]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+        got = {r.doc_id: r.ids for r in bpe.encode_documents(documents(rows), public_tokenizers.path(name), leaf=100, spread=2_000, with_ids=True).collect()}
+        assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+
+
+def test_files_of_other_kinds_are_refused():
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for change in ({"type": "WordPiece"}, {"dropout": 0.1}, {"continuing_subword_prefix": "##"}):
+        with pytest.raises(ValueError):
+            bpe.Coder(json.dumps(spec | {"model": spec["model"] | change}))
