@@ -64,3 +64,30 @@ def test_segments_of_any_depth_become_wildcards(spark):
     rows += [(200 + i, f"http://x.com/fr/{i}") for i in range(100)]
     found = {r.page_id: r for r in judged(spark, rows).collect()}
     assert {(found[100 + i].template, found[100 + i].verdict) for i in range(36)} == {("/de/a/b/c/d/e/*", "block")}
+
+
+def test_siblings_that_are_alike_are_merged(spark):
+    """Sections of a host with like shares of blocked urls are one branch; the odd one stays alone."""
+    rows = []
+    for section, blocked in (("a", 8), ("b", 7), ("c", 9), ("odd", 40), ("none", 0)):
+        for i in range(40 if section != "none" else 3):
+            word = "de" if i < blocked and section != "none" else "fr"
+            rows.append((len(rows), f"http://h.net/{section}/{'x' if word == 'de' else 'y'}"))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [("block", f"h.net/{s}/x") for s in ("a", "b", "c", "odd")] + [("allow", f"h.net/{s}/y") for s in ("a", "b", "c")]
+    found = {r.page_id: r for r in urls.judge_urls(df, rules, depth=1).collect()}
+    assert len(found) == len(rows)
+    # leaves below one section: /a/x is all blocked, /a/y all allowed, so neither is like their parent
+    assert {r.branch for r in found.values() if r.path in ("/a/x", "/a/y")} == {"/a/x", "/a/y"}
+    # /none/x and /none/y have no labels and are merged
+    assert {r.branch for r in found.values() if r.path.startswith("/none/")} == {"/none/~"}
+
+
+def test_merged_branches_share_their_counts(spark):
+    """Slugs below one section, each with few labels of which some are blocked, are judged together."""
+    rules = [("block", f"h.net/s/{c}/1") for c in "abcdefgh"] + [("allow", f"h.net/s/{c}/2") for c in "abcdefgh"]
+    rows = [(len(rules) * 100 + 10 * i + j, f"http://h.net/s/{c}/{j}") for i, c in enumerate("abcdefgh") for j in (1, 1, 1, 2, 3)]
+    found = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, depth=2, max_children=100).collect()
+    assert {r.branch for r in found} == {f"/s/{c}/~" for c in "abcdefgh"}  # one wildcard each, alike to its parent
+    assert len({round(r.purity, 9) for r in found}) == 1 and 0.6 < found[0].purity < 0.8
+    assert {r.verdict for r in found if r.rule is None} == {"block"}

@@ -106,7 +106,12 @@ ORACLE_SQL = {
         g AS (SELECT coalesce(sum(b) / nullif(sum(a) + sum(b), 0), 0.5) AS base FROM t3),
         p AS (SELECT t, (sum(b) + 5.0 * (SELECT base FROM g)) / (sum(b) + sum(a) + 5.0) AS p FROM t3 GROUP BY t),
         c AS (SELECT host, t, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(a) + sum(b) AS DOUBLE) AS m FROM t3 GROUP BY host, t),
-        j AS (SELECT host, t, CASE WHEN m = 0 OR abs(b / nullif(m, 0) - p) <= 2.0 * sqrt(p * (1 - p) / m) THEN p ELSE (b + 5.0 * p) / (m + 5.0) END AS purity FROM c JOIN p USING (t))
+        e AS (SELECT *, regexp_replace(t, '/[^/]*$', '') AS parent FROM c),
+        f AS (SELECT host, parent, sum(b) / nullif(sum(m), 0) AS share FROM e GROUP BY host, parent),
+        k AS (SELECT e.*, m = 0 OR abs(b / nullif(m, 0) - share) <= 2.0 * sqrt(share * (1 - share) / m) AS alike FROM e JOIN f USING (host, parent)),
+        q AS (SELECT host, parent, sum(b) AS all_b, sum(m) AS all_m FROM k WHERE alike GROUP BY host, parent),
+        j AS (SELECT host, t, CASE WHEN alike THEN (all_b + 5.0 * p) / (all_m + 5.0) ELSE (b + 5.0 * p) / (m + 5.0) END AS purity
+              FROM k LEFT JOIN q USING (host, parent) JOIN p USING (t))
         SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
         FROM l JOIN t3 USING (host, look) JOIN j USING (host, t)
     """,

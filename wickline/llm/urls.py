@@ -2,15 +2,18 @@
 
 A tree is grown per host over path segments.  Runs of digits are variable by
 their look; a node whose children are many and seldom repeat is variable by
-count, and its children become one wildcard.  Branches are then merged where
-their labels are statistically alike: a host's branch that does not differ
-from the same template over all hosts takes the pooled counts.  A template is
-rejected by its labelled share of blocked urls, smoothed towards the pooled
-template and that towards the whole table.
-
-Only DataFrame functions are used.  Rows are aggregated to (host, template)
-before any join, so a host with a third of all urls meets the joins as one row
-for each of its templates; nothing is collected but two totals.
+count, and its children become one wildcard.  Sibling branches are then merged
+where their labels are statistically alike: those of one parent whose share of
+blocked urls does not differ from the parent's become one branch with their
+counts together, as do those without labels.  A branch is rejected by its
+labelled share of blocked urls, smoothed towards that of the equally spelled
+template over all hosts, and that towards the whole table.
+
+Only DataFrame functions are used.  Urls are aggregated to one row a (host,
+path with its digits replaced) before the tree is grown, and the tree is written
+once; a host whose paths are all different keeps as many rows as it has urls.
+Joins are on (host, template) or (host, path), aggregates combine before they
+shuffle, and nothing is collected but two totals and the tree's depth.
 """
 
 from __future__ import annotations
@@ -77,19 +80,20 @@ def template_tree(rows: DataFrame, depth: int | None, max_children: int, repeats
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", depth: int | None = None, max_children: int = 20, repeats: float = 2.0, z: float = 2.0, strength: float = 5.0, reject: float = 0.5) -> DataFrame:
-    """(key, host, path, rule, verdict, template, purity) of every row.
+    """(key, host, path, rule, verdict, template, branch, purity) of every row.
 
     The urls that a rule decides are the labels.  purity is the smoothed share
-    of blocked urls of the row's template; where no rule fits, ``reject`` or
+    of blocked urls of the row's branch; where no rule fits, ``reject`` or
     more of it blocks.  Null urls and urls without ``://`` have an empty host
     and path and are judged as the branch of those.  Without any labels, purity
-    is 0.5 throughout.  Repeated rows are judged alike; other columns are ignored.
+    is 0.5 throughout.  Repeated rows are judged alike; other columns are ignored,
+    whatever their names.
     """
     host, path = F.col("host"), F.col("path")
     rule, label = longest_rule(host, path, rules)
     rows = pages.select(key, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.select(key, "host", "path", rule.alias("rule"), label.alias("label"), F.regexp_replace("path", "[0-9]+", "*").alias("look"))
-    tree = template_tree(rows, depth, max_children, repeats)
+    tree = materialize(template_tree(rows, depth, max_children, repeats).select("host", "look", "template", "allowed", "blocked"), "tree")
 
     total = tree.agg(F.sum("allowed"), F.sum("blocked")).first()
     allowed, blocked = total[0] or 0, total[1] or 0
@@ -97,9 +101,16 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
 
     pooled = tree.groupBy("template").agg(((F.sum("blocked") + strength * base) / (F.sum("blocked") + F.sum("allowed") + strength)).alias("pooled"))
     branches = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), (F.sum("blocked") + F.sum("allowed")).alias("m"))
-    p, b, m = F.col("pooled"), F.col("b"), F.col("m")
-    alike = (m == 0) | (F.abs(b / m - p) <= z * F.sqrt(p * (1 - p) / m))
-    judged = branches.join(pooled, "template").select("host", "template", F.when(alike, p).otherwise((b + strength * p) / (m + strength)).alias("purity"))
+    branches = branches.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+    b, m, share = F.col("b"), F.col("m"), F.col("share")
+    families = branches.groupBy("host", "parent").agg((F.sum("b") / F.nullif(F.sum("m").cast("double"), F.lit(0.0))).alias("share"))
+    alike = (m == 0) | (F.abs(b / m - share) <= z * F.sqrt(share * (1 - share) / m))
+    branches = branches.join(families, ["host", "parent"]).withColumn("alike", alike)
+    merged = branches.where("alike").groupBy("host", "parent").agg(F.sum("b").alias("all_b"), F.sum("m").alias("all_m"))
+    branches = branches.join(merged, ["host", "parent"], "left").join(pooled, "template")
+    own_b, own_m = F.when(F.col("alike"), F.col("all_b")).otherwise(b), F.when(F.col("alike"), F.col("all_m")).otherwise(m)
+    branch = F.when(F.col("alike"), F.concat("parent", F.lit("/~"))).otherwise(F.col("template"))
+    judged = branches.select("host", "template", branch.alias("branch"), ((own_b + strength * F.col("pooled")) / (own_m + strength)).alias("purity"))
     judged = tree.select("host", "look", "template").join(judged, ["host", "template"])
     verdict = F.coalesce("label", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
-    return rows.join(judged, ["host", "look"]).select(key, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return rows.join(judged, ["host", "look"]).select(key, "host", "path", "rule", verdict.alias("verdict"), "template", "branch", "purity")
