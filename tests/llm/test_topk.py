@@ -46,3 +46,16 @@ def test_large_components_do_not_overflow(spark):
 def test_repeated_rows(spark):
     rows = [(0, [1.0]), (0, [1.0]), (5, [0.5]), (5, [0.5])]
     assert run(spark, rows) == [(0, 1, 5, 1024 * 512), (0, 2, 5, 1024 * 512)]
+
+
+def test_wide_scores_are_ordered_exactly(spark):
+    big = 2.0**50
+    rows = [(0, [big, big, 1.0]), (1, [big, 1.0, 0.5]), (2, [big, 1.0, 0.75]), (3, [big, 1.0, 0.25]), (4, [-big, -big, 0.0])]
+    got = run(spark, rows)
+    assert [r[2] for r in got] == [2, 1, 3, 4]  # the scores differ in their last places alone, and are all beyond a long
+    assert [r[3] for r in got] == [topk.LONG] * 3 + [-topk.LONG - 1]
+
+
+def test_many_terms_of_middling_size_do_not_overflow(spark):
+    rows = [(0, [50_000.0] * 4_000), (1, [50_000.0] * 4_000), (2, [49_999.0] * 4_000)]
+    assert [(r[2], r[3] > 9e18) for r in run(spark, rows)] == [(1, True), (2, True)]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LONG = (1 << 63) - 1
+LONG, HALF = (1 << 63) - 1, 62
 
 
 def scaled(vector: Column, scale: int = 1024) -> Column:
@@ -36,23 +36,34 @@ def block_scores(query: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    """Rows padded with 0, as whole numbers: int64, or Python's where these could overflow."""
+    """Rows padded with 0, as whole numbers in doubles."""
     width = max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), width), dtype=np.float64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    if out.size and np.abs(out).max() >= 2.0**26:
-        return np.array([[int(x) for x in row] for row in out], dtype=object).reshape(out.shape)
-    return out.astype(np.int64)
+    return out
+
+
+def _whole(values: np.ndarray, wide: bool) -> np.ndarray:
+    """As int64, or as Python's whole numbers where sums of products could overflow."""
+    if wide:
+        return np.array([[int(x) for x in row] for row in values], dtype=object).reshape(values.shape)
+    return values.astype(np.int64)
+
+
+def _limited(x: int) -> int:
+    return max(-LONG - 1, min(LONG, x))
 
 
 def _best(k: int):
     def best(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "high", "low")})
         if not len(queries) or not len(block):
             return empty
         q, c = _matrix(queries["v"]), _matrix(block["v"])
-        wide = q.dtype == object or c.dtype == object
+        terms = min(q.shape[1], c.shape[1])
+        wide = max(np.abs(q).max(initial=0), 1.0) * max(np.abs(c).max(initial=0), 1.0) * max(1, terms) >= 2.0**62
+        q, c = _whole(q, wide), _whole(c, wide)
         postings = []
         for term in range(c.shape[1]):
             rows = np.nonzero(c[:, term])[0]
@@ -61,17 +72,18 @@ def _best(k: int):
         ids, found = block["vec_id"].to_numpy(np.int64), []
         for query_id, row in zip(queries["query_id"].to_numpy(np.int64), q):
             scores = block_scores(row, postings, len(c), wide)
-            if wide:
-                scores = np.array([max(-LONG - 1, min(LONG, int(s))) for s in scores], dtype=np.int64)
             others = np.nonzero(ids != query_id)[0]
             s = scores[others]
             if len(s) > k:
                 kth = np.partition(s, len(s) - k)[len(s) - k]
                 take = np.nonzero(s >= kth)[0]  # with all that tie at the last place
-                take = take[np.lexsort((ids[others[take]], -s[take].astype(np.float64) if wide else -s[take]))][:k]
+                take = np.array(sorted(take, key=lambda t: (-s[t], ids[others[t]])) if wide else take[np.lexsort((ids[others[take]], -s[take]))])[:k]
             else:
                 take = np.arange(len(s))
-            found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[others[take]], "score": s[take]}))
+            best = s[take]
+            high = np.array([_limited(int(x) >> HALF) for x in best] if wide else best >> HALF, dtype=np.int64)
+            low = np.array([int(x) & ((1 << HALF) - 1) for x in best] if wide else best & ((1 << HALF) - 1), dtype=np.int64)
+            found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[others[take]], "high": high, "low": low}))
         return pd.concat(found) if found else empty
 
     return best
@@ -85,7 +97,9 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, query_blo
     have the query's own id are left out; a query id that is repeated is
     answered once; repeated candidates each count.  Rows with a null id or a
     null vector take no part.  Vectors of different lengths are compared over
-    their common terms.  Scores beyond a long are held at its ends.
+    their common terms.  Sums are exact, and their order too while they are under
+    2^124; a score beyond a long is given as the nearest long.  Other columns are
+    ignored, whatever their names.
     """
     candidates = candidates.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long"), "v")
     queries = queries.where("query_id is not null and v is not null").groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.min("v").alias("v"))
@@ -93,6 +107,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, query_blo
     q_blocks, c_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_candidates // candidate_block))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     c = candidates.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    best = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_best(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_best(k), "query_id long, vec_id long, high long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    score = F.when(F.col("high") > 1, F.lit(LONG)).when(F.col("high") < -2, F.lit(-LONG - 1)).otherwise(F.shiftleft(F.col("high"), HALF).bitwiseOR(F.col("low")))
+    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
