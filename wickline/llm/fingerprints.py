@@ -198,9 +198,11 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     and the first id of each stretch, of which there are at most ``max_stretches``, come to
     the driver.
 
+    A task holds two texts at a time, each with some ten numbers a code point.
     Null texts are empty.  Rows with the same id are ordered by text; null ids
     stand last.  A single document is its own next.  An empty table gives an
-    empty result.  Other columns are ignored.
+    empty result.  Other columns are ignored, whatever their names.  All rows of one
+    id, or without one, stand in one stretch.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
@@ -220,5 +222,5 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     guards = F.broadcast(spark.createDataFrame(closes, "first long, stretch int"))
     guard_rows = rows.join(guards, rows["doc_id"].eqNullSafe(guards["first"])).select("stretch", F.lit(1).alias("guard"), "doc_id", "text")
     whole = placed(rows).select("stretch", F.lit(0).alias("guard"), "doc_id", "text").unionByName(guard_rows)
-    dealt = whole.repartition(max(1, len(closes)), "stretch").sortWithinPartitions("stretch", "guard", F.col("doc_id").asc_nulls_last(), "text")
+    dealt = whole.repartitionById(max(1, len(cuts) + 1), F.col("stretch").cast("int")).sortWithinPartitions("stretch", "guard", F.col("doc_id").asc_nulls_last(), "text")
     return dealt.mapInArrow(_stretch, SCHEMA)
