@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from wickline.llm import mixing
 
@@ -60,6 +61,16 @@ def test_edges(documents):
 def test_mixed_rows_keep_their_columns(documents):
     df = documents([(i, "a b c", "x" if i % 2 else "y") for i in range(100)])
     out = mixing.mixed(df)
-    assert out.columns == [c for c in df.columns if c != "mix"]
+    assert out.columns == df.columns
     copies = {r.doc_id: r.copies for r in mixed(df)}
+    odd = df.withColumn("time", F.lit("t")).withColumn("_time", F.lit("u")).withColumn("a.b`c", F.lit("v")).withColumn("mix_", F.lit("w"))
+    kept = mixing.mixed(odd)
+    assert kept.columns == odd.columns and {(r["time"], r["_time"], r["a.b`c"], r["mix"], r["mix_"]) for r in kept.collect()} == {("t", "u", "v", "clash", "w")}
     assert out.count() == sum(copies.values()) and abs(out.count() - 150) <= 2
+
+
+def test_a_large_plan_is_joined(documents, monkeypatch):
+    rows = [(i, "w " * (i % 50), f"s{i % 30}") for i in range(600)]
+    want = sorted(map(str, mixed(documents(rows), rows_per_task=3)))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)
+    assert sorted(map(str, mixed(documents(rows), rows_per_task=3))) == want

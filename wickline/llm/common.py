@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, one is made locally.
+    Only on one machine, as in tests, one is made where the session names none;
+    on a cluster a machine's own folder would be lost with it.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wickline-"))
         named = context.getCheckpointDir()
     return named
@@ -42,6 +46,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialized frame that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that is not among those taken, in any case."""
+    held = {t.lower() for t in taken}
+    while base in held:
+        base += "_"
+    return base
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def doc_remainder(doc_id, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -8,25 +8,24 @@ the order are of like size, the words taken come within about one document of
 the target.
 
 The sums need no global sort.  Sizes fall into bands, which are in order, and
-the driver learns the rows of each (source, band); a band beyond
-``rows_per_task`` rows is divided by a hash of the id into parts of about that
-many.  Only the rows of a part are ordered in one task, so a source that holds
-a third of all rows is spread over many.
+the rows of each (source, band) are counted; a band beyond ``rows_per_task``
+rows is divided by a hash of the id into parts of about that many.  Only the
+rows of a part are ordered in one task, so a source that holds a third of all
+rows is spread over many.  The driver holds one line a source.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickline.llm.common import WORD
+from wickline.llm.common import WORD, free_name, materialize, quoted
 
-#: The plan sent to all workers has a row for each source and band; more than this is refused.
-MOST_PLAN_ROWS = 2_000_000
+#: The plan has a row for each source and band; up to so many it is broadcast, a larger one is joined.
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -62,56 +61,59 @@ def offset(source: str | None, seed: int) -> float:
     return int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:8], 16) / 2.0**32
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source", rows_per_task: int = 50_000) -> DataFrame:
-    """The rows of ``docs`` with a struct ``mix`` of size, source_size, target and copies.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source", rows_per_task: int = 1_000, into: str = "mix") -> DataFrame:
+    """The rows of ``docs`` with a struct ``into`` of size, source_size, target and copies.
 
     Size is the number of words.  Null and empty texts have none and weigh
     nothing, yet they are sampled at the rate of their source; a source of
     no words has no copies.  Rows without a source are a source of their own.
     Of repeated rows each counts, and which of them is taken more often is open.
-    All columns pass through; a column named ``mix`` is replaced.
+    All columns pass through, whatever their names; one named ``into`` is replaced.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c.lower() != "mix"]
-    size = word_count(F.col(text))
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    size = word_count(F.col(quoted(text)))
     band = F.floor(F.log2(size + 1) * 16).cast("int")
     # plain columns under names of their own, so that those nobody asks for are never shuffled
-    rows = docs.select(*[F.col(c).alias(f"row_{i}") for i, c in enumerate(kept)], F.col(key).alias("id"), F.col(source).alias("src"), size.alias("size"), band.alias("band"))
-
-    counts = rows.groupBy("src", "band").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(MOST_PLAN_ROWS + 1).toPandas()
-    if len(counts) > MOST_PLAN_ROWS:
-        raise ValueError(f"more than {MOST_PLAN_ROWS} pairs of source and size band")
-    tally: dict[str | None, list[tuple[int, int, int]]] = {}
-    for src, b, n, words in counts.itertuples(index=False):
-        tally.setdefault(src if isinstance(src, str) else None, []).append((int(b), int(n), int(words)))
-    sizes = {s: sum(w for _, _, w in bands) for s, bands in tally.items()}
+    rows = docs.select(*[F.col(quoted(c)).alias(f"row_{i}") for i, c in enumerate(kept)], F.col(quoted(key)).alias("id"), F.col(quoted(source)).alias("src"), size.alias("size"), band.alias("band"))
+
+    counts = materialize(rows.groupBy("src", "band").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "bands")
+    by_source = counts.groupBy("src").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()  # a row a source
+    sizes = {r["src"]: int(r["words"]) for r in by_source}
+    total = sum(r["n"] for r in by_source)
+    rows_per_task = max(rows_per_task, total >> 16)
     goal = targets(sizes, weights, share, most)
-    plan = []
-    for s, bands in tally.items():
-        before = 0
-        for b, n, _ in sorted(bands):
-            plan.append((s, b, before, math.ceil(n / rows_per_task), goal[s] / sizes[s] if sizes[s] else 0.0, offset(s, seed), sizes[s], float(goal[s])))
-            before += n
-    plan_frame = F.broadcast(spark.createDataFrame(plan, "p_src string, p_band int, before long, parts int, rate double, start double, source_size long, target double"))
+    sources = [(s, goal[s] / sizes[s] if sizes[s] else 0.0, offset(s, seed), sizes[s], float(goal[s])) for s in sizes]
+    source_frame = spark.createDataFrame(sources, "g_src string, rate double, start double, source_size long, target double")
+    up_to = Window.partitionBy("src").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    plan = counts.select("src", "band", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"), F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts"))
+    plan = plan.join(source_frame, F.col("src").eqNullSafe(F.col("g_src"))).drop("g_src").withColumnsRenamed({"src": "p_src", "band": "p_band"})
+    plan = materialize(plan, "plan")
+    shape = plan.agg(F.count("*").alias("n"), F.max("parts").alias("most")).first()
+    plan_frame = F.broadcast(plan) if shape["n"] <= BROADCAST_ROWS else plan
     dealt = rows.join(plan_frame, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("band") == F.col("p_band"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     skip = F.lit(0).cast("long")
-    if any(p[3] > 1 for p in plan):
-        up_to = Window.partitionBy("k_src", "k_band").orderBy("k_part").rowsBetween(Window.unboundedPreceding, -1)
+    if (shape["most"] or 0) > 1:
+        before = Window.partitionBy("k_src", "k_band").orderBy("k_part").rowsBetween(Window.unboundedPreceding, -1)
         per_part = (
             dealt.where("parts > 1").groupBy(F.col("src").alias("k_src"), F.col("band").alias("k_band"), F.col("part").alias("k_part")).agg(F.count("*").alias("m"))
-            .select("k_src", "k_band", "k_part", F.coalesce(F.sum("m").over(up_to), F.lit(0)).alias("skip"))
+            .select("k_src", "k_band", "k_part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"))
         )
+        per_part = materialize(per_part, "parts")  # a row for about rows_per_task rows
+        per_part = F.broadcast(per_part) if per_part.count() <= BROADCAST_ROWS else per_part
         dealt = dealt.join(per_part, F.col("src").eqNullSafe(F.col("k_src")) & (F.col("band") == F.col("k_band")) & (F.col("part") == F.col("k_part")), "left")
         skip = F.coalesce(F.col("skip"), F.lit(0))
     place = F.col("before") + skip + F.row_number().over(Window.partitionBy("src", "band", "part").orderBy("size", "id"))
     placed = dealt.withColumn("place", place)
     crossed = F.floor(F.col("rate") * F.col("place") + F.col("start")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("start"))
     copies = F.least(crossed, F.ceil("rate")).cast("long")
-    return placed.select(*[F.col(f"row_{i}").alias(c) for i, c in enumerate(kept)], F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
+    return placed.select(*[F.col(f"row_{i}").alias(c) for i, c in enumerate(kept)], F.struct("size", "source_size", "target", copies.alias("copies")).alias(into))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
-    out = mix(docs, **options)
-    times = F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int")))
-    return out.withColumn("_time", times).drop("mix", "_time")
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
+    into = free_name("mix", docs.columns)
+    time = free_name("time", [*docs.columns, into])
+    out = mix(docs, into=into, **options)
+    times = F.explode(F.array_repeat(F.lit(1), F.col(f"{into}.copies").cast("int")))
+    return out.withColumn(time, times).drop(into, time)

@@ -134,7 +134,7 @@ ORACLE_SQL = {
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
         FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
     """,
-    # valid up to `rows_per_task` documents a size band, where each band is one part
+    # valid where no size band has more than `rows_per_task` documents, so that each is one part
     "op5_source_mix": """
         WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
