@@ -117,3 +117,24 @@ def test_nothing_leaks_from_the_future(spark):
 def test_config_is_checked(args):
     with pytest.raises(ValueError):
         AnalysisConfig(args[0], args[1], Decimal(args[2]), args[3])
+
+
+def test_last_known_across_buckets(spark):
+    """Rows that lie buckets apart, against a plain loop."""
+    import random
+
+    random.seed(7)
+    day = asof.NUMBERS
+    left = [(random.choice("abc"), random.randrange(12 * day), i) for i in range(150)]
+    right = [(random.choice("ab"), random.randrange(day // 2, 12 * day, day // 3), i, f"v{i}") for i in range(25)]
+    got = asof.last_known(spark.createDataFrame(left, "k string, t long, id int"), spark.createDataFrame(right, "k string, u long, n int, v string"), ["k"], "t", "u", ["v"], tie=["n"]).collect()
+    want = {i: max(((u, n, v) for k2, u, n, v in right if k2 == k and u <= t), default=(0, 0, None))[2] for k, t, i in left}
+    assert {r.id: r.v for r in got} == want and len(got) == len(left)
+
+
+def test_change_flags_across_days(spark):
+    from wickline.operators import capture
+
+    rows = [("s", f"f{i:02d}", BASE + timedelta(hours=9 * i), h) for i, h in enumerate("aabbbaaccd")] + [("t", "g0", BASE, "a")]
+    df = spark.createDataFrame(rows, "session_id string, frame_id string, captured_at timestamp, image_hash string")
+    assert [r.changed for r in capture.change_flags(df).orderBy("session_id", "frame_id").collect()] == [False, False, True, False, False, True, False, True, False, True, False]

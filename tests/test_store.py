@@ -97,3 +97,43 @@ def test_audits(spark):
     keys = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert [tuple(r) for r in schema.duplicate_keys(keys, ["k"]).collect()] == [(1, 2)]
     assert [r.k for r in schema.orphans(keys, spark.createDataFrame([(1,)], "k int"), ["k"]).collect()] == [2]
+
+
+def test_save_candles_folds_and_appends(spark, filled):
+    """One call folds arrivals into what is stored, writes snapshots, and moves the canonical candle on."""
+    filled.append("observations", spark.createDataFrame([(f"o{i}", "s1", at(20 + i), "f1", 0.9, 0.95) for i in range(5)], schema.SCHEMAS["observations"]))
+
+    def arrivals(*rows):
+        return spark.createDataFrame([("s1", BASE, i, o, "vision", "TEST", "1m", BASE + timedelta(minutes=1), 100.0, float(h), float(lo), float(c), closed, 0.9, None) for i, (o, h, lo, c, closed) in enumerate(rows)], ARRIVAL)
+
+    assert [r.outcome for r in filled.save_candles(arrivals(("o0", 101, 99, 100, False), ("o2", 103, 98, 102, False))).orderBy("arrival").collect()] == [store.INSERTED, store.EVOLVED]
+    assert [r.outcome for r in filled.save_candles(arrivals(("o0", 101, 99, 100, False), ("o1", 102, 99, 101, False))).orderBy("arrival").collect()] == [store.LATE, store.LATE]
+    assert filled.read("snapshots").count() == 3 and [float(r.high) for r in filled.candles().collect()] == [103]
+    with pytest.raises(store.Conflict, match="o3: RANGE_SHRANK"):
+        filled.save_candles(arrivals(("o4", 104, 97, 103, True), ("o3", 102, 98, 100, False)).withColumn("arrival", 5 - F.col("arrival")))
+    assert filled.read("snapshots").count() == 3
+    with pytest.raises(store.Conflict, match="MISSING_OBSERVATION"):
+        filled.save_candles(arrivals(("o9", 104, 97, 103, True)))
+    filled.save_candles(arrivals(("o4", 104, 97, 103, True)))
+    assert [(float(r.high), r.is_closed) for r in filled.candles().collect()] == [(104, True)]
+
+
+def test_analyze_and_record(spark, filled):
+    from decimal import Decimal
+
+    from wickline.config import AnalysisConfig
+    from wickline.operators import classify
+
+    rows = [("s1", BASE + timedelta(minutes=i), BASE + timedelta(minutes=i + 1), i, 10.0 + i, 12.0 + i, 9.0 + i, 11.0 + i, True, 0.9) for i in range(5)]
+    snapshots = spark.createDataFrame(rows, "session_id string, open_time timestamp, ts timestamp, seq long, open double, high double, low double, close double, is_closed boolean, confidence double")
+    requests = spark.createDataFrame([("a1", "s1", BASE + timedelta(minutes=10)), ("a2", "s1", BASE + timedelta(minutes=2))], "analysis_id string, session_id string, as_of timestamp")
+    config = AnalysisConfig(2, 3, Decimal("0.1"), 0.5)
+    classify.analyze_and_record(filled, snapshots, requests, config)
+    classify.analyze_and_record(filled, snapshots, requests, config)
+    assert filled.read("analyses").count() == 2
+    one, two = filled.get("analyses", analysis_id="a1"), filled.get("analyses", analysis_id="a2")
+    assert (one["market_state"], one["timestamp"].replace(tzinfo=None) is not None, one["data_quality"]) == ("UP", True, 0.9)
+    assert two["market_state"] == "UNCERTAIN" and two["evidence"][0] == "STATE_RULE=INSUFFICIENT_HISTORY" and two["data_quality"] is None
+    with pytest.raises(store.Conflict):
+        classify.analyze_and_record(filled, snapshots.withColumn("confidence", F.lit(0.8)), requests.where("analysis_id = 'a1'"), config)
+    assert schema.VERSION >= 1

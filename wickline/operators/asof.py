@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BUCKET = ["session_id", "open_time"]
 KNOWN = ["ts", "seq"]
+#: Width of a bucket of times that are numbers: a day of seconds.
+NUMBERS = 86_400
 
 
 def as_of(snapshots: DataFrame, instant, session_id: str | None = None) -> DataFrame:
@@ -32,24 +35,39 @@ def as_of_many(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(valid, "session_id").where(inside).drop("valid_from", "valid_to")
 
 
-def last_known(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], tie: list[str] | None = None) -> DataFrame:
+def last_known(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], tie: list[str] | None = None, bucket: str = "day") -> DataFrame:
     """Backward as-of join: each left row with ``columns`` of the last right row of ``by`` at or before it.
 
-    Both sides are merged into one timeline and the last right row is carried
-    forward, so no pair but the result's is made.  Rows without a partner
-    have nulls.
+    Both sides are merged into timelines of one ``bucket`` of time each, so that a
+    busy key is spread over its buckets.  The last right row of every bucket
+    is carried forward over the small table of buckets and opens the timelines
+    behind it; within a timeline the last right row is carried forward.  No pair
+    but the result's is made.  Rows without a partner have nulls.  Times that are
+    numbers fall into buckets of ``NUMBERS``.
     """
-    spare = tie or []
-    one = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_tie{i}") for i, c in enumerate(spare)])
-    two = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*columns).alias("_right"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(spare)])
+    spare = [f"_tie{i}" for i in range(len(tie or []))]
+    kinds = [right.schema[c].dataType for c in tie or []]
+    one = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), *[F.lit(None).cast(kind).alias(c) for c, kind in zip(spare, kinds)])
+    two = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*columns).alias("_right"), *[F.col(c).alias(s) for c, s in zip(tie or [], spare)])
     line = one.unionByName(two, allowMissingColumns=True)
-    carried = F.last("_right", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_t", "_side", *[f"_tie{i}" for i in range(len(spare))]).rowsBetween(Window.unboundedPreceding, 0))
-    return line.withColumn("_right", carried).where("_side = 1").select("_left.*", *[F.col(f"_right.{c}").alias(c) for c in columns])
+    dated = isinstance(left.schema[left_time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    line = line.withColumn("_bucket", F.date_trunc(bucket, "_t") if dated else F.floor(F.col("_t") / NUMBERS))
+    ends = line.groupBy(*by, "_bucket").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", *spare))).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    opening = ends.select(*by, "_bucket", F.lit(-1).alias("_side"), F.last("_last", ignorenulls=True).over(earlier).alias("_right")).where("_right is not null")
+    line = line.unionByName(opening, allowMissingColumns=True)
+    within = Window.partitionBy(*by, "_bucket").orderBy(F.col("_t").asc_nulls_first(), "_side", *spare).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("_right", F.last("_right", ignorenulls=True).over(within)).where("_side = 1").select("_left.*", *[F.col(f"_right.{c}").alias(c) for c in columns])
+
+
+def candles_of_frames(snapshots: DataFrame, observations: DataFrame) -> DataFrame:
+    """Candles as they were reconstructed for each frame, with its frame_id."""
+    return snapshots.join(observations.select("observation_id", "frame_id"), "observation_id")
 
 
 def candles_of_frame(snapshots: DataFrame, observations: DataFrame, frame_id: str) -> DataFrame:
-    """Candles as they were reconstructed for one frame."""
-    return snapshots.join(observations.where(F.col("frame_id") == frame_id).select("observation_id"), "observation_id").orderBy("ts", "open_time")
+    """Those of one frame, in order."""
+    return candles_of_frames(snapshots, observations.where(F.col("frame_id") == frame_id)).drop("frame_id").orderBy("ts", "open_time")
 
 
 def last_n(df: DataFrame, n: int, by: list[str], order: str = "open_time") -> DataFrame:

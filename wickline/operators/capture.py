@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,25 +18,41 @@ def pixel_hash(width, height, pixels):
     return F.sha2(F.concat(*four, pixels), 256)
 
 
-def change_flags(frames: DataFrame) -> DataFrame:
-    """``changed``: whether a frame's hash differs from its session's frame before; False for the first."""
-    w = Window.partitionBy("session_id").orderBy("captured_at", "frame_id")
-    return frames.withColumn("changed", F.coalesce(F.col("image_hash") != F.lag("image_hash").over(w), F.lit(False)))
+def change_flags(frames: DataFrame, bucket: str = "day") -> DataFrame:
+    """``changed``: whether a frame's hash differs from its session's frame before; False for the first.
+
+    Frames are ordered within a session's ``bucket`` of time; the first of a bucket
+    is compared with the last of the bucket before, of which there is one row each.
+    """
+    at = frames.withColumn("_bucket", F.date_trunc(bucket, "captured_at"))
+    ends = at.groupBy("session_id", "_bucket").agg(F.max_by("image_hash", F.struct("captured_at", "frame_id")).alias("_end"))
+    before = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy("session_id").orderBy("_bucket")))
+    w = Window.partitionBy("session_id", "_bucket").orderBy("captured_at", "frame_id")
+    last = F.when(F.row_number().over(w) == 1, F.col("_end")).otherwise(F.lag("image_hash").over(w))
+    return at.join(before, ["session_id", "_bucket"]).withColumn("changed", F.coalesce(F.col("image_hash") != last, F.lit(False))).select(*frames.columns, "changed")
 
 
 def due(frames: DataFrame, interval_seconds: float = INTERVAL_SECONDS) -> DataFrame:
-    """``is_due``: whether the interval has passed since the last frame that was due; a fold per session."""
+    """``is_due``: whether the interval has passed since the last frame that was due.
+
+    A fold per session, streamed in order: a task holds one instant.
+    """
     if interval_seconds <= 0:
         raise ValueError("interval_seconds must be positive")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["captured_at", "frame_id"])
-        last, out = None, []
-        for at in rows["captured_at"]:
-            take = last is None or (at - last).total_seconds() >= interval_seconds
-            last = at if take else last
-            out.append(take)
-        return rows.assign(is_due=out)
+    micros = round(interval_seconds * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, last = None, None
+        for batch in batches:
+            out = []
+            for name, at in zip(batch.column("session_id").to_pylist(), batch.column("captured_at").cast(pa.timestamp("us", batch.schema.field("captured_at").type.tz)).cast(pa.int64()).to_pylist()):
+                if name != session:
+                    session, last = name, None
+                take = last is None or at - last >= micros
+                last = at if take else last
+                out.append(take)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "is_due"])
 
     kept = frames.select("session_id", "frame_id", "captured_at")
-    return kept.groupBy("session_id").applyInPandas(run, f"session_id string, frame_id string, captured_at {kept.schema['captured_at'].dataType.simpleString()}, is_due boolean")
+    ordered = kept.repartition("session_id").sortWithinPartitions("session_id", "captured_at", "frame_id")
+    return ordered.mapInArrow(run, f"session_id string, frame_id string, captured_at {kept.schema['captured_at'].dataType.simpleString()}, is_due boolean")

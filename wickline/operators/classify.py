@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wickline.config import AnalysisConfig, plain
 from wickline.operators import asof, features
+from wickline.operators.store import Store
 
 
 def state_rule(minimum: float, trend: str = "trend", lateral: str = "lateral", quality: str = "quality") -> Column:
@@ -84,3 +85,16 @@ def analyze_in_order(snapshots: DataFrame, requests: DataFrame, config: Analysis
     requests = requests.select("session_id", "as_of").distinct()
     found = asof.last_known(requests, table, ["session_id"], "as_of", "ts", ["closed", "trend", "lateral", "quality"], tie=["open_time"])
     return decide(found.withColumn("closed", F.coalesce("closed", F.lit(0))), config, persisted)
+
+
+def analyze_and_record(store: Store, snapshots: DataFrame, requests: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """Decide requests (analysis_id, session_id, as_of) and append them to the store's analyses.
+
+    An analysis carries its as_of as timestamp and the persisted evidence.  The
+    same analysis again changes nothing; another result under its id is a conflict.
+    """
+    decided = analyze(snapshots, requests, config, persisted=True)
+    rows = requests.select("analysis_id", "session_id", "as_of").join(decided, ["session_id", "as_of"])
+    rows = rows.select("analysis_id", "session_id", F.col("as_of").alias("timestamp"), "market_state", "confidence", F.col("quality").alias("data_quality"), "evidence")
+    store.append("analyses", rows)
+    return rows

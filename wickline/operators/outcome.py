@@ -60,19 +60,17 @@ def evaluate(analyses: DataFrame, truth: DataFrame, policies: DataFrame, frontie
     """Every analysis with its availability, and its outcome where that is AVAILABLE.
 
     ``analyses`` has analysis_id, session_id, timestamp and the prediction.
-    Truth after ``evaluated_at`` is not looked at.  ``exhausted`` says for a
+    Truth after ``evaluated_at`` is not looked at, and an analysis after it fails the job.  ``exhausted`` says for a
     session whether its source has ended.  Policies of another horizon than
     ``horizon`` belong to another call.
     """
     instant = F.lit(evaluated_at)
-    early = analyses.where(F.col("timestamp") > instant).limit(1).count()
-    if early:
-        raise ValueError("evaluated_at is before an analysis")
     closed = truth.where(F.col("is_closed") & (F.col("close_time") <= instant))
     found = asof.last_known(analyses, with_horizon(closed, horizon), ["session_id"], "timestamp", "reference_close_time", REFERENCE, tie=["reference_open_time"])
     found = found.join(policies.select("session_id", "policy_id", "horizon", "threshold", "bound_at"), "session_id", "left").join(frontier.select("session_id", "tracking_state"), "session_id", "left")
     status = (
-        F.when(~F.coalesce(F.col("tracking_state") == "TRACKED", F.lit(False)), "EXPOSURE_HISTORY_UNKNOWN")
+        F.when(F.col("timestamp") > instant, F.raise_error(F.lit("evaluated_at is before an analysis")).cast("string"))
+        .when(~F.coalesce(F.col("tracking_state") == "TRACKED", F.lit(False)), "EXPOSURE_HISTORY_UNKNOWN")
         .when(F.col("policy_id").isNull(), "UNAVAILABLE_POLICY").when(F.col("bound_at") > F.col("timestamp"), "POLICY_BOUND_TOO_LATE")
         .when(F.col("reference_close").isNull(), "UNAVAILABLE_REFERENCE")
         .when(F.col("final_close").isNull(), F.when(exhausted if exhausted is not None else F.lit(False), "UNAVAILABLE_END_OF_DATASET").otherwise("PENDING_HORIZON"))
@@ -95,13 +93,28 @@ def require_one_policy(pairs: DataFrame) -> None:
         raise ValueError("outcomes of different policies cannot be combined")
 
 
+def report(outcomes: DataFrame) -> dict[str, DataFrame]:
+    """All metrics of evaluated analyses of one policy and configuration.
+
+    ``outcomes`` has status, policy_id, horizon, threshold, market_state, confidence
+    and realized_state; rows of other states than AVAILABLE count as availability only.
+    """
+    pairs = outcomes.where("status = 'AVAILABLE'")
+    require_one_policy(pairs)
+    by = ["policy_id"]
+    bins = calibration(pairs, by)
+    return {
+        "availability": outcomes.groupBy("status").agg(F.count("*").alias("analyses")), "confusion": confusion(pairs, by), "scores": scores(pairs, by),
+        "calibration": bins, "weighted_gap": weighted_gap(bins, by),
+    }
+
+
 def confusion(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Counts of realized against predicted states, with zeros, in a row for each realized state."""
     spark = pairs.sparkSession
     skeleton = spark.createDataFrame([(s,) for s in REALIZED], "realized_state string")
-    groups = pairs.select(*by).distinct() if by else None
-    rows = groups.join(F.broadcast(skeleton), F.lit(True)) if by else skeleton
     counts = pairs.groupBy(*by, "realized_state").agg(*[F.count_if(F.col("market_state") == p).alias(f"predicted_{p.lower()}") for p in PREDICTED])
+    rows = counts.select(*by).distinct().join(F.broadcast(skeleton), F.lit(True)) if by else skeleton  # three rows
     return rows.join(counts, [*by, "realized_state"], "left").fillna(0)
 
 
@@ -122,11 +135,11 @@ def scores(pairs: DataFrame, by: list[str]) -> DataFrame:
 def calibration(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Five confidence bins of the predictions that are not UNCERTAIN; bins without any have nulls."""
     spark = pairs.sparkSession
-    sure = pairs.where("market_state <> 'UNCERTAIN'").withColumn("bin", F.least(F.floor(F.col("confidence").cast("decimal(20,10)") * 5), F.lit(4)).cast("int"))
+    sure = pairs.withColumn("bin", F.when(F.col("market_state") != "UNCERTAIN", F.least(F.floor(F.col("confidence").cast("decimal(20,10)") * 5), F.lit(4)).cast("int")))
     counts = sure.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg((F.col("market_state") == F.col("realized_state")).cast("double")).alias("observed_accuracy"))
     bins = spark.range(5).select(F.col("id").cast("int").alias("bin"))
-    rows = pairs.select(*by).distinct().join(F.broadcast(bins), F.lit(True)) if by else bins
-    out = rows.join(counts, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = counts.select(*by).distinct().join(F.broadcast(bins), F.lit(True)) if by else bins  # five rows
+    out = rows.join(counts.where("bin is not null"), [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("absolute_gap", F.abs(F.col("mean_confidence") - F.col("observed_accuracy")))
 
 

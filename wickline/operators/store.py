@@ -1,12 +1,13 @@
 """Append-only candle store: idempotent inserts, conflicts, and the evolution of candles.
 
 A batch is planned first: each row is an insert, a no-op or a conflict, and
-nothing is written if any row conflicts.  Tables are partitioned Parquet with a
-single writer.
+nothing is written if any row conflicts.  Tables are Parquet, and there is one
+writer: a second one could append between another's plan and its write.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,16 +70,57 @@ class Store:
         if broken:
             raise ValueError(broken[0])
         for child, parent, columns in schema.REFERENCES:
-            if child == table and parent not in ("candles",) and schema.orphans(rows, self.read(parent), columns).limit(1).count():
+            # candles are the latest snapshots, so those of a snapshot are always there
+            if child == table and parent != "candles" and schema.orphans(rows, self.read(parent), columns).limit(1).count():
                 raise ValueError(f"{table} without {parent}")
-        plan = merge_plan(rows, self.read(table), schema.KEYS[table])
-        counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
-        if counts.get("conflict"):
-            raise Conflict(f"{counts['conflict']} rows of {table} contradict stored ones")
-        if counts.get("insert"):
-            plan.where("action = 'insert'").drop("action").write.mode("append").parquet(f"{self.path}/{table}")
+        plan = merge_plan(rows, self.read(table), schema.KEYS[table]).persist()
+        try:
+            counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+            if counts.get("conflict"):
+                raise Conflict(f"{counts['conflict']} rows of {table} contradict stored ones")
+            if counts.get("insert"):
+                plan.where("action = 'insert'").drop("action").write.mode("append").parquet(f"{self.path}/{table}")
+        finally:
+            plan.unpersist()
         return counts.get("insert", 0)
 
+    def candles(self) -> DataFrame:
+        """The canonical candles: the latest state of each by its snapshots."""
+        known = self.read("snapshots").join(self.read("observations").select("observation_id", F.col("timestamp").alias("ts"), F.col("observation_id").alias("seq")), "observation_id")
+        return canonical(known).select(schema.SCHEMAS["candles"].fieldNames())
+
+    def save_candles(self, arrivals: DataFrame) -> DataFrame:
+        """Fold snapshots (their columns and ``arrival``) into the stored candles and append them.
+
+        The outcome of every arrival is returned, as :func:`fold_arrivals` names
+        it.  All or nothing: if one contradicts what is stored or came before it,
+        nothing is written.  The stored history of the candles at hand comes first,
+        in the order of its observations; an arrival that is stored already is not stored again.
+        """
+        columns = schema.SCHEMAS["snapshots"].fieldNames()
+        new = schema.conform(arrivals, "snapshots").select(*columns)
+        broken = schema.violations(new, schema.rules("snapshots")).select("violation").limit(1).first()
+        if broken:
+            raise ValueError(broken[0])
+        observations = self.read("observations")
+        touched = new.select("session_id", "open_time").distinct()
+        held = self.read("snapshots").join(touched, ["session_id", "open_time"], "left_semi").join(observations.select("observation_id", "timestamp"), "observation_id")
+        order = Window.partitionBy("session_id", "open_time").orderBy(F.desc("timestamp"), F.desc("observation_id"))
+        held = held.withColumn("arrival", -F.row_number().over(order).cast("long")).select("arrival", *columns)  # before all new ones
+        line = schema.conform_columns(arrivals, "snapshots", "arrival").unionByName(held)
+        outcomes = fold_arrivals(line.withColumn("arrival", F.col("arrival").cast("long")), observations).where("arrival >= 0").persist()
+        try:
+            conflict = outcomes.where(F.col("outcome").startswith("CONFLICT")).orderBy("session_id", "open_time", "arrival").first()
+            if conflict:
+                raise Conflict(f"{conflict['observation_id']}: {conflict['outcome'].removeprefix('CONFLICT:')}")
+            fresh = outcomes.where(F.col("outcome") != NOOP).select("observation_id", "session_id", "open_time").distinct()
+            self.append("snapshots", new.join(fresh, ["observation_id", "session_id", "open_time"], "left_semi").distinct())
+            written = f"{self.path}/_outcomes/{uuid.uuid4().hex}"
+            outcomes.write.parquet(written)  # the fold would see the new snapshots as stored if it ran again
+            return self.spark.read.schema(outcomes.schema).parquet(written)
+        finally:
+            outcomes.unpersist()
+
 
 # -- evolution of candles -------------------------------------------------
 

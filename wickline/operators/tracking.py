@@ -1,14 +1,16 @@
 """Candle identity across frames: a small state per session, folded over its frames.
 
-The same fold serves a batch (one group a session) and a stream.
+The same fold serves a batch and a stream.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ FRAME_RESULT = (
 )
 
 
+#: Timeframes back from the newest candle that a frame can show, at one pixel column each; older tracks are over.
+KEPT = 16_384
+
+
 class SessionTracks:
     """Tracks of one session: open second -> [first_seen, last_seen, is_closed, confidence], and the last frame's places."""
 
@@ -77,6 +83,8 @@ class SessionTracks:
             self.tracks[o] = [old[0] if old else stamp, stamp, closed, min(old[3], confidence) if old else confidence]
             out["candles"].append({"track_id": track_id, "open_s": o, "x": x, "is_closed": closed, "first_seen": pd.Timestamp(self.tracks[o][0]), "last_seen": at, "confidence": self.tracks[o][3]})
         self.places, self.spacing = dict(zip(opens, places)), spacing if spacing is not None else self.spacing
+        if len(self.tracks) > 2 * KEPT:
+            self.tracks = {o: track for o, track in self.tracks.items() if o > newest - self.step * KEPT}
         return out
 
 
@@ -92,6 +100,7 @@ def frames_of(observations: DataFrame) -> DataFrame:
 
 
 def fold_frames(state: SessionTracks, frames: pd.DataFrame) -> pd.DataFrame:
+    """Outcomes of some of a session's frames, which are in order."""
     rows = []
     for session, frame, at, xs, confidences in frames[["session_id", "frame_id", "captured_at", "xs", "confidences"]].itertuples(index=False):
         at = at if at.tzinfo else at.tz_localize("UTC")
@@ -99,12 +108,31 @@ def fold_frames(state: SessionTracks, frames: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
-def track(observations: DataFrame, timeframe: str, **tolerances) -> DataFrame:
-    """FRAME_RESULT of every frame, each session's frames in order of captured_at and frame_id."""
-    def run(frames: pd.DataFrame) -> pd.DataFrame:
-        return fold_frames(SessionTracks(timeframe, **tolerances), frames.sort_values(["captured_at", "frame_id"]))
+_STAMP, _NAMES = pa.timestamp("us", tz="UTC"), pa.list_(pa.string())
+_CANDLES = pa.list_(pa.struct([("track_id", pa.string()), ("open_s", pa.int64()), ("x", pa.int32()), ("is_closed", pa.bool_()), ("first_seen", _STAMP), ("last_seen", _STAMP), ("confidence", pa.float64())]))
+_RESULT = pa.schema([("session_id", pa.string()), ("frame_id", pa.string()), ("captured_at", _STAMP), ("status", pa.string()), ("reason", pa.string()), ("shift_px", pa.int32()), ("new_ids", _NAMES), ("updated_ids", _NAMES), ("closed_ids", _NAMES), ("candles", _CANDLES)])
 
-    return frames_of(observations).groupBy("session_id").applyInPandas(run, FRAME_RESULT)
+
+def track(observations: DataFrame, timeframe: str, **tolerances) -> DataFrame:
+    """FRAME_RESULT of every frame, each session's frames in order of captured_at and frame_id.
+
+    The frames of a session come to one task in order and are folded as they
+    stream by, so a task holds the state of one session.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state = None, None
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if state is None or row["session_id"] != session:
+                    session, state = row["session_id"], SessionTracks(timeframe, **tolerances)
+                at = pd.Timestamp(row["captured_at"])
+                at = at if at.tzinfo else at.tz_localize("UTC")
+                rows.append({"session_id": session, "frame_id": row["frame_id"], "captured_at": at} | state.frame(session, at, row["xs"], row["confidences"]))
+            yield pa.RecordBatch.from_pylist(rows, _RESULT)
+
+    frames = frames_of(observations).repartition("session_id").sortWithinPartitions("session_id", "captured_at", "frame_id")
+    return frames.mapInArrow(run, FRAME_RESULT)
 
 
 def tracks(results: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ CTE = {
         FROM days d ASOF LEFT JOIN decided c ON d.session_id = c.session_id AND d.as_of >= c.ts"""),
     "truth": ("bars", "SELECT session_id, open_time, open, high, low, close FROM bars"),
     "recon": ("ticks", """SELECT session_id, open_time, open, high, low, CASE WHEN a = 2 THEN low ELSE close END AS close, a FROM
-        (SELECT session_id, open_time, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close FROM ticks WHERE user_id % 10 <> 0 GROUP BY session_id, open_time),
+        (SELECT session_id, open_time, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close FROM ticks GROUP BY session_id, open_time HAVING arg_min(price, (ts, seq)) <> arg_max(price, (ts, seq))),
         (VALUES (1), (2)) v(a) WHERE a = 1 OR hour(open_time) % 7 = 0"""),
     "matches": ("truth recon", """SELECT t.*, r.close IS NOT NULL AS detected, r.open AS r_open, r.high AS r_high, r.low AS r_low, r.close AS r_close FROM truth t LEFT JOIN
         (SELECT session_id, open_time, arg_max(open, a) AS open, arg_max(high, a) AS high, arg_max(low, a) AS low, arg_max(close, a) AS close FROM recon GROUP BY ALL) r USING (session_id, open_time)"""),
@@ -44,9 +44,9 @@ CTE = {
         (SELECT session_id, date_trunc('day', open_time)::TIMESTAMP AS day, row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS k FROM bars) WHERE k <= 4"""),
     "sess": ("ticks", "SELECT session_id, min(ts) AS origin_time, CASE WHEN session_id = 'signup' THEN 'LEGACY_UNKNOWN' ELSE 'TRACKED' END AS tracking_state FROM ticks GROUP BY session_id"),
     "pols": ("sess", f"SELECT 'p-' || session_id AS policy_id, session_id, {HORIZON} AS horizon, CASE WHEN session_id = 'view' THEN origin_time + INTERVAL 10 DAY ELSE origin_time END AS bound_at FROM sess WHERE session_id <> 'click'"),
-    "horizons": ("closed", f"""SELECT session_id, open_time AS reference_open_time, close_time AS reference_close_time, close AS reference_close, lead(open_time, {HORIZON}) OVER w AS final_open_time, lead(close, {HORIZON}) OVER w AS final_close
+    "horizons": ("closed", f"""SELECT session_id, open_time AS reference_open_time, close_time AS reference_close_time, close AS reference_close, lead(open_time, {HORIZON}) OVER w AS final_open_time, lead(close_time, {HORIZON}) OVER w AS final_close_time, lead(close, {HORIZON}) OVER w AS final_close
         FROM closed WINDOW w AS (PARTITION BY session_id ORDER BY open_time)"""),
-    "evals0": ("decided horizons pols sess", """SELECT a.session_id, a.ts AS timestamp, a.market_state, a.confidence, h.reference_open_time, h.reference_close, h.final_open_time, h.final_close, p.policy_id, p.bound_at, s.tracking_state
+    "evals0": ("decided horizons pols sess", """SELECT a.session_id, a.ts AS timestamp, a.market_state, a.confidence, h.reference_open_time, h.reference_close_time, h.reference_close, h.final_open_time, h.final_close_time, h.final_close, p.policy_id, p.bound_at, s.tracking_state
         FROM decided a ASOF LEFT JOIN horizons h ON a.session_id = h.session_id AND a.ts >= h.reference_close_time LEFT JOIN pols p ON p.session_id = a.session_id LEFT JOIN sess s ON s.session_id = a.session_id"""),
     "evals": ("evals0", f"""SELECT *, CASE WHEN status = 'AVAILABLE' THEN CASE WHEN ret > {THRESHOLD} THEN 'UP' WHEN ret < -{THRESHOLD} THEN 'DOWN' WHEN ret IS NOT NULL THEN 'SIDEWAYS' END END AS realized_state FROM
         (SELECT *, (final_close - reference_close) / nullif(reference_close, 0) AS ret, CASE WHEN tracking_state <> 'TRACKED' THEN 'EXPOSURE_HISTORY_UNKNOWN' WHEN policy_id IS NULL THEN 'UNAVAILABLE_POLICY' WHEN bound_at > timestamp THEN 'POLICY_BOUND_TOO_LATE'
@@ -80,7 +80,7 @@ _SCORES = ", ".join(f"round(count(*) FILTER (market_state = '{s}' AND realized_s
 ORACLE_SQL = {
     "candles_from_ticks": sql("SELECT session_id, open_time, open, high, low, close, ticks FROM bars", "bars"),
     "snapshots_cumulative": sql("SELECT * FROM snaps", "snaps"),
-    "candles_for_frame": sql("SELECT session_id, open_time, ts, open, high, low, close, is_closed FROM snaps WHERE seq = 500", "snaps"),
+    "candles_for_frame": sql("SELECT 'f' || strftime(t.ts, '%Y%m%d%H%M') AS frame_id, s.session_id, s.open_time, s.ts, s.open, s.high, s.low, s.close, s.is_closed FROM snaps s JOIN ticks t USING (seq)", "snaps", "ticks"),
     "candles_as_of": sql("SELECT session_id, open_time, ts, open, high, low, close, is_closed FROM known", "known"),
     "candles_as_of_batched": sql("""SELECT session_id, as_of, count(*) AS known, count(*) FILTER (is_closed) AS closed, max(open_time) AS newest, round(sum(close), 4) AS sum_close FROM
         (SELECT d.as_of, s.*, row_number() OVER (PARTITION BY d.session_id, d.as_of, s.open_time ORDER BY s.ts DESC, s.seq DESC) AS r FROM days d JOIN snaps s ON s.session_id = d.session_id AND s.ts <= d.as_of) WHERE r = 1 GROUP BY session_id, as_of""", "days", "snaps"),
@@ -134,14 +134,17 @@ ORACLE_SQL = {
          (SELECT session_id, day, count(*) AS n, min(y) AS min_y, max(y) AS max_y, min(confidence) AS least_c, bool_and(gap < 0) AS falls, bool_and(gap > 0) AS rises, max(abs(slope - m) / nullif(m, 0)) AS dev FROM
           (SELECT *, avg(slope) OVER (PARTITION BY session_id, day) AS m FROM (SELECT *, abs((lead(price) OVER w - price) / nullif(lead(y) OVER w - y, 0)) AS slope, lead(price) OVER w - price AS gap FROM anchors WINDOW w AS (PARTITION BY session_id, day ORDER BY y, price))) GROUP BY ALL))""", "anchors"),
     "spacing_shift_median": sql("SELECT session_id, day, median(gap) AS spacing, round_even(median(gap), 0)::INTEGER AS shift FROM (SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS day, seq - lag(seq) OVER (PARTITION BY session_id, date_trunc('day', ts) ORDER BY seq) AS gap FROM ticks) WHERE gap IS NOT NULL GROUP BY ALL", "ticks"),
-    "exposure_frontier": sql("SELECT s.session_id, s.tracking_state, CASE WHEN s.tracking_state = 'TRACKED' THEN greatest(s.origin_time, m) END AS exposure_frontier FROM sess s LEFT JOIN (SELECT session_id, max(ts) AS m FROM ticks WHERE user_id % 7 = 0 GROUP BY session_id) e USING (session_id)", "sess"),
+    "exposure_frontier": sql("SELECT s.session_id, s.tracking_state, CASE WHEN s.tracking_state = 'TRACKED' THEN greatest(s.origin_time, m) END AS exposure_frontier FROM sess s LEFT JOIN (SELECT session_id, max(ts) AS m FROM ticks GROUP BY session_id) e USING (session_id)", "sess"),
     "policy_registration": sql(f"SELECT 'p-' || session_id AS policy_id, session_id, CASE WHEN session_id = 'error' THEN 5 ELSE {HORIZON} END AS horizon, CASE session_id WHEN 'signup' THEN 'refused' WHEN 'click' THEN 'insert' WHEN 'error' THEN 'conflict' ELSE 'noop' END AS action, CASE WHEN session_id = 'view' THEN origin_time + INTERVAL 10 DAY ELSE origin_time END AS bound_at FROM sess", "sess"),
     "policy_eligibility": sql("SELECT d.session_id, as_of, policy_id FROM days d JOIN pols p ON p.session_id = d.session_id AND p.bound_at <= d.as_of", "days", "pols"),
     "outcome_reference": sql("SELECT d.session_id, d.as_of, c.open_time, c.close FROM days d ASOF LEFT JOIN closed c ON d.session_id = c.session_id AND d.as_of >= c.close_time", "days", "closed"),
     "outcome_horizon": sql("SELECT session_id, reference_open_time, final_open_time, final_close FROM horizons", "horizons"),
     "outcome_state": sql("SELECT session_id, timestamp, reference_open_time, final_open_time, round(ret, 9) AS realized_return, realized_state FROM good", "good"),
     "outcome_evidence": sql(f"""SELECT session_id, timestamp, 'OUTCOME_RULE=' || CASE realized_state WHEN 'UP' THEN 'RETURN_ABOVE_THRESHOLD' WHEN 'DOWN' THEN 'RETURN_BELOW_NEGATIVE_THRESHOLD' ELSE 'RETURN_WITHIN_THRESHOLD' END
-        || '|ANALYSIS_ID=' || session_id || '/' || strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') || '|POLICY_ID=' || policy_id || '|HORIZON_CLOSED_CANDLES={HORIZON}|REALIZED_STATE=' || realized_state AS evidence FROM good""", "good"),
+        || '|ANALYSIS_ID=' || session_id || '/' || strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') || '|POLICY_ID=' || policy_id
+        || '|REFERENCE_CANDLE_OPEN_TIME=' || reference_open_time || '|REFERENCE_CANDLE_CLOSE_TIME=' || reference_close_time || '|REFERENCE_CLOSE=' || reference_close::DECIMAL(18, 6)
+        || '|FINAL_CANDLE_OPEN_TIME=' || final_open_time || '|FINAL_CANDLE_CLOSE_TIME=' || final_close_time || '|FINAL_CLOSE=' || final_close::DECIMAL(18, 6) || '|HORIZON_CLOSED_CANDLES={HORIZON}'
+        || '|REALIZED_RETURN_THRESHOLD=' || {THRESHOLD}::DECIMAL(18, 6) || '|REALIZED_RETURN=' || ret::DECIMAL(18, 6) || '|REALIZED_STATE=' || realized_state AS evidence FROM good""", "good"),
     "availability_status": sql("SELECT session_id, status, count(*) AS analyses FROM evals GROUP BY ALL", "evals"),
     "confusion_matrix": sql(f"SELECT p.policy_id, s.realized_state, {', '.join(f'''count(*) FILTER (g.market_state = '{x}') AS predicted_{x.lower()}''' for x in ('UP', 'DOWN', 'SIDEWAYS', 'UNCERTAIN'))} FROM (SELECT DISTINCT policy_id FROM good) p CROSS JOIN (VALUES ('UP'), ('DOWN'), ('SIDEWAYS')) s(realized_state) LEFT JOIN good g ON g.policy_id = p.policy_id AND g.realized_state = s.realized_state GROUP BY p.policy_id, s.realized_state", "good"),
     "precision_recall": sql(f"SELECT policy_id, count(*) AS evaluated, round(count(*) FILTER (market_state = realized_state) / count(*)::DOUBLE, 9) AS accuracy, {_SCORES} FROM good GROUP BY policy_id", "good"),
@@ -149,8 +152,11 @@ ORACLE_SQL = {
     "confidence_calibration": sql("SELECT policy_id, bin, n, round(mean_confidence, 9) AS mean_confidence, round(observed_accuracy, 9) AS observed_accuracy, round(absolute_gap, 9) AS absolute_gap FROM allbins", "allbins"),
     "calibration_gap": sql("SELECT policy_id, round(sum(n * absolute_gap) / nullif(sum(n), 0)::DOUBLE, 9) AS weighted_alignment_gap FROM allbins GROUP BY policy_id", "allbins"),
     "chart_reading": sql("""SELECT image, x::INTEGER AS x, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction, top AS body_top, bottom AS body_bottom, CASE WHEN high < top THEN high END AS upper_top, CASE WHEN low > bottom THEN low END AS lower_bottom, 13 AS width FROM
-        (SELECT session_id || '/' || strftime(open_time, '%Y%m%d') AS image, 100 + 25 * row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS x, close >= open AS up, 100 + floor((500.0::DOUBLE - high) * 0.6::DOUBLE)::INTEGER AS high, 100 + floor((500.0::DOUBLE - low) * 0.6::DOUBLE)::INTEGER AS low,
-                100 + floor((500.0::DOUBLE - greatest(open, close)) * 0.6::DOUBLE)::INTEGER AS top, 100 + floor((500.0::DOUBLE - least(open, close)) * 0.6::DOUBLE)::INTEGER AS bottom FROM bars) WHERE x <= 600 AND low - high + 1 >= 5""", "bars"),
+        (SELECT session_id || '/' || strftime(open_time, '%Y%m%d') AS image, 100 + 22 * row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS x, close >= open AS up, 100 + floor((500.0::DOUBLE - high) * 0.6::DOUBLE)::INTEGER AS high, 100 + floor((500.0::DOUBLE - low) * 0.6::DOUBLE)::INTEGER AS low,
+                100 + floor((500.0::DOUBLE - greatest(open, close)) * 0.6::DOUBLE)::INTEGER AS top, 100 + floor((500.0::DOUBLE - least(open, close)) * 0.6::DOUBLE)::INTEGER AS bottom FROM bars) WHERE low - high + 1 >= 5""", "bars"),
+    "chart_prices": sql(f"""SELECT image, x::INTEGER AS x, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction, {", ".join(f"CASE WHEN {y} BETWEEN 100 AND 340 THEN round(500.0::DOUBLE - ({y} - 100) / 0.6::DOUBLE, 6) END AS {name}" for name, y in (("open", "(CASE WHEN up THEN bottom ELSE top END)"), ("high", "high"), ("low", "low"), ("close", "(CASE WHEN up THEN top ELSE bottom END)")))} FROM
+        (SELECT session_id || '/' || strftime(open_time, '%Y%m%d') AS image, 100 + 22 * row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS x, close >= open AS up, 100 + floor((500.0::DOUBLE - high) * 0.6::DOUBLE)::INTEGER AS high, 100 + floor((500.0::DOUBLE - low) * 0.6::DOUBLE)::INTEGER AS low,
+                100 + floor((500.0::DOUBLE - greatest(open, close)) * 0.6::DOUBLE)::INTEGER AS top, 100 + floor((500.0::DOUBLE - least(open, close)) * 0.6::DOUBLE)::INTEGER AS bottom FROM bars) WHERE low - high + 1 >= 5""", "bars"),
     "order_series_features": sql("""SELECT session_id, open_time, open, high, low, close, CASE WHEN k >= 5 AND count(ch) OVER v = 4 THEN round(stddev_pop(ch) OVER v, 9) END AS volatility,
         CASE WHEN k > 2 THEN CASE WHEN min(up) OVER p = 1 THEN 'RISING_STRUCTURE' WHEN min(down) OVER p = 1 THEN 'FALLING_STRUCTURE' ELSE 'MIXED_STRUCTURE' END END AS trend,
         CASE WHEN k >= 4 AND first_value(close) OVER v <> 0 THEN NOT (min(up) OVER q = 1) AND NOT (min(down) OVER q = 1) AND (max(high) OVER v - min(low) OVER v) / abs(first_value(close) OVER v) <= 1.5 END AS "lateral" FROM

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from wickline import schema
 from wickline.config import AnalysisConfig
-from wickline.operators import asof, candles, capture, classify, features, outcome, price_scale, reconstruction, replay, store, vision
+from wickline.operators import asof, candles, capture, classify, features, outcome, pipeline, price_labels, price_scale, reconstruction, replay, store, vision
 from wickline.sources import readers
 
 SESSION = ["session_id"]
@@ -53,10 +53,11 @@ def snapshots_cumulative(spark, sf):
 
 
 def candles_for_frame(spark, sf):
-    """Candles as reconstructed for one frame; there is a frame a tick."""
-    s = snapshots(spark, sf).withColumn("observation_id", F.lpad(F.col("seq").cast("string"), 12, "0"))
-    o = ticks(spark, sf).select(F.lpad(F.col("seq").cast("string"), 12, "0").alias("observation_id")).withColumn("frame_id", F.concat(F.lit("f"), "observation_id"))
-    return asof.candles_of_frame(s, o, "f000000000500").select("session_id", "open_time", "ts", "open", "high", "low", "close", "is_closed")
+    """Candles as reconstructed for each frame; there is a frame a minute with ticks."""
+    name = F.lpad(F.col("seq").cast("string"), 12, "0")
+    s = snapshots(spark, sf).withColumn("observation_id", name)
+    o = ticks(spark, sf).select(name.alias("observation_id"), F.concat(F.lit("f"), F.date_format("ts", "yyyyMMddHHmm")).alias("frame_id"))
+    return asof.candles_of_frames(s, o).select("frame_id", "session_id", "open_time", "ts", "open", "high", "low", "close", "is_closed")
 
 
 def candles_as_of(spark, sf):
@@ -195,8 +196,8 @@ def _truth(spark, sf):
 
 
 def _reconstructed(spark, sf):
-    """Candles of nine tenths of the ticks, some of them twice."""
-    seen = candles.candles(ticks(spark, sf).where("user_id % 10 <> 0")).withColumns({"asset": F.col("session_id"), "timeframe": F.lit("1h")})
+    """Candles as a reader of charts sees them: flat ones have no body to see, and some are seen twice."""
+    seen = candles.candles(ticks(spark, sf)).where("open <> close").withColumns({"asset": F.col("session_id"), "timeframe": F.lit("1h")})
     times = F.when(F.hour("open_time") % 7 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     again = seen.withColumn("arrival", F.explode(times))
     return again.withColumn("close", F.when(F.col("arrival") == 2, F.col("low")).otherwise(F.col("close")))
@@ -265,7 +266,7 @@ def _sessions(spark, sf):
 
 
 def exposure_frontier(spark, sf):
-    exposures = ticks(spark, sf).where("user_id % 7 = 0").select("session_id", F.col("ts").alias("exposed_at"))
+    exposures = ticks(spark, sf).select("session_id", F.col("ts").alias("exposed_at"))
     return outcome.exposure_frontier(_sessions(spark, sf), exposures).select("session_id", "tracking_state", "exposure_frontier")
 
 
@@ -307,9 +308,10 @@ def outcome_state(spark, sf):
 
 
 def outcome_evidence(spark, sf):
-    """The tokens that hold no float, joined."""
-    e = _evaluated(spark, sf).where("status = 'AVAILABLE'").withColumn("evidence", outcome.evidence())
-    return e.select("session_id", "timestamp", F.array_join(F.filter("evidence", lambda t: ~t.startswith("REALIZED_RETURN") & ~F.contains(t, F.lit("CLOSE=")) & ~F.contains(t, F.lit("_TIME="))), "|").alias("evidence"))
+    """All tokens, with six decimals of prices and returns, joined."""
+    numbers = {c: F.col(c).cast("decimal(18,6)") for c in ("reference_close", "final_close", "realized_return", "threshold")}
+    e = _evaluated(spark, sf).where("status = 'AVAILABLE'").withColumns(numbers).withColumn("evidence", outcome.evidence())
+    return e.select("session_id", "timestamp", F.array_join("evidence", "|").alias("evidence"))
 
 
 def _pairs(spark, sf):
@@ -337,15 +339,19 @@ def calibration_gap(spark, sf):
     return outcome.weighted_gap(outcome.calibration(_pairs(spark, sf), ["policy_id"]), ["policy_id"]).withColumns(_nine("weighted_alignment_gap"))
 
 
+#: Prices of the scale's labels and the rows that they stand at: 0.6 pixels a unit.
+LABELS = [(500 - 100 * i, 100 + 60 * i) for i in range(5)]
+
+
 def _pictures(spark, sf):
-    """A chart image for each session and day, with its first 20 candles as bars 25 pixels apart."""
+    """A chart image for each session and day, with its candles as bars 22 pixels apart and a labelled scale."""
     def y_of(price):
         return (F.lit(100) + F.floor((F.lit(500.0) - price) * 0.6)).cast("int")
 
     c = candles_from_ticks(spark, sf).withColumn("day", F.date_format("open_time", "yyyyMMdd"))
-    c = c.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "day").orderBy("open_time"))).where("k <= 20")
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "day").orderBy("open_time")))
     up = F.col("close") >= F.col("open")
-    bar = F.struct((F.col("k") * 25 + 100).alias("x"), y_of(F.col("high")).alias("high"), y_of(F.col("low")).alias("low"), y_of(F.greatest("open", "close")).alias("top"), y_of(F.least("open", "close")).alias("bottom"), up.alias("up"))
+    bar = F.struct((F.col("k") * 22 + 100).alias("x"), y_of(F.col("high")).alias("high"), y_of(F.col("low")).alias("low"), y_of(F.greatest("open", "close")).alias("top"), y_of(F.least("open", "close")).alias("bottom"), up.alias("up"))
     bars = c.groupBy(F.concat_ws("/", "session_id", "day").alias("image")).agg(F.collect_list(bar).alias("bars"))
 
     def draw(batches):
@@ -357,6 +363,8 @@ def _pictures(spark, sf):
                 page = np.full((560, 800, 3), 255, dtype=np.uint8)
                 page[60:480, 80:720] = vision.COLOURS["background"][0]
                 page[60:480, 640] = page[440, 80:640] = vision.COLOURS["border"][0]
+                for price, y in LABELS:
+                    price_labels.write_label(page, str(price), 660, y, (226, 232, 240), scale=2)
                 for s in shapes:
                     page[s["high"] : s["low"] + 1, s["x"]] = page[s["top"] : s["bottom"] + 1, s["x"] - 6 : s["x"] + 7] = vision.COLOURS["UP" if s["up"] else "DOWN"][0]
                 yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([vision.encode_png(page)], pa.binary())], ["image", "content"])
@@ -364,6 +372,14 @@ def _pictures(spark, sf):
     return bars.mapInArrow(draw, "image string, content binary")
 
 
+def chart_prices(spark, sf):
+    """The same candles in prices, by the labels read from each chart's scale; null beyond the labels."""
+    images = _pictures(spark, sf)
+    anchors = price_labels.price_labels(pipeline.scale_regions(images, vision.charts(images)))
+    priced = price_scale.map_candles(vision.visual_candles(images), anchors, ["image"], price_scale.calibrate(anchors, ["image"]))
+    return priced.select("image", "x", "direction", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")])
+
+
 def chart_reading(spark, sf):
     """Candles read back from drawn charts, in pixels."""
     return vision.visual_candles(_pictures(spark, sf)).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
@@ -429,6 +445,6 @@ _ALL = (
     hh_hl_lh_ll, basic_trend, basic_lateralization, data_quality, last_closed, analysis_decision, analysis_evidence, analysis_dense, reconstruction_match, reconstruction_metrics, normalize_dedup,
     ohlc_reject_reasons, bands, frame_change_flags, price_interpolation, anchor_calibration, spacing_shift_median, exposure_frontier, policy_registration, policy_eligibility, outcome_reference,
     outcome_horizon, outcome_state, outcome_evidence, availability_status, confusion_matrix, precision_recall, coverage, confidence_calibration, calibration_gap, chart_reading, order_series_features, lineitem_candles,
-    capture_cadence, conflict_fold, exact_returns, exact_volatility, tracked_frames,
+    chart_prices, capture_cadence, conflict_fold, exact_returns, exact_volatility, tracked_frames,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -24,6 +24,9 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, kinds[kind.rstrip("!")], not kind.endswith("!")) for name, kind in fields])
 
 
+#: Version of the tables below; it rises with any change of a column, key or rule.
+VERSION = 1
+
 CANDLE = "session_id string!, source_id string!, asset string!, timeframe string!, open_time ts!, close_time ts!, open price!, high price!, low price!, close price!, is_closed bool!, vision_confidence double, source_confidence double"
 SCHEMAS = {
     "sessions": _schema("session_id string!, source_id string!, asset string!, timeframe string!, started_at ts!, ended_at ts"),
@@ -99,7 +102,14 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType) and f.name in SCHEMAS[table].fieldNames()]
     if naive:
         raise ValueError(f"{', '.join(naive)} must be timezone-aware")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+    return conform_columns(df, table)
+
+
+def conform_columns(df: DataFrame, table: str, *more: str) -> DataFrame:
+    """The table's columns in order and type, and further ones as they are."""
+    kinds = {f.name: f.dataType for f in SCHEMAS[table].fields}
+    # an array that may hold nulls has no cast to one that may not
+    return df.select(*more, *[F.col(n) if df.schema[n].dataType.simpleString() == kind.simpleString() else F.col(n).cast(kind).alias(n) for n, kind in kinds.items()])
 
 
 def same_payload(a: str, b: str, columns: list[str]) -> Column:
