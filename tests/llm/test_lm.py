@@ -129,3 +129,60 @@ def test_a_full_filter_ends_at_the_largest_level():
     bits = 1 << 12
     full = lm.Filter(np.full(lm.SEGMENTS * bits // 8, 255, dtype=np.uint8), bits, top=5)
     assert set(full.level(np.arange(10, dtype=np.uint64))) == {5}
+
+
+def brute_scores(rows, modulus, weight=20.0):
+    """The model over quantised counts of words and pairs in plain dictionaries, as the filter would hold them without errors."""
+    words, pairs = Counter(), Counter()
+    for doc, text in rows:
+        if zlib.crc32(("" if doc is None else str(doc)).encode()) % modulus:
+            t = tokens(text)
+            words.update(t)
+            pairs.update(zip([None, *t[:-1]], t))
+    total, kinds = sum(words.values()), len(words)
+
+    def held(n):
+        return 1.5 * 2.0 ** math.floor(math.log2(n)) - 0.5 if n else 0.0
+
+    out = {}
+    for doc, text in rows:
+        t, score = tokens(text), 0.0
+        for a, b in zip([None, *t[:-1]], t):
+            first = held(words[a])
+            alone = min(1.0, (held(words[b]) + 0.1) / (total + 0.1 * (kinds + 1)))
+            score += math.log10((min(held(pairs[a, b]), first) + weight * alone) / (first + weight))
+        out[doc] = score
+    return out
+
+
+def prose(n=150):
+    import random
+
+    random.seed(11)
+    names = [f"w{i}" for i in range(300)]
+    return [(i, " ".join(random.choices(names, weights=[1 / (k + 1) for k in range(300)], k=random.randint(0, 60)))) for i in range(n)]
+
+
+def test_score_against_plain_counts(documents):
+    rows = prose()
+    want, got = brute_scores(rows, 4), {r.doc_id: r.score for r in scored(documents(rows), 4)}
+    assert got.keys() == want.keys()
+    off = [abs(got[k] - want[k]) / len(tokens(dict(rows)[k])) for k in want]
+    assert max(off) < 0.1 and sum(off) / len(off) < 0.01  # a false level now and then
+
+
+@pytest.mark.parametrize("bits_a_level, least", [(2, 0.95), (1, 0.9), (0.05, None)])
+def test_filters_that_are_too_small_stay_finite(documents, monkeypatch, bits_a_level, least):
+    """With half, most or all of the bits set, scores are finite, and keep the order of plain counts as long as bits are clear."""
+    def small(held):
+        bits = 1 << max(3, math.ceil(math.log2(bits_a_level * held / lm.SEGMENTS)))
+        return bits, lm.SEGMENTS
+
+    monkeypatch.setattr(lm, "filter_size", small)
+    rows = prose()
+    want, got = brute_scores(rows, 4), {r.doc_id: r.score for r in scored(documents(rows), 4)}
+    assert all(math.isfinite(s) and s <= 0 for s in got.values())
+    if least:
+        ids = sorted(want)
+        rank = [np.argsort(np.argsort([d[i] for i in ids])) for d in (want, got)]
+        assert np.corrcoef(*rank)[0, 1] > least
