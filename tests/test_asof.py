@@ -138,3 +138,28 @@ def test_change_flags_across_days(spark):
     rows = [("s", f"f{i:02d}", BASE + timedelta(hours=9 * i), h) for i, h in enumerate("aabbbaaccd")] + [("t", "g0", BASE, "a")]
     df = spark.createDataFrame(rows, "session_id string, frame_id string, captured_at timestamp, image_hash string")
     assert [r.changed for r in capture.change_flags(df).orderBy("session_id", "frame_id").collect()] == [False, False, True, False, False, True, False, True, False, True, False]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_recent_closed_is_the_end_of_the_whole_read(spark, seed):
+    """Also where candles close late, open again, or stay open for days."""
+    from wickline.operators import features
+
+    random.seed(seed)
+    rows, seq = [], 0
+    for session in ("s", "t"):
+        for hour in range(0, 24 * 6, random.choice([3, 5])):
+            opened, known = BASE + timedelta(hours=hour), hour
+            for _ in range(random.randint(1, 4)):
+                known += random.choice([0, 1, 2, 30])
+                seq += 1
+                rows.append((session, opened, BASE + timedelta(hours=known), seq, 1.0, 2.0, 0.5, float(seq), random.random() < 0.5, 0.9))
+    df = spark.createDataFrame(rows, SCHEMA)
+    requests = spark.createDataFrame([(s, BASE + timedelta(hours=h, minutes=random.choice([0, 30]))) for s in ("s", "t", "u") for h in range(-2, 190, 13)], "session_id string, as_of timestamp").distinct()
+    for n in (1, 4):
+        want = asof.last_n(features.closed_only(asof.as_of_many(df, requests)), n, ["session_id", "as_of"])
+        plain = requests.join(asof.validity(df), "session_id").where("valid_from <= as_of and (valid_to is null or as_of < valid_to)").where("is_closed")
+        brute = asof.last_n(plain, n, ["session_id", "as_of"])
+        key = ["session_id", "as_of", "open_time", "seq"]
+        got = sorted(map(str, asof.recent_closed(df, requests, n).select(key).collect()))
+        assert got == sorted(map(str, want.select(key).collect())) == sorted(map(str, brute.select(key).collect()))

@@ -28,11 +28,43 @@ def validity(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumns({"valid_from": F.col("ts"), "valid_to": nxt})
 
 
-def as_of_many(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
-    """The as-of read of every request (session_id, as_of): all its candles, with the request's columns."""
-    valid = validity(snapshots)
+def _days(snapshots: DataFrame) -> DataFrame:
+    """Per session and day of candles: when the first was known, when the last changed, and how many ended closed."""
+    candles = snapshots.groupBy("session_id", "open_time").agg(F.max_by("is_closed", F.struct(*KNOWN)).alias("closed"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return candles.groupBy("session_id", F.date_trunc("day", "open_time").alias("_day")).agg(F.min("first").alias("_first"), F.max("last").alias("_settled"), F.count_if("closed").alias("_closed"))
+
+
+def _known_then(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (session_id, as_of, _day) with the candles of that day as they were known."""
+    valid = validity(snapshots).withColumn("_day", F.date_trunc("day", "open_time"))
     inside = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to")))
-    return requests.join(valid, "session_id").where(inside).drop("valid_from", "valid_to")
+    return requests.join(valid, ["session_id", "_day"]).where(inside).drop("valid_from", "valid_to", "_day")
+
+
+def as_of_many(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+    """The as-of read of every request (session_id, as_of): all its candles, with the request's columns.
+
+    A request meets the snapshots day by day, of the days that were known by then,
+    so that a busy session is spread over its days.
+    """
+    days = snapshots.groupBy("session_id", F.date_trunc("day", "open_time").alias("_day")).agg(F.min("ts").alias("_first"))
+    return _known_then(snapshots, requests.join(days, "session_id").where(F.col("_first") <= F.col("as_of")).drop("_first"))
+
+
+def recent_closed(snapshots: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` closed candles of the as-of read of every request (session_id, as_of).
+
+    Days are taken back from the newest until those that have not changed since
+    the request's day began hold ``n`` closed candles; older days cannot have a
+    part in the result and are not met.
+    """
+    asked = requests.select("session_id", F.date_trunc("day", "as_of").alias("_asked")).distinct()
+    near = asked.join(_days(snapshots), "session_id").where(F.col("_first") < F.col("_asked") + F.expr("INTERVAL 1 DAY"))
+    newer = Window.partitionBy("session_id", "_asked").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    enough = F.sum(F.when(F.col("_settled") < F.col("_asked"), F.col("_closed")).otherwise(0)).over(newer)
+    near = near.withColumn("_newer", F.coalesce(enough, F.lit(0))).where(F.col("_newer") < n).select("session_id", "_asked", "_day")
+    placed = requests.withColumn("_asked", F.date_trunc("day", "as_of")).join(near, ["session_id", "_asked"]).drop("_asked")
+    return last_n(_known_then(snapshots, placed).where("is_closed"), n, ["session_id", "as_of"])
 
 
 def last_known(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], tie: list[str] | None = None, bucket: str = "day") -> DataFrame:

@@ -62,13 +62,13 @@ def measured(closed: DataFrame, by: list[str], config: AnalysisConfig) -> DataFr
 def analyze(snapshots: DataFrame, requests: DataFrame, config: AnalysisConfig, persisted: bool = False) -> DataFrame:
     """The decision for each request (session_id, as_of), from what was known then.
 
-    The candles are those of the as-of read; only the last closed ones that
-    the configuration needs go on to the features.  A request without any has
+    The candles are the last closed ones of the as-of read that the
+    configuration needs.  A request without any has
     INSUFFICIENT_HISTORY.
     """
     by = ["session_id", "as_of"]
     requests = requests.select(*by).distinct()
-    known = asof.last_n(features.closed_only(asof.as_of_many(snapshots, requests)), config.needed, by)
+    known = asof.recent_closed(snapshots, requests, config.needed)
     last = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("open_time")))
     at_end = measured(known, by, config).withColumn("_last", last).where("_last = 1").select(*by, "closed", "trend", "lateral", "quality")
     return decide(requests.join(at_end, by, "left").withColumn("closed", F.coalesce("closed", F.lit(0))), config, persisted)
