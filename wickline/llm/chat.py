@@ -61,11 +61,6 @@ def read_turn(rendered: str) -> tuple[str, str]:
     return unescape(role[0]), unescape(rendered[role.end() + len(MIDDLE) : -len(CLOSE)])
 
 
-def fold(text: str, kind: str, new: str) -> str:
-    """The message's text after one more event."""
-    return text + new if kind in ("open", "delta") else new
-
-
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Final (conv_id, role, text) of the sorted events' messages, one after the other."""
     at = None
@@ -96,7 +91,8 @@ def format_conversations(events: DataFrame, trained: str = "assistant") -> DataF
     loss mask is [loss_from, loss_to) of each turn of role ``trained``, else
     empty.  Null texts and roles are empty; events without a conversation belong
     to conversation null.  Events that tie in seq are folded in the order of kind
-    and text.  Repeated events are events.  Concatenating a conversation's
+    and text.  Repeated events are events; other columns are ignored, whatever their
+    names.  Concatenating a conversation's
     ``formatted`` by turn gives its full text.
     """
 
