@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from wickline.llm.common import WORD, free_name, materialize, quoted
 
-#: The plan has a row for each source and band; up to so many it is broadcast, a larger one is joined.
+#: The plan has a row for each source and band with its parts; up to so many parts it is broadcast, a larger one is joined.
 BROADCAST_ROWS = 200_000
 
 
@@ -77,7 +77,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # plain columns under names of their own, so that those nobody asks for are never shuffled
     rows = docs.select(*[F.col(quoted(c)).alias(f"row_{i}") for i, c in enumerate(kept)], F.col(quoted(key)).alias("id"), F.col(quoted(source)).alias("src"), size.alias("size"), band.alias("band"))
 
-    counts = materialize(rows.groupBy("src", "band").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "bands")
+    # one pass counts the rows of each band by a hash of the id, so that bands of any size can be divided afterwards
+    subs = 1 << min(12, max(4, (docs.count() // (8 * rows_per_task)).bit_length()))
+    sub = F.pmod(F.xxhash64("id"), F.lit(subs)).cast("int")
+    counts = materialize(rows.groupBy("src", "band", sub.alias("sub")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "bands")
     by_source = counts.groupBy("src").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()  # a row a source
     sizes = {r["src"]: int(r["words"]) for r in by_source}
     total = sum(r["n"] for r in by_source)
@@ -85,25 +88,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     goal = targets(sizes, weights, share, most)
     sources = [(s, goal[s] / sizes[s] if sizes[s] else 0.0, offset(s, seed), sizes[s], float(goal[s])) for s in sizes]
     source_frame = spark.createDataFrame(sources, "g_src string, rate double, start double, source_size long, target double")
-    up_to = Window.partitionBy("src").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    plan = counts.select("src", "band", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"), F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts"))
+    band_order = Window.partitionBy("src").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / rows_per_task)))).cast("int")
+    bands = counts.groupBy("src", "band").agg(F.sum("n").alias("n"))
+    bands = bands.select("src", "band", F.coalesce(F.sum("n").over(band_order), F.lit(0)).alias("before"), F.least(parts, F.lit(subs)).alias("parts"))
+    part_order = Window.partitionBy("src", "band").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    same_band = F.col("c.src").eqNullSafe(F.col("b.src")) & (F.col("c.band") == F.col("b.band"))
+    cut = counts.alias("c").join(bands.alias("b"), same_band).select("c.src", "c.band", "before", "parts", (F.col("sub") % F.col("parts")).alias("part"), "n")
+    cut = cut.groupBy("src", "band", "before", "parts", "part").agg(F.sum("n").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(part_order), F.lit(0)))
+    plan = cut.groupBy("src", "band", "before", "parts").agg(F.map_from_entries(F.collect_list(F.struct("part", "skip"))).alias("skips"))
     plan = plan.join(source_frame, F.col("src").eqNullSafe(F.col("g_src"))).drop("g_src").withColumnsRenamed({"src": "p_src", "band": "p_band"})
     plan = materialize(plan, "plan")
-    shape = plan.agg(F.count("*").alias("n"), F.max("parts").alias("most")).first()
-    plan_frame = F.broadcast(plan) if shape["n"] <= BROADCAST_ROWS else plan
-    dealt = rows.join(plan_frame, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("band") == F.col("p_band"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    skip = F.lit(0).cast("long")
-    if (shape["most"] or 0) > 1:
-        before = Window.partitionBy("k_src", "k_band").orderBy("k_part").rowsBetween(Window.unboundedPreceding, -1)
-        per_part = (
-            dealt.where("parts > 1").groupBy(F.col("src").alias("k_src"), F.col("band").alias("k_band"), F.col("part").alias("k_part")).agg(F.count("*").alias("m"))
-            .select("k_src", "k_band", "k_part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"))
-        )
-        per_part = materialize(per_part, "parts")  # a row for about rows_per_task rows
-        per_part = F.broadcast(per_part) if per_part.count() <= BROADCAST_ROWS else per_part
-        dealt = dealt.join(per_part, F.col("src").eqNullSafe(F.col("k_src")) & (F.col("band") == F.col("k_band")) & (F.col("part") == F.col("k_part")), "left")
-        skip = F.coalesce(F.col("skip"), F.lit(0))
-    place = F.col("before") + skip + F.row_number().over(Window.partitionBy("src", "band", "part").orderBy("size", "id"))
+    plan = F.broadcast(plan) if (plan.agg(F.sum("parts")).first()[0] or 0) <= BROADCAST_ROWS else plan
+    dealt = rows.join(plan, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("band") == F.col("p_band"))).withColumn("part", sub % F.col("parts"))
+    place = F.col("before") + F.element_at("skips", F.col("part")) + F.row_number().over(Window.partitionBy("src", "band", "part").orderBy("size", "id"))
     placed = dealt.withColumn("place", place)
     crossed = F.floor(F.col("rate") * F.col("place") + F.col("start")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("start"))
     copies = F.least(crossed, F.ceil("rate")).cast("long")
