@@ -83,7 +83,8 @@ def test_folded_weights_give_the_margins_of_the_landmarks():
     for _ in range(60_000):
         w -= step * (np.append(w[:-1] / 1000, 0) - 2 * x.T @ (weight * y * np.maximum(0, 1 - y * (x @ w))))
     assert loss(toxicity.machine(x, y, weight, 1000.0)) <= loss(w) + 1e-6
-    assert np.abs(model.margins(spans) - x @ w).max() < 0.05
+    assert np.abs(model.plain(spans) - x @ w).max() < 0.05
+    assert (model.margins(spans) >= model.plain(spans)).all()
 
 
 def test_spans():
@@ -112,7 +113,7 @@ def test_held_out_accuracy(model, disguise):
     rows = corpus(600, 2, disguise)
     scores = model.scores([t for _, t, _ in rows])
     y = np.array([label for *_, label in rows])
-    assert ((scores >= 0.7) == y).mean() > (0.95 if disguise else 0.98)
+    assert ((scores >= 0.7) == y).mean() > 0.98
     assert (scores[y == 1][:, None] > scores[y == 0]).mean() > 0.99
 
 

@@ -5,7 +5,9 @@ pieces together, every run of single characters, and overlapping stretches of
 long words.  The kernel of two spans sums over the subsequences of ``ORDER``
 letters that both hold, each weighted down by the letters and gaps it spreads
 over, so that inserted characters cost little and a stretched insult still
-resembles itself.
+resembles itself.  An inserted letter costs more, as it brings subsequences of
+its own; a span that comes near the border is therefore also read with each of
+its letters taken for a gap, and its worst reading counts.
 
 The machine is trained on labelled sentences.  A sentence of a clean document
 is a negative instance in each of its spans.  A sentence of a toxic document is
@@ -48,6 +50,8 @@ ORDER, DECAY = 3, 0.7
 LONGEST, STEP, SHORT = 20, 5, 4
 #: Letters fall into so many classes: a to z each their own, all others by code point.
 CLASSES = 64
+#: A span whose margin is above this is also read with a letter left out.
+NEAR = -0.5
 #: Words whose margins a worker remembers in each of two generations.
 REMEMBERED = 200_000
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -211,9 +215,23 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_known": {}, "_older": {}}
 
-    def margins(self, spans: list[str]) -> np.ndarray:
+    def plain(self, spans: list[str]) -> np.ndarray:
+        """Margins of the spans as they stand."""
         return self.table.sums(spans) + self.bias
 
+    def read(self, spans: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Margin of the worst reading of each span, and that reading."""
+        margin, best = self.plain(spans), list(spans)
+        near = np.flatnonzero(margin > NEAR)
+        readings = [(i, r) for i in near for r in with_a_gap(spans[i])]
+        for (i, reading), m in zip(readings, self.plain([r for _, r in readings])):
+            if m > margin[i]:
+                margin[i], best[i] = m, reading
+        return margin, best
+
+    def margins(self, spans: list[str]) -> np.ndarray:
+        return self.read(spans)[0]
+
     def worst(self, texts: list[str]) -> np.ndarray:
         """Margin of the worst span of each text; that of no letters at all for a text without spans."""
         pieces = [pieces_of(t) for t in texts]
@@ -242,6 +260,11 @@ class Model:
         return self.probability(self.worst(texts))
 
 
+def with_a_gap(span: str) -> list[str]:
+    """The span with each of its inner letters taken for an inserted character."""
+    return [span[:i] + "-" + span[i + 1 :] for i in range(1, len(span) - 1) if "-" not in span[i - 1 : i + 2]]
+
+
 def inserted(span: str) -> list[str]:
     """The span with a character between all of its letters, and with one at each place."""
     return ["-".join(span)] + [span[:i] + c + span[i:] for i in range(1, len(span)) for c in "-x"]
@@ -419,6 +442,9 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
         closest = clean.withColumn("margin", margins("span")).orderBy(F.desc("margin"), "span").limit(negatives // 4).collect()
         near = [r["span"] for r in closest if r["span"] not in sure]
         against |= {r["span"]: r["weight"] for r in closest}
+        _, readings = model.read(near)
+        weight = {r["span"]: r["weight"] for r in closest}
+        against |= {reading: weight[span] for span, reading in zip(near, readings) if reading != span}
 
 
 def score(model: Model, text: Column, spark) -> Column:
