@@ -70,3 +70,19 @@ def test_tokens(spark, stages, sf_dir):
         assert list(r.ids) == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, rows))
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("empty", []), ("some", [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None)])):
+        df = spark.createDataFrame(rows, schema)
+        for column in ("gone", "mix", "time", "score", "kept", "value", "sig"):
+            df = df.withColumn(column, F.lit("clash"))
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in found} <= {1, 2} and (found or not rows)
