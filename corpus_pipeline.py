@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 has kept; its result is written as Parquet and read again as the next one's
-docs.  All but the last return the columns of documents.
+docs.  All but the last return the columns of documents, whatever their names.
+Null and empty texts are clean, have no duplicates and no tokens, and are mixed
+at the rate of their source; repeated rows are one document to the
+near-duplicate stage; without labels nothing is rejected.  Empty tables pass
+through every stage.
 """
 
 from __future__ import annotations
