@@ -53,7 +53,7 @@ CLASSES = 64
 #: A span whose margin is above this is also read with a letter left out.
 NEAR = -0.5
 #: Words whose margins a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 
