@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, chat, fingerprints, lm, mixing, neardup, sharding, topk, toxicity, urls
+from wickline.llm import bpe, chat, codes, fingerprints, lm, mixing, neardup, negatives, pieces, sharding, topk, toxicity, urls
 from wickline.llm.common import doc_remainder, table
 
 
@@ -79,7 +79,52 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op4_minhash_join, op5_source_mix, op6_toxicity, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints)}
+def op11_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every fiftieth vector's five positives, some labels being moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), topk.scaled(F.col("embedding"), 256).alias("v"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of eight parts, by codebooks of sixteen entries after six rounds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", topk.scaled(F.col("embedding"), 4096).alias("v"))
+    return codes.vector_codes(vectors)
+
+
+def op13_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces by the public SentencePiece model, encoded and decoded."""
+    import public_tokenizers
+
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_url_templates, op3_exact_topk, op4_minhash_join, op5_source_mix, op6_toxicity, op7_bpe_tree, op8_chat_format, op9_bloom_lm, op10_prefix_fingerprints, op11_dual_tree_negatives, op12_part_codes, op13_piece_backtracking)}
+
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and means, a pair of common table expressions each; for vectors of one length that ``parts`` divides."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (SELECT row, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.row, p, e, list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{k} b USING (p)) GROUP BY row, p)"""
+
+    steps = [assigned(0)]
+    for k in range(1, rounds + 1):
+        steps.append(f"""b{k} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k - 1} b LEFT JOIN (SELECT p, e, list(m ORDER BY d) AS c FROM
+            (SELECT x.p, a.e, d.d, CAST(floor(sum(x.v[d.d])::DOUBLE / count(*)) AS BIGINT) AS m FROM x JOIN a{k - 1} a USING (row, p) CROSS JOIN (SELECT unnest(range(1, (SELECT max(len(v)) FROM x) + 1)) AS d) d GROUP BY x.p, a.e, d.d) GROUP BY p, e) m USING (p, e))""")
+        steps.append(assigned(k))
+    return f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS (SELECT row, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM v CROSS JOIN (SELECT unnest(range({parts})) AS p)),
+        b0 AS (SELECT p, row - 1 AS e, v AS c FROM x WHERE row <= {entries}),
+        {", ".join(steps)},
+        o AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM o JOIN v USING (row)
+    """
+
 
 ORACLE_SQL = {
     "op2_url_templates": """
@@ -163,4 +208,14 @@ ORACLE_SQL = {
                CAST(sum(length(escaped) + length(role) + 8 + 1 + 8) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_dual_tree_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+    """,
+    "op12_part_codes": _codes_sql(),
 }
