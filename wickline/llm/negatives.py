@@ -172,7 +172,7 @@ def _negatives(k: int, width: int, wide: bool):
             ea, ec = exact(a, wide), exact(c, wide)
             ids, labels, their = block["vec_id"].to_numpy(np.int64), anchors["label"].to_numpy(np.int64), block["label"].to_numpy(np.int64)
             # an asker is an anchor with one of its positives; the askers of an anchor are neighbours
-            askers = [(n, p["positive_id"], (p["high"] << HALF) + p["low"]) for n, positives in enumerate(anchors["positives"]) for p in positives]
+            askers = [(n, (p["rank"], p["positive_id"]), (p["high"] << HALF) + p["low"]) for n, positives in enumerate(anchors["positives"]) for p in positives]
             anchor = np.array([n for n, _, _ in askers])
             first = np.searchsorted(anchor, np.arange(len(a) + 1))
             best = Best(k, [window(s)[0] for _, _, s in askers], wide)
@@ -205,8 +205,8 @@ def _negatives(k: int, width: int, wide: bool):
 
             meet(Tree(a, ANCHOR_LEAF), Tree(c, LEAF), matters, score)
             own = anchors["anchor_id"].to_numpy(np.int64)
-            rows = [(int(own[n]), int(p), *halves(ps), i, *halves(-s)) for (n, p, ps), found in zip(askers, best.found) for s, i in found]
-        return pd.DataFrame(rows, columns=["anchor_id", "positive_id", "p_high", "p_low", "negative_id", "high", "low"]).astype("int64")
+            rows = [(int(own[n]), *map(int, p), *halves(ps), i, *halves(-s)) for (n, p, ps), found in zip(askers, best.found) for s, i in found]
+        return pd.DataFrame(rows, columns=["anchor_id", "place", "positive_id", "p_high", "p_low", "negative_id", "high", "low"]).astype("int64")
 
     return search
 
@@ -260,7 +260,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     highest rows of other labels within :func:`window`.  Ties go to the smaller
     id.  Rows with a null id, label or vector take no part.  Vectors of different
     lengths are padded with 0.  An anchor whose id is repeated is asked once, by
-    its least label and vector; other repeated rows each count.  Scores are exact
+    its least label and vector; other repeated rows each count, also as positives.  Scores are exact
     below 2^124, and given as the nearest long.  An empty table and anchors
     without positives give no rows; other columns are ignored, whatever their names.
     """
@@ -356,6 +356,6 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     value = F.col("p.high") * 2.0**HALF + F.col("p.low")
     limits = asking.select("home", F.explode("positives").alias("p")).groupBy("home").agg(F.min(value).alias("least"), F.max(value).alias("most")).collect()
     bars = {r["home"]: (min(0.5 * r["least"], 0.95 * r["least"]) - abs(r["least"]) * ROOM - 1, 0.95 * r["most"] + abs(r["most"]) * ROOM + 1) for r in limits}
-    found = met(asking.select("anchor_id", "label", "v", "qb", "positives"), reached(bars, True)("v", "home"), _negatives(negatives, width, wide), "anchor_id long, positive_id long, p_high long, p_low long, negative_id long, high long, low long")
-    best = _best_first(found, ["anchor_id", "positive_id"], "negative_id", negatives)
+    found = met(asking.select("anchor_id", "label", "v", "qb", "positives"), reached(bars, True)("v", "home"), _negatives(negatives, width, wide), "anchor_id long, place long, positive_id long, p_high long, p_low long, negative_id long, high long, low long")
+    best = _best_first(found, ["anchor_id", "place"], "negative_id", negatives)
     return best.select("anchor_id", "positive_id", "rank", "negative_id", _score("p_high", "p_low").alias("positive_score"), _score("high", "low").alias("negative_score"))
