@@ -80,3 +80,30 @@ def test_every_number_is_read(spark, scale):
     blur = np.zeros((30, 30, 3), np.uint8)
     blur[5:14, 5:14][noise] = 255
     assert price_labels.read_labels(blur, templates, least=0.95) == []
+
+
+def test_failed_frames_report_the_last_good_calibration(spark):
+    xs, bars = FRAMES[0][2:]
+    worse = drawn(xs, bars, labels=((105, 140), (100, 240), (95, 341), (90, 440)))  # a little uneven
+    frames = [("a", 1, None), ("b", 20, drawn(xs, bars)), ("c", 25, None), ("d", 30, worse), ("e", 31, None), ("f", 32, drawn([300, 365, 500], bars)), ("g", 33, drawn(xs, bars, labels=()))]
+    got = {r.frame_id: (r.status, r.calibration_confidence) for r in run(spark, frames).frames.collect()}
+    assert [got[f][0] for f in "abcdefg"] == ["LOW_IMAGE_QUALITY", "OK", "LOW_IMAGE_QUALITY", "OK", "LOW_IMAGE_QUALITY", "TRACKING_LOST", "PRICE_SCALE_NOT_FOUND"]
+    even, uneven = got["b"][1], got["d"][1]
+    assert uneven < even and [got[f][1] for f in "aceg"] == [0.0, even, uneven, uneven]
+    assert got["f"][1] == even  # its scale was read, though the tracker lost it
+
+
+def test_a_chart_without_a_scale_says_so(spark):
+    xs, bars = FRAMES[0][2:]
+    page = vision.decode_png(bytes(drawn(xs, bars)))
+    page[60:480, 640] = vision.COLOURS["background"][0]
+    got = run(spark, [("f", 20, bytearray(vision.encode_png(page)))]).frames.first()
+    assert (got.status, got.reason) == ("PRICE_SCALE_NOT_FOUND", "PRICE_SCALE_NOT_FOUND")
+
+
+def test_pictures_are_read_once(spark):
+    images = spark.createDataFrame([(name, drawn(xs, bars)) for name, _, xs, bars in FRAMES], "image string, content binary")
+    state, seen = pipeline.priced_candles(images)
+    for df in (state, seen):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("Exchange hashpartitioning") < 15

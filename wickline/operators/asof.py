@@ -92,6 +92,21 @@ def last_known(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return line.withColumn("_right", F.last("_right", ignorenulls=True).over(within)).where("_side = 1").select("_left.*", *[F.col(f"_right.{c}").alias(c) for c in columns])
 
 
+def carried(df: DataFrame, by: list[str], time: str, tie: list[str], value: str, name: str, bucket: str = "day") -> DataFrame:
+    """``name``: the last ``value`` that is not null among the rows of ``by`` before each row.
+
+    Rows are ordered within a ``bucket`` of time; what stands before a bucket is
+    carried over the buckets, of which there is one row each.
+    """
+    at = df.withColumn("_bucket", F.date_trunc(bucket, time))
+    ends = at.groupBy(*by, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, *tie))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    opening = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_opening"))
+    before = Window.partitionBy(*by, "_bucket").orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    out = at.join(opening, [*by, "_bucket"], "left").withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(before), F.col("_opening")))
+    return out.select(*df.columns, name)
+
+
 def candles_of_frames(snapshots: DataFrame, observations: DataFrame) -> DataFrame:
     """Candles as they were reconstructed for each frame, with its frame_id."""
     return snapshots.join(observations.select("observation_id", "frame_id"), "observation_id")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickline.operators.vision import decode_png
+from wickline.operators.png import decode as decode_png
 
 # Brightness of text, size of a compared digit, least height of a label, least likeness of a digit.
 BRIGHT, SIZE, LEAST_HEIGHT, LEAST_LIKENESS = 100, (20, 14), 5, 0.58
@@ -52,13 +52,18 @@ def _inner(dots: np.ndarray) -> np.ndarray:
     return dots[np.ix_(*at)]
 
 
+def templates(font: dict[str, str]) -> dict[str, np.ndarray]:
+    """The digits of a font at the compared size."""
+    return {d: _inner(glyph(dots)) for d, dots in font.items()}
+
+
 def _stretches(on: np.ndarray) -> Iterator[tuple[int, int]]:
     """First and last place of each run of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
     yield from zip(edges[::2], edges[1::2] - 1)
 
 
-def read_labels(region: np.ndarray, templates: dict[str, np.ndarray], least: float = LEAST_LIKENESS) -> list[tuple[int, str, float]]:
+def read_labels(region: np.ndarray, digits: dict[str, np.ndarray], least: float = LEAST_LIKENESS) -> list[tuple[int, str, float]]:
     """(lowest row, digits, likeness of the least like one) of each label in a region of an image."""
     bright = region @ np.array([0.299, 0.587, 0.114]) > BRIGHT
     found = []
@@ -68,7 +73,7 @@ def read_labels(region: np.ndarray, templates: dict[str, np.ndarray], least: flo
         line, read = bright[top : bottom + 1], []
         for left, right in _stretches(line.any(axis=0)):
             shape = _inner(line[:, left : right + 1])
-            like = {d: (shape & t).sum() / (shape | t).sum() for d, t in templates.items()}
+            like = {d: (shape & t).sum() / (shape | t).sum() for d, t in digits.items()}
             read.append(max(like.items(), key=lambda x: x[1]))
         if read and min(x for _, x in read) >= least:
             found.append((int(bottom), "".join(d for d, _ in read), float(min(x for _, x in read))))
@@ -81,7 +86,7 @@ def price_labels(regions: DataFrame, font: dict[str, str] = FONT, least: float =
     The box is that of the price scale.  Images that cannot be decoded, or
     whose box does not fit, have none.
     """
-    templates = {d: _inner(glyph(dots)) for d, dots in font.items()}
+    digits = templates(font)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +94,7 @@ def price_labels(regions: DataFrame, font: dict[str, str] = FONT, least: float =
                 pixels, (x, y, w, h) = decode_png(content), box
                 if pixels is None or None in box or min(x, y) < 0 or min(w, h) < 1 or x + w > pixels.shape[1] or y + h > pixels.shape[0]:
                     continue
-                labels = read_labels(pixels[y : y + h, x : x + w], templates, least)
+                labels = read_labels(pixels[y : y + h, x : x + w], digits, least)
                 columns = [[name] * len(labels), [y + b for b, _, _ in labels], [float(t) for _, t, _ in labels], [c for _, _, c in labels]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["image", "y", "price", "confidence"])
 

@@ -1,15 +1,14 @@
 """Chart images to candles in pixels.
 
-Only decoding is per image: a picture becomes run-length rows of the few colours
-that matter.  Finding the chart, its scales and the candles is relational work
-on those rows: bounding boxes, counts per column and row, bands of neighbouring
-columns.
+``read`` takes each picture once: decoded, judged, its chart and scales found,
+the runs of its candles' colours told apart by connected region, and the labels
+of its scale read.  One row an image comes out, with nothing of the pixels but
+those runs; all that follows is relational work on such rows.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,178 +17,160 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wickline.operators.candles import bands
-from wickline.operators.capture import pixel_hash
+from wickline.operators import price_labels, regions
+from wickline.operators.png import decode as decode_png
+from wickline.operators.png import encode as encode_png
 
 # The colours of a chart (red, green, blue) and how far a pixel may be off.
 COLOURS = {"background": ((15, 23, 42), 8), "border": ((51, 65, 85), 8), "UP": ((34, 197, 94), 12), "DOWN": ((239, 68, 68), 12)}
-# Least sides of a chart, its least share of the image, least quality, and least size of a candle.
-CHART_WIDTH, CHART_HEIGHT, CHART_SHARE, IMAGE_SIDE, QUALITY = 120, 80, 0.15, 64, 0.08
-CANDLE_WIDTH, CANDLE_HEIGHT, CANDLE_AREA, BODY_SHARE = 3, 5, 8, 0.55
-_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+# Least sides of a chart, its least share of the image; least side and quality of an image, and of a candles' box.
+CHART_WIDTH, CHART_HEIGHT, CHART_SHARE, IMAGE_SIDE, QUALITY, BOX_SIDE, BOX_QUALITY = 120, 80, 0.15, 64, 0.08, 32, 0.02
+# Least size of a candle, share of its width that a row of its body fills, thresholds of an edge.
+CANDLE_WIDTH, CANDLE_HEIGHT, CANDLE_AREA, BODY_SHARE, EDGE = 3, 5, 8, 0.55, (40, 120)
 
+READ = (
+    "image string, width int, height int, image_hash string, status string, visual_quality double, x int, y int, chart_width int, chart_height int, price_scale_x int, "
+    "candles_width int, candles_height int, confidence double, box_quality double, bars array<struct<direction: string, region: int, y: int, x: int, w: int>>, "
+    "labels array<struct<y: int, price: double, confidence: double>>"
+)
 
-def decode_png(data: bytes | None) -> np.ndarray | None:
-    """Height x width x 3 bytes of an 8-bit PNG (grey, RGB or RGBA, not interlaced); None if it is none."""
-    if not data or not data.startswith(_SIGNATURE):
-        return None
-    at, head, body = len(_SIGNATURE), None, b""
-    try:
-        while at < len(data):
-            size, kind = struct.unpack(">I4s", data[at : at + 8])
-            content = data[at + 8 : at + 8 + size]
-            head, body, at = (content if kind == b"IHDR" else head), (body + content if kind == b"IDAT" else body), at + size + 12
-        width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", head)
-        channels = {0: 1, 2: 3, 6: 4}[colour]
-        if depth != 8 or interlaced:
-            return None
-        lines = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(height, width * channels + 1)
-    except (struct.error, zlib.error, KeyError, TypeError, ValueError):
-        return None
-    out, above = np.zeros((height, width * channels), dtype=np.uint8), np.zeros(width * channels, dtype=np.uint8)
-    for y, line in enumerate(lines):
-        above = out[y] = _unfiltered(int(line[0]), line[1:], above, channels)
-    pixels = out.reshape(height, width, channels)
-    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, :3]
-
-
-def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
-    if kind == 2:
-        return line + above
-    out = np.zeros(len(line) + step, dtype=np.int64)
-    up, values = np.concatenate([np.zeros(step, dtype=np.int64), above]), line.astype(np.int64)
-    for i in range(len(line)):
-        left, top, corner = out[i], up[i + step], up[i]
-        if kind == 3:
-            guess = (left + top) // 2
-        else:
-            guess = min((left, top, corner), key=lambda v: abs(left + top - corner - v))
-        out[i + step] = (values[i] + guess) & 255
-    return out[step:].astype(np.uint8)
-
-
-def encode_png(pixels: np.ndarray) -> bytes:
-    """An 8-bit RGB PNG of height x width x 3 bytes."""
-    height, width, _ = pixels.shape
-
-    def chunk(kind: bytes, content: bytes) -> bytes:
-        return struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content))
-
-    lines = np.concatenate([np.zeros((height, 1), dtype=np.uint8), pixels.reshape(height, -1).astype(np.uint8)], axis=1)
-    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
-
-
-def quality(pixels: np.ndarray) -> float:
-    """Contrast and edges, 0 to 1; edges are steep places of the grey image."""
-    if min(pixels.shape[:2]) < IMAGE_SIDE:
-        return 0.0
-    grey = pixels @ np.array([0.299, 0.587, 0.114])
-    steep = (np.abs(np.diff(grey, axis=0, prepend=grey[:1])) + np.abs(np.diff(grey, axis=1, prepend=grey[:, :1]))) > 30
-    return min(1.0, 0.55 * min(1.0, grey.std() / 48) + 0.45 * min(1.0, 8 * steep.mean()))
 
+def mask(pixels: np.ndarray, colour: str) -> np.ndarray:
+    """Where a picture has one of the chart's colours."""
+    shade, off = COLOURS[colour]
+    return (np.abs(pixels.astype(np.int16) - np.array(shade, dtype=np.int16)) <= off).all(axis=2)
+
+
+def quality(pixels: np.ndarray, side: int = IMAGE_SIDE) -> float:
+    """Contrast and edges, 0 to 1; 0 for pictures with a side below ``side``."""
+    if min(pixels.shape[:2]) < side:
+        return 0.0
+    shade = regions.grey(pixels)
+    return min(1.0, 0.55 * min(1.0, float(shade.std()) / 48) + 0.45 * min(1.0, 8 * float(regions.edges(shade, *EDGE).mean())))
+
+
+def chart_box(background: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(x, y, width, height) of the largest box around a region of background that is large enough; of equal ones the lowest."""
+    found = regions.boxes(regions.closed(background))
+    area = found[:, 2] * found[:, 3]
+    fine = np.flatnonzero((found[:, 2] >= CHART_WIDTH) & (found[:, 3] >= CHART_HEIGHT) & (area / background.size >= CHART_SHARE))
+    return tuple(map(int, found[fine[len(fine) - 1 - np.argmax(area[fine][::-1])]])) if len(fine) else None
+
+
+def scale_line(counts: np.ndarray, start: float, across: int) -> int | None:
+    """Where most border is within the outer part of a chart, if there is a fifth of the chart's extent ``across`` of it."""
+    first, last = int(len(counts) * start), max(int(len(counts) * start) + 1, int(len(counts) * 0.97))
+    at = first + int(np.argmax(counts[first:last]))
+    return at if counts[at] >= max(12, int(across * 0.2)) else None
+
+
+def read_picture(content: bytes | None, templates: dict[str, np.ndarray]) -> dict:
+    """What :func:`read` gives of one picture, without its name."""
+    out = {"status": "LOW_IMAGE_QUALITY", "visual_quality": 0.0, "confidence": 0.0, "bars": [], "labels": []}
+    pixels = decode_png(content)
+    if pixels is None:
+        return out
+    height, width = pixels.shape[:2]
+    out |= {"width": width, "height": height, "image_hash": picture_hash(pixels), "visual_quality": quality(pixels)}
+    if out["visual_quality"] < QUALITY:
+        return out
+    background = mask(pixels, "background")
+    box = chart_box(background)
+    if box is None:
+        return out | {"status": "CHART_NOT_FOUND"}
+    x, y, w, h = box
+    border = mask(pixels[y : y + h, x : x + w], "border")
+    price = scale_line(border.sum(axis=0), 0.5, h)
+    inner = w if price is None else max(1, price)
+    time = scale_line(border[:, :inner].sum(axis=1), 0.55, inner)
+    depth = h if time is None else max(1, time)
+    candles = pixels[y : y + depth, x : x + inner]
+    for direction in ("UP", "DOWN"):
+        row, start, end = regions.runs(mask(candles, direction))
+        region = regions.labelled(row, start, end)
+        out["bars"] += [{"direction": direction, "region": r, "y": b + y, "x": a + x, "w": e - a} for r, b, a, e in zip(region.tolist(), row.tolist(), start.tolist(), end.tolist())]
+    if price is not None:
+        left = x + price + 1
+        out["labels"] = [{"y": y + b, "price": float(t), "confidence": c} for b, t, c in price_labels.read_labels(pixels[y : y + h, left : max(left + 1, x + w)], templates)]
+    return out | {
+        "status": "OK", "x": x, "y": y, "chart_width": w, "chart_height": h, "price_scale_x": price, "candles_width": inner, "candles_height": depth,
+        "confidence": min(1.0, 0.55 + 0.45 * float(background[y : y + h, x : x + w].mean())), "box_quality": quality(candles, BOX_SIDE),
+    }
+
+
+def picture_hash(pixels: np.ndarray) -> str:
+    """sha256 over width and height as four big-endian bytes each and the pixels' blue, green and red."""
+    height, width = pixels.shape[:2]
+    return hashlib.sha256(width.to_bytes(4, "big") + height.to_bytes(4, "big") + np.ascontiguousarray(pixels[:, :, ::-1]).tobytes()).hexdigest()
+
+
+def read(images: DataFrame, font: dict[str, str] | None = None) -> DataFrame:
+    """One row an image (image, content), as ``READ`` says; what was read already is given back as it is.
+
+    ``status`` is that of the chart, and nothing else but the quality, size and
+    hash is known of failed ones.  Several steps that use the result should share
+    one that is written (:func:`wickline.scratch.written`).
+    """
+    if "bars" in images.columns:
+        return images
+    templates = price_labels.templates(font or price_labels.FONT)
 
-def facts(images: DataFrame) -> DataFrame:
-    """(image, width, height, visual_quality, image_hash) of images (image, content); width is null if it can't be decoded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("image").to_pylist(), batch.column("content")):
-                pixels = decode_png(content.as_py())
-                known = pixels is not None
-                row = [name, pixels.shape[1] if known else None, pixels.shape[0] if known else None, quality(pixels) if known else 0.0, pixels[:, :, ::-1].tobytes() if known else None]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.binary()))], ["image", "width", "height", "visual_quality", "pixels"])
+                yield pa.RecordBatch.from_pylist([read_picture(content.as_py(), templates) | {"image": name}], schema=kinds)
 
-    raw = images.select(F.col("image").cast("string").alias("image"), "content").mapInArrow(run, "image string, width int, height int, visual_quality double, pixels binary")
-    return raw.select("image", "width", "height", "visual_quality", pixel_hash(F.col("width"), F.col("height"), F.col("pixels")).alias("image_hash"))
+    kinds = pa.schema([
+        *((n, pa.string()) for n in ("image",)), ("width", pa.int32()), ("height", pa.int32()), ("image_hash", pa.string()), ("status", pa.string()), ("visual_quality", pa.float64()),
+        *((n, pa.int32()) for n in ("x", "y", "chart_width", "chart_height", "price_scale_x", "candles_width", "candles_height")), ("confidence", pa.float64()), ("box_quality", pa.float64()),
+        ("bars", pa.list_(pa.struct([("direction", pa.string()), *((n, pa.int32()) for n in ("region", "y", "x", "w"))]))),
+        ("labels", pa.list_(pa.struct([("y", pa.int32()), ("price", pa.float64()), ("confidence", pa.float64())]))),
+    ])
+    return images.select(F.col("image").cast("string").alias("image"), "content").mapInArrow(run, READ)
 
 
-def runs(images: DataFrame) -> DataFrame:
-    """(image, colour, y, x, w): the stretches of each row of pixels that have one of the chart's colours."""
-    names = list(COLOURS)
+def facts(images: DataFrame) -> DataFrame:
+    """(image, width, height, visual_quality, image_hash); width is null if it can't be decoded."""
+    return read(images).select("image", "width", "height", "visual_quality", "image_hash")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("image").to_pylist(), batch.column("content")):
-                pixels = decode_png(content.as_py())
-                if pixels is None:
-                    continue
-                # stretches of one exact colour first: few, and only their first pixels need a name
-                packed = pixels[:, :, 0].astype(np.int32) << 16 | pixels[:, :, 1].astype(np.int32) << 8 | pixels[:, :, 2]
-                fresh = np.ones(packed.shape, dtype=bool)
-                fresh[:, 1:] = packed[:, 1:] != packed[:, :-1]
-                y, x = np.nonzero(fresh)
-                w = np.diff(np.append(y * packed.shape[1] + x, packed.size))
-                shown, kind = pixels[y, x].astype(np.int16), np.full(len(y), -1)
-                for i, (colour, off) in enumerate(COLOURS.values()):
-                    kind[(np.abs(shown - colour) <= off).all(axis=1)] = i
-                keep = kind >= 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * int(keep.sum()), pa.string()), pa.array([names[k] for k in kind[keep]], pa.string()), pa.array(y[keep], pa.int32()), pa.array(x[keep], pa.int32()), pa.array(w[keep], pa.int32())],
-                    ["image", "colour", "y", "x", "w"],
-                )
-
-    return images.select(F.col("image").cast("string").alias("image"), "content").mapInArrow(run, "image string, colour string, y int, x int, w int")
-
-
-def charts(images: DataFrame, pixel_runs: DataFrame | None = None) -> DataFrame:
+
+def charts(images: DataFrame) -> DataFrame:
     """One row an image: status, chart box, right end and lower end of the candles' box, confidence and quality.
 
-    The chart is the box around the background.  Its price scale is the column,
-    and its time scale the row, with the most border in the outer part.
+    The chart is the largest box around a connected region of background.  Its
+    price scale is the column, and its time scale the row, with the most border in the outer part.
     """
-    found = pixel_runs if pixel_runs is not None else runs(images)
-    box = found.where("colour = 'background'").groupBy("image").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("chart_width"), (F.max("y") + 1 - F.min("y")).alias("chart_height"), F.sum("w").alias("filled"))
-    edge = found.where("colour = 'border'").select("image", F.col("y").alias("by"), F.col("x").alias("bx"), "w").join(box, "image").where((F.col("by") >= F.col("y")) & (F.col("by") < F.col("y") + F.col("chart_height")))
-    first_most = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("n"), "at"))
-
-    columns = edge.select("image", "x", "chart_width", "chart_height", F.explode(F.sequence(F.col("bx"), F.col("bx") + F.col("w") - 1)).alias("at")).withColumn("at", F.col("at") - F.col("x"))
-    columns = columns.where((F.col("at") >= F.floor(F.col("chart_width") * 0.5)) & (F.col("at") < F.floor(F.col("chart_width") * 0.97)))
-    price = columns.groupBy("image", "at", "chart_height").agg(F.count("*").alias("n")).where(F.col("n") >= F.greatest(F.lit(12), F.floor(F.col("chart_height") * 0.2)))
-    price = price.withColumn("r", first_most).where("r = 1").select("image", F.col("at").alias("price_scale_x"))
-
-    left = edge.join(price, "image", "left").withColumn("inner", F.coalesce("price_scale_x", "chart_width"))
-    cut = F.least(F.col("bx") + F.col("w"), F.col("x") + F.col("inner")) - F.greatest("bx", "x")
-    lines = left.where(cut > 0).groupBy("image", (F.col("by") - F.col("y")).alias("at"), "inner", "chart_height").agg(F.sum(cut).alias("n"))
-    lines = lines.where((F.col("at") >= F.floor(F.col("chart_height") * 0.55)) & (F.col("at") < F.floor(F.col("chart_height") * 0.97)) & (F.col("n") >= F.greatest(F.lit(12), F.floor(F.col("inner") * 0.2))))
-    time = lines.withColumn("r", first_most).where("r = 1").select("image", F.col("at").alias("time_scale_y"))
-
-    out = facts(images).join(box, "image", "left").join(price, "image", "left").join(time, "image", "left")
-    area = F.col("chart_width") * F.col("chart_height")
-    large = (F.col("chart_width") >= CHART_WIDTH) & (F.col("chart_height") >= CHART_HEIGHT) & (area / (F.col("width") * F.col("height")) >= CHART_SHARE)
-    status = F.when(F.col("visual_quality") < QUALITY, "LOW_IMAGE_QUALITY").when(~F.coalesce(large, F.lit(False)), "CHART_NOT_FOUND").otherwise("OK")
-    return out.withColumn("status", status).select(
-        "image", "status", "visual_quality", "image_hash", "x", "y", "chart_width", "chart_height", "price_scale_x", F.coalesce("price_scale_x", "chart_width").alias("candles_width"), F.coalesce("time_scale_y", "chart_height").alias("candles_height"),
-        F.when(F.col("status") == "OK", F.least(F.lit(1.0), 0.55 + 0.45 * F.col("filled") / area)).otherwise(0.0).alias("confidence"),
-    )
+    return read(images).select("image", "status", "visual_quality", "image_hash", "x", "y", "chart_width", "chart_height", "price_scale_x", "candles_width", "candles_height", "confidence")
 
 
 def visual_candles(images: DataFrame) -> DataFrame:
     """(image, x, direction, body_top, body_bottom, upper_top, lower_bottom, width, confidence) of every candle in a chart.
 
-    A candle is a band of neighbouring columns of one colour.  Its body are the
-    rows that fill most of the band, from the first to the last; wicks reach
-    beyond.  Charts with a failed status have no candles.
+    A candle is a connected region of one colour.  Its body reaches from the first
+    to the last row that fills most of the region's width; wicks reach beyond.
+    Charts with a failed status, and boxes of too low a quality, have no candles.
     """
-    found = runs(images)
-    box = charts(images, found).where("status = 'OK'").select("image", F.col("x").alias("cx"), F.col("y").alias("cy"), "candles_width", "candles_height")
-    body = found.where(F.col("colour").isin("UP", "DOWN")).join(box, "image").where((F.col("y") >= F.col("cy")) & (F.col("y") < F.col("cy") + F.col("candles_height")))
-    columns = body.select("image", "colour", "y", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("px"), "cx", "candles_width").where((F.col("px") >= F.col("cx")) & (F.col("px") < F.col("cx") + F.col("candles_width")))
-    stretch = bands(columns, ["image", "colour"], "px").withColumnsRenamed({"start": "left", "end": "right"})
-    rows = columns.join(stretch, ["image", "colour"]).where(F.col("px").between(F.col("left"), F.col("right")))
-    lines = rows.groupBy("image", "colour", "left", "right", "y").agg(F.count("*").alias("n"), F.min("px").alias("first"), F.max("px").alias("last"))
-    wide = F.col("n") >= F.greatest(F.lit(2), F.ceil((F.col("right") - F.col("left") + 1) * BODY_SHARE))
-    whole = lines.groupBy("image", "colour", "left", "right").agg(
-        F.min("y").alias("top"), F.max("y").alias("bottom"), F.sum("n").alias("area"), F.min(F.when(wide, F.col("y"))).alias("body_top"), F.max(F.when(wide, F.col("y"))).alias("body_bottom"),
-        F.min(F.when(wide, F.col("first"))).alias("body_left"), F.max(F.when(wide, F.col("last"))).alias("body_right"),
+    bars = read(images).where((F.col("status") == "OK") & (F.col("box_quality") >= BOX_QUALITY)).select("image", F.explode("bars").alias("b")).select("image", "b.*")
+    of = ["image", "direction", "region"]
+    # an image's rows stay together from here on: all later groups and windows are within it
+    lines = bars.repartition("image").groupBy(*of, "y").agg(F.sum("w").alias("n"), F.min("x").alias("first"), F.max(F.col("x") + F.col("w") - 1).alias("last"))
+    whole = Window.partitionBy(*of)
+    left, right = F.min("first").over(whole), F.max("last").over(whole)
+    wide = F.col("n") >= F.greatest(F.lit(2), F.ceil((right - left + 1) * BODY_SHARE))
+    lines = lines.withColumn("wide", wide)
+    top, bottom = F.min(F.when(F.col("wide"), F.col("y"))).over(whole), F.max(F.when(F.col("wide"), F.col("y"))).over(whole)
+    lines = lines.withColumn("inside", F.col("y").between(top, bottom))
+    inside = F.col("inside")
+    found = lines.groupBy(*of).agg(
+        F.min("first").alias("left"), F.max("last").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"), F.sum("n").alias("area"),
+        F.min(F.when(inside, F.col("y"))).alias("body_top"), F.max(F.when(inside, F.col("y"))).alias("body_bottom"),
+        F.min(F.when(inside, F.col("first"))).alias("body_left"), F.max(F.when(inside, F.col("last"))).alias("body_right"),
     )
     width, height, body_width = F.col("right") - F.col("left") + 1, F.col("bottom") - F.col("top") + 1, F.col("body_right") - F.col("body_left") + 1
-    whole = whole.where((width >= CANDLE_WIDTH) & (height >= CANDLE_HEIGHT) & (F.col("area") >= CANDLE_AREA) & F.col("body_top").isNotNull() & (body_width >= CANDLE_WIDTH))
+    found = found.where((width >= CANDLE_WIDTH) & (height >= CANDLE_HEIGHT) & (F.col("area") >= CANDLE_AREA) & F.col("body_top").isNotNull() & (body_width >= CANDLE_WIDTH))
     confidence = F.least(F.lit(1.0), 0.65 + 0.2 * F.least(F.lit(1.0), body_width / 8.0) + 0.15 * F.least(F.lit(1.0), F.col("area") / (width * height)))
-    return whole.select(
-        "image", (F.col("body_left") + F.floor(body_width / 2)).cast("int").alias("x"), F.col("colour").alias("direction"), "body_top", "body_bottom",
+    return found.select(
+        "image", (F.col("body_left") + F.floor(body_width / 2)).cast("int").alias("x"), "direction", "body_top", "body_bottom",
         F.when(F.col("top") < F.col("body_top"), F.col("top")).alias("upper_top"), F.when(F.col("bottom") > F.col("body_bottom"), F.col("bottom")).alias("lower_bottom"), body_width.cast("int").alias("width"), confidence.alias("confidence"),
     )
 
@@ -199,23 +180,30 @@ def region_fits(x: Column, y: Column, width: Column, height: Column, image_width
     return (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= image_width) & (y + height <= image_height)
 
 
+def box_of(pixels: np.ndarray | None, box: list) -> np.ndarray | None:
+    """The pixels within (x, y, width, height), or None where they do not fit."""
+    if pixels is None or None in box:
+        return None
+    x, y, w, h = box
+    fits = min(x, y) >= 0 < min(w, h) and x + w <= pixels.shape[1] and y + h <= pixels.shape[0]
+    return pixels[y : y + h, x : x + w] if fits else None
+
+
 def cropped(images: DataFrame) -> DataFrame:
     """Images (image, content, x, y, width, height) cut to their box and encoded again; content is null where the box does not fit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content, *box in zip(*(batch.column(c).to_pylist() for c in ("image", "content", "x", "y", "width", "height"))):
-                pixels, (x, y, w, h) = decode_png(content), box
-                fits = pixels is not None and None not in box and min(x, y) >= 0 < min(w, h) and x + w <= pixels.shape[1] and y + h <= pixels.shape[0]
-                out = encode_png(pixels[y : y + h, x : x + w]) if fits else None
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([out], pa.binary())], ["image", "content"])
+                inside = box_of(decode_png(content), box)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([None if inside is None else encode_png(inside)], pa.binary())], ["image", "content"])
 
     return images.select(F.col("image").cast("string").alias("image"), "content", "x", "y", "width", "height").mapInArrow(run, "image string, content binary")
 
 
 def observe(images: DataFrame) -> DataFrame:
-    """One row an image: status of the chart, or CANDLE_DETECTION_FAILED without candles; candles as an array; least confidence."""
-    chart = charts(images).select("image", "status", "visual_quality", F.col("confidence").alias("_chart"))
-    seen = visual_candles(images).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width", "confidence"))).alias("candles"), F.avg("confidence").alias("_candles"))
-    out = chart.join(seen, "image", "left")
-    status = F.when((F.col("status") == "OK") & F.col("candles").isNull(), "CANDLE_DETECTION_FAILED").otherwise(F.col("status"))
-    return out.select("image", status.alias("status"), "visual_quality", "candles", F.when(status == "OK", F.least("_chart", "_candles")).otherwise(0.0).alias("confidence"))
+    """One row an image: status of the chart, else that of its candles; candles as an array; least confidence and quality."""
+    seen = read(images)
+    candles = visual_candles(seen).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width", "confidence"))).alias("candles"), F.avg("confidence").alias("_candles"))
+    out = seen.select("image", "status", "visual_quality", "box_quality", F.col("confidence").alias("_chart")).join(candles, "image", "left")
+    status = F.when(F.col("status") != "OK", F.col("status")).when(F.col("box_quality") < BOX_QUALITY, "LOW_IMAGE_QUALITY").when(F.col("candles").isNull(), "CANDLE_DETECTION_FAILED").otherwise("OK")
+    return out.select("image", status.alias("status"), F.least("visual_quality", "box_quality").alias("visual_quality"), "candles", F.when(status == "OK", F.least("_chart", "_candles")).otherwise(0.0).alias("confidence"))

@@ -41,7 +41,7 @@ CTE = {
     "matches": ("truth recon", """SELECT t.*, r.close IS NOT NULL AS detected, r.open AS r_open, r.high AS r_high, r.low AS r_low, r.close AS r_close FROM truth t LEFT JOIN
         (SELECT session_id, open_time, arg_max(open, a) AS open, arg_max(high, a) AS high, arg_max(low, a) AS low, arg_max(close, a) AS close FROM recon GROUP BY ALL) r USING (session_id, open_time)"""),
     "anchors": ("bars", """SELECT session_id, day, k * 100 AS y, 500.0::DOUBLE - k * 10.0::DOUBLE - CASE WHEN day(day) % 4 = 0 AND k = 3 THEN 7.5 ELSE 0.0 END::DOUBLE AS price, 0.9::DOUBLE + k * 0.01::DOUBLE AS confidence FROM
-        (SELECT session_id, date_trunc('day', open_time)::TIMESTAMP AS day, row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS k FROM bars) WHERE k <= 4"""),
+        (SELECT session_id, date_trunc('day', open_time)::TIMESTAMP AS day, row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS k FROM bars)"""),
     "sess": ("ticks", "SELECT session_id, min(ts) AS origin_time, CASE WHEN session_id = 'signup' THEN 'LEGACY_UNKNOWN' ELSE 'TRACKED' END AS tracking_state FROM ticks GROUP BY session_id"),
     "pols": ("sess", f"SELECT 'p-' || session_id AS policy_id, session_id, {HORIZON} AS horizon, CASE WHEN session_id = 'view' THEN origin_time + INTERVAL 10 DAY ELSE origin_time END AS bound_at FROM sess WHERE session_id <> 'click'"),
     "horizons": ("closed", f"""SELECT session_id, open_time AS reference_open_time, close_time AS reference_close_time, close AS reference_close, lead(open_time, {HORIZON}) OVER w AS final_open_time, lead(close_time, {HORIZON}) OVER w AS final_close_time, lead(close, {HORIZON}) OVER w AS final_close
@@ -55,6 +55,9 @@ CTE = {
     "bins": ("good", """SELECT policy_id, bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(CASE WHEN market_state = realized_state THEN 1.0 ELSE 0.0 END) AS observed_accuracy FROM
         (SELECT *, least(floor(confidence::DECIMAL(20, 10) * 5), 4)::INTEGER AS bin FROM good WHERE market_state <> 'UNCERTAIN') GROUP BY policy_id, bin"""),
     "allbins": ("bins", """SELECT g.policy_id, b.bin, coalesce(n, 0) AS n, mean_confidence, observed_accuracy, abs(mean_confidence - observed_accuracy) AS absolute_gap FROM (SELECT DISTINCT policy_id FROM good) g CROSS JOIN (SELECT unnest(range(5))::INTEGER AS bin) b LEFT JOIN bins USING (policy_id, bin)"""),
+    # the dark bars of a day's hours, and by which hours of the day each is reached
+    "cells": ("bars", """SELECT session_id || '/' || strftime(open_time, '%Y%m%d') AS image, hour(open_time) AS hour, floor(low / 12)::INTEGER AS a, floor(high / 12)::INTEGER AS b FROM bars"""),
+    "reach": ("cells", """SELECT image, hour, hour AS root, a, b FROM cells UNION SELECT n.image, n.hour, r.root, n.a, n.b FROM reach r JOIN cells n ON n.image = r.image AND abs(n.hour - r.hour) = 1 AND n.a <= r.b + 1 AND r.a <= n.b + 1"""),
     "orderbars": ("", """SELECT o_orderpriority AS session_id, date_trunc('day', o_orderdate)::TIMESTAMP AS open_time, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close FROM orders GROUP BY ALL"""),
 }
 
@@ -71,7 +74,7 @@ def sql(body: str, *needs: str) -> str:
 
     for need in needs:
         want(need)
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, (_, text) in CTE.items() if name in wanted) + "\n" + body
+    return "WITH RECURSIVE " * ("reach" in wanted) + "WITH " * ("reach" not in wanted) + ",\n".join(f"{name} AS ({text})" for name, (_, text) in CTE.items() if name in wanted) + "\n" + body
 
 
 _RATE = "coalesce({} / nullif({}::DOUBLE, 0), 0.0)"
@@ -127,7 +130,7 @@ ORACLE_SQL = {
     "bands": sql("SELECT session_id, min(h) AS start, max(h) AS \"end\" FROM (SELECT session_id, h, h - row_number() OVER (PARTITION BY session_id ORDER BY h) AS g FROM (SELECT DISTINCT session_id, date_diff('hour', TIMESTAMP '2024-01-01', open_time) AS h FROM bars)) GROUP BY session_id, g", "bars"),
     "frame_change_flags": sql("SELECT session_id, frame_id, image_hash, coalesce(image_hash <> lag(image_hash) OVER (PARTITION BY session_id ORDER BY ts, frame_id), false) AS changed FROM (SELECT session_id, seq AS frame_id, ts, sha256(floor(price / 10)::BIGINT::VARCHAR) AS image_hash FROM ticks)", "ticks"),
     "price_interpolation": sql("""SELECT t.session_id, t.seq, t.y, round(CASE WHEN t.y = y0 THEN p0 ELSE p0 + (p1 - p0) * (t.y - y0) / (y1 - y0) END, 9) AS price, CASE WHEN y0 IS NULL THEN 'Y_OUTSIDE_CALIBRATED_RANGE' END AS reason
-        FROM (SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS day, seq, seq % 450 + 50 AS y FROM ticks) t LEFT JOIN (SELECT session_id, day, y AS y0, price AS p0, lead(y) OVER w AS y1, lead(price) OVER w AS p1 FROM anchors WINDOW w AS (PARTITION BY session_id, day ORDER BY y)) s
+        FROM (SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS day, seq, seq % 2450 + 50 AS y FROM ticks) t LEFT JOIN (SELECT session_id, day, y AS y0, price AS p0, lead(y) OVER w AS y1, lead(price) OVER w AS p1 FROM anchors WINDOW w AS (PARTITION BY session_id, day ORDER BY y)) s
         ON s.session_id = t.session_id AND s.day = t.day AND (t.y = y0 OR (y0 < t.y AND t.y < y1))""", "anchors", "ticks"),
     "anchor_calibration": sql("""SELECT session_id, day, n AS anchors, min_y::INTEGER AS min_y, max_y::INTEGER AS max_y, CASE WHEN reason IS NULL THEN CASE WHEN falls THEN 'PRICE_INCREASES_UP' ELSE 'PRICE_INCREASES_DOWN' END END AS orientation, CASE WHEN reason IS NULL THEN round(least_c * greatest(0.0, 1 - dev), 9) END AS confidence, reason FROM
         (SELECT *, CASE WHEN n < 2 THEN 'INSUFFICIENT_PRICE_ANCHORS' WHEN NOT falls AND NOT rises THEN 'NON_MONOTONIC_PRICE_ANCHORS' WHEN dev > 0.05 THEN 'INCONSISTENT_PRICE_ANCHORS' END AS reason FROM
@@ -157,6 +160,16 @@ ORACLE_SQL = {
     "chart_prices": sql(f"""SELECT image, x::INTEGER AS x, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction, {", ".join(f"CASE WHEN {y} BETWEEN 100 AND 340 THEN round(500.0::DOUBLE - ({y} - 100) / 0.6::DOUBLE, 6) END AS {name}" for name, y in (("open", "(CASE WHEN up THEN bottom ELSE top END)"), ("high", "high"), ("low", "low"), ("close", "(CASE WHEN up THEN top ELSE bottom END)")))} FROM
         (SELECT session_id || '/' || strftime(open_time, '%Y%m%d') AS image, 100 + 22 * row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS x, close >= open AS up, 100 + floor((500.0::DOUBLE - high) * 0.6::DOUBLE)::INTEGER AS high, 100 + floor((500.0::DOUBLE - low) * 0.6::DOUBLE)::INTEGER AS low,
                 100 + floor((500.0::DOUBLE - greatest(open, close)) * 0.6::DOUBLE)::INTEGER AS top, 100 + floor((500.0::DOUBLE - least(open, close)) * 0.6::DOUBLE)::INTEGER AS bottom FROM bars) WHERE low - high + 1 >= 5""", "bars"),
+    "chart_regions": sql("""SELECT image, CASE WHEN w IS NULL THEN 'CHART_NOT_FOUND' ELSE 'OK' END AS status, x, y, w AS chart_width, h AS chart_height FROM (SELECT DISTINCT image FROM cells) LEFT JOIN
+        (SELECT image, arg_max(x, (w * h, y)) AS x, arg_max(y, (w * h, y)) AS y, arg_max(w, (w * h, y)) AS w, arg_max(h, (w * h, y)) AS h FROM
+            (SELECT image, root, CAST(min(a) * 16 AS INTEGER) AS x, CAST(min(hour) * 16 AS INTEGER) AS y, CAST((max(b) - min(a) + 1) * 16 AS INTEGER) AS w, CAST((max(hour) - min(hour) + 1) * 16 AS INTEGER) AS h
+             FROM (SELECT image, hour, min(root) AS root FROM reach GROUP BY image, hour) JOIN cells USING (image, hour) GROUP BY image, root)
+         WHERE w >= 120 AND h >= 80 AND w * h >= 0.15 * 400 * 704 GROUP BY image) USING (image)""", "reach"),
+    "touching_bars": sql("""SELECT image, x::INTEGER AS x, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction, top AS body_top, bottom AS body_bottom, CASE WHEN high < top THEN high END AS upper_top, CASE WHEN low > bottom THEN low END AS lower_bottom, 13 AS width FROM
+        (SELECT image, x, up, (b + floor((500.0::DOUBLE - high) * 0.3::DOUBLE))::INTEGER AS high, (b + floor((500.0::DOUBLE - low) * 0.3::DOUBLE))::INTEGER AS low,
+                (b + floor((500.0::DOUBLE - greatest(open, close)) * 0.3::DOUBLE))::INTEGER AS top, (b + floor((500.0::DOUBLE - least(open, close)) * 0.3::DOUBLE))::INTEGER AS bottom FROM
+            (SELECT *, close >= open AS up, 100 + 10 * k AS x, 80 + 180 * (k % 2) AS b FROM
+                (SELECT *, session_id || '/' || strftime(open_time, '%Y%m%d') AS image, row_number() OVER (PARTITION BY session_id, date_trunc('day', open_time) ORDER BY open_time) AS k FROM bars))) WHERE low - high + 1 >= 5""", "bars"),
     "order_series_features": sql("""SELECT session_id, open_time, open, high, low, close, CASE WHEN k >= 5 AND count(ch) OVER v = 4 THEN round(stddev_pop(ch) OVER v, 9) END AS volatility,
         CASE WHEN k > 2 THEN CASE WHEN min(up) OVER p = 1 THEN 'RISING_STRUCTURE' WHEN min(down) OVER p = 1 THEN 'FALLING_STRUCTURE' ELSE 'MIXED_STRUCTURE' END END AS trend,
         CASE WHEN k >= 4 AND first_value(close) OVER v <> 0 THEN NOT (min(up) OVER q = 1) AND NOT (min(down) OVER q = 1) AND (max(high) OVER v - min(low) OVER v) / abs(first_value(close) OVER v) <= 1.5 END AS "lateral" FROM

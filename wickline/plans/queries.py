@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from wickline import schema
 from wickline.config import AnalysisConfig
 from wickline.operators import asof, candles, capture, classify, features, outcome, pipeline, price_labels, price_scale, reconstruction, replay, store, vision
+from wickline.scratch import written
 from wickline.sources import readers
 
 SESSION = ["session_id"]
@@ -235,10 +236,10 @@ def frame_change_flags(spark, sf):
 
 
 def _anchors(spark, sf):
-    """A price scale for each session and day: anchors at y = 100, 200, ...; some are broken."""
+    """A price scale for each session and day: an anchor for each candle at y = 100, 200, ...; some are broken."""
     c = candles_from_ticks(spark, sf).withColumn("day", F.date_trunc("day", "open_time").cast("timestamp_ntz"))
     w = Window.partitionBy("session_id", "day").orderBy("open_time")
-    c = c.withColumn("k", F.row_number().over(w)).where("k <= 4")
+    c = c.withColumn("k", F.row_number().over(w))
     bend = F.when((F.dayofmonth("day") % 4 == 0) & (F.col("k") == 3), 7.5).otherwise(0.0)
     return c.select("session_id", "day", (F.col("k") * 100).alias("y"), (F.lit(500.0) - F.col("k") * 10.0 - bend).alias("price"), (F.lit(0.9) + F.col("k") * 0.01).alias("confidence"))
 
@@ -248,7 +249,7 @@ def anchor_calibration(spark, sf):
 
 
 def price_interpolation(spark, sf):
-    points = ticks(spark, sf).select("session_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "seq", (F.col("seq") % 450 + 50).alias("y"))
+    points = ticks(spark, sf).select("session_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "seq", (F.col("seq") % 2450 + 50).alias("y"))
     return price_scale.prices_at(points, _anchors(spark, sf), ["session_id", "day"]).select("session_id", "seq", "y", F.round("price", 9).alias("price"), "reason")
 
 
@@ -372,12 +373,14 @@ def _pictures(spark, sf):
     return bars.mapInArrow(draw, "image string, content binary")
 
 
+def _read_pictures(spark, sf):
+    """What was read of the pictures, each drawn and decoded once."""
+    return written(vision.read(_pictures(spark, sf)), "pictures")
+
+
 def chart_prices(spark, sf):
     """The same candles in prices, by the labels read from each chart's scale; null beyond the labels."""
-    images = _pictures(spark, sf)
-    anchors = price_labels.price_labels(pipeline.scale_regions(images, vision.charts(images)))
-    priced = price_scale.map_candles(vision.visual_candles(images), anchors, ["image"], price_scale.calibrate(anchors, ["image"]))
-    return priced.select("image", "x", "direction", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")])
+    return pipeline.priced(_read_pictures(spark, sf)).select("image", "x", "direction", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")])
 
 
 def chart_reading(spark, sf):
@@ -385,6 +388,53 @@ def chart_reading(spark, sf):
     return vision.visual_candles(_pictures(spark, sf)).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
 
 
+def _pages(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """A white page for each image of rectangles (image, x, y, w, h, colour), drawn in the order of ``z``."""
+    shape = F.struct("z", "x", "y", "w", "h", "colour")
+    shapes = rows.groupBy("image").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))  # those of one day's candles
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for image, some in zip(batch.column("image").to_pylist(), batch.column("shapes").to_pylist()):
+                page = np.full((height, width, 3), 255, dtype=np.uint8)
+                for s in some:
+                    page[s["y"] : s["y"] + s["h"], s["x"] : s["x"] + s["w"]] = vision.COLOURS[s["colour"]][0]
+                yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([vision.encode_png(page)], pa.binary())], ["image", "content"])
+
+    return shapes.mapInArrow(draw, "image string, content binary")
+
+
+def chart_regions(spark, sf):
+    """The largest connected region of pages on which the hours of a day are dark bars that may touch those of the hours beside."""
+    c = candles_from_ticks(spark, sf)
+    left, right = F.floor(F.col("low") / 12).cast("int"), F.floor(F.col("high") / 12).cast("int")
+    bars = c.select(
+        F.concat_ws("/", "session_id", F.date_format("open_time", "yyyyMMdd")).alias("image"), F.lit(0).alias("z"), (left * 16).alias("x"), (F.hour("open_time") * 16).alias("y"),
+        ((right - left + 1) * 16).alias("w"), F.lit(16).alias("h"), F.lit("background").alias("colour"),
+    )
+    return vision.charts(_pages(bars, 400, 704)).select("image", "status", "x", "y", "chart_width", "chart_height")
+
+
+def touching_bars(spark, sf):
+    """Candles read from charts whose bars share columns with their neighbours, but touch none."""
+    c = candles_from_ticks(spark, sf).withColumn("image", F.concat_ws("/", "session_id", F.date_format("open_time", "yyyyMMdd")))
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("image").orderBy("open_time")))
+
+    def y_of(price):
+        return (F.lit(80) + (F.col("k") % 2) * 180 + F.floor((F.lit(500.0) - price) * 0.3)).cast("int")
+
+    x, top, bottom = F.col("k") * 10 + 100, y_of(F.greatest("open", "close")), y_of(F.least("open", "close"))
+    colour = F.when(F.col("close") >= F.col("open"), "UP").otherwise("DOWN")
+    parts = [(0, x - 6, top, F.lit(13), bottom - top + 1), (1, x, y_of(F.col("high")), F.lit(1), y_of(F.col("low")) - y_of(F.col("high")) + 1)]
+    shapes = F.array(*[F.struct((F.lit(z) + 2).alias("z"), *[v.cast("int").alias(n) for n, v in zip("xywh", part)], colour.alias("colour")) for z, *part in parts])
+    bars = c.select("image", F.explode(shapes).alias("s")).select("image", "s.*")
+    page = c.select("image").distinct().select("image", F.lit(0).alias("z"), F.lit(60).alias("x"), F.lit(60).alias("y"), F.lit(420).alias("w"), F.lit(400).alias("h"), F.lit("background").alias("colour"))
+    return vision.visual_candles(_pages(bars.unionByName(page), 500, 520)).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
+
+
 def order_series_features(spark, sf):
     """The structural features of daily candles of the orders, by priority."""
     c = candles.candles(readers.daily_ticks(spark, sf, "orders")).withColumn("is_closed", F.lit(True))
@@ -445,6 +495,6 @@ _ALL = (
     hh_hl_lh_ll, basic_trend, basic_lateralization, data_quality, last_closed, analysis_decision, analysis_evidence, analysis_dense, reconstruction_match, reconstruction_metrics, normalize_dedup,
     ohlc_reject_reasons, bands, frame_change_flags, price_interpolation, anchor_calibration, spacing_shift_median, exposure_frontier, policy_registration, policy_eligibility, outcome_reference,
     outcome_horizon, outcome_state, outcome_evidence, availability_status, confusion_matrix, precision_recall, coverage, confidence_calibration, calibration_gap, chart_reading, order_series_features, lineitem_candles,
-    chart_prices, capture_cadence, conflict_fold, exact_returns, exact_volatility, tracked_frames,
+    chart_prices, chart_regions, touching_bars, capture_cadence, conflict_fold, exact_returns, exact_volatility, tracked_frames,
 )
 QUERIES = {f.__name__: f for f in _ALL}
