@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickline.config import timeframe_seconds
+from wickline.operators import halo
 from wickline.schema import ohlc_rules
 
 BUCKET = ["session_id", "open_time"]
@@ -33,8 +34,8 @@ def snapshots(ticks: DataFrame) -> DataFrame:
 
     A tick shows its bucket's candle open, with the values so far.  The first
     tick of the session's next bucket that is not empty shows it closed.  The
-    cumulative windows are per bucket, and only whole candles are ordered per
-    session, so a busy session is spread over its buckets.
+    cumulative windows are per bucket, and the candle that follows is looked for
+    within a day and its successor, so a busy session is spread over its buckets.
     """
     so_far = Window.partitionBy(*BUCKET).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     growing = ticks.select(
@@ -42,8 +43,7 @@ def snapshots(ticks: DataFrame) -> DataFrame:
         F.first("price").over(so_far).alias("open"), F.max("price").over(so_far).alias("high"), F.min("price").over(so_far).alias("low"), F.col("price").alias("close"),
         F.lit(False).alias("is_closed"), F.when(F.count("confidence").over(so_far) == F.count("*").over(so_far), F.min("confidence").over(so_far)).alias("confidence"),
     )
-    following = Window.partitionBy("session_id").orderBy("open_time")
-    closing = candles(ticks).withColumns({"ts": F.lead("first_ts").over(following), "seq": F.lead("first_seq").over(following)}).where("seq is not null")
+    closing = halo.over(candles(ticks), ["session_id"], "open_time", lambda df, w: df.withColumns({"ts": F.lead("first_ts").over(w), "seq": F.lead("first_seq").over(w)}), after=1).where("seq is not null")
     return growing.unionByName(closing.select(*BUCKET, "ts", "seq", "open", "high", "low", "close", F.lit(True).alias("is_closed"), "confidence"))
 
 

@@ -51,12 +51,9 @@ def decide(measured: DataFrame, config: AnalysisConfig, persisted: bool = False)
     return out.withColumn("evidence", evidence(config, persisted))
 
 
-def measured(closed: DataFrame, by: list[str], config: AnalysisConfig) -> DataFrame:
-    """Trend, lateral, quality and number of closed candles as of each closed candle."""
-    out = features.trend(closed, by, config.trend_pairs)
-    out = features.lateral(out, by, config.lateral_window, float(config.lateral_max_range))
-    out = features.quality(out, by, config.needed)
-    return out.withColumn("closed", F.row_number().over(features.ordered(by)))
+def measured(closed: DataFrame, by: list[str], config: AnalysisConfig, bucket: str | None = "day") -> DataFrame:
+    """Trend, lateral, quality and number of closed candles (as far as they matter) as of each closed candle."""
+    return features.structural(closed, by, trend=config.trend_pairs, lateral=(config.lateral_window, float(config.lateral_max_range)), quality=config.needed, count=True, bucket=bucket)
 
 
 def analyze(snapshots: DataFrame, requests: DataFrame, config: AnalysisConfig, persisted: bool = False) -> DataFrame:
@@ -70,7 +67,7 @@ def analyze(snapshots: DataFrame, requests: DataFrame, config: AnalysisConfig, p
     requests = requests.select(*by).distinct()
     known = asof.recent_closed(snapshots, requests, config.needed)
     last = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("open_time")))
-    at_end = measured(known, by, config).withColumn("_last", last).where("_last = 1").select(*by, "closed", "trend", "lateral", "quality")
+    at_end = measured(known, by, config, bucket=None).withColumn("_last", last).where("_last = 1").select(*by, "closed", "trend", "lateral", "quality")
     return decide(requests.join(at_end, by, "left").withColumn("closed", F.coalesce("closed", F.lit(0))), config, persisted)
 
 

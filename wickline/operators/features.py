@@ -1,7 +1,9 @@
 """Market features over candles in order of open_time.
 
 Windows count candles, never clock time, and are computed per ``by`` (a session,
-or a session and an as-of instant).  Undefined is null, never False or 0.
+or a session and an as-of instant), in buckets of time into which the candles
+that a window reaches back to are copied (:mod:`wickline.operators.halo`); small
+groups need no buckets.  Undefined is null, never False or 0.
 ``structural`` features run over closed candles only; ``pairwise`` ones over all
 rows, null where a side is still open.
 """
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from wickline.operators import halo
+
 RISING, FALLING, MIXED = "RISING_STRUCTURE", "FALLING_STRUCTURE", "MIXED_STRUCTURE"
 
 
@@ -44,10 +48,12 @@ def structure(w: WindowSpec, both_closed: bool = False) -> dict[str, Column]:
     return out
 
 
-def pairwise(candles: DataFrame, by: list[str]) -> DataFrame:
+def pairwise(candles: DataFrame, by: list[str], bucket: str | None = "day") -> DataFrame:
     """All pairwise features of every candle."""
-    w = ordered(by)
-    return candles.withColumns({"direction": direction(), "amplitude": amplitude(), "return": simple_return(w)} | structure(w, both_closed=True))
+    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumns({"direction": direction(), "amplitude": amplitude(), "return": simple_return(w)} | structure(w, both_closed=True))
+
+    return halo.over(candles, by, "open_time", add, before=1, bucket=bucket)
 
 
 def closed_only(candles: DataFrame) -> DataFrame:
@@ -59,46 +65,88 @@ def _window(least: int, name: str, value: int) -> None:
         raise ValueError(f"{name} must be a whole number of {least} or more")
 
 
-def volatility(closed: DataFrame, by: list[str], window: int) -> DataFrame:
-    """``volatility``: population deviation of the returns within the last ``window`` closed candles."""
-    _window(3, "window", window)
-    w = ordered(by)
-    before = F.lag("close").over(w)
+def _volatility(df: DataFrame, w: WindowSpec, window: int) -> DataFrame:
+    before, step = F.lag("close").over(w), halo.fresh("_change", df)
     change = (F.col("close") - before) / F.nullif(before, F.lit(0).cast("double"))
     inside = w.rowsBetween(-(window - 2), 0)
-    full = (F.row_number().over(w) >= window) & (F.count("_change").over(inside) == window - 1)
-    return closed.withColumn("_change", change).withColumn("volatility", F.when(full, F.stddev_pop("_change").over(inside))).drop("_change")
+    full = (F.row_number().over(w) >= window) & (F.count(step).over(inside) == window - 1)
+    return df.withColumn(step, change).withColumn("volatility", F.when(full, F.stddev_pop(step).over(inside))).drop(step)
 
 
-def trend(closed: DataFrame, by: list[str], pairs: int, name: str = "trend") -> DataFrame:
-    """Structure of the last ``pairs`` pairs of closed candles."""
-    _window(1, "pairs", pairs)
-    w = ordered(by)
-    s = structure(w)
+def _trend(df: DataFrame, w: WindowSpec, pairs: int, name: str = "trend") -> DataFrame:
+    s, rises, falls = structure(w), halo.fresh("_up", df), halo.fresh("_down", df)
     inside = w.rowsBetween(-(pairs - 1), 0)
-    up, down = F.min("_up").over(inside) == 1, F.min("_down").over(inside) == 1
+    up, down = F.min(rises).over(inside) == 1, F.min(falls).over(inside) == 1
     found = F.when(F.row_number().over(w) > pairs, F.when(up, RISING).when(down, FALLING).otherwise(MIXED))
-    marked = closed.withColumns({"_up": (s["higher_high"] & s["higher_low"]).cast("int"), "_down": (s["lower_high"] & s["lower_low"]).cast("int")})
-    return marked.withColumn(name, found).drop("_up", "_down")
+    marked = df.withColumns({rises: (s["higher_high"] & s["higher_low"]).cast("int"), falls: (s["lower_high"] & s["lower_low"]).cast("int")})
+    return marked.withColumn(name, found).drop(rises, falls)
 
 
-def lateral(closed: DataFrame, by: list[str], window: int, max_range: float) -> DataFrame:
-    """``lateral``: no structure within the window, and its range is at most ``max_range`` of its first close."""
-    _window(3, "window", window)
-    if max_range < 0:
-        raise ValueError("max_range must not be negative")
-    w = ordered(by)
-    inside = w.rowsBetween(-(window - 1), 0)
+def _lateral(df: DataFrame, w: WindowSpec, window: int, max_range: float) -> DataFrame:
+    inside, name = w.rowsBetween(-(window - 1), 0), halo.fresh("_structure", df)
     first = F.first("close").over(inside)
     ratio = (F.max("high").over(inside) - F.min("low").over(inside)) / F.nullif(F.abs(first), F.lit(0).cast("double"))
-    mixed = trend(closed, by, window - 1, "_structure")
     # a first close of 0 leaves the ratio null, and the feature undefined whatever the structure
-    found = F.when((F.row_number().over(w) >= window) & (first != 0), (F.col("_structure") == MIXED) & (ratio <= float(max_range)))
-    return mixed.withColumn("lateral", found).drop("_structure")
+    found = F.when((F.row_number().over(w) >= window) & (first != 0), (F.col(name) == MIXED) & (ratio <= float(max_range)))
+    return _trend(df, w, window - 1, name).withColumn("lateral", found).drop(name)
 
 
-def quality(closed: DataFrame, by: list[str], needed: int) -> DataFrame:
-    """``quality``: least confidence of the last ``needed`` closed candles; null if any is missing."""
-    inside = ordered(by).rowsBetween(-(needed - 1), 0)
+def _quality(df: DataFrame, w: WindowSpec, needed: int) -> DataFrame:
+    inside = w.rowsBetween(-(needed - 1), 0)
     full = (F.count("*").over(inside) == needed) & (F.count("confidence").over(inside) == needed)
-    return closed.withColumn("quality", F.when(full, F.min("confidence").over(inside)))
+    broken = F.max(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)) | F.isnan(F.col("confidence").cast("double"))).over(inside)
+    refused = F.raise_error(F.lit("confidence must be from 0 to 1")).cast("double")
+    return df.withColumn("quality", F.when((F.count("*").over(inside) == needed) & broken, refused).when(full, F.min("confidence").over(inside)))
+
+
+def structural(closed: DataFrame, by: list[str], *, volatility: int | None = None, trend: int | None = None, lateral: tuple[int, float] | None = None, quality: int | None = None, count: bool = False, bucket: str | None = "day") -> DataFrame:
+    """Several structural features of closed candles, whose windows share one dealing of the candles.
+
+    ``count`` adds ``closed``, the candles up to each one, as far as the longest window looks back.
+    """
+    reach = [0]
+    if volatility is not None:
+        _window(3, "window", volatility)
+        reach.append(volatility - 1)
+    if trend is not None:
+        _window(1, "pairs", trend)
+        reach.append(trend)
+    if lateral is not None:
+        _window(3, "window", lateral[0])
+        if lateral[1] < 0:
+            raise ValueError("max_range must not be negative")
+        reach.append(lateral[0] - 1)
+    if quality is not None:
+        reach.append(quality - 1)
+
+    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
+        df = df if volatility is None else _volatility(df, w, volatility)
+        df = df if trend is None else _trend(df, w, trend)
+        df = df if lateral is None else _lateral(df, w, *lateral)
+        df = df if quality is None else _quality(df, w, quality)
+        return df.withColumn("closed", F.least(F.row_number().over(w), F.lit(max(reach) + 1))) if count else df
+
+    return halo.over(closed, by, "open_time", add, before=max(reach), bucket=bucket)
+
+
+def volatility(closed: DataFrame, by: list[str], window: int, bucket: str | None = "day") -> DataFrame:
+    """``volatility``: population deviation of the returns within the last ``window`` closed candles."""
+    return structural(closed, by, volatility=window, bucket=bucket)
+
+
+def trend(closed: DataFrame, by: list[str], pairs: int, bucket: str | None = "day") -> DataFrame:
+    """``trend``: structure of the last ``pairs`` pairs of closed candles."""
+    return structural(closed, by, trend=pairs, bucket=bucket)
+
+
+def lateral(closed: DataFrame, by: list[str], window: int, max_range: float, bucket: str | None = "day") -> DataFrame:
+    """``lateral``: no structure within the window, and its range is at most ``max_range`` of its first close."""
+    return structural(closed, by, lateral=(window, max_range), bucket=bucket)
+
+
+def quality(closed: DataFrame, by: list[str], needed: int, bucket: str | None = "day") -> DataFrame:
+    """``quality``: least confidence of the last ``needed`` closed candles; null if any is missing.
+
+    A confidence beyond [0, 1] among them fails the job, also beside a missing one.
+    """
+    return structural(closed, by, quality=needed, bucket=bucket)

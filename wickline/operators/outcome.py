@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from wickline.operators import asof
+from wickline.operators import asof, halo
 
 PREDICTED, REALIZED = ["UP", "DOWN", "SIDEWAYS", "UNCERTAIN"], ["UP", "DOWN", "SIDEWAYS"]
 # The tokens of an outcome's evidence, in order, with their columns.
@@ -42,11 +42,13 @@ def register_policies(requests: DataFrame, frontier: DataFrame, policies: DataFr
 
 def with_horizon(closed_truth: DataFrame, horizon: int) -> DataFrame:
     """Closed truth candles with the candle ``horizon`` closed ones later; gaps are not filled."""
-    w = Window.partitionBy("session_id").orderBy("open_time")
-    return closed_truth.select(
-        "session_id", F.col("open_time").alias("reference_open_time"), F.col("close_time").alias("reference_close_time"), F.col("close").alias("reference_close"),
-        *[F.lead(c, horizon).over(w).alias(f"final_{c}") for c in ("open_time", "close_time", "close")],
-    )
+    truth = closed_truth.select("session_id", "open_time", "close_time", "close")
+
+    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumns({f"final_{c}": F.lead(c, horizon).over(w) for c in ("open_time", "close_time", "close")})
+
+    found = halo.over(truth, ["session_id"], "open_time", add, after=horizon)
+    return found.withColumnsRenamed({c: f"reference_{c}" for c in ("open_time", "close_time", "close")}).select("session_id", *REFERENCE)
 
 
 REFERENCE = ["reference_open_time", "reference_close_time", "reference_close", "final_open_time", "final_close_time", "final_close"]

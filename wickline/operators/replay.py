@@ -6,9 +6,10 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from wickline.config import plain
+from wickline.operators import asof, halo
 
 IDLE, RUNNING, PAUSED, STOPPED, FINISHED = "idle", "running", "paused", "stopped", "finished"
 MAX_ADVANCE_SECONDS = 3600
@@ -25,19 +26,21 @@ def release_steps(candles: DataFrame, steps: DataFrame) -> DataFrame:
     The candles' running count is looked up at each reading, so readings and
     candles are merged, not paired.
     """
-    from wickline.operators.asof import last_known
-
-    w = Window.partitionBy("session_id").orderBy("close_time", "open_time")
-    counted = candles.select("session_id", "close_time", "open_time", F.row_number().over(w).alias("position"))
-    found = last_known(steps, counted, ["session_id"], "clock", "close_time", ["position"], tie=["open_time"]).withColumn("position", F.coalesce("position", F.lit(0)))
-    return found.withColumn("released", F.col("position") - F.coalesce(F.lag("position").over(Window.partitionBy("session_id").orderBy("clock")), F.lit(0)))
+    counted = halo.numbered(candles.select("session_id", "close_time", "open_time"), ["session_id"], ["close_time", "open_time"], "position")
+    found = asof.last_known(steps, counted, ["session_id"], "clock", "close_time", ["position"], tie=["open_time"]).withColumn("position", F.coalesce("position", F.lit(0)))
+    return halo.over(found, ["session_id"], "clock", lambda df, w: df.withColumn("released", F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0))), before=1)
 
 
 def sequence_violations(candles: DataFrame) -> DataFrame:
     """Rows (session_id, ordinal, asset, timeframe, open_time) that break a replay's order or mix series."""
-    w = Window.partitionBy("session_id").orderBy("ordinal")
-    broken = F.when(F.col("asset") != F.first("asset").over(w), "MIXED_ASSET").when(F.col("timeframe") != F.first("timeframe").over(w), "MIXED_TIMEFRAME").when(F.col("open_time") <= F.lag("open_time").over(w), "NOT_INCREASING")
-    return candles.withColumn("violation", broken).where("violation is not null")
+    first = candles.groupBy("session_id").agg(F.min_by(F.struct("asset", "timeframe"), "ordinal").alias("_first"))
+
+    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumn("_before", F.lag("open_time").over(w))
+
+    rows = halo.over(candles, ["session_id"], "ordinal", add, before=1).join(first, "session_id")
+    broken = F.when(F.col("asset") != F.col("_first.asset"), "MIXED_ASSET").when(F.col("timeframe") != F.col("_first.timeframe"), "MIXED_TIMEFRAME").when(F.col("open_time") <= F.col("_before"), "NOT_INCREASING")
+    return rows.withColumn("violation", broken).where("violation is not null").select(*candles.columns, "violation")
 
 
 class Replay:

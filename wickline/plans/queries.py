@@ -438,8 +438,8 @@ def touching_bars(spark, sf):
 def order_series_features(spark, sf):
     """The structural features of daily candles of the orders, by priority."""
     c = candles.candles(readers.daily_ticks(spark, sf, "orders")).withColumn("is_closed", F.lit(True))
-    c = features.trend(features.volatility(c, SESSION, 5), SESSION, 2)
-    return features.lateral(c, SESSION, 4, 1.5).select("session_id", "open_time", "open", "high", "low", "close", F.round("volatility", 9).alias("volatility"), "trend", "lateral")
+    c = features.structural(c, SESSION, volatility=5, trend=2, lateral=(4, 1.5), bucket="year")
+    return c.select("session_id", "open_time", "open", "high", "low", "close", F.round("volatility", 9).alias("volatility"), "trend", "lateral")
 
 
 def lineitem_candles(spark, sf):
