@@ -136,4 +136,123 @@ def test_analyze_and_record(spark, filled):
     assert two["market_state"] == "UNCERTAIN" and two["evidence"][0] == "STATE_RULE=INSUFFICIENT_HISTORY" and two["data_quality"] is None
     with pytest.raises(store.Conflict):
         classify.analyze_and_record(filled, snapshots.withColumn("confidence", F.lit(0.8)), requests.where("analysis_id = 'a1'"), config)
-    assert schema.VERSION >= 1
+
+
+def observation(spark, name, confidence=0.9):
+    return spark.createDataFrame([(name, "s1", at(20), "f1", confidence, 0.95)], schema.SCHEMAS["observations"])
+
+
+def test_two_writers_with_other_rows_both_win(spark, filled):
+    """The second writer commits between the first one's plan and its own commit."""
+    other = store.Store(spark, filled.path)
+    calls = []
+
+    def work(view):
+        calls.append(view.state.version)
+        inserted = view.append("observations", observation(spark, "o1"))
+        if len(calls) == 1:
+            other.append("observations", observation(spark, "o2"))
+        return inserted
+
+    assert filled.commit(work) == 1 and len(calls) == 2  # done again on the new version
+    assert sorted(r.observation_id for r in filled.read("observations").collect()) == ["o1", "o2"]
+
+
+def test_two_writers_of_one_row_do_not_both_win(spark, filled):
+    other = store.Store(spark, filled.path)
+
+    def work(view):
+        inserted = view.append("observations", observation(spark, "o1", 0.8))
+        if not filled.read("observations").count():
+            other.append("observations", observation(spark, "o1", 0.9))
+        return inserted
+
+    with pytest.raises(store.Conflict):
+        filled.commit(work)
+    assert [r.confidence for r in filled.read("observations").collect()] == [0.9]
+
+
+def test_writers_of_other_tables_do_not_wait(spark, filled):
+    calls = []
+
+    def work(view):
+        calls.append(1)
+        out = view.append("analyses", spark.createDataFrame([("a", "s1", at(1), "UP", 0.5, None, ["x"])], schema.SCHEMAS["analyses"]))
+        store.Store(spark, filled.path).append("observations", observation(spark, f"o{len(calls)}"))
+        return out
+
+    assert filled.commit(work) == 1 and calls == [1]
+    assert filled.read("analyses").count() == filled.read("observations").count() == 1
+
+
+def test_a_failed_commit_leaves_nothing(spark, filled, tmp_path):
+    """Observations and snapshots are saved together, and the second write fails."""
+    before, version = filled.log.state(), filled.log.state().version
+    rows = spark.createDataFrame([("s1", BASE, 0, "o1", "vision", "TEST", "1m", BASE + timedelta(minutes=1), 100.0, 101.0, 99.0, 100.0, False, 0.9, None)], ARRIVAL)
+
+    def fails(table, df, write=filled.write):
+        if table == "snapshots":
+            raise RuntimeError("disk full")
+        return write(table, df)
+
+    filled.write = fails
+    with pytest.raises(RuntimeError, match="disk full"):
+        filled.save_candles(rows, observation(spark, "o1"))
+    del filled.write
+    assert filled.log.state() == before and filled.read("observations").count() == 0
+    import os
+    assert not os.listdir(f"{filled.path}/observations")  # its files are gone too
+    with pytest.raises(store.Conflict, match="OTHER_SESSION"):
+        filled.append("sessions", spark.createDataFrame([("s2", *SESSION[1:])], schema.SCHEMAS["sessions"]))
+        filled.append("frames", spark.createDataFrame([("f2", "s2", at(20), "hash", 8, 5, True, None)], schema.SCHEMAS["frames"]))
+        filled.save_candles(rows, spark.createDataFrame([("o1", "s2", at(20), "f2", 0.9, 0.95)], schema.SCHEMAS["observations"]))
+    assert filled.read("observations").count() == 0
+    assert [r.outcome for r in filled.save_candles(rows, observation(spark, "o1")).collect()] == [store.INSERTED]
+    assert (filled.read("observations").count(), filled.read("snapshots").count()) == (1, 1)
+    assert filled.read("observations", version).count() == 0  # as it was
+
+
+def test_the_log_is_summed_up(spark, filled, monkeypatch):
+    monkeypatch.setattr(store.commits, "WHOLE", 3)
+    for i in range(5):
+        filled.append("observations", observation(spark, f"o{i}"))
+    assert filled.read("observations").count() == 5 and filled.read("sessions").count() == 1
+    assert filled.log.entry(6)["whole"] and filled.log.state(4).folders["observations"] == filled.log.state().folders["observations"][:2]
+    assert not filled.log.publish(3, schema.VERSION, {}, [])  # taken
+
+
+def test_migrations_up_down_and_up(spark, filled):
+    from wickline.operators import migrations
+
+    filled.append("observations", observation(spark, "o1"))
+    evidence = ['STATE_RULE="X"', "ü, [1]", ""]
+    filled.append("analyses", spark.createDataFrame([("a1", "s1", at(1), "UP", 0.5, None, evidence), ("a2", "s1", at(2), "DOWN", 0.5, 0.25, [])], schema.SCHEMAS["analyses"]))
+    tables = ("sessions", "frames", "observations", "analyses")
+    rows = {t: sorted(map(str, filled.read(t).collect())) for t in tables}
+    assert migrations.downgrade(filled, 5) == 7
+    with pytest.raises(ValueError, match="version 5, not 7"):
+        filled.read("analyses")
+    with pytest.raises(ValueError, match="version 5"):
+        filled.append("observations", observation(spark, "o2"))
+    stored = spark.read.parquet(*filled.log.state().folders["analyses"])
+    assert dict(stored.dtypes)["evidence"] == "string" and migrations.schema_at("analyses", 5)["evidence"].dataType.simpleString() == "string"
+    assert migrations.upgrade(filled) == 5
+    assert {t: sorted(map(str, filled.read(t).collect())) for t in tables} == rows
+    migrations.downgrade(filled, 2)
+    migrations.upgrade(filled)
+    assert [filled.read(t).count() for t in tables] == [1, 1, 0, 0]  # later tables were dropped and are empty
+    with pytest.raises(ValueError, match="below"):
+        migrations.downgrade(filled, 9)
+    with pytest.raises(ValueError, match="no table outcomes"):
+        migrations.schema_at("outcomes", 6)
+
+
+def test_an_old_store_is_brought_up_from_nothing(spark, tmp_path):
+    from wickline.operators import migrations
+
+    s = store.Store(spark, str(tmp_path / "old"))
+    migrations.upgrade(s, 3)
+    with pytest.raises(ValueError, match="version 3"):
+        s.read("sessions")
+    migrations.upgrade(s)
+    assert s.append("sessions", spark.createDataFrame([SESSION], schema.SCHEMAS["sessions"])) == 1

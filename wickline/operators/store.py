@@ -1,14 +1,15 @@
 """Append-only candle store: idempotent inserts, conflicts, and the evolution of candles.
 
 A batch is planned first: each row is an insert, a no-op or a conflict, and
-nothing is written if any row conflicts.  Tables are Parquet, and there is one
-writer: a second one could append between another's plan and its write.
+nothing is written if any row conflicts.  A commit is atomic, and there may be
+many writers (:mod:`wickline.operators.commits`).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickline import schema
+from wickline.operators import commits
+from wickline.scratch import written
+
+T = TypeVar("T")
 
 
 class Conflict(ValueError):
@@ -36,32 +41,18 @@ def merge_plan(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataF
     return new.withColumn("_copies", copies).join(held, keys, "left").withColumn("action", action).drop("_copies", "_held", "_is_held")
 
 
-class Store:
-    """Tables below ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+class View:
+    """The tables at one version, with what a commit has appended so far."""
 
-    def healthy(self) -> bool:
-        """Whether the session answers."""
-        try:
-            return self.spark.sql("SELECT 1").first()[0] == 1
-        except Exception:
-            return False
+    def __init__(self, store: Store, state: commits.State) -> None:
+        self.store, self.state = store, state
+        self.added: dict[str, list[str]] = {}
+        self.touched: set[str] = set()
 
     def read(self, table: str) -> DataFrame:
-        """The table, empty before its first append."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.schema(schema.SCHEMAS[table]).parquet(f"{self.path}/{table}") if there else self.spark.createDataFrame([], schema.SCHEMAS[table])
-
-    def get(self, table: str, **key) -> dict | None:
-        """One row by its key, or None."""
-        found = self.read(table)
-        for name, value in key.items():
-            found = found.where(F.col(name) == F.lit(value))
-        row = found.limit(1).first()
-        return row.asDict() if row else None
+        """The table; empty before its first append."""
+        self.touched.add(table)
+        return self.store._frame(table, self.state.folders.get(table, []) + self.added.get(table, []))
 
     def append(self, table: str, rows: DataFrame) -> int:
         """Insert what is new and return its count; refuse the batch if any row is invalid or conflicts."""
@@ -79,47 +70,135 @@ class Store:
             if counts.get("conflict"):
                 raise Conflict(f"{counts['conflict']} rows of {table} contradict stored ones")
             if counts.get("insert"):
-                plan.where("action = 'insert'").drop("action").write.mode("append").parquet(f"{self.path}/{table}")
+                self.added.setdefault(table, []).append(self.store.write(table, plan.where("action = 'insert'").drop("action")))
         finally:
             plan.unpersist()
         return counts.get("insert", 0)
 
+
+class Store:
+    """Tables below ``path``: folders of Parquet files that a log of commits names.
+
+    Many writers may commit.  Each works on a view of the newest version and
+    becomes visible as a whole or not at all; where another one has changed a
+    table that the view has looked at, the work is done again on the new version.
+    """
+
+    #: Times that a commit is tried against other writers.
+    TRIES = 20
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = commits.Log(spark, self.path)
+
+    def healthy(self) -> bool:
+        """Whether the session answers."""
+        try:
+            return self.spark.sql("SELECT 1").first()[0] == 1
+        except Exception:
+            return False
+
+    def _frame(self, table: str, folders: list[str]) -> DataFrame:
+        kind = schema.SCHEMAS[table]
+        return self.spark.read.schema(kind).parquet(*folders) if folders else self.spark.createDataFrame([], kind)
+
+    def write(self, table: str, rows: DataFrame) -> str:
+        """A new folder of files, which no reader sees before it is committed."""
+        folder = f"{self.path}/{table}/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return folder
+
+    def _state(self, version: int | None = None) -> commits.State:
+        state = self.log.state(version)
+        if state.version and state.schema != schema.VERSION:
+            raise ValueError(f"the store's tables are of version {state.schema}, not {schema.VERSION}")
+        return state
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The table now, or as it was after a version; empty before its first append."""
+        return self._frame(table, self._state(version).folders.get(table, []))
+
+    def get(self, table: str, **key) -> dict | None:
+        """One row by its key, or None."""
+        found = self.read(table)
+        for name, value in key.items():
+            found = found.where(F.col(name) == F.lit(value))
+        row = found.limit(1).first()
+        return row.asDict() if row else None
+
+    def commit(self, work: Callable[[View], T]) -> T:
+        """What ``work`` returns, once all that it has appended to its view stands in the store.
+
+        If it fails, nothing of it does.  It is called again where another writer was first.
+        """
+        for _ in range(self.TRIES):
+            view = View(self, self._state())
+            done = False
+            try:
+                out = work(view)
+                done = not view.added or self._publish(view)
+            finally:
+                if not done:
+                    self.log.drop([f for folders in view.added.values() for f in folders])
+            if done:
+                return out
+        raise Conflict("other writers were always first")
+
+    def _publish(self, view: View) -> bool:
+        version = view.state.version
+        while True:
+            if self.log.publish(version + 1, schema.VERSION, view.added, []):
+                return True
+            other = self.log.entry(version + 1)
+            if other["whole"] or other["remove"] or other["schema"] != schema.VERSION or view.touched & set(other["add"]):
+                return False
+            version += 1  # it has to do with other tables
+
+    def append(self, table: str, rows: DataFrame) -> int:
+        """Insert what is new and return its count; refuse the batch if any row is invalid or conflicts."""
+        return self.commit(lambda view: view.append(table, rows))
+
     def candles(self) -> DataFrame:
         """The canonical candles: the latest state of each by its snapshots."""
         known = self.read("snapshots").join(self.read("observations").select("observation_id", F.col("timestamp").alias("ts"), F.col("observation_id").alias("seq")), "observation_id")
         return canonical(known).select(schema.SCHEMAS["candles"].fieldNames())
 
-    def save_candles(self, arrivals: DataFrame) -> DataFrame:
-        """Fold snapshots (their columns and ``arrival``) into the stored candles and append them.
+    def save_candles(self, arrivals: DataFrame, observations: DataFrame | None = None) -> DataFrame:
+        """Fold snapshots (their columns and ``arrival``) into the stored candles and append them, with the observations given.
 
         The outcome of every arrival is returned, as :func:`fold_arrivals` names
         it.  All or nothing: if one contradicts what is stored or came before it,
-        nothing is written.  The stored history of the candles at hand comes first,
-        in the order of its observations; an arrival that is stored already is not stored again.
+        nothing is written, observations neither.  The stored history of the candles
+        at hand comes first, in the order of its observations; an arrival that is
+        stored already is not stored again.
         """
+        def work(view: View) -> DataFrame:
+            if observations is not None:
+                view.append("observations", observations)
+            return self._folded(view, arrivals)
+
+        return self.commit(work)
+
+    def _folded(self, view: View, arrivals: DataFrame) -> DataFrame:
         columns = schema.SCHEMAS["snapshots"].fieldNames()
         new = schema.conform(arrivals, "snapshots").select(*columns)
         broken = schema.violations(new, schema.rules("snapshots")).select("violation").limit(1).first()
         if broken:
             raise ValueError(broken[0])
-        observations = self.read("observations")
+        seen = view.read("observations")
         touched = new.select("session_id", "open_time").distinct()
-        held = self.read("snapshots").join(touched, ["session_id", "open_time"], "left_semi").join(observations.select("observation_id", "timestamp"), "observation_id")
+        held = view.read("snapshots").join(touched, ["session_id", "open_time"], "left_semi").join(seen.select("observation_id", "timestamp"), "observation_id")
         order = Window.partitionBy("session_id", "open_time").orderBy(F.desc("timestamp"), F.desc("observation_id"))
         held = held.withColumn("arrival", -F.row_number().over(order).cast("long")).select("arrival", *columns)  # before all new ones
         line = schema.conform_columns(arrivals, "snapshots", "arrival").unionByName(held)
-        outcomes = fold_arrivals(line.withColumn("arrival", F.col("arrival").cast("long")), observations).where("arrival >= 0").persist()
-        try:
-            conflict = outcomes.where(F.col("outcome").startswith("CONFLICT")).orderBy("session_id", "open_time", "arrival").first()
-            if conflict:
-                raise Conflict(f"{conflict['observation_id']}: {conflict['outcome'].removeprefix('CONFLICT:')}")
-            fresh = outcomes.where(F.col("outcome") != NOOP).select("observation_id", "session_id", "open_time").distinct()
-            self.append("snapshots", new.join(fresh, ["observation_id", "session_id", "open_time"], "left_semi").distinct())
-            written = f"{self.path}/_outcomes/{uuid.uuid4().hex}"
-            outcomes.write.parquet(written)  # the fold would see the new snapshots as stored if it ran again
-            return self.spark.read.schema(outcomes.schema).parquet(written)
-        finally:
-            outcomes.unpersist()
+        folded = fold_arrivals(line.withColumn("arrival", F.col("arrival").cast("long")), seen).where("arrival >= 0")
+        outcomes = written(folded, "outcomes")  # the fold would see the new snapshots as stored if it ran again
+        conflict = outcomes.where(F.col("outcome").startswith("CONFLICT")).orderBy("session_id", "open_time", "arrival").first()
+        if conflict:
+            raise Conflict(f"{conflict['observation_id']}: {conflict['outcome'].removeprefix('CONFLICT:')}")
+        fresh = outcomes.where(F.col("outcome") != NOOP).select("observation_id", "session_id", "open_time").distinct()
+        view.append("snapshots", new.join(fresh, ["observation_id", "session_id", "open_time"], "left_semi").distinct())
+        return outcomes
 
 
 # -- evolution of candles -------------------------------------------------
@@ -217,15 +296,20 @@ class CandleFold:
 FOLDED = "session_id string, open_time timestamp, arrival long, observation_id string, outcome string"
 
 
+def observed(arrivals: DataFrame, observations: DataFrame) -> DataFrame:
+    """Arrivals with what their observations say: when, in which session, and whether there are any."""
+    seen = observations.select("observation_id", F.col("session_id").alias("observed_session"), F.col("timestamp").alias("ts"), F.lit(True).alias("observed"))
+    rows = arrivals.join(seen, "observation_id", "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
+    return rows.select("arrival", "observation_id", "observed_session", "ts", "observed", *IDENTITY, *STATE)
+
+
 def fold_arrivals(arrivals: DataFrame, observations: DataFrame) -> DataFrame:
     """Outcome of every arrival (snapshot columns, ``arrival``), folded per candle in arrival order.
 
     The arrivals of a candle come to one task in order and are folded as they
     stream by, so a task holds the state of one candle.
     """
-    seen = observations.select("observation_id", F.col("session_id").alias("observed_session"), F.col("timestamp").alias("ts"), F.lit(True).alias("observed"))
-    rows = arrivals.join(seen, "observation_id", "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
-    rows = rows.select("arrival", "observation_id", "observed_session", "ts", "observed", *IDENTITY, *STATE)
+    rows = observed(arrivals, observations)
     names = ["session_id", "open_time", "arrival", "observation_id", "outcome"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

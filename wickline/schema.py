@@ -24,8 +24,8 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, kinds[kind.rstrip("!")], not kind.endswith("!")) for name, kind in fields])
 
 
-#: Version of the tables below; it rises with any change of a column, key or rule.
-VERSION = 1
+#: Version of the tables below; a change of a column or table is a step of ``wickline.operators.migrations``.
+VERSION = 7
 
 CANDLE = "session_id string!, source_id string!, asset string!, timeframe string!, open_time ts!, close_time ts!, open price!, high price!, low price!, close price!, is_closed bool!, vision_confidence double, source_confidence double"
 SCHEMAS = {
