@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from wickline.operators import halo
+
 BUCKET = ["session_id", "open_time"]
 KNOWN = ["ts", "seq"]
-#: Width of a bucket of times that are numbers: a day of seconds.
-NUMBERS = 86_400
 
 
 def as_of(snapshots: DataFrame, instant, session_id: str | None = None) -> DataFrame:
@@ -18,8 +17,8 @@ def as_of(snapshots: DataFrame, instant, session_id: str | None = None) -> DataF
     known = snapshots.where(F.col("ts") <= F.lit(instant))
     if session_id is not None:
         known = known.where(F.col("session_id") == session_id)
-    rank = F.row_number().over(Window.partitionBy(*BUCKET).orderBy(*[F.desc(c) for c in KNOWN]))
-    return known.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rank, name = F.row_number().over(Window.partitionBy(*BUCKET).orderBy(*[F.desc(c) for c in KNOWN])), halo.fresh("_rank", known)
+    return known.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def validity(snapshots: DataFrame) -> DataFrame:
@@ -72,24 +71,26 @@ def last_known(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
 
     Both sides are merged into timelines of one ``bucket`` of time each, so that a
     busy key is spread over its buckets.  The last right row of every bucket
-    is carried forward over the small table of buckets and opens the timelines
+    is carried over the small table of both sides' buckets and opens the timelines
     behind it; within a timeline the last right row is carried forward.  No pair
-    but the result's is made.  Rows without a partner have nulls.  Times that are
-    numbers fall into buckets of ``NUMBERS``.
+    but the result's is made; of the left side, the table of buckets needs keys
+    and times alone.  Rows without a partner have nulls.  Times that are
+    numbers fall into buckets of ``halo.NUMBERS``.
     """
-    spare = [f"_tie{i}" for i in range(len(tie or []))]
+    t, side, at, row, last = (halo.fresh(f"_{x}", left, right) for x in ("t", "side", "bucket", "row", "last"))
+    spare = [halo.fresh(f"_tie{i}", left, right) for i in range(len(tie or []))]
     kinds = [right.schema[c].dataType for c in tie or []]
-    one = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), *[F.lit(None).cast(kind).alias(c) for c, kind in zip(spare, kinds)])
-    two = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*columns).alias("_right"), *[F.col(c).alias(s) for c, s in zip(tie or [], spare)])
-    line = one.unionByName(two, allowMissingColumns=True)
-    dated = isinstance(left.schema[left_time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-    line = line.withColumn("_bucket", F.date_trunc(bucket, "_t") if dated else F.floor(F.col("_t") / NUMBERS))
-    ends = line.groupBy(*by, "_bucket").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", *spare))).alias("_last"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    opening = ends.select(*by, "_bucket", F.lit(-1).alias("_side"), F.last("_last", ignorenulls=True).over(earlier).alias("_right")).where("_right is not null")
-    line = line.unionByName(opening, allowMissingColumns=True)
-    within = Window.partitionBy(*by, "_bucket").orderBy(F.col("_t").asc_nulls_first(), "_side", *spare).rowsBetween(Window.unboundedPreceding, 0)
-    return line.withColumn("_right", F.last("_right", ignorenulls=True).over(within)).where("_side = 1").select("_left.*", *[F.col(f"_right.{c}").alias(c) for c in columns])
+    one = left.withColumn(at, halo.bucket_of(left, left_time, bucket))
+    two = right.select(*by, F.col(right_time).alias(t), halo.bucket_of(right, right_time, bucket).alias(at), *[F.col(c).alias(s) for c, s in zip(tie or [], spare)], F.struct(*columns).alias(last))
+    ends = two.groupBy(*by, at).agg(F.max_by(last, F.struct(t, *spare)).alias(last))
+    marks = one.select(*by, at).distinct().withColumn(side, F.lit(1)).unionByName(ends.withColumn(side, F.lit(0)), allowMissingColumns=True)
+    # a bucket's own end stands behind its mark of the left side, and so opens later buckets alone
+    earlier = Window.partitionBy(*by).orderBy(at, F.desc(side)).rowsBetween(Window.unboundedPreceding, -1)
+    opening = marks.withColumn(last, F.last(last, ignorenulls=True).over(earlier)).where((F.col(side) == 1) & F.col(last).isNotNull()).withColumn(side, F.lit(-1))
+    one = one.select(*by, F.col(left_time).alias(t), F.lit(1).alias(side), at, F.struct(*left.columns).alias(row), *[F.lit(None).cast(kind).alias(c) for c, kind in zip(spare, kinds)])
+    line = one.unionByName(two.withColumn(side, F.lit(0)), allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
+    within = Window.partitionBy(*by, at).orderBy(F.col(t).asc_nulls_first(), side, *spare).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn(last, F.last(last, ignorenulls=True).over(within)).where(F.col(side) == 1).select(f"{row}.*", *[F.col(f"{last}.{c}").alias(c) for c in columns])
 
 
 def carried(df: DataFrame, by: list[str], time: str, tie: list[str], value: str, name: str, bucket: str = "day") -> DataFrame:
@@ -98,12 +99,13 @@ def carried(df: DataFrame, by: list[str], time: str, tie: list[str], value: str,
     Rows are ordered within a ``bucket`` of time; what stands before a bucket is
     carried over the buckets, of which there is one row each.
     """
-    at = df.withColumn("_bucket", F.date_trunc(bucket, time))
-    ends = at.groupBy(*by, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, *tie))).alias("_end"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    opening = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_opening"))
-    before = Window.partitionBy(*by, "_bucket").orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = at.join(opening, [*by, "_bucket"], "left").withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(before), F.col("_opening")))
+    in_, end = halo.fresh("_bucket", df), halo.fresh("_end", df)
+    at = df.withColumn(in_, halo.bucket_of(df, time, bucket))
+    ends = at.groupBy(*by, in_).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, *tie))).alias(end))
+    earlier = Window.partitionBy(*by).orderBy(in_).rowsBetween(Window.unboundedPreceding, -1)
+    opening = ends.withColumn(end, F.last(end, ignorenulls=True).over(earlier))
+    before = Window.partitionBy(*by, in_).orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    out = at.join(opening, [*by, in_], "left").withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(before), F.col(end)))
     return out.select(*df.columns, name)
 
 
@@ -119,5 +121,5 @@ def candles_of_frame(snapshots: DataFrame, observations: DataFrame, frame_id: st
 
 def last_n(df: DataFrame, n: int, by: list[str], order: str = "open_time") -> DataFrame:
     """The last ``n`` rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    rank, name = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))), halo.fresh("_rank", df)
+    return df.withColumn(name, rank).where(F.col(name) <= n).drop(name)

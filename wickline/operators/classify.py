@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wickline.config import AnalysisConfig, plain
+from wickline.functions import texts
 from wickline.operators import asof, features
 from wickline.operators.store import Store
 
@@ -28,7 +29,7 @@ def market_state(rule: Column) -> Column:
 
 def evidence(config: AnalysisConfig, persisted: bool) -> Column:
     """Evidence tokens in order; the persisted form ends with the whole configuration."""
-    number = F.when(F.col("quality").isNull(), "NONE").otherwise(F.col("quality").cast("string"))
+    number = F.when(F.col("quality").isNull(), "NONE").otherwise(texts.number_text(F.col("quality")))
     seen = F.when(F.col("lateral").isNull(), "NONE").otherwise(F.upper(F.col("lateral").cast("string")))
     tokens = [
         F.concat(F.lit("STATE_RULE="), F.col("state_rule")), F.concat(F.lit("BASIC_TREND="), F.coalesce("trend", F.lit("NONE"))),

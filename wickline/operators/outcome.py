@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from wickline.functions import texts
 from wickline.operators import asof, halo
+from wickline.scratch import written
 
 PREDICTED, REALIZED = ["UP", "DOWN", "SIDEWAYS", "UNCERTAIN"], ["UP", "DOWN", "SIDEWAYS"]
 # The tokens of an outcome's evidence, in order, with their columns.
@@ -16,6 +18,7 @@ EVIDENCE = [
     ("FINAL_CANDLE_CLOSE_TIME", "final_close_time"), ("FINAL_CLOSE", "final_close"), ("HORIZON_CLOSED_CANDLES", "horizon"),
     ("REALIZED_RETURN_THRESHOLD", "threshold"), ("REALIZED_RETURN", "realized_return"), ("REALIZED_STATE", "realized_state"),
 ]
+NUMBERS = ("reference_close", "final_close", "threshold", "realized_return")
 
 
 def exposure_frontier(sessions: DataFrame, exposures: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def evaluate(analyses: DataFrame, truth: DataFrame, policies: DataFrame, frontie
 def evidence() -> Column:
     """The ordered tokens of an evaluated row."""
     rule = F.when(F.col("realized_state") == "UP", "RETURN_ABOVE_THRESHOLD").when(F.col("realized_state") == "DOWN", "RETURN_BELOW_NEGATIVE_THRESHOLD").otherwise("RETURN_WITHIN_THRESHOLD")
-    return F.array(*[F.concat(F.lit(f"{name}="), rule if column == "outcome_rule" else F.col(column).cast("string")) for name, column in EVIDENCE])
+    return F.array(*[F.concat(F.lit(f"{name}="), rule if column == "outcome_rule" else texts.number_text(F.col(column)) if column in NUMBERS else F.col(column).cast("string")) for name, column in EVIDENCE])
 
 
 def require_one_policy(pairs: DataFrame) -> None:
@@ -101,6 +104,7 @@ def report(outcomes: DataFrame) -> dict[str, DataFrame]:
     ``outcomes`` has status, policy_id, horizon, threshold, market_state, confidence
     and realized_state; rows of other states than AVAILABLE count as availability only.
     """
+    outcomes = written(outcomes, "evaluated")  # all metrics read it
     pairs = outcomes.where("status = 'AVAILABLE'")
     require_one_policy(pairs)
     by = ["policy_id"]
@@ -113,11 +117,10 @@ def report(outcomes: DataFrame) -> dict[str, DataFrame]:
 
 def confusion(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Counts of realized against predicted states, with zeros, in a row for each realized state."""
-    spark = pairs.sparkSession
-    skeleton = spark.createDataFrame([(s,) for s in REALIZED], "realized_state string")
-    counts = pairs.groupBy(*by, "realized_state").agg(*[F.count_if(F.col("market_state") == p).alias(f"predicted_{p.lower()}") for p in PREDICTED])
-    rows = counts.select(*by).distinct().join(F.broadcast(skeleton), F.lit(True)) if by else skeleton  # three rows
-    return rows.join(counts, [*by, "realized_state"], "left").fillna(0)
+    p, r = F.col("market_state"), F.col("realized_state")
+    names = [f"predicted_{s.lower()}" for s in PREDICTED]
+    counts = [F.struct(F.lit(state).alias("realized_state"), *[F.count_if((r == state) & (p == q)).alias(n) for q, n in zip(PREDICTED, names)]) for state in REALIZED]
+    return pairs.groupBy(*by).agg(F.array(*counts).alias("rows")).select(*by, F.explode("rows").alias("row")).select(*by, "row.*")
 
 
 def scores(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -136,12 +139,10 @@ def scores(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def calibration(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Five confidence bins of the predictions that are not UNCERTAIN; bins without any have nulls."""
-    spark = pairs.sparkSession
-    sure = pairs.withColumn("bin", F.when(F.col("market_state") != "UNCERTAIN", F.least(F.floor(F.col("confidence").cast("decimal(20,10)") * 5), F.lit(4)).cast("int")))
-    counts = sure.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg((F.col("market_state") == F.col("realized_state")).cast("double")).alias("observed_accuracy"))
-    bins = spark.range(5).select(F.col("id").cast("int").alias("bin"))
-    rows = counts.select(*by).distinct().join(F.broadcast(bins), F.lit(True)) if by else bins  # five rows
-    out = rows.join(counts.where("bin is not null"), [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bin_ = F.when(F.col("market_state") != "UNCERTAIN", F.least(F.floor(F.col("confidence").cast("decimal(20,10)") * 5), F.lit(4)).cast("int"))
+    hit = (F.col("market_state") == F.col("realized_state")).cast("double")
+    bins = [F.struct(F.lit(i).alias("bin"), F.count_if(bin_ == i).alias("n"), F.avg(F.when(bin_ == i, F.col("confidence"))).alias("mean_confidence"), F.avg(F.when(bin_ == i, hit)).alias("observed_accuracy")) for i in range(5)]
+    out = pairs.groupBy(*by).agg(F.array(*bins).alias("rows")).select(*by, F.explode("rows").alias("row")).select(*by, "row.*")
     return out.withColumn("absolute_gap", F.abs(F.col("mean_confidence") - F.col("observed_accuracy")))
 
 

@@ -7,10 +7,15 @@ many writers (:mod:`wickline.operators.commits`).
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
+from decimal import Decimal
 from typing import TypeVar
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,6 +247,30 @@ def evolution_violations(snapshots: DataFrame) -> DataFrame:
 INSERTED, UNCHANGED, LATE, EVOLVED, NOOP = "INSERTED", "UNCHANGED", "LATE", "EVOLVED", "NOOP"
 
 
+def payload_text(payload: tuple) -> str:
+    """A payload as text that :func:`payload_of` reads back."""
+    return json.dumps([x.isoformat() if isinstance(x, datetime) else str(x) if isinstance(x, Decimal) else x for x in payload])
+
+
+def payload_of(text: str) -> tuple:
+    """The payload of a text; times are compared as times, prices as they were."""
+    return tuple(_read.get(c, lambda x: x)(x) for c, x in zip(IDENTITY + STATE, json.loads(text)))
+
+
+def _price(value):
+    return Decimal(value) if isinstance(value, str) else value
+
+
+_read = {c: pd.Timestamp for c in ("open_time", "close_time")} | {c: _price for c in ("open", "high", "low", "close")}
+
+
+def _plain(value):
+    """A value as one kind whatever brought it: no NaN for null, no NumPy numbers."""
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
+    return value.item() if hasattr(value, "item") and not isinstance(value, datetime) else value
+
+
 class CandleFold:
     """The state of one candle while its snapshots arrive."""
 
@@ -251,8 +280,17 @@ class CandleFold:
         self.at_time: dict = {}
         self.by_observation: dict = {}
 
+    def payload(self) -> str:
+        """The canonical row as text."""
+        return payload_text(tuple(self.current[c] for c in IDENTITY + STATE))
+
+    def restore(self, payload: str, newest) -> None:
+        """Go on from a canonical row and the newest knowledge time."""
+        self.current, self.newest = dict(zip(IDENTITY + STATE, payload_of(payload))), pd.Timestamp(newest)
+
     def save(self, row: dict) -> str:
         """Outcome of one arrival: a name above, or ``CONFLICT:reason`` that leaves the state as it is."""
+        row = row | {c: _plain(row[c]) for c in IDENTITY + STATE}
         payload = tuple(row[c] for c in IDENTITY + STATE)
         if not row["observed"]:
             return "CONFLICT:MISSING_OBSERVATION"

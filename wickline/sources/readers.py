@@ -1,4 +1,4 @@
-"""Readers: replay JSON, ground-truth CSV, images, a database, and series made of the driver's tables."""
+"""Readers: replay JSON, ground-truth CSV, images, and series made of the driver's tables; databases are in ``database``."""
 
 from __future__ import annotations
 
@@ -44,11 +44,6 @@ def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def database_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table over JDBC; partitioning options pass through, and the driver must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

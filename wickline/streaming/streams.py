@@ -1,19 +1,21 @@
 """Structured Streaming: tracking, capture and the candle store as stateful operators.
 
 Each has the same fold as its batch form.  State is kept by key and written to
-the checkpoint that the sink names.
+the checkpoint that the sink names; that of candles that are over is evicted.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wickline.operators import tracking
+from wickline.operators import capture, store, tracking
 
 
 def track(frames: DataFrame, timeframe: str, **tolerances) -> DataFrame:
@@ -48,6 +50,102 @@ def changes(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session_id").applyInPandasWithState(step, CAPTURED, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def due(frames: DataFrame, interval_seconds: float = capture.INTERVAL_SECONDS) -> DataFrame:
+    """``is_due`` of a stream of frames (session_id, frame_id, captured_at), as :func:`wickline.operators.capture.due` gives it.
+
+    The frames of a batch are taken in the order of captured_at and frame_id.
+    """
+    micros = capture.interval_micros(interval_seconds)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["captured_at", "frame_id"])
+        taken, last = [], state.get[0] if state.exists else None
+        for at in rows["captured_at"].astype("datetime64[us]").astype("int64"):
+            take = last is None or at - last >= micros
+            last = at if take else last
+            taken.append(take)
+        state.update((int(last),))
+        yield rows[["session_id", "frame_id", "captured_at"]].assign(is_due=taken)
+
+    return frames.groupBy("session_id").applyInPandasWithState(step, "session_id string, frame_id string, captured_at timestamp, is_due boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: When a row came to the stream.
+ARRIVED = "_arrived_at"
+
+
+class _Fold(StatefulProcessor):
+    """The evolution of one candle, kept in Spark's state: the canonical row, and what was saved at each time and by each observation."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "payload string, newest timestamp, closed boolean, timer long")
+        self.at_time = handle.getMapState("at_time", "ts timestamp", "payload string")
+        self.by_observation = handle.getMapState("by_observation", "observation_id string", "payload string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        fold, timer = store.CandleFold(), 0
+        if self.current.exists():
+            payload, newest, _, timer = self.current.get()
+            fold.restore(payload, newest)
+        fold.at_time, fold.by_observation = _Saved(self.at_time), _Saved(self.by_observation)
+        told = [fold.save(row) for row in arrived.to_dict("records")]
+        if fold.current is not None:
+            until = round(time.time() * 1000) + self.keep_ms
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until)
+            self.current.update((fold.payload(), fold.newest, bool(fold.current["is_closed"]), until))
+        yield arrived[["session_id", "open_time", "arrival", "observation_id"]].assign(outcome=told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.current.exists():
+            payload, newest, closed, _ = self.current.get()
+            if closed:
+                for state in (self.current, self.at_time, self.by_observation):
+                    state.clear()
+            else:
+                self.current.update((payload, newest, closed, 0))  # its next arrival sets a timer again
+        yield pd.DataFrame(columns=["session_id", "open_time", "arrival", "observation_id", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Saved:
+    """A map of states as the fold asks for it: payloads by time or observation."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def get(self, key, default=None):
+        return store.payload_of(self.state.getValue((key,))[0]) if self.state.containsKey((key,)) else default
+
+    def __setitem__(self, key, payload: tuple) -> None:
+        self.state.updateValue((key,), (store.payload_text(payload),))
+
+
+def fold(arrivals: DataFrame, observations: DataFrame, keep_seconds: float = 86_400.0) -> DataFrame:
+    """Outcome of every arrival of a stream, as :func:`wickline.operators.store.fold_arrivals` gives it.
+
+    Arrivals of a batch are taken by ``arrival``.  The state of a candle that has
+    closed goes when nothing has arrived for it for ``keep_seconds``; until then
+    late snapshots are judged as in a batch, and those of open candles at any
+    time.  Time passes as batches arrive: the watermark is that of arrival, so that
+    no row is too late for it.  Needs the RocksDB state store (:data:`STATE_STORE`).
+    """
+    rows = store.observed(arrivals, observations).withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, "0 seconds")
+    return rows.groupBy("session_id", "open_time").transformWithStateInPandas(_Fold(round(keep_seconds * 1000)), store.FOLDED, "append", "EventTime")
+
+
+#: The setting that :func:`fold` needs of its session.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def candles(ticks: DataFrame, timeframe: str, late: str) -> DataFrame:
     """OHLC candles of a stream of ticks (session_id, ts timestamp, seq, price), emitted once the watermark has passed them."""
     from wickline.config import timeframe_seconds
@@ -65,6 +163,11 @@ def replay_stream(candles: DataFrame, clock) -> DataFrame:
     return candles.where(F.col("close_time") <= F.lit(clock))
 
 
-def append_to_store(stream: DataFrame, store, table: str, checkpoint: str):
+def append_to_store(stream: DataFrame, held: store.Store, table: str, checkpoint: str):
     """Write a stream through the store's checks, a batch at a time; a batch replayed after a failure changes nothing."""
-    return stream.writeStream.foreachBatch(lambda batch, _: store.append(table, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: held.append(table, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def save_to_store(arrivals: DataFrame, held: store.Store, checkpoint: str):
+    """Fold a stream of arrivals into the store's candles, a batch at a time and each all or nothing; a batch replayed after a failure changes nothing."""
+    return arrivals.writeStream.foreachBatch(lambda batch, _: held.save_candles(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
