@@ -43,8 +43,13 @@ def snapshots(ticks: DataFrame) -> DataFrame:
         F.first("price").over(so_far).alias("open"), F.max("price").over(so_far).alias("high"), F.min("price").over(so_far).alias("low"), F.col("price").alias("close"),
         F.lit(False).alias("is_closed"), F.when(F.count("confidence").over(so_far) == F.count("*").over(so_far), F.min("confidence").over(so_far)).alias("confidence"),
     )
-    closing = halo.over(candles(ticks), ["session_id"], "open_time", lambda df, w: df.withColumns({"ts": F.lead("first_ts").over(w), "seq": F.lead("first_seq").over(w)}), after=1).where("seq is not null")
-    return growing.unionByName(closing.select(*BUCKET, "ts", "seq", "open", "high", "low", "close", F.lit(True).alias("is_closed"), "confidence"))
+    return growing.unionByName(closings(ticks))
+
+
+def closings(ticks: DataFrame) -> DataFrame:
+    """The snapshots that show a candle closed: one for each candle that another one follows."""
+    found = halo.over(candles(ticks), ["session_id"], "open_time", lambda df, w: df.withColumns({"ts": F.lead("first_ts").over(w), "seq": F.lead("first_seq").over(w)}), after=1).where("seq is not null")
+    return found.select(*BUCKET, "ts", "seq", "open", "high", "low", "close", F.lit(True).alias("is_closed"), "confidence")
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from wickline.config import AnalysisConfig, plain
 from wickline.functions import texts
 from wickline.operators import asof, features
 from wickline.operators.store import Store
+from wickline.scratch import written
 
 
 def state_rule(minimum: float, trend: str = "trend", lateral: str = "lateral", quality: str = "quality") -> Column:
@@ -75,11 +76,11 @@ def analyze(snapshots: DataFrame, requests: DataFrame, config: AnalysisConfig, p
 def analyze_in_order(snapshots: DataFrame, requests: DataFrame, config: AnalysisConfig, persisted: bool = False) -> DataFrame:
     """The same for histories in which candles close in the order of their open_time.
 
-    Features are computed once a closed candle, and each request looks up the
-    last candle closed by then: linear in both inputs.
+    Features are computed once a closed candle and written, and each request looks
+    up the last candle closed by then: linear in both inputs.
     """
     closing = snapshots.where("is_closed").groupBy("session_id", "open_time").agg(F.min_by(F.struct("ts", "seq", "open", "high", "low", "close", "is_closed", "confidence"), F.struct("ts", "seq")).alias("row")).select("session_id", "open_time", "row.*")
-    table = measured(closing, ["session_id"], config)
+    table = written(measured(closing, ["session_id"], config).select("session_id", "open_time", "ts", "closed", "trend", "lateral", "quality"), "measured")
     requests = requests.select("session_id", "as_of").distinct()
     found = asof.last_known(requests, table, ["session_id"], "as_of", "ts", ["closed", "trend", "lateral", "quality"], tie=["open_time"])
     return decide(found.withColumn("closed", F.coalesce("closed", F.lit(0))), config, persisted)

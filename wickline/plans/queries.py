@@ -31,9 +31,19 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return candles.snapshots(ticks(spark, sf))
 
 
-def closing(spark: SparkSession, sf: str) -> DataFrame:
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshots as a store holds them: written once, for queries that look at them several times."""
+    return written(snapshots(spark, sf), "snapshots")
+
+
+def closed(known: DataFrame) -> DataFrame:
     """Closed candles with the time they were known closed."""
-    return snapshots(spark, sf).where("is_closed").withColumn("close_time", F.col("open_time") + F.expr("INTERVAL 1 HOUR"))
+    return known.where("is_closed").withColumn("close_time", F.col("open_time") + F.expr("INTERVAL 1 HOUR"))
+
+
+def closing(spark: SparkSession, sf: str) -> DataFrame:
+    """The closed candles alone, written once."""
+    return closed(written(candles.closings(ticks(spark, sf)), "closed"))
 
 
 def midnights(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +77,7 @@ def candles_as_of(spark, sf):
 
 def candles_as_of_batched(spark, sf):
     """What every session knew at every midnight, counted and summed up."""
-    known = asof.as_of_many(snapshots(spark, sf), midnights(spark, sf))
+    known = asof.as_of_many(stored(spark, sf), midnights(spark, sf))
     return known.groupBy("session_id", "as_of").agg(F.count("*").alias("known"), F.count_if("is_closed").alias("closed"), F.max("open_time").alias("newest"), F.round(F.sum("close"), 4).alias("sum_close"))
 
 
@@ -175,21 +185,21 @@ def last_closed(spark, sf):
 
 
 def analysis_decision(spark, sf):
-    return classify.analyze(snapshots(spark, sf), midnights(spark, sf), CONFIG).select("session_id", "as_of", "state_rule", "market_state", "confidence", "quality")
+    return classify.analyze(stored(spark, sf), midnights(spark, sf), CONFIG).select("session_id", "as_of", "state_rule", "market_state", "confidence", "quality")
 
 
 def analysis_evidence(spark, sf):
-    return classify.analyze(snapshots(spark, sf), midnights(spark, sf), CONFIG, persisted=True).select("session_id", "as_of", F.array_join("evidence", "|").alias("evidence"))
+    return classify.analyze(stored(spark, sf), midnights(spark, sf), CONFIG, persisted=True).select("session_id", "as_of", F.array_join("evidence", "|").alias("evidence"))
 
 
-def _dense(spark, sf):
-    requests = closing(spark, sf).select("session_id", F.col("ts").alias("as_of"))
-    return classify.analyze_in_order(snapshots(spark, sf), requests, CONFIG)
+def _dense(known: DataFrame) -> DataFrame:
+    requests = known.where("is_closed").select("session_id", F.col("ts").alias("as_of"))
+    return classify.analyze_in_order(known, requests, CONFIG)
 
 
 def analysis_dense(spark, sf):
     """A decision at every closing, by the linear path."""
-    return _dense(spark, sf).select("session_id", "as_of", "state_rule", "market_state", "confidence")
+    return _dense(closing(spark, sf)).select("session_id", "as_of", "state_rule", "market_state", "confidence")
 
 
 def _truth(spark, sf):
@@ -296,8 +306,9 @@ def outcome_horizon(spark, sf):
 
 
 def _evaluated(spark, sf):
-    a = _dense(spark, sf).select(F.concat_ws("/", "session_id", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("analysis_id"), "session_id", F.col("as_of").alias("timestamp"), "market_state", "confidence")
-    return outcome.evaluate(a, closing(spark, sf), _policies(spark, sf), _sessions(spark, sf), HORIZON, _ts("2024-02-15 00:00:00"), exhausted=F.col("session_id") == "purchase")
+    known = closing(spark, sf)
+    a = _dense(known).select(F.concat_ws("/", "session_id", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("analysis_id"), "session_id", F.col("as_of").alias("timestamp"), "market_state", "confidence")
+    return outcome.evaluate(a, known, _policies(spark, sf), _sessions(spark, sf), HORIZON, _ts("2024-02-15 00:00:00"), exhausted=F.col("session_id") == "purchase")
 
 
 def availability_status(spark, sf):
