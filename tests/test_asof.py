@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wickline.config import AnalysisConfig, utc
-from wickline.operators import asof, classify
+from wickline.operators import asof, classify, halo
 
 from .conftest import BASE
 
@@ -124,7 +124,7 @@ def test_last_known_across_buckets(spark):
     import random
 
     random.seed(7)
-    day = asof.NUMBERS
+    day = halo.NUMBERS
     left = [(random.choice("abc"), random.randrange(12 * day), i) for i in range(150)]
     right = [(random.choice("ab"), random.randrange(day // 2, 12 * day, day // 3), i, f"v{i}") for i in range(25)]
     got = asof.last_known(spark.createDataFrame(left, "k string, t long, id int"), spark.createDataFrame(right, "k string, u long, n int, v string"), ["k"], "t", "u", ["v"], tie=["n"]).collect()
