@@ -47,8 +47,24 @@ def ordered(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
+def share(a, b):
+    """Likeness by plain sets: of the smallest hashes of either, those of both."""
+    if a == b:
+        return 1.0
+    x, y = ({h[i : i + 16] for i in range(0, len(h), 16)} for h in (f.rpartition(":")[2] for f in (a, b)))
+    smallest = sorted(x | y)[: fp.KEEP]
+    return sum(h in x and h in y for h in smallest) / len(smallest) if x and y else 0.0
+
+
 def check(got, rows):
-    rows = ordered(rows)
+    got, rows = list(got), ordered(rows)
+    near = []
+    for i, (doc, text) in enumerate(rows):
+        text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
+        new = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
+        own, other, behind = (fp.fingerprint(hashed(t)) for t in (text, new, following))
+        near.append((doc, round(share(own, other), 9), round(share(own, behind), 9)))
+    assert sorted(map(str, near)) == sorted(str((r.doc_id, round(r.near_edited, 9), round(r.near_next, 9))) for r in got)
     want = []
     for i, (doc, text) in enumerate(rows):
         text, following = text or "", rows[(i + 1) % len(rows)][1] or ""

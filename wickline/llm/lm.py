@@ -277,6 +277,7 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     is the unigram score over exact counts; score is the filter's model.  Null
     texts are empty and have their end alone.  Without training rows all counts
     are 0.  Repeated rows count and are scored each; other columns are ignored.
+    A very long text is scored whole by one task, with some ten numbers a word.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), training.alias("trained"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -448,7 +448,10 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
 
 
 def score(model: Model, text: Column, spark) -> Column:
-    """Score of a text column; null texts are empty."""
+    """Score of a text column; null texts are empty.
+
+    Every span of a text is looked at, however long the text is; one text stands in one task.
+    """
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
