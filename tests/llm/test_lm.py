@@ -186,3 +186,33 @@ def test_filters_that_are_too_small_stay_finite(documents, monkeypatch, bits_a_l
         ids = sorted(want)
         rank = [np.argsort(np.argsort([d[i] for i in ids])) for d in (want, got)]
         assert np.corrcoef(*rank)[0, 1] > least
+
+
+@pytest.mark.parametrize("segments", [1, 256, 1 << 12, 1 << 30])
+def test_packed_grams_come_back_shortened(segments):
+    rng = np.random.default_rng(3)
+    grams = np.sort(rng.integers(0, 1 << 64, 5_000, dtype=np.uint64))
+    segment, cuts, packed = lm.packed_by_segment(grams, segments)
+    back = np.concatenate([lm.unpacked(int(s), x, segments) for s, x in zip(segment, packed)])
+    assert (back == lm.shortened(grams, lm.kept_bits(segments))).all() and cuts[-1] == len(grams)
+    assert (np.diff(segment) > 0).all()
+
+
+def test_counts_are_summed_over_tasks_and_flushes(monkeypatch):
+    monkeypatch.setattr(lm, "SUMMED", 100)
+    rng = np.random.default_rng(4)
+    want, batches = Counter(), []
+    for _ in range(20):
+        grams, n = np.unique(rng.integers(0, 1 << 64, 40, dtype=np.uint64) >> np.uint64(58) << np.uint64(58), return_counts=True)
+        n = n * rng.choice([1, 255, 256, 10**10], len(n))
+        want.update(dict(zip(grams.tolist(), n.tolist())))
+        batches += lm._counted(grams, n.astype(np.int64), 4)
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["segment"])
+    import pyarrow as pa
+
+    got = Counter()
+    for out in lm._totals(4)(iter([pa.RecordBatch.from_pylist(rows)])):
+        pairs = list(zip(out.column("gram").to_numpy().view(np.uint64).tolist(), out.column("n").to_pylist()))
+        assert not any(g in got for g, _ in pairs)
+        got.update(dict(pairs))
+    assert got == want

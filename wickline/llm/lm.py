@@ -7,7 +7,12 @@ The filter is built in segments by as many groups; its bits follow the counted
 levels without an end.  Up to ``BROADCAST_BITS`` it is put together on the
 driver and broadcast.  A larger one stays in its segments, of which a task
 holds one at a time: the n-grams of each piece of the texts are sent to their
-segments, and the levels found there come back to their piece.
+segments, and the levels found there come back to their piece, which makes its
+n-grams again and so needs no keys with them.
+
+N-grams travel packed by segment, in the five bytes that follow the bits of
+the segment: as segments grow in number with the tokens, two of a segment's
+n-grams share them with a chance below 10^-6 at any size.
 
 The word counts themselves are kept exactly too, for the base score.  The most
 frequent ones, at most ``BROADCAST_WORDS``, are broadcast; all others are
@@ -95,28 +100,140 @@ def _before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(of_pairs: bool):
+def _summed(batches: Iterator[pa.RecordBatch], of_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words or pairs in order, and their counts, for about ``SUMMED`` of them at a time."""
+    hasher, held, size = Hasher(), [], 0
+    for batch in batches:
+        for _, words, starts in _sequences(batch, hasher):
+            held.append(pair_gram(_before(words, starts), words) if of_pairs else words)
+            size += len(words)
+            if size > SUMMED:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of the words of texts."""
+    for grams, n in _summed(batches, False):
+        for i in range(0, len(grams), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000], pa.int64())], ["gram", "n"])
+
+
+def kept_bits(segments: int) -> int:
+    """Leading bits of an n-gram that are kept: those of its segment and 40 more."""
+    return min(64, segments.bit_length() - 1 + 40)
+
+
+def shortened(grams: np.ndarray, kept: int) -> np.ndarray:
+    return grams >> np.uint64(64 - kept) << np.uint64(64 - kept)
+
+
+def packed_by_segment(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Segments of n-grams in order, where each starts and ends, and its n-grams in five bytes each."""
+    kept, own = kept_bits(segments), segments.bit_length() - 1
+    segment = segment_of(grams, segments)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(grams)]])
+    low = grams >> np.uint64(64 - kept) & np.uint64((1 << kept - own) - 1)
+    blob = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return segment[cuts[:-1]], cuts, [blob[5 * i : 5 * j] for i, j in zip(cuts, cuts[1:])]
+
+
+def unpacked(segment: int, packed: bytes, segments: int) -> np.ndarray:
+    """N-grams of a segment, shortened, from their five bytes each."""
+    kept, own = kept_bits(segments), segments.bit_length() - 1
+    wide = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+    low = wide.view("<u8").reshape(-1).astype(np.uint64) << np.uint64(64 - kept)
+    return low | np.uint64(segment << 64 - own) if own else low
+
+
+#: Counted n-grams of one segment: counts in a byte, those of 255 and more again in ``large``.
+COUNTED = "segment long, grams binary, small binary, large binary"
+
+
+def _counted(grams: np.ndarray, n: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    if not len(grams):
+        return
+    segment, cuts, packed = packed_by_segment(grams, segments)
+    small = np.minimum(n, 255).astype(np.uint8)
+    rows = [(small[i:j].tobytes(), n[i:j][n[i:j] >= 255].astype("<i8").tobytes()) for i, j in zip(cuts, cuts[1:])]
+    for i in range(0, len(packed), 1_000):
+        part = slice(i, i + 1_000)
+        yield pa.RecordBatch.from_arrays([pa.array(segment[part]), pa.array(packed[part], pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*rows[part]))], ["segment", "grams", "small", "large"])
+
+
+def _pairs(segments: int):
+    """Counted pairs of the words of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams, n in _summed(batches, True):
+            yield from _counted(grams, n, segments)
+
+    return run
+
+
+def _keyed(segments: int):
+    """Counted words, from (gram, n), under their keys in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        held, size = [], 0
 
         def out():
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(grams), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000], pa.int64())], ["gram", "n"])
+            grams, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(grams)
+            return _counted(grams[order], n[order], segments)
 
         for batch in batches:
-            for _, words, starts in _sequences(batch, hasher):
-                held.append(pair_gram(_before(words, starts), words) if of_pairs else words)
-                size += len(words)
-                if size > SUMMED:
-                    yield from out()
-                    held, size = [], 0
+            held.append((word_gram(batch.column("gram").to_numpy().view(np.uint64)), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size > SUMMED:
+                yield from out()
+                held, size = [], 0
         if held:
             yield from out()
 
     return run
 
 
+def _merged(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
+    counts = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(counts, back, np.concatenate(n))
+    return distinct, counts
+
+
+def _totals(segments: int):
+    """(gram, n) of all n-grams of a segment at once, from counted n-grams that come segment by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grams, n, size = None, [], [], 0
+
+        def out():
+            distinct, counts = _merged(grams, n)
+            return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(counts)], ["gram", "n"])
+
+        for batch in batches:
+            for segment, packed, small, large in zip(*(batch.column(c).to_pylist() for c in ("segment", "grams", "small", "large"))):
+                if segment != now:
+                    if grams:
+                        yield out()
+                    now, grams, n, size = segment, [], [], 0
+                counts = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
+                counts[counts == 255] = np.frombuffer(large, dtype="<i8")
+                grams.append(unpacked(segment, packed, segments))
+                n.append(counts)
+                size += len(counts)
+                if size > SUMMED:
+                    grams, n = ([x] for x in _merged(grams, n))
+                    size = 0
+        if grams:
+            yield out()
+
+    return run
+
+
 def bit_places(grams: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     """Three places in a segment of ``bits`` (a power of two, 2^21 at most) for a level of each n-gram."""
     g = mixed_bits(grams + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -129,7 +246,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _segments(bits: int, segments: int = SEGMENTS, in_order: bool = False):
-    """Bits of each segment that comes in, as (segment, bytes); segments ``in_order`` are given out one by one."""
+    """Bits of each segment that comes in as (gram, n), as (segment, bytes); segments ``in_order`` are given out one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -156,14 +273,14 @@ def _segments(bits: int, segments: int = SEGMENTS, in_order: bool = False):
 
 
 class Filter:
-    """A finished filter, or some of its segments; ``top`` is the largest level stored."""
+    """A finished filter, or some of its segments; ``top`` is the largest level stored, ``kept`` the bits of an n-gram that count."""
 
-    def __init__(self, table: np.ndarray, bits: int, segments: int = SEGMENTS, top: int = 63) -> None:
-        self.table, self.bits, self.segments, self.top = table, bits, segments, top
+    def __init__(self, table: np.ndarray, bits: int, segments: int = SEGMENTS, top: int = 63, kept: int = 64) -> None:
+        self.table, self.bits, self.segments, self.top, self.kept = table, bits, segments, top, kept
 
     def level(self, grams: np.ndarray) -> np.ndarray:
         """Quantised count of each n-gram, 0 for those not held."""
-        distinct, back = np.unique(grams, return_inverse=True)
+        distinct, back = np.unique(shortened(grams, self.kept), return_inverse=True)
         out = np.zeros(len(distinct), dtype=np.int64)
         alive, base = np.arange(len(distinct)), segment_of(distinct, self.segments).astype(np.uint64) * np.uint64(self.bits // 8)
         level = 1
@@ -180,41 +297,41 @@ class Filter:
 
 
 class Found:
-    """Levels that were looked up before, by n-gram; all others are 0."""
+    """Levels that were looked up before, by n-gram: shortened, in order."""
 
-    def __init__(self, grams: np.ndarray, level: np.ndarray) -> None:
-        order = np.argsort(grams)
-        self.grams, self.found = grams[order], level[order]
+    def __init__(self, grams: np.ndarray, level: np.ndarray, kept: int) -> None:
+        self.grams, self.found, self.kept = grams, level, kept
 
     def level(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.grams):
-            return np.zeros(len(grams), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return np.where(self.grams[at] == grams, self.found[at], 0).astype(np.int64)
+        return self.found[np.searchsorted(self.grams, shortened(grams, self.kept))].astype(np.int64)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their piece of about ``PIECE_BYTES``, unlike in all tasks."""
-    first, size = TaskContext.get().partitionId() << 33, 0
+    """Rows with the number of their piece of about ``PIECE_BYTES``, unlike in all tasks, and their place in the task."""
+    first, size, rows = TaskContext.get().partitionId() << 33, 0, 0
     for batch in batches:
         ends = size + np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-        yield batch.append_column("piece", pa.array(first + ends // PIECE_BYTES))
-        size = int(ends[-1]) if len(ends) else size
+        at = pa.array(np.arange(rows, rows + batch.num_rows))
+        yield batch.append_column("piece", pa.array(first + ends // PIECE_BYTES)).append_column("at", at)
+        size, rows = int(ends[-1]) if len(ends) else size, rows + batch.num_rows
+
+
+def _grams(sequences: list[tuple[int, np.ndarray, np.ndarray]], kept: int) -> np.ndarray:
+    """Distinct n-grams of sequences of words, shortened, in order."""
+    parts = [shortened(np.concatenate([word_gram(w), pair_gram(_before(w, starts), w)]), kept) for _, w, starts in sequences]
+    return np.unique(np.concatenate([np.unique(x) for x in parts]))
 
 
 def _asked(segments: int):
-    """The n-grams of each piece of rows, packed by segment."""
+    """The n-grams of each stretch of rows of a piece, packed by segment; ``at`` is the stretch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, kept = Hasher(), kept_bits(segments)
         for batch in batches:
             for piece, part in _by(batch, "piece"):
-                for _, words, starts in _sequences(part, hasher):
-                    grams = np.unique(np.concatenate([word_gram(words), pair_gram(_before(words, starts), words)]))
-                    segment = segment_of(grams, segments)
-                    cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1), len(grams)]
-                    packed = pa.array([grams[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
-                    yield pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]]), pa.array(np.full(len(packed), piece)), packed], ["segment", "piece", "grams"])
+                segment, _, packed = packed_by_segment(_grams(list(_sequences(part, hasher)), kept), segments)
+                at = part.column("at")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(segment), *(pa.array(np.full(len(packed), x, dtype=np.int64)) for x in (piece, at)), pa.array(packed, pa.binary())], ["segment", "piece", "at", "grams"])
 
     return run
 
@@ -229,30 +346,61 @@ def _by(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, pa.RecordBatch]
 
 
 def _probed(bits: int, segments: int, top: int):
-    """Levels of the n-grams that come behind the bits of their segment, as (piece, grams, levels), both packed."""
+    """Levels of the n-grams that come behind the bits of their segment, in their order, as (piece, at, segment, levels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table = None, None
         for batch in batches:
             for segment, part in _by(batch, "segment"):
                 if segment != now:
-                    now, table = segment, None
+                    now, table = segment, np.zeros(bits // 8, dtype=np.uint8)
                 of_bits = pc.is_valid(part.column("bits"))
                 for x in part.column("bits").filter(of_bits):
                     table = np.frombuffer(x.as_py(), dtype=np.uint8)
                 asked = part.filter(pc.invert(of_bits))
-                for at in range(0, 0 if table is None else asked.num_rows, 1_000):
-                    some = asked.slice(at, 1_000)
+                for i in range(0, asked.num_rows, 1_000):
+                    some = asked.slice(i, 1_000)
                     packed = some.column("grams").to_pylist()
-                    grams = np.frombuffer(b"".join(packed), dtype=np.uint64)
-                    level = Filter(table, bits, 1, top).level(grams).astype(np.uint8)
-                    cuts = np.cumsum([0, *(len(x) // 8 for x in packed)])
-                    own = [(grams[i:j][level[i:j] > 0].tobytes(), level[i:j][level[i:j] > 0].tobytes()) for i, j in zip(cuts, cuts[1:])]
-                    yield pa.RecordBatch.from_arrays([some.column("piece"), *(pa.array(x, pa.binary()) for x in zip(*own))], ["piece", "grams", "levels"])
+                    level = Filter(table, bits, 1, top).level(unpacked(segment, b"".join(packed), segments)).astype(np.uint8)
+                    cuts = np.cumsum([0, *(len(x) // 5 for x in packed)])
+                    own = pa.array([level[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some.column("piece"), some.column("at"), some.column("segment"), own], ["piece", "at", "segment", "levels"])
 
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], hasher: Hasher, kept: int) -> Iterator[tuple[pa.RecordBatch, list, Found]]:
+    """Each stretch of rows of a piece, its sequences, and the levels of its n-grams.
+
+    Of a piece, the levels come first, by stretch and segment, then its rows in
+    their places.  A task holds one piece.
+    """
+    now, found, rows = None, {}, []
+
+    def out():
+        texts = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        firsts = np.searchsorted(texts.column("at").to_numpy(), [*found, np.iinfo(np.int64).max])
+        for i, j, levels in zip(firsts, firsts[1:], found.values()):
+            part = texts.slice(i, j - i)
+            sequences = list(_sequences(part, hasher))
+            yield part, sequences, Found(_grams(sequences, kept), np.frombuffer(b"".join(levels), dtype=np.uint8), kept)
+
+    for batch in batches:
+        for piece, part in _by(batch, "piece"):
+            if piece != now:
+                if rows:
+                    yield from out()
+                now, found, rows = piece, {}, []
+            of_text = pc.is_null(part.column("levels"))
+            levels, texts = part.filter(pc.invert(of_text)), part.filter(of_text)
+            for at, x in zip(levels.column("at").to_pylist(), levels.column("levels").to_pylist()):
+                found.setdefault(at, []).append(x)
+            if texts.num_rows:
+                rows.append(texts)
+    if rows:
+        yield from out()
+
+
 def expected(level: np.ndarray) -> np.ndarray:
     """Count in the middle of a level; 0 for level 0."""
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
@@ -283,7 +431,7 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), training.alias("trained"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learnt = rows.where("trained").select("text")
 
-    words = materialize(learnt.mapInArrow(_counts(False), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "words")
+    words = materialize(learnt.mapInArrow(_words, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "words")
     by_level = words.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum("n").alias("total"), F.count("*").alias("words")).collect()
     total, distinct = sum(r["total"] for r in by_level), sum(r["words"] for r in by_level)
 
@@ -291,13 +439,10 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     bits, segments = filter_size(total + sum(r["words"] * (r["level"] + 1) for r in by_level))
     top = max((r["level"] + 1 for r in by_level), default=0)  # no pair is more frequent than its words
     whole = bits * segments <= BROADCAST_BITS
-    segment = F.shiftrightunsigned("gram", 65 - segments.bit_length())
-    keyed = words.mapInArrow(_keyed, "gram long, n long")
-    pairs = learnt.mapInArrow(_counts(True), "gram long, n long")
-    grams = pairs.unionByName(keyed).withColumn("segment", segment)
-    summed = grams.repartition("segment").groupBy("segment", "gram").agg(F.sum("n").alias("n"))
-    summed = summed if whole else summed.sortWithinPartitions("segment")
-    made = summed.select("gram", "n").mapInArrow(_segments(bits, segments, not whole), "segment long, bits binary")
+    kept = kept_bits(segments)
+    counted = learnt.mapInArrow(_pairs(segments), COUNTED).unionByName(words.mapInArrow(_keyed(segments), COUNTED))
+    summed = counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(_totals(segments), "gram long, n long")
+    made = summed.mapInArrow(_segments(bits, segments, True), "segment long, bits binary")
     table = None
     if whole:
         table = np.zeros(segments * bits // 8, dtype=np.uint8)
@@ -318,31 +463,19 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     all_exact = len(exact[0]) == distinct
     model = spark.sparkContext.broadcast((table, exact))
 
-    def with_models(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Filter | Found]]:
-        """Rows and what to probe for them: the filter, or the levels that come before the rows of a piece."""
+    def with_models(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tuple]:
+        """Rows, their sequences, and what to probe for them: the filter, or the levels that come before the rows of a piece."""
         if whole:
-            probe = Filter(model.value[0], bits, segments, top)
-            yield from ((batch, probe) for batch in batches)
-            return
-        now, held, probe = None, [], None
-        for batch in batches:
-            for piece, part in _by(batch, "piece"):
-                if piece != now:
-                    now, held, probe = piece, [], None
-                of_text = pc.is_null(part.column("grams"))
-                looked_up, texts = part.filter(pc.invert(of_text)), part.filter(of_text)
-                if looked_up.num_rows:
-                    held.append(tuple(np.frombuffer(b"".join(looked_up.column(c).to_pylist()), dtype=t) for c, t in (("grams", np.uint64), ("levels", np.uint8))))
-                if texts.num_rows:
-                    probe = probe or Found(*map(np.concatenate, zip(*held or [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))])))
-                    yield texts, probe
+            probe = Filter(model.value[0], bits, segments, top, kept)
+            return ((batch, _sequences(batch, hasher), probe) for batch in batches)
+        return _pieces(batches, hasher, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = model.value[1]
         hasher = Hasher()
         logs, unknown = np.log10(counts + 0.1), np.log10(0.1) if all_exact else 0.0
-        for batch, probe in with_models(batches):
-            for first, w, starts in _sequences(batch, hasher):
+        for batch, sequences, probe in with_models(batches, hasher):
+            for first, w, starts in sequences:
                 ends = np.append(starts, len(w))
                 score = np.add.reduceat(score_tokens(probe, w, starts, total, distinct, weight), starts)
                 signed = w.view(np.int64)
@@ -360,11 +493,11 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
                 )
 
     if not whole:
-        rows = materialize(rows.mapInArrow(_numbered, "doc_id long, trained boolean, text string, piece long"), "pieces")
-        asked = rows.mapInArrow(_asked(segments), "segment long, piece long, grams binary")
+        rows = materialize(rows.mapInArrow(_numbered, "doc_id long, trained boolean, text string, piece long, at long"), "pieces")
+        asked = rows.mapInArrow(_asked(segments), "segment long, piece long, at long, grams binary")
         met = made.unionByName(asked, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", F.isnull("bits"))
-        found = met.mapInArrow(_probed(bits, segments, top), "piece long, grams binary, levels binary")
-        rows = rows.unionByName(found, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.isnull("grams"))
+        found = met.mapInArrow(_probed(bits, segments, top), "piece long, at long, segment long, levels binary")
+        rows = rows.unionByName(found, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.isnull("levels"), "at", "segment")
     scored = rows.mapInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, part double, score double, rest array<long>")
     if not all_exact:
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -381,11 +514,6 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     return scored.select("doc_id", "trained", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(word_gram(batch.column("gram").to_numpy().view(np.uint64)).view(np.int64)), batch.column("n")], ["gram", "n"])
-
-
 def held_out(key: Column, modulus: int = 10) -> Column:
     """Rows whose id's crc32 leaves no remainder."""
     return doc_remainder(key, modulus) == 0
