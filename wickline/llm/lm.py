@@ -35,10 +35,10 @@ from wickline.llm.common import Hasher, doc_remainder, materialize, mixed_bits
 
 #: Fewest segments of the filter, and most bits of one.
 SEGMENTS, SEGMENT_BITS = 256, 1 << 21
-#: Most bits of a filter that is broadcast: 64 MB.  Larger ones are probed by segment.
-BROADCAST_BITS = 1 << 29
+#: Most bits of a filter that is broadcast: 8 MB.  Larger ones are probed by segment.
+BROADCAST_BITS = 1 << 26
 #: Bytes of text whose n-grams are looked up together in a filter that is not broadcast.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 23
 #: Most words whose exact counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 21
 #: N-grams that a worker sums up at a time, and words that it looks up at a time.
@@ -369,36 +369,18 @@ def _probed(bits: int, segments: int, top: int):
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], hasher: Hasher, kept: int) -> Iterator[tuple[pa.RecordBatch, list, Found]]:
-    """Each stretch of rows of a piece, its sequences, and the levels of its n-grams.
-
-    Of a piece, the levels come first, by stretch and segment, then its rows in
-    their places.  A task holds one piece.
-    """
-    now, found, rows = None, {}, []
-
-    def out():
-        texts = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        firsts = np.searchsorted(texts.column("at").to_numpy(), [*found, np.iinfo(np.int64).max])
-        for i, j, levels in zip(firsts, firsts[1:], found.values()):
-            part = texts.slice(i, j - i)
-            sequences = list(_sequences(part, hasher))
-            yield part, sequences, Found(_grams(sequences, kept), np.frombuffer(b"".join(levels), dtype=np.uint8), kept)
-
-    for batch in batches:
-        for piece, part in _by(batch, "piece"):
-            if piece != now:
-                if rows:
-                    yield from out()
-                now, found, rows = piece, {}, []
-            of_text = pc.is_null(part.column("levels"))
-            levels, texts = part.filter(pc.invert(of_text)), part.filter(of_text)
-            for at, x in zip(levels.column("at").to_pylist(), levels.column("levels").to_pylist()):
-                found.setdefault(at, []).append(x)
-            if texts.num_rows:
-                rows.append(texts)
-    if rows:
-        yield from out()
+def _stretches(texts: pa.Table, found: pa.Table, kept: int) -> Iterator[tuple[pa.RecordBatch, list, Found]]:
+    """Each stretch of a piece's rows, its sequences, and the levels of its n-grams, which are in order by stretch and segment."""
+    rows = texts.sort_by("at").combine_chunks().to_batches()[0]
+    levels: dict[int, list[bytes]] = {}
+    found = found.sort_by([("at", "ascending"), ("segment", "ascending")])
+    for at, x in zip(found.column("at").to_pylist(), found.column("levels").to_pylist()):
+        levels.setdefault(at, []).append(x)
+    firsts = np.searchsorted(rows.column("at").to_numpy(), [*levels, np.iinfo(np.int64).max])
+    for i, j, own in zip(firsts, firsts[1:], levels.values()):
+        part = rows.slice(i, j - i)
+        sequences = list(_sequences(part, Hasher()))
+        yield part, sequences, Found(_grams(sequences, kept), np.frombuffer(b"".join(own), dtype=np.uint8), kept)
 
 
 def expected(level: np.ndarray) -> np.ndarray:
@@ -426,6 +408,8 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     texts are empty and have their end alone.  Without training rows all counts
     are 0.  Repeated rows count and are scored each; other columns are ignored.
     A very long text is scored whole by one task, with some ten numbers a word.
+    ``docs`` is read several times: it must give the same rows each time, as a
+    written table does.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), training.alias("trained"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -463,18 +447,11 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     all_exact = len(exact[0]) == distinct
     model = spark.sparkContext.broadcast((table, exact))
 
-    def with_models(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tuple]:
-        """Rows, their sequences, and what to probe for them: the filter, or the levels that come before the rows of a piece."""
-        if whole:
-            probe = Filter(model.value[0], bits, segments, top, kept)
-            return ((batch, _sequences(batch, hasher), probe) for batch in batches)
-        return _pieces(batches, hasher, kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(stretches: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """Scores of rows that come with their sequences and what to probe for them."""
         grams, counts = model.value[1]
-        hasher = Hasher()
         logs, unknown = np.log10(counts + 0.1), np.log10(0.1) if all_exact else 0.0
-        for batch, sequences, probe in with_models(batches, hasher):
+        for batch, sequences, probe in stretches:
             for first, w, starts in sequences:
                 ends = np.append(starts, len(w))
                 score = np.add.reduceat(score_tokens(probe, w, starts, total, distinct, weight), starts)
@@ -492,13 +469,26 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
                     ["doc_id", "trained", "n_tokens", "n_known", "part", "score", "rest"],
                 )
 
-    if not whole:
-        rows = materialize(rows.mapInArrow(_numbered, "doc_id long, trained boolean, text string, piece long, at long"), "pieces")
-        asked = rows.mapInArrow(_asked(segments), "segment long, piece long, at long, grams binary")
+    schema = "doc_id long, trained boolean, n_tokens long, n_known long, part double, score double, rest array<long>"
+    if whole:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, probe = Hasher(), Filter(model.value[0], bits, segments, top, kept)
+            return scores((batch, _sequences(batch, hasher), probe) for batch in batches)
+
+        scored = rows.mapInArrow(run, schema)
+    else:
+
+        def of_piece(texts: pa.Table, found: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(scores(_stretches(texts, found, kept)))
+
+        # one shuffle serves the questions and the scores; sorted rows give a task that is run again the same pieces
+        in_order = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
+        pieces = in_order.mapInArrow(_numbered, "doc_id long, trained boolean, text string, piece long, at long").repartition("piece")
+        asked = pieces.sortWithinPartitions("piece", "at").mapInArrow(_asked(segments), "segment long, piece long, at long, grams binary")
         met = made.unionByName(asked, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", F.isnull("bits"))
         found = met.mapInArrow(_probed(bits, segments, top), "piece long, at long, segment long, levels binary")
-        rows = rows.unionByName(found, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.isnull("levels"), "at", "segment")
-    scored = rows.mapInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, part double, score double, rest array<long>")
+        scored = pieces.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(of_piece, schema)
     if not all_exact:
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         rare = words.where(F.col("n") < least)
