@@ -216,3 +216,11 @@ def test_counts_are_summed_over_tasks_and_flushes(monkeypatch):
         assert not any(g in got for g, _ in pairs)
         got.update(dict(pairs))
     assert got == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 1_000, 70_000])
+def test_places_are_those_of_a_search(size):
+    rng = np.random.default_rng(size)
+    for keys in (np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)), np.arange(min(size, 1_000), dtype=np.uint64)):
+        asked = np.concatenate([keys, keys + np.uint64(1), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
+        assert (lm.Places(keys).of(asked) == np.minimum(np.searchsorted(keys, asked), len(keys) - 1)).all()

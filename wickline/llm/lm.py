@@ -10,9 +10,10 @@ holds one at a time: the n-grams of each piece of the texts are sent to their
 segments, and the levels found there come back to their piece, which makes its
 n-grams again and so needs no keys with them.
 
-N-grams travel packed by segment, in the five bytes that follow the bits of
-the segment: as segments grow in number with the tokens, two of a segment's
-n-grams share them with a chance below 10^-6 at any size.
+N-grams travel packed by segment, in the four bytes that follow the bits of
+the segment: as segments grow in number with the tokens, an n-gram shares them
+with another of its segment with a chance of about 10^-4 at any size, far
+below that of a filter's own errors.
 
 The word counts themselves are kept exactly too, for the base score.  The most
 frequent ones, at most ``BROADCAST_WORDS``, are broadcast; all others are
@@ -122,8 +123,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_bits(segments: int) -> int:
-    """Leading bits of an n-gram that are kept: those of its segment and 40 more."""
-    return min(64, segments.bit_length() - 1 + 40)
+    """Leading bits of an n-gram that are kept: those of its segment and 32 more."""
+    return min(64, segments.bit_length() - 1 + 32)
 
 
 def shortened(grams: np.ndarray, kept: int) -> np.ndarray:
@@ -131,21 +132,19 @@ def shortened(grams: np.ndarray, kept: int) -> np.ndarray:
 
 
 def packed_by_segment(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Segments of n-grams in order, where each starts and ends, and its n-grams in five bytes each."""
+    """Segments of n-grams in order, where each starts and ends, and its n-grams in four bytes each."""
     kept, own = kept_bits(segments), segments.bit_length() - 1
     segment = segment_of(grams, segments)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(grams)]])
     low = grams >> np.uint64(64 - kept) & np.uint64((1 << kept - own) - 1)
-    blob = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    return segment[cuts[:-1]], cuts, [blob[5 * i : 5 * j] for i, j in zip(cuts, cuts[1:])]
+    blob = low.astype("<u4").tobytes()
+    return segment[cuts[:-1]], cuts, [blob[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]
 
 
 def unpacked(segment: int, packed: bytes, segments: int) -> np.ndarray:
-    """N-grams of a segment, shortened, from their five bytes each."""
+    """N-grams of a segment, shortened, from their four bytes each."""
     kept, own = kept_bits(segments), segments.bit_length() - 1
-    wide = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
-    low = wide.view("<u8").reshape(-1).astype(np.uint64) << np.uint64(64 - kept)
+    low = np.frombuffer(packed, dtype="<u4").astype(np.uint64) << np.uint64(64 - kept)
     return low | np.uint64(segment << 64 - own) if own else low
 
 
@@ -296,14 +295,34 @@ class Filter:
         return out[back]
 
 
+class Places:
+    """Places of hashes among ``keys``, which are hashes in order: their leading bits tell about where."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.shift = keys, np.uint64(64 - max(1, len(keys).bit_length()))
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << 64 - int(self.shift))
+        self.first = (np.cumsum(sizes) - sizes).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The first place whose key is no smaller, and the last place where all are; there must be keys."""
+        last = len(self.keys) - 1
+        at = np.minimum(self.first[(hashes >> self.shift).astype(np.int64)], last)
+        behind = np.flatnonzero(self.keys[at] < hashes)
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < hashes[behind]]
+        return at
+
+
 class Found:
     """Levels that were looked up before, by n-gram: shortened, in order."""
 
     def __init__(self, grams: np.ndarray, level: np.ndarray, kept: int) -> None:
-        self.grams, self.found, self.kept = grams, level, kept
+        self.places, self.found, self.kept = Places(grams), level, kept
 
     def level(self, grams: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.grams, shortened(grams, self.kept))].astype(np.int64)
+        return self.found[self.places.of(shortened(grams, self.kept))].astype(np.int64)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +381,7 @@ def _probed(bits: int, segments: int, top: int):
                     some = asked.slice(i, 1_000)
                     packed = some.column("grams").to_pylist()
                     level = Filter(table, bits, 1, top).level(unpacked(segment, b"".join(packed), segments)).astype(np.uint8)
-                    cuts = np.cumsum([0, *(len(x) // 5 for x in packed)])
+                    cuts = np.cumsum([0, *(len(x) // 4 for x in packed)])
                     own = pa.array([level[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays([some.column("piece"), some.column("at"), some.column("segment"), own], ["piece", "at", "segment", "levels"])
 
@@ -442,14 +461,16 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
         room -= r["words"]
         least = 1 << r["level"]
     frequent = words.where(F.col("n") >= least).toArrow()  # as arrays: rows would take many times the memory
-    in_order = np.argsort(frequent.column("gram").to_numpy())
-    exact = tuple(frequent.column(c).to_numpy()[in_order] for c in ("gram", "n"))
+    known, counts = frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
+    by_hash = np.argsort(known)
+    exact = known[by_hash], counts[by_hash]
     all_exact = len(exact[0]) == distinct
     model = spark.sparkContext.broadcast((table, exact))
 
     def scores(stretches: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         """Scores of rows that come with their sequences and what to probe for them."""
         grams, counts = model.value[1]
+        places = Places(grams)
         logs, unknown = np.log10(counts + 0.1), np.log10(0.1) if all_exact else 0.0
         for batch, sequences, probe in stretches:
             for first, w, starts in sequences:
@@ -457,8 +478,8 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
                 score = np.add.reduceat(score_tokens(probe, w, starts, total, distinct, weight), starts)
                 signed = w.view(np.int64)
                 if len(grams):
-                    at = np.minimum(np.searchsorted(grams, signed), len(grams) - 1)
-                    held = grams[at] == signed
+                    at = places.of(w)
+                    held = grams[at] == w
                     part = np.where(held, logs[at], unknown)
                 else:
                     held, part = np.zeros(len(w), dtype=bool), np.full(len(w), unknown)
