@@ -139,3 +139,41 @@ def test_capture_cuts_hashes_and_flags(spark):
         capture.captured(frames.withColumn("x", F.lit(750)))
     with pytest.raises(Exception, match="could not be decoded"):
         capture.captured(frames.withColumn("content", F.lit(b"")))
+
+
+def test_reconstruction_as_a_stream(spark, tmp_path):
+    """Three batches of frames of two sessions, read and tracked with a stop between them, give what the batch form gives."""
+    import os
+
+    from wickline.operators import pipeline
+
+    from .test_pipeline import AT, FRAMES, drawn
+
+    xs, bars = FRAMES[0][2:]
+    worse = drawn(xs, bars, labels=((105, 140), (100, 240), (95, 341), (90, 440)))
+    shown = [("s", "a", 1, drawn([], [])), ("s", "b", 20, drawn(xs, bars)), ("t", "k", 21, worse), ("s", "c", 25, bytearray(b"?")), ("s", "d", 45, drawn(*FRAMES[1][2:])), ("t", "l", 46, drawn([300, 365, 500], bars)), ("t", "m", 50, drawn(xs, bars, labels=())), ("s", "e", 65, drawn(*FRAMES[2][2:]))]
+    rows = [(s, f, AT + timedelta(seconds=at), content) for s, f, at, content in shown]
+    kind = "session_id string, frame_id string, captured_at timestamp, content binary"
+    source, seen, out = (str(tmp_path / x) for x in ("in", "seen", "out"))
+    for n, batch in enumerate((rows[:3], rows[3:6], rows[6:])):
+        before = set(os.listdir(source)) if n else set()
+        spark.createDataFrame(batch[::-1], kind).coalesce(1).write.mode("append").parquet(source)
+        for f in set(os.listdir(source)) - before:
+            os.utime(f"{source}/{f}", (1_700_000_000 + n, 1_700_000_000 + n))
+        frames = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        streams.observe(frames, seen, str(tmp_path / "observe")).awaitTermination()
+        result = streams.reconstruct(streams.observations(spark, seen), "1m")
+        result.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    frames = spark.createDataFrame(rows, kind)
+    want = pipeline.reconstruct(frames.select(F.col("frame_id").alias("image"), "content"), frames.select("session_id", "frame_id", "captured_at"), "1m", "vision", "TEST")
+    got = spark.read.schema(streams.RECONSTRUCTED).parquet(out)
+    told = ["session_id", "frame_id", "captured_at", "status", "reason", "calibration_confidence", "shift_px", "new_ids", "updated_ids", "closed_ids"]
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert as_rows(got.select(*told)) == as_rows(want.frames.select(*told)) and got.count() == len(rows)
+    assert {r.status for r in got.collect()} > {"OK", "TRACKING_LOST", "PRICE_SCALE_NOT_FOUND"}
+    assert as_rows(pipeline.canonical(got, "vision", "TEST", "1m")) == as_rows(want.candles) and want.candles.count() == 7
+    # a batch that is replayed without its checkpoint changes nothing
+    files = sorted(os.listdir(seen))
+    frames = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.observe(frames, seen, str(tmp_path / "again")).awaitTermination()
+    assert sorted(os.listdir(seen)) == files and spark.read.parquet(seen).count() == len(rows)

@@ -66,6 +66,30 @@ def priced_candles(images: DataFrame, font: dict[str, str] = price_labels.FONT)
     return state.select("image", "status", "reason", "calibration_confidence"), fine
 
 
+#: One row a frame, as :func:`observed` gives them: what its picture shows, before any tracking.
+OBSERVED = (
+    "session_id string, frame_id string, captured_at timestamp, status string, reason string, calibration_confidence double, "
+    "bars array<struct<x:int,open:double,high:double,low:double,close:double,confidence:double>>"
+)
+
+
+def observed(frames: DataFrame, font: dict[str, str] = price_labels.FONT) -> DataFrame:
+    """OBSERVED of frames (session_id, frame_id, captured_at, content); bars are in order of x, and there are none in failed frames."""
+    kept = written(frames.select("session_id", "frame_id", F.col("captured_at").cast("timestamp").alias("captured_at"), "content"), "frames")
+    state, seen = (written(df, "priced") for df in priced_candles(kept.select(F.col("frame_id").alias("image"), "content"), font))
+    bars = seen.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("x", "open", "high", "low", "close", "confidence"))).alias("bars"))
+    told = state.join(bars, "image", "left").withColumnRenamed("image", "frame_id")
+    out = kept.select("session_id", "frame_id", "captured_at").join(told, "frame_id", "left")
+    return out.select("session_id", "frame_id", "captured_at", F.coalesce("status", F.lit("CHART_NOT_FOUND")).alias("status"), "reason", "calibration_confidence", "bars")
+
+
+def canonical(results: DataFrame, source_id: str, asset: str, timeframe: str) -> DataFrame:
+    """Canonical candles as they are after all ``results``, which :func:`wickline.streaming.streams.reconstruct` gave."""
+    rows = results.select("session_id", F.col("frame_id").alias("arrival"), F.explode("candles").alias("c")).select("session_id", "arrival", "c.*")
+    rows = rows.withColumns({"open_time": F.timestamp_seconds("open_s"), "close_time": F.timestamp_seconds(F.col("open_s") + timeframe_seconds(timeframe))})
+    return candles.normalize(rows.withColumnRenamed("last_seen", "last_seen_at").drop("open_s"), source_id, asset, timeframe)
+
+
 def last_good(frames: DataFrame) -> DataFrame:
     """Frames with the calibration confidence that a session reports: its own if the scale could be read, else that of
     the last frame before that was reconstructed, and 0 before the first."""

@@ -10,12 +10,12 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wickline.operators import capture, store, tracking
+from wickline.operators import capture, commits, pipeline, price_labels, store, tracking
 
 
 def track(frames: DataFrame, timeframe: str, **tolerances) -> DataFrame:
@@ -35,6 +35,64 @@ def track(frames: DataFrame, timeframe: str, **tolerances) -> DataFrame:
     return frames.groupBy("session_id").applyInPandasWithState(step, tracking.FRAME_RESULT, "tracks string", "append", GroupStateTimeout.NoTimeout)
 
 
+def observe(frames: DataFrame, folder: str, checkpoint: str, font: dict[str, str] = price_labels.FONT):
+    """Read the pictures of a stream of frames (session_id, frame_id, captured_at, content) into ``folder``, a batch at a time.
+
+    Each batch is one folder of ``pipeline.OBSERVED`` rows that appears whole or
+    not at all; a batch replayed after a failure changes nothing.  :func:`observations`
+    is the stream of what was read.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        commits.published(pipeline.observed(batch, font), folder, f"batch={number:012d}")
+
+    return frames.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def observations(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The stream of the frames that :func:`observe` has read into ``folder``; ``options`` are those of Spark's file source."""
+    return spark.readStream.schema(f"{pipeline.OBSERVED}, batch long").options(**options).parquet(folder).drop("batch")
+
+
+RECONSTRUCTED = (
+    "session_id string, frame_id string, captured_at timestamp, status string, reason string, calibration_confidence double, shift_px int, "
+    "new_ids array<string>, updated_ids array<string>, closed_ids array<string>, "
+    "candles array<struct<open_s:long,last_seen:timestamp,open:double,high:double,low:double,close:double,is_closed:boolean,confidence:double>>"
+)
+
+
+def reconstruct(observed: DataFrame, timeframe: str, **tolerances) -> DataFrame:
+    """RECONSTRUCTED of a stream of ``pipeline.OBSERVED`` rows: each frame's outcome, and its candles in prices.
+
+    A session's state is its tracks and the last good calibration, which failed
+    frames report (0.0 before the first).  The frames of a batch are taken in the
+    order of captured_at and frame_id; one that comes in a later batch follows all
+    of those before it.  ``pipeline.canonical`` gives the candles.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, good = tracking.SessionTracks(timeframe, **tolerances), 0.0
+        if state.exists:
+            text, good = state.get
+            session.load(text)
+        out = []
+        for row in pd.concat(list(batches)).sort_values(["captured_at", "frame_id"]).to_dict("records"):
+            at = pd.Timestamp(row["captured_at"])
+            at = at if at.tzinfo else at.tz_localize("UTC")
+            told = {"session_id": key[0], "frame_id": row["frame_id"], "captured_at": at, "status": row["status"], "reason": row["reason"], "calibration_confidence": good}
+            told |= dict.fromkeys(("shift_px", "new_ids", "updated_ids", "closed_ids", "candles"))
+            if row["status"] == "OK":
+                bars = {int(b["x"]): b for b in row["bars"]}
+                told |= session.frame(key[0], at, [int(b["x"]) for b in row["bars"]], [float(b["confidence"]) for b in row["bars"]])
+                told["calibration_confidence"] = float(row["calibration_confidence"])
+                told["candles"] = [{"open_s": c["open_s"], "last_seen": at, **{f: bars[c["x"]][f] for f in ("open", "high", "low", "close")}, "is_closed": c["is_closed"], "confidence": c["confidence"]} for c in told["candles"]]
+                good = told["calibration_confidence"] if told["status"] == "OK" else good
+            out.append(told)
+        state.update((session.dump(), good))
+        found = pd.DataFrame(out)
+        yield found.assign(shift_px=found["shift_px"].astype("Int32"))
+
+    return observed.groupBy("session_id").applyInPandasWithState(step, RECONSTRUCTED, "tracks string, good double", "append", GroupStateTimeout.NoTimeout)
+
+
 CAPTURED = "session_id string, frame_id string, captured_at timestamp, image_hash string, changed boolean"
 
 
