@@ -22,7 +22,8 @@ joined, so that the exact part has no bound on the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,28 @@ BROADCAST_WORDS = 1 << 21
 #: N-grams that a worker sums up at a time, and words that it looks up at a time.
 SUMMED, AT_ONCE = 1_500_000, 100_000
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds white space
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: it stays on idle beside others that need the memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory back at its end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     """Segment of each n-gram: its top bits; ``segments`` is a power of two."""
     if segments == 1:
@@ -434,7 +454,7 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), training.alias("trained"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learnt = rows.where("trained").select("text")
 
-    words = materialize(learnt.mapInArrow(_words, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "words")
+    words = materialize(learnt.mapInArrow(tidied(_words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "words")
     by_level = words.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum("n").alias("total"), F.count("*").alias("words")).collect()
     total, distinct = sum(r["total"] for r in by_level), sum(r["words"] for r in by_level)
 
@@ -443,9 +463,9 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     top = max((r["level"] + 1 for r in by_level), default=0)  # no pair is more frequent than its words
     whole = bits * segments <= BROADCAST_BITS
     kept = kept_bits(segments)
-    counted = learnt.mapInArrow(_pairs(segments), COUNTED).unionByName(words.mapInArrow(_keyed(segments), COUNTED))
-    summed = counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(_totals(segments), "gram long, n long")
-    made = summed.mapInArrow(_segments(bits, segments, True), "segment long, bits binary")
+    counted = learnt.mapInArrow(tidied(_pairs(segments)), COUNTED).unionByName(words.mapInArrow(tidied(_keyed(segments)), COUNTED))
+    summed = counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(_totals(segments)), "gram long, n long")
+    made = summed.mapInArrow(tidied(_segments(bits, segments, True)), "segment long, bits binary")
     table = None
     if whole:
         table = np.zeros(segments * bits // 8, dtype=np.uint8)
@@ -497,18 +517,21 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
             hasher, probe = Hasher(), Filter(model.value[0], bits, segments, top, kept)
             return scores((batch, _sequences(batch, hasher), probe) for batch in batches)
 
-        scored = rows.mapInArrow(run, schema)
+        scored = rows.mapInArrow(tidied(run), schema)
     else:
 
         def of_piece(texts: pa.Table, found: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(scores(_stretches(texts, found, kept)))
+            try:
+                return pa.Table.from_batches(scores(_stretches(texts, found, kept)))
+            finally:
+                give_back()
 
         # one shuffle serves the questions and the scores; sorted rows give a task that is run again the same pieces
         in_order = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
         pieces = in_order.mapInArrow(_numbered, "doc_id long, trained boolean, text string, piece long, at long").repartition("piece")
-        asked = pieces.sortWithinPartitions("piece", "at").mapInArrow(_asked(segments), "segment long, piece long, at long, grams binary")
+        asked = pieces.sortWithinPartitions("piece", "at").mapInArrow(tidied(_asked(segments)), "segment long, piece long, at long, grams binary")
         met = made.unionByName(asked, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", F.isnull("bits"))
-        found = met.mapInArrow(_probed(bits, segments, top), "piece long, at long, segment long, levels binary")
+        found = met.mapInArrow(tidied(_probed(bits, segments, top)), "piece long, at long, segment long, levels binary")
         scored = pieces.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(of_piece, schema)
     if not all_exact:
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
