@@ -67,3 +67,14 @@ def test_control_strings_of_the_query(spark):
 def test_reader_refuses_what_is_no_turn(bad):
     with pytest.raises(ValueError):
         chat.read_turn(bad)
+
+
+def test_the_query_tells_turns_as_drafts_edits_and_deltas(spark):
+    from wickline.llm import queries
+
+    turns = [(1, 0, "user", "a😀b"), (1, 1, "assistant", "</s> yes"), (1, 1, "assistant", "</s> yes"), (1, 2, None, None), (1, 3, "user", "x"), (None, 0, "user", "")]
+    log = queries.told(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r.kind: r["count"] for r in log.groupBy("kind").count().collect()} == {"open": 6, "edit": 4, "regenerate": 2, "delta": 6}
+    formatted = chat.read_back(chat.format_conversations(log))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in formatted.collect()}
+    assert got == {1: digests([(r or "", t or "") for _, _, r, t in turns[:5]]), None: digests([("user", "")])}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wickline.llm import bpe, chat, codes, fingerprints, lm, mixing, neardup, negatives, pieces, sharding, topk, toxicity, urls
 from wickline.llm.common import doc_remainder, table
@@ -60,12 +61,25 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def told(turns: DataFrame) -> DataFrame:
+    """The log that ends in these turns (conv_id, turn, role, text): each a draft, which is edited or, if it is an
+    assistant's, generated anew, with the rest of its text as a delta.  Turns that tie are messages in the order of role and text."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    steps = [("open", F.reverse(text)), (again, F.substring(text, F.lit(1), half)), ("delta", F.substring(text, half + 1, F.length(text)))]
+    log = F.array(*[F.struct(F.lit(i).alias("step"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), part.alias("text")) for i, (kind, part) in enumerate(steps)])
+    # numbered first: in one select the rows would be numbered after they are multiplied
+    events = turns.withColumn("message", place).select("conv_id", "message", "role", F.explode(log).alias("e"))
+    return events.select("conv_id", (F.col("message") * 3 + F.col("e.step")).alias("seq"), "message", "e.kind", F.when(F.col("e.step") == 0, F.col("role")).alias("role"), "e.text")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    events = rows.unionByName(planted).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("open").alias("kind"), "role", "text")
-    return chat.read_back(chat.format_conversations(events))
+    return chat.read_back(chat.format_conversations(told(rows.unionByName(planted))))
 
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
