@@ -50,3 +50,26 @@ def test_plans_are_pruned_and_native(spark):
 
     plan = QUERIES["analysis_dense"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """Events of which some have prices far above the usual pages of charts, and some below 0."""
+    path = str(tmp_path_factory.mktemp("far"))
+    with duckdb.connect() as connection:
+        value = "CASE WHEN event_id % 97 = 5 THEN value + 700 WHEN event_id % 89 = 3 THEN -2 * value WHEN event_id % 997 = 1 THEN value + 1500 ELSE value END"
+        connection.execute(f"COPY (SELECT * REPLACE ({value} AS value) FROM '{SF.removesuffix('0.001')}0.01/events.parquet') TO '{path}/events.parquet' (FORMAT parquet)")
+    return path
+
+
+@pytest.mark.parametrize("name", ["chart_prices"])
+def test_charts_hold_any_price(spark, far, name):
+    from wickline.plans.oracle import ORACLE_SQL
+    from wickline.plans.queries import QUERIES
+
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW events AS SELECT * FROM '{far}/events.parquet'")
+        expected = connection.execute(ORACLE_SQL[name])
+        wanted = rows([c[0] for c in expected.description], expected.fetchall())
+    df = QUERIES[name](spark, far)
+    assert rows(df.columns, df.collect()) == wanted

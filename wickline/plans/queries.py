@@ -355,8 +355,8 @@ def calibration_gap(spark, sf):
 LABELS = [(500 - 100 * i, 100 + 60 * i) for i in range(5)]
 
 
-def _pictures(spark, sf):
-    """A chart image for each session and day, with its candles as bars 22 pixels apart and a labelled scale."""
+def _bars(spark, sf):
+    """The bars of each session and day, written once: how many rows ``shift`` its page needs above the usual ones, and the row ``line`` of its time scale, so that every bar lies on the chart."""
     def y_of(price):
         return (F.lit(100) + F.floor((F.lit(500.0) - price) * 0.6)).cast("int")
 
@@ -364,39 +364,42 @@ def _pictures(spark, sf):
     c = c.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "day").orderBy("open_time")))
     up = F.col("close") >= F.col("open")
     bar = F.struct((F.col("k") * 22 + 100).alias("x"), y_of(F.col("high")).alias("high"), y_of(F.col("low")).alias("low"), y_of(F.greatest("open", "close")).alias("top"), y_of(F.least("open", "close")).alias("bottom"), up.alias("up"))
-    bars = c.groupBy(F.concat_ws("/", "session_id", "day").alias("image")).agg(F.collect_list(bar).alias("bars"))
+    bars = c.groupBy(F.concat_ws("/", "session_id", "day").alias("image")).agg(
+        F.collect_list(bar).alias("bars"), F.greatest(F.lit(0), 60 - F.min(y_of(F.col("high")))).alias("shift"), F.greatest(F.lit(440), F.max(y_of(F.col("low"))) + 1).alias("line")
+    )
+    return written(bars, "bars")
+
 
+def _pictures(bars: DataFrame) -> DataFrame:
+    """A chart image for each session and day, with its candles as bars 22 pixels apart and a labelled scale."""
     def draw(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for image, shapes in zip(batch.column("image").to_pylist(), batch.column("bars").to_pylist()):
-                page = np.full((560, 800, 3), 255, dtype=np.uint8)
-                page[60:480, 80:720] = vision.COLOURS["background"][0]
-                page[60:480, 640] = page[440, 80:640] = vision.COLOURS["border"][0]
+            for image, shapes, shift, line in zip(*(batch.column(n).to_pylist() for n in ("image", "bars", "shift", "line"))):
+                page = np.full((shift + line + 120, 800, 3), 255, dtype=np.uint8)
+                page[60 : shift + line + 40, 80:720] = vision.COLOURS["background"][0]
+                page[60 : shift + line + 40, 640] = page[shift + line, 80:640] = vision.COLOURS["border"][0]
                 for price, y in LABELS:
-                    price_labels.write_label(page, str(price), 660, y, (226, 232, 240), scale=2)
+                    price_labels.write_label(page, str(price), 660, shift + y, (226, 232, 240), scale=2)
                 for s in shapes:
-                    page[s["high"] : s["low"] + 1, s["x"]] = page[s["top"] : s["bottom"] + 1, s["x"] - 6 : s["x"] + 7] = vision.COLOURS["UP" if s["up"] else "DOWN"][0]
+                    colour = vision.COLOURS["UP" if s["up"] else "DOWN"][0]
+                    page[shift + s["high"] : shift + s["low"] + 1, s["x"]] = page[shift + s["top"] : shift + s["bottom"] + 1, s["x"] - 6 : s["x"] + 7] = colour
                 yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([vision.encode_png(page)], pa.binary())], ["image", "content"])
 
     return bars.mapInArrow(draw, "image string, content binary")
 
 
-def _read_pictures(spark, sf):
-    """What was read of the pictures, each drawn and decoded once."""
-    return written(vision.read(_pictures(spark, sf)), "pictures")
-
-
 def chart_prices(spark, sf):
     """The same candles in prices, by the labels read from each chart's scale; null beyond the labels."""
-    return pipeline.priced(_read_pictures(spark, sf)).select("image", "x", "direction", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")])
+    read = written(vision.read(_pictures(_bars(spark, sf))), "pictures")  # each drawn and decoded once
+    return pipeline.priced(read).select("image", "x", "direction", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")])
 
 
 def chart_reading(spark, sf):
     """Candles read back from drawn charts, in pixels."""
-    return vision.visual_candles(_pictures(spark, sf)).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
+    return vision.visual_candles(_pictures(_bars(spark, sf))).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
 
 
 def _pages(rows: DataFrame, height: int, width: int) -> DataFrame:
