@@ -351,6 +351,8 @@ def calibration_gap(spark, sf):
     return outcome.weighted_gap(outcome.calibration(_pairs(spark, sf), ["policy_id"]), ["policy_id"]).withColumns(_nine("weighted_alignment_gap"))
 
 
+#: The columns of a candle in pixels that are rows of its page.
+ROWS = ("body_top", "body_bottom", "upper_top", "lower_bottom")
 #: Prices of the scale's labels and the rows that they stand at: 0.6 pixels a unit.
 LABELS = [(500 - 100 * i, 100 + 60 * i) for i in range(5)]
 
@@ -397,9 +399,16 @@ def chart_prices(spark, sf):
     return pipeline.priced(read).select("image", "x", "direction", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")])
 
 
+def _moved(rows: DataFrame, shifts: DataFrame, **by) -> DataFrame:
+    """``rows`` read from pages with their columns moved back by what ``shifts`` (image, ...) says of each page."""
+    return rows.join(shifts, "image").withColumns({n: (F.col(n) - off).cast("int") for n, off in by.items()})
+
+
 def chart_reading(spark, sf):
-    """Candles read back from drawn charts, in pixels."""
-    return vision.visual_candles(_pictures(_bars(spark, sf))).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
+    """Candles read back from drawn charts, in pixels from the row that usual pages begin with."""
+    bars = _bars(spark, sf)
+    seen = _moved(vision.visual_candles(_pictures(bars)), bars.select("image", "shift"), **{y: F.col("shift") for y in ROWS})
+    return seen.select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
 
 
 def _pages(rows: DataFrame, height: int, width: int) -> DataFrame:
