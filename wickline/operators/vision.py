@@ -49,11 +49,15 @@ def quality(pixels: np.ndarray, side: int = IMAGE_SIDE) -> float:
     return min(1.0, 0.55 * min(1.0, float(shade.std()) / 48) + 0.45 * min(1.0, 8 * float(regions.edges(shade, *EDGE).mean())))
 
 
-def chart_box(background: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(x, y, width, height) of the largest box around a region of background that is large enough; of equal ones the lowest."""
+def chart_box(background: np.ndarray, page: tuple[int, int] | None = None) -> tuple[int, int, int, int] | None:
+    """(x, y, width, height) of the largest box around a region of background that is large enough; of equal ones the lowest.
+
+    Its share is that of a ``page`` (height, width), or of the picture itself.
+    """
     found = regions.boxes(regions.closed(background))
     area = found[:, 2] * found[:, 3]
-    fine = np.flatnonzero((found[:, 2] >= CHART_WIDTH) & (found[:, 3] >= CHART_HEIGHT) & (area / background.size >= CHART_SHARE))
+    whole = page[0] * page[1] if page else background.size
+    fine = np.flatnonzero((found[:, 2] >= CHART_WIDTH) & (found[:, 3] >= CHART_HEIGHT) & (area / whole >= CHART_SHARE))
     return tuple(map(int, found[fine[len(fine) - 1 - np.argmax(area[fine][::-1])]])) if len(fine) else None
 
 
@@ -64,7 +68,7 @@ def scale_line(counts: np.ndarray, start: float, across: int) -> int | None:
     return at if counts[at] >= max(12, int(across * 0.2)) else None
 
 
-def read_picture(content: bytes | None, templates: dict[str, np.ndarray]) -> dict:
+def read_picture(content: bytes | None, templates: dict[str, np.ndarray], page: tuple[int, int] | None = None) -> dict:
     """What :func:`read` gives of one picture, without its name."""
     out = {"status": "LOW_IMAGE_QUALITY", "visual_quality": 0.0, "confidence": 0.0, "bars": [], "labels": []}
     pixels = decode_png(content)
@@ -75,7 +79,7 @@ def read_picture(content: bytes | None, templates: dict[str, np.ndarray]) -> dic
     if out["visual_quality"] < QUALITY:
         return out
     background = mask(pixels, "background")
-    box = chart_box(background)
+    box = chart_box(background, page)
     if box is None:
         return out | {"status": "CHART_NOT_FOUND"}
     x, y, w, h = box
@@ -104,11 +108,12 @@ def picture_hash(pixels: np.ndarray) -> str:
     return hashlib.sha256(width.to_bytes(4, "big") + height.to_bytes(4, "big") + np.ascontiguousarray(pixels[:, :, ::-1]).tobytes()).hexdigest()
 
 
-def read(images: DataFrame, font: dict[str, str] | None = None) -> DataFrame:
+def read(images: DataFrame, font: dict[str, str] | None = None, page: tuple[int, int] | None = None) -> DataFrame:
     """One row an image (image, content), as ``READ`` says; what was read already is given back as it is.
 
     ``status`` is that of the chart, and nothing else but the quality, size and
-    hash is known of failed ones.  Several steps that use the result should share
+    hash is known of failed ones.  A chart's share is that of a ``page`` (height,
+    width) where pictures are larger than the page they show.  Several steps that use the result should share
     one that is written (:func:`wickline.scratch.written`).
     """
     if "bars" in images.columns:
@@ -118,7 +123,7 @@ def read(images: DataFrame, font: dict[str, str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("image").to_pylist(), batch.column("content")):
-                yield pa.RecordBatch.from_pylist([read_picture(content.as_py(), templates) | {"image": name}], schema=kinds)
+                yield pa.RecordBatch.from_pylist([read_picture(content.as_py(), templates, page) | {"image": name}], schema=kinds)
 
     kinds = pa.schema([
         *((n, pa.string()) for n in ("image",)), ("width", pa.int32()), ("height", pa.int32()), ("image_hash", pa.string()), ("status", pa.string()), ("visual_quality", pa.float64()),
@@ -134,13 +139,13 @@ def facts(images: DataFrame) -> DataFrame:
     return read(images).select("image", "width", "height", "visual_quality", "image_hash")
 
 
-def charts(images: DataFrame) -> DataFrame:
+def charts(images: DataFrame, page: tuple[int, int] | None = None) -> DataFrame:
     """One row an image: status, chart box, right end and lower end of the candles' box, confidence and quality.
 
     The chart is the largest box around a connected region of background.  Its
     price scale is the column, and its time scale the row, with the most border in the outer part.
     """
-    return read(images).select("image", "status", "visual_quality", "image_hash", "x", "y", "chart_width", "chart_height", "price_scale_x", "candles_width", "candles_height", "confidence")
+    return read(images, page=page).select("image", "status", "visual_quality", "image_hash", "x", "y", "chart_width", "chart_height", "price_scale_x", "candles_width", "candles_height", "confidence")
 
 
 def visual_candles(images: DataFrame) -> DataFrame:

@@ -411,17 +411,17 @@ def chart_reading(spark, sf):
     return seen.select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
 
 
-def _pages(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """A white page for each image of rectangles (image, x, y, w, h, colour), drawn in the order of ``z``."""
+def _pages(rows: DataFrame) -> DataFrame:
+    """A white page for each image of rectangles (image, x, y, w, h, colour), drawn in the order of ``z``, with the page's ``height`` and ``width``."""
     shape = F.struct("z", "x", "y", "w", "h", "colour")
-    shapes = rows.groupBy("image").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))  # those of one day's candles
+    shapes = rows.groupBy("image", "height", "width").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))  # those of one day's candles
 
     def draw(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for image, some in zip(batch.column("image").to_pylist(), batch.column("shapes").to_pylist()):
+            for image, height, width, some in zip(*(batch.column(n).to_pylist() for n in ("image", "height", "width", "shapes"))):
                 page = np.full((height, width, 3), 255, dtype=np.uint8)
                 for s in some:
                     page[s["y"] : s["y"] + s["h"], s["x"] : s["x"] + s["w"]] = vision.COLOURS[s["colour"]][0]
@@ -431,14 +431,23 @@ def _pages(rows: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def chart_regions(spark, sf):
-    """The largest connected region of pages on which the hours of a day are dark bars that may touch those of the hours beside."""
-    c = candles_from_ticks(spark, sf)
-    left, right = F.floor(F.col("low") / 12).cast("int"), F.floor(F.col("high") / 12).cast("int")
-    bars = c.select(
-        F.concat_ws("/", "session_id", F.date_format("open_time", "yyyyMMdd")).alias("image"), F.lit(0).alias("z"), (left * 16).alias("x"), (F.hour("open_time") * 16).alias("y"),
-        ((right - left + 1) * 16).alias("w"), F.lit(16).alias("h"), F.lit("background").alias("colour"),
+    """The largest connected region of pages on which the hours of a day are dark bars that may touch those of the hours beside.
+
+    A page has 44 columns of bars, or as many more as a day's prices need; prices beyond 44 columns, or below 0, have the
+    lowest at the page's left.  A chart's share is that of the usual page.
+    """
+    c = candles_from_ticks(spark, sf).withColumn("image", F.concat_ws("/", "session_id", F.date_format("open_time", "yyyyMMdd")))
+    cells = c.select("image", F.hour("open_time").alias("hour"), F.floor(F.col("low") / 12).cast("int").alias("left"), F.floor(F.col("high") / 12).cast("int").alias("right"))
+    cells = written(cells, "cells")
+    usual = (F.min("left") >= 0) & (F.max("right") < 44)
+    pages = cells.groupBy("image").agg(F.when(usual, 0).otherwise(F.min("left")).alias("first"), F.max("right").alias("last"))
+    pages = pages.select("image", "first", F.lit(400).alias("height"), (F.greatest(F.lit(44), F.col("last") - F.col("first") + 1) * 16).alias("width"))
+    bars = cells.join(pages, "image").select(
+        "image", "height", "width", F.lit(0).alias("z"), ((F.col("left") - F.col("first")) * 16).alias("x"), (F.col("hour") * 16).alias("y"),
+        ((F.col("right") - F.col("left") + 1) * 16).alias("w"), F.lit(16).alias("h"), F.lit("background").alias("colour"),
     )
-    return vision.charts(_pages(bars, 400, 704)).select("image", "status", "x", "y", "chart_width", "chart_height")
+    found = _moved(vision.charts(_pages(bars), page=(400, 704)), pages.select("image", "first"), x=F.col("first") * -16)
+    return found.select("image", "status", "x", "y", "chart_width", "chart_height")
 
 
 def touching_bars(spark, sf):
@@ -455,7 +464,7 @@ def touching_bars(spark, sf):
     shapes = F.array(*[F.struct((F.lit(z) + 2).alias("z"), *[v.cast("int").alias(n) for n, v in zip("xywh", part)], colour.alias("colour")) for z, *part in parts])
     bars = c.select("image", F.explode(shapes).alias("s")).select("image", "s.*")
     page = c.select("image").distinct().select("image", F.lit(0).alias("z"), F.lit(60).alias("x"), F.lit(60).alias("y"), F.lit(420).alias("w"), F.lit(400).alias("h"), F.lit("background").alias("colour"))
-    return vision.visual_candles(_pages(bars.unionByName(page), 500, 520)).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
+    return vision.visual_candles(_pages(bars.unionByName(page).withColumns({"height": F.lit(500), "width": F.lit(520)}))).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
 
 
 def order_series_features(spark, sf):
