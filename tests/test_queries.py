@@ -62,7 +62,7 @@ def far(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["chart_prices", "chart_reading", "chart_regions"])
+@pytest.mark.parametrize("name", ["chart_prices", "chart_reading", "chart_regions", "touching_bars"])
 def test_charts_hold_any_price(spark, far, name):
     from wickline.plans.oracle import ORACLE_SQL
     from wickline.plans.queries import QUERIES

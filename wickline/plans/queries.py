@@ -451,20 +451,32 @@ def chart_regions(spark, sf):
 
 
 def touching_bars(spark, sf):
-    """Candles read from charts whose bars share columns with their neighbours, but touch none."""
+    """Candles read from charts whose bars share columns with their neighbours, but touch none.
+
+    Every other candle is in the lower half.  That half, and the whole chart, lie as far down on a page as its prices need.
+    """
     c = candles_from_ticks(spark, sf).withColumn("image", F.concat_ws("/", "session_id", F.date_format("open_time", "yyyyMMdd")))
     c = c.withColumn("k", F.row_number().over(Window.partitionBy("image").orderBy("open_time")))
 
     def y_of(price):
-        return (F.lit(80) + (F.col("k") % 2) * 180 + F.floor((F.lit(500.0) - price) * 0.3)).cast("int")
-
-    x, top, bottom = F.col("k") * 10 + 100, y_of(F.greatest("open", "close")), y_of(F.least("open", "close"))
-    colour = F.when(F.col("close") >= F.col("open"), "UP").otherwise("DOWN")
-    parts = [(0, x - 6, top, F.lit(13), bottom - top + 1), (1, x, y_of(F.col("high")), F.lit(1), y_of(F.col("low")) - y_of(F.col("high")) + 1)]
-    shapes = F.array(*[F.struct((F.lit(z) + 2).alias("z"), *[v.cast("int").alias(n) for n, v in zip("xywh", part)], colour.alias("colour")) for z, *part in parts])
-    bars = c.select("image", F.explode(shapes).alias("s")).select("image", "s.*")
-    page = c.select("image").distinct().select("image", F.lit(0).alias("z"), F.lit(60).alias("x"), F.lit(60).alias("y"), F.lit(420).alias("w"), F.lit(400).alias("h"), F.lit("background").alias("colour"))
-    return vision.visual_candles(_pages(bars.unionByName(page).withColumns({"height": F.lit(500), "width": F.lit(520)}))).select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
+        return (F.lit(80) + F.col("lower") * 180 + F.floor((F.lit(500.0) - price) * 0.3)).cast("int")
+
+    c = c.withColumn("lower", F.col("k") % 2)
+    c = c.select("image", (F.col("k") * 10 + 100).alias("x"), "lower", F.when(F.col("close") >= F.col("open"), "UP").otherwise("DOWN").alias("colour"), y_of(F.col("high")).alias("high"), y_of(F.col("low")).alias("low"), y_of(F.greatest("open", "close")).alias("top"), y_of(F.least("open", "close")).alias("bottom"))
+    c = written(c, "bars")
+    first, last = (lambda half: F.min(F.when(F.col("lower") == half, F.col("high")))), (lambda half: F.max(F.when(F.col("lower") == half, F.col("low"))))
+    pages = c.groupBy("image").agg(F.coalesce(F.greatest(F.lit(0), last(0) + 2 - first(1)), F.lit(0)).alias("apart"), *[f(half).alias(f"{n}{half}") for half in (0, 1) for n, f in (("first", first), ("last", last))])
+    pages = pages.withColumn("shift", F.greatest(F.lit(0), 60 - F.least("first0", F.col("first1") + F.col("apart"))))
+    pages = pages.select("image", "shift", "apart", (F.greatest(F.lit(460), F.greatest("last0", F.col("last1") + F.col("apart")) + 1) + F.col("shift")).alias("end"))
+    pages = pages.select("image", "shift", "apart", (F.col("end") + 40).alias("height"), F.lit(520).alias("width"))
+    placed, down = c.join(pages, "image"), F.col("shift") + F.col("lower") * F.col("apart")
+    parts = [(F.col("x") - 6, F.col("top"), F.lit(13), F.col("bottom")), (F.col("x"), F.col("high"), F.lit(1), F.col("low"))]
+    shapes = F.array(*[F.struct((F.lit(z) + 2).alias("z"), x.cast("int").alias("x"), (top + down).cast("int").alias("y"), w.alias("w"), (bottom - top + 1).alias("h"), F.col("colour")) for z, (x, top, w, bottom) in enumerate(parts)])
+    bars = placed.select("image", "height", "width", F.explode(shapes).alias("s")).select("image", "height", "width", "s.*")
+    page = pages.select("image", "height", "width", F.lit(0).alias("z"), F.lit(60).alias("x"), F.lit(60).alias("y"), F.lit(420).alias("w"), (F.col("height") - 100).alias("h"), F.lit("background").alias("colour"))
+    back = F.col("shift") + F.pmod(F.floor(F.col("x") / 10), F.lit(2)) * F.col("apart")
+    seen = _moved(vision.visual_candles(_pages(bars.unionByName(page))), pages.select("image", "shift", "apart"), **{y: back for y in ROWS})
+    return seen.select("image", "x", "direction", "body_top", "body_bottom", "upper_top", "lower_bottom", "width")
 
 
 def order_series_features(spark, sf):
