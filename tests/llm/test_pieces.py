@@ -105,3 +105,9 @@ def test_other_models_are_refused():
     ):
         with pytest.raises(ValueError):
             pieces.Vocabulary(model)
+
+
+def test_pieces_without_bytes_are_joined_and_places_are_kept_only_when_needed(coder, library):
+    tokens = coder.tokens("▁plain")
+    assert coder.surface(coder.ids(tokens)) == b" plain" and coder.ids(tokens) == library.encode("plain")
+    assert coder.tokens("") == [] and coder.surface(coder.ids(["▁", "\U0001f9ff"])) == " \U0001f9ff".encode()

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 REMEMBERED, PAIRS = 100_000, 200_000
 #: Characters of a part that is remembered, and bytes of text whose results a worker holds at a time.
 SHORT, AT_ONCE = 64, 500_000
+#: Parts whose ids and texts are put together for the digests.
+JOINED = 10_000
 
 # The sign for a space, kinds of pieces and of models in a model file, and its fields that are read.
 SPACE = "▁"
@@ -143,7 +146,7 @@ class Coder:
         self.tables = tables
         self.automaton = ahocorasick.Automaton()
         for piece in tables.reachable:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
         self.apart = re.compile(tables.apart)
         self.pairs: list[dict] = [{}, {}]
@@ -167,38 +170,49 @@ class Coder:
     def tokens(self, text: str) -> list[str]:
         """The tokens of a text whose spaces are signs, by backtracking."""
         longest = list(text)
-        for last, piece in self.automaton.iter(text):
-            at = last + 1 - len(piece)
-            if len(piece) > len(longest[at]):
-                longest[at] = piece
-        dead = bytearray(len(text) // 8 + 1)
-        shorter, out, at = self.tables.shorter.get, [], 0
+        for last, (before, piece) in self.automaton.iter(text):
+            longest[last - before] = piece  # of those of one place, the longest ends last
+        length, shorter, together, known = len(text), self.tables.shorter.get, self.together, self.pairs[0].get
+        dead: bytearray | None = None
+        out: list[str] = []
+        at, left = 0, None
         token: str | None = longest[0] if text else None
-        while at < len(text):
+        while at < length:
             while token is not None:
-                end = at + len(token)
-                if not dead[end >> 3] >> (end & 7) & 1 and (not out or self.together(out[-1], token)):
+                fits = left is None or known((left, token))
+                if fits is None:
+                    fits, known = together(left, token), self.pairs[0].get
+                if fits and (dead is None or not dead[at + len(token) >> 3] >> (at + len(token) & 7) & 1):
                     break
                 token = shorter(token)
             if token is not None:
                 out.append(token)
                 at += len(token)
-                token = longest[at] if at < len(text) else None
+                left, token = token, longest[at] if at < length else None
             else:
+                dead = dead or bytearray(length // 8 + 1)
                 dead[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= len(token)
+                left = out[-1] if out else None
                 self.taken_back += 1
         return out
 
     def ids(self, tokens: list[str]) -> list[int]:
         """Numbers of tokens; a character without a piece is its bytes."""
         known, of_byte = self.tables.ids, self.tables.bytes
+        try:
+            return [known[t] for t in tokens]
+        except KeyError:
+            pass
         return [i for t in tokens for i in ((known[t],) if t in known else [of_byte[b] for b in t.encode()])]
 
     def surface(self, ids: list[int]) -> bytes:
         """The text of ids, with the space in front; a byte that belongs to no character becomes U+FFFD."""
         surface, byte_of, out, run = self.tables.surface, self.tables.byte_of, [], bytearray()
+        pieces = [surface[i] for i in ids]
+        if None not in pieces:
+            return b"".join(pieces)
         for i in ids:
             piece = surface[i]
             if piece is None:
@@ -215,7 +229,7 @@ class Coder:
         found = older.get(part)
         if found is None:
             ids = self.ids(self.tokens(part))
-            found = np.array(ids, dtype="<u4").tobytes(), self.surface(ids)
+            found = struct.pack(f"<{len(ids)}I", *ids), self.surface(ids)
         if len(part) <= SHORT:
             if len(newer) >= REMEMBERED:
                 self.known = [{}, newer]
@@ -298,7 +312,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 given = value.as_py()
                 ids, decoded = hashlib.sha256(begin), hashlib.sha256()
                 parts, n, bare = code.parts(given), 2, 1
-                for packed, surface in parts:
+                for i in range(0, len(parts), JOINED):
+                    packed, surface = (b"".join(x) for x in zip(*parts[i : i + JOINED]))
                     ids.update(packed)
                     n += len(packed) >> 2
                     decoded.update(surface[bare:])  # the first part begins with the space that was set in front
