@@ -224,3 +224,29 @@ def test_places_are_those_of_a_search(size):
     for keys in (np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)), np.arange(min(size, 1_000), dtype=np.uint64)):
         asked = np.concatenate([keys, keys + np.uint64(1), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
         assert (lm.Places(keys).of(asked) == np.minimum(np.searchsorted(keys, asked), len(keys) - 1)).all()
+
+
+def test_packed_hashes_and_sums_are_the_plain_ones():
+    from wickline.llm.common import Hasher, PackedHasher
+
+    text = "The cat  the CAT \tü cat".encode()
+    assert np.frombuffer(b"".join(PackedHasher().words(text)), dtype="<u8").tolist() == Hasher().words(text)
+    parts = [np.array(x, dtype=np.uint64) for x in ([1, 5, 1 << 63], [1, 2], [5])]
+    grams, counts = lm._merged(parts, [np.array(x) for x in ([1, 2, 3], [10, 20], [300])])
+    assert dict(zip(grams.tolist(), counts.tolist())) == {1: 11, 2: 20, 5: 302, 1 << 63: 3} and (np.diff(grams.astype(float)) > 0).all()
+
+
+def test_each_is_the_level_of_single_grams():
+    grams = lm.mixed_bits(np.arange(1, 2001, dtype=np.uint64))
+    table = np.zeros((1 << 15) // 8, dtype=np.uint8)
+    for j, some in ((1, grams[:900]), (2, grams[:300])):
+        for place in lm.bit_places(some, j, 1 << 15):
+            np.bitwise_or.at(table, place >> np.uint64(3), (1 << (place & np.uint64(7))).astype(np.uint8))
+    filter_ = lm.Filter(table, 1 << 15, 1, 3)
+    assert (filter_.each(grams) == filter_.level(grams)).all() and (filter_.each(grams[:300]) >= 2).all()
+
+
+def test_distinct_values_are_in_order():
+    for values in ([], [3], [5, 1, 5, 1 << 63, 1]):
+        values = np.array(values, dtype=np.uint64)
+        assert lm._distinct(values).tolist() == np.unique(values).tolist()

@@ -22,8 +22,7 @@ joined, so that the exact part has no bound on the vocabulary.
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickline.llm.common import Hasher, doc_remainder, materialize, mixed_bits
+from wickline.llm.common import PackedHasher, doc_remainder, give_back, materialize, mixed_bits, tidied
 
 #: Fewest segments of the filter, and most bits of one.
 SEGMENTS, SEGMENT_BITS = 256, 1 << 21
@@ -46,26 +45,8 @@ BROADCAST_WORDS = 1 << 21
 #: N-grams that a worker sums up at a time, and words that it looks up at a time.
 SUMMED, AT_ONCE = 1_500_000, 100_000
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
-
-END = xxhash.xxh3_64_intdigest(b" ")  # no word holds white space
-
-
-def give_back() -> None:
-    """Return what this worker has freed to the system: it stays on idle beside others that need the memory."""
-    pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
-
-
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, giving memory back at its end."""
-
-    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        give_back()
-
-    return tidy
+END_PACKED = xxhash.xxh3_64_digest(b" ")[::-1]  # no word holds white space
+END = int.from_bytes(END_PACKED, "little")
 
 
 def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
@@ -96,20 +77,20 @@ def pair_gram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed_bits(first * np.uint64(0xD6E8FEB86659FD93) + mixed_bits(second))
 
 
-def _sequences(batch: pa.RecordBatch, hasher: Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sequences(batch: pa.RecordBatch, hasher: PackedHasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Words of a batch's texts, an end behind each, in pieces of about ``AT_ONCE`` words.
 
     Yields the first row of a piece, its words, and where each text starts in them.
     """
-    words: list[int] = []
+    words: list[bytes] = []
     starts: list[int] = []
     first = 0
     for row, text in enumerate(batch.column("text").cast(pa.binary())):
         starts.append(len(words))
         words.extend(hasher.words(text.as_py()))
-        words.append(END)
+        words.append(END_PACKED)
         if len(words) >= AT_ONCE or row + 1 == batch.num_rows:
-            yield first, np.array(words, dtype=np.uint64), np.array(starts, dtype=np.int64)
+            yield first, np.frombuffer(b"".join(words), dtype="<u8"), np.array(starts, dtype=np.int64)
             words, starts, first = [], [], row + 1
 
 
@@ -123,7 +104,7 @@ def _before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _summed(batches: Iterator[pa.RecordBatch], of_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct words or pairs in order, and their counts, for about ``SUMMED`` of them at a time."""
-    hasher, held, size = Hasher(), [], 0
+    hasher, held, size = PackedHasher(), [], 0
     for batch in batches:
         for _, words, starts in _sequences(batch, hasher):
             held.append(pair_gram(_before(words, starts), words) if of_pairs else words)
@@ -217,10 +198,12 @@ def _keyed(segments: int):
 
 
 def _merged(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
-    counts = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(counts, back, np.concatenate(n))
-    return distinct, counts
+    """Distinct n-grams of arrays in order, with their counts summed up; sorting finds the arrays as runs."""
+    all_grams, counts = np.concatenate(grams), np.concatenate(n)
+    order = np.argsort(all_grams, kind="stable")
+    in_order = all_grams[order]
+    firsts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    return in_order[firsts], np.add.reduceat(counts[order], firsts)
 
 
 def _totals(segments: int):
@@ -300,6 +283,10 @@ class Filter:
     def level(self, grams: np.ndarray) -> np.ndarray:
         """Quantised count of each n-gram, 0 for those not held."""
         distinct, back = np.unique(shortened(grams, self.kept), return_inverse=True)
+        return self.each(distinct)[back]
+
+    def each(self, distinct: np.ndarray) -> np.ndarray:
+        """The same of n-grams that are shortened, and hardly ever repeated."""
         out = np.zeros(len(distinct), dtype=np.int64)
         alive, base = np.arange(len(distinct)), segment_of(distinct, self.segments).astype(np.uint64) * np.uint64(self.bits // 8)
         level = 1
@@ -312,7 +299,7 @@ class Filter:
             alive = alive[hit]
             out[alive] = level
             level += 1
-        return out[back]
+        return out
 
 
 class Places:
@@ -355,17 +342,23 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, rows = int(ends[-1]) if len(ends) else size, rows + batch.num_rows
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Different values in order, by sorting."""
+    in_order = np.sort(values)
+    return in_order[np.concatenate([[True], in_order[1:] != in_order[:-1]])] if len(in_order) else in_order
+
+
 def _grams(sequences: list[tuple[int, np.ndarray, np.ndarray]], kept: int) -> np.ndarray:
     """Distinct n-grams of sequences of words, shortened, in order."""
-    parts = [shortened(np.concatenate([word_gram(w), pair_gram(_before(w, starts), w)]), kept) for _, w, starts in sequences]
-    return np.unique(np.concatenate([np.unique(x) for x in parts]))
+    parts = [shortened(np.concatenate([word_gram(_distinct(w)), _distinct(pair_gram(_before(w, starts), w))]), kept) for _, w, starts in sequences]
+    return _distinct(np.concatenate(parts))
 
 
 def _asked(segments: int):
     """The n-grams of each stretch of rows of a piece, packed by segment; ``at`` is the stretch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, kept = Hasher(), kept_bits(segments)
+        hasher, kept = PackedHasher(), kept_bits(segments)
         for batch in batches:
             for piece, part in _by(batch, "piece"):
                 segment, _, packed = packed_by_segment(_grams(list(_sequences(part, hasher)), kept), segments)
@@ -400,7 +393,7 @@ def _probed(bits: int, segments: int, top: int):
                 for i in range(0, asked.num_rows, 1_000):
                     some = asked.slice(i, 1_000)
                     packed = some.column("grams").to_pylist()
-                    level = Filter(table, bits, 1, top).level(unpacked(segment, b"".join(packed), segments)).astype(np.uint8)
+                    level = Filter(table, bits, 1, top).each(unpacked(segment, b"".join(packed), segments)).astype(np.uint8)
                     cuts = np.cumsum([0, *(len(x) // 4 for x in packed)])
                     own = pa.array([level[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays([some.column("piece"), some.column("at"), some.column("segment"), own], ["piece", "at", "segment", "levels"])
@@ -418,7 +411,7 @@ def _stretches(texts: pa.Table, found: pa.Table, kept: int) -> Iterator[tuple[pa
     firsts = np.searchsorted(rows.column("at").to_numpy(), [*levels, np.iinfo(np.int64).max])
     for i, j, own in zip(firsts, firsts[1:], levels.values()):
         part = rows.slice(i, j - i)
-        sequences = list(_sequences(part, Hasher()))
+        sequences = list(_sequences(part, PackedHasher()))
         yield part, sequences, Found(_grams(sequences, kept), np.frombuffer(b"".join(own), dtype=np.uint8), kept)
 
 
@@ -514,7 +507,7 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     if whole:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, probe = Hasher(), Filter(model.value[0], bits, segments, top, kept)
+            hasher, probe = PackedHasher(), Filter(model.value[0], bits, segments, top, kept)
             return scores((batch, _sequences(batch, hasher), probe) for batch in batches)
 
         scored = rows.mapInArrow(tidied(run), schema)
