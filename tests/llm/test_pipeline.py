@@ -86,3 +86,12 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
             assert out.columns == docs.columns
         found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r.doc_id for r in found} <= {1, 2} and (found or not rows)
+
+
+def test_tasks_give_memory_back_when_they_end(monkeypatch):
+    from wickline.llm import common
+
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("back"))
+    assert list(common.tidied(lambda batches: (told.append(b) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert told == [1, 2, "back"]

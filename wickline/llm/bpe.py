@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickline.llm.common import tidied
+
 #: Parts that a worker remembers in each of two generations.
 REMEMBERED = 150_000
 #: Bytes of text whose results a worker holds at a time.
@@ -307,10 +309,10 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         out = {"doc": [units["doc"].iloc[0]]} | {k: [v] for k, v in zip(names[1:], _digests(" ".join(map(str, ids)), len(ids), code.decoded(ids)))}
         return pd.DataFrame(out | ({"ids": [ids]} if with_ids else {}))
 
-    ordinary = rows.where(~is_long).mapInArrow(short, schema)
+    ordinary = rows.where(~is_long).mapInArrow(tidied(short), schema)
     longs = rows.where(is_long).groupBy("doc_id", "text").agg(F.count("*").alias("times")).withColumn("doc", F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
     units = longs.select("doc", "text").mapInArrow(cut, "doc string, unit long, leaf long, ends boolean, kind string, text string")
-    coded = units.repartition("doc", "unit", "leaf").mapInArrow(encode, "doc string, unit long, leaf long, ids array<int>")
+    coded = units.repartition("doc", "unit", "leaf").mapInArrow(tidied(encode), "doc string, unit long, leaf long, ids array<int>")
     whole = coded.groupBy("doc").applyInPandas(joined, schema.replace("doc_id long", "doc string"))
     back = longs.select("doc", "doc_id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     return ordinary.unionByName(back.join(whole, "doc").select(*names))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import materialize
+from wickline.llm.common import give_back, materialize, tidied
 
 # Look-alikes that stand for letters.
 LOOKALIKES = dict(zip("013457@$", "oieastas"))
@@ -393,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if not 0 < rate < 1:
         return Model(base)
-    spans = materialize(sample.mapInArrow(_told, "span string, n long, p long").groupBy("span").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), "spans")
+    spans = materialize(sample.mapInArrow(tidied(_told), "span string, n long, p long").groupBy("span").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), "spans")
 
     # log-likelihood gained by knowing the span, where it speaks for the label
     n, p = F.col("n"), F.col("p")
@@ -421,14 +421,14 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.string())], ["span"])
 
     toxic = sample.where("toxic = 1")
-    told_by = Counter({r["span"]: r["count"] for r in toxic.select("text").mapInArrow(first, "span string").groupBy("span").count().collect()})  # of at most 10 * half spans
+    told_by = Counter({r["span"]: r["count"] for r in toxic.select("text").mapInArrow(tidied(first), "span string").groupBy("span").count().collect()})  # of at most 10 * half spans
     witnesses = told_by
     near: list[str] = []
     for step in range(rounds + 1):
         chosen = list(telling)[:half] + [s for s in dict.fromkeys([*near[: half // 2], *frequent]) if s not in telling][: landmarks - half]
         model = train(witnesses, {s: w for s, w in against.items() if s not in sure}, chosen, base)
         held = spark.sparkContext.broadcast(model)
-        seen = sample.select("text", "toxic").mapInArrow(_witnesses(held), "span string, margin double, toxic int").toPandas()  # at most toxic_rows + clean_rows rows
+        seen = sample.select("text", "toxic").mapInArrow(tidied(_witnesses(held)), "span string, margin double, toxic int").toPandas()  # at most toxic_rows + clean_rows rows
         if step == rounds:
             return calibrated(model, seen["margin"].to_numpy(), seen["toxic"].to_numpy())
         found = seen[(seen["toxic"] == 1) & (seen["margin"] > 0)]["span"]
@@ -438,6 +438,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
         def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
                 yield pd.Series(held.value.margins(batch.tolist()), dtype=float)
+            give_back()
 
         closest = clean.withColumn("margin", margins("span")).orderBy(F.desc("margin"), "span").limit(negatives // 4).collect()
         near = [r["span"] for r in closest if r["span"] not in sure]
@@ -460,5 +461,6 @@ def score(model: Model, text: Column, spark) -> Column:
             texts = batch.tolist()
             found = [held.value.scores(texts[i : i + 500]) for i in range(0, len(texts), 500)]
             yield pd.Series(np.concatenate(found) if found else [], dtype=float)
+        give_back()
 
     return scores(F.coalesce(text, F.lit("")))
