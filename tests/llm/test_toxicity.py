@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -143,3 +144,15 @@ def test_labels_of_rows_that_are_held_out_do_not_matter(spark):
     a, b = (toxicity.fit(docs, labels, F.col("doc_id") % 3 != 1) for labels in (one, two))
     texts = [t for _, t, _ in rows]
     assert (a.scores(texts) == b.scores(texts)).all()
+
+
+def test_training_holds_its_rows_once():
+    random = np.random.RandomState(3)
+    x, y = random.rand(40_000, 65), np.where(np.arange(40_000) % 2, 1.0, -1.0)
+    tracemalloc.start()
+    try:
+        toxicity.machine(x, y, np.ones(len(y)), 1000.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes, (peak, x.nbytes)

@@ -54,6 +54,8 @@ CLASSES = 64
 NEAR = -0.5
 #: Words whose margins a worker remembers in each of two generations.
 REMEMBERED = 100_000
+#: Rows of the machine that are worked on at a time.
+ROWS = 4_096
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 
@@ -271,7 +273,10 @@ def inserted(span: str) -> list[str]:
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
-    """Weights of the squared-hinge machine by Newton steps; the last column of ``x`` is the bias, which is not shrunk."""
+    """Weights of the squared-hinge machine by Newton steps; the last column of ``x`` is the bias, which is not shrunk.
+
+    Beside ``x`` only blocks of ``ROWS`` rows are held.
+    """
     shrink = np.append(np.full(x.shape[1] - 1, 1 / cost), 1e-9)
 
     def loss(w):
@@ -279,10 +284,14 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np
 
     w = np.zeros(x.shape[1])
     for _ in range(50):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        grad = shrink * w - 2 * xa.T @ (wa * (y[active] - xa @ w))
-        step = np.linalg.solve(np.diag(shrink + 1e-12) + 2 * (xa * wa[:, None]).T @ xa, grad)
+        active = np.flatnonzero(y * (x @ w) < 1)
+        grad, bend = shrink * w, np.diag(shrink + 1e-12)
+        for i in range(0, len(active), ROWS):
+            some = active[i : i + ROWS]
+            xa, wa = x[some], weight[some]
+            grad -= 2 * xa.T @ (wa * (y[some] - xa @ w))
+            bend += 2 * (xa * wa[:, None]).T @ xa
+        step = np.linalg.solve(bend, grad)
         rate, before = 1.0, loss(w)
         while rate > 1e-6 and loss(w - rate * step) > before - 1e-4 * rate * float(grad @ step):
             rate /= 2
@@ -308,7 +317,9 @@ def train(witnesses: Counter, clean: dict[str, float], landmarks: list[str], bas
     y = np.repeat([1.0, 1.0, -1.0], [len(plain), len(disguised), len(clean)])
     total = sum(witnesses.values())
     weight = np.concatenate([[witnesses[s] / total for s in plain], np.full(len(disguised), 2.0 / max(1, len(disguised))), [clean[s] for s in sorted(clean)]])
-    x = np.hstack([columns.sums(spans) @ whiten, np.ones((len(spans), 1))])
+    x = np.ones((len(spans), len(landmarks) + 1))
+    for i in range(0, len(spans), ROWS):
+        x[i : i + ROWS, :-1] = columns.sums(spans[i : i + ROWS]) @ whiten
     w = machine(x, y, weight, cost)
     folded = columns.values[1:] @ (whiten @ w[:-1])
     numbers = np.flatnonzero(columns.row)
@@ -429,6 +440,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
         model = train(witnesses, {s: w for s, w in against.items() if s not in sure}, chosen, base)
         held = spark.sparkContext.broadcast(model)
         seen = sample.select("text", "toxic").mapInArrow(tidied(_witnesses(held)), "span string, margin double, toxic int").toPandas()  # at most toxic_rows + clean_rows rows
+        give_back()
         if step == rounds:
             return calibrated(model, seen["margin"].to_numpy(), seen["toxic"].to_numpy())
         found = seen[(seen["toxic"] == 1) & (seen["margin"] > 0)]["span"]
