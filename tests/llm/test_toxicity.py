@@ -3,6 +3,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,39 @@ def test_training_holds_its_rows_once():
     finally:
         tracemalloc.stop()
     assert peak < x.nbytes, (peak, x.nbytes)
+
+
+def test_witnesses_read_a_span_once_for_all_texts(model):
+    read = []
+
+    class Held:
+        class value:
+            bias = model.bias
+
+            @staticmethod
+            def margins(spans):
+                read.extend(spans)
+                return model.margins(spans)
+
+    texts = [text for _, text, _ in corpus(60, 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1] * len(texts), pa.int32())], ["text", "toxic"])
+    (found,) = toxicity._witnesses(Held)([batch])
+    assert len(read) == len(set(read)), (len(read), len(set(read)))
+    for text, span, margin in zip(texts, found.column("span").to_pylist(), found.column("margin").to_pylist()):
+        spans = sorted(set().union(*map(toxicity.spans_of, toxicity._SENTENCE.findall(text))))
+        margins = model.margins(spans)
+        assert abs(margin - margins.max()) < 1e-9 and abs(margins[spans.index(span)] - margin) < 1e-9
+
+
+def test_scores_are_those_of_the_pieces_one_by_one(model):
+    random.seed(4)
+    pool = list("aAbZ .-*\n\t_\0\x0b\x1c  ΣσİıßÀé1@$0三😀") + INSULTS
+    texts = ["", " ", "a\nb\nc d", "x" * 90] + ["".join(random.choices(pool, k=random.randint(0, 40))) for _ in range(2_000)]
+
+    def of(piece):
+        return max(model.margins(toxicity.stretches(toxicity.normal(piece))), default=model.bias)
+
+    expected = [max(map(of, toxicity.pieces_of(t)), default=model.bias) for t in texts[:300]]
+    assert np.abs(model.worst(texts)[:300] - expected).max() < 1e-9
+    pieces = [p for t in texts for p in toxicity.pieces_of(t)]
+    assert any("\n" in p for p in pieces) and toxicity.normals(pieces) == [toxicity.normal(p) for p in pieces]

@@ -32,6 +32,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,16 @@ LONGEST, STEP, SHORT = 20, 5, 4
 CLASSES = 64
 #: A span whose margin is above this is also read with a letter left out.
 NEAR = -0.5
-#: Words whose margins a worker remembers in each of two generations.
-REMEMBERED = 100_000
+#: Pieces whose margins a worker remembers in each of two generations.
+REMEMBERED = 200_000
+#: Values of subsequences that are summed at a time.
+AT_ONCE = 100_000
 #: Rows of the machine that are worked on at a time.
 ROWS = 4_096
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
+#: The second and third character of a spelled-out run: a text without them has none, and they are found faster.
+_WITHIN = re.compile(r"[\W_][^\W_][\W_]{1,3}[^\W_](?![^\W_])")
 
 
 class _Normal(dict):
@@ -79,6 +84,7 @@ class _Classes(dict):
 
 
 _NORMAL, _CLASSES = _Normal(), _Classes()
+_NORMAL_LINES = _Normal({10: "\n"})
 
 
 def normal(piece: str) -> str:
@@ -87,6 +93,19 @@ def normal(piece: str) -> str:
     return found if "-" not in found else re.sub("-+", "-", found).strip("-")
 
 
+def normals(pieces: list[str]) -> list[str]:
+    """The normal forms of pieces, each of them a line of one text."""
+    if not pieces:
+        return []
+    found = "\n".join(pieces)
+    if found.count("\n") >= len(pieces):  # some hold line breaks, which are gaps as spaces are
+        found = "\n".join([p.replace("\n", " ") for p in pieces])
+    found = found.lower().translate(_NORMAL_LINES)
+    while "--" in found:
+        found = found.replace("--", "-")
+    return found.replace("-\n", "\n").replace("\n-", "\n").strip("-").split("\n")
+
+
 def stretches(span: str) -> list[str]:
     """The span itself, or overlapping stretches of a long one."""
     if len(span) <= LONGEST:
@@ -97,15 +116,29 @@ def stretches(span: str) -> list[str]:
 def pieces_of(text: str) -> set[str]:
     """Words, short neighbours and spelled-out runs of a text, as they stand."""
     words = text.lower().split()
-    found = set(words)
-    found.update([f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) <= SHORT and len(b) <= SHORT])
-    found.update([m[0] for m in _SPELLED.finditer(text)])
+    found, before, pairs = set(words), None, []
+    for word in words:
+        if len(word) > SHORT:
+            before = None
+        else:
+            if before is not None:
+                pairs.append(f"{before} {word}")
+            before = word
+    found.update(pairs)
+    if _WITHIN.search(text):
+        found.update([m[0] for m in _SPELLED.finditer(text)])
     return found
 
 
 def spans_of(text: str) -> set[str]:
     """All normal spans of a text."""
-    return {s for p in pieces_of(text) for s in stretches(normal(p))}
+    return {s for n in normals(list(pieces_of(text))) for s in stretches(n)}
+
+
+def sentence_spans(text: str) -> list[str]:
+    """All spans of a text's sentences, in order."""
+    pieces = set().union(*map(pieces_of, _SENTENCE.findall(text)))
+    return sorted({s for n in normals(list(pieces)) for s in stretches(n)})
 
 
 @lru_cache(maxsize=LONGEST + 1)
@@ -131,23 +164,29 @@ def _codes(spans: list[str]) -> np.ndarray:
 
 def _norms(codes: np.ndarray) -> np.ndarray:
     """Square root of each span's kernel with itself."""
+    n, length = codes.shape
+    codes = codes.astype(np.uint8)
     same = (codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)
-    step, reach = same * DECAY**2, _reach(codes.shape[1])
+    step, reach = same * DECAY**2, _reach(length).T
     held = step
     for _ in range(ORDER - 1):
-        held = step * (reach @ held @ reach.T)
+        # reach on both sides, one product for all spans at a time; held is symmetric
+        half = (held.reshape(-1, length) @ reach).reshape(n, length, length)
+        held = step * (half.transpose(0, 2, 1).reshape(-1, length) @ reach).reshape(n, length, length)
     return np.sqrt(held.sum(axis=(1, 2)))
 
 
 def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the subsequence at each of a span's places (0 where it meets a gap), and the places' weights."""
     at, weight = _places(codes.shape[1])
-    number = np.zeros((len(codes), at.shape[1]), dtype=np.int32)
-    for place in at:
-        number = number * CLASSES + codes[:, place]
+    letters = np.ascontiguousarray(codes.T)  # whole rows are taken of it
+    number = letters[at[0]]
+    for place in at[1:]:
+        number *= CLASSES
+        number += letters[place]
     if not codes.all():
-        number[np.logical_or.reduce([codes[:, place] == 0 for place in at])] = 0
-    return number, weight
+        number[np.logical_or.reduce([letters[place] == 0 for place in at])] = 0
+    return number.T, weight
 
 
 class Table:
@@ -158,6 +197,8 @@ class Table:
         self.row[numbers] = np.arange(1, len(numbers) + 1)
         self.row[0] = 0
         self.values = np.concatenate([np.zeros_like(values[:1]) if len(values) else np.zeros((1, *values.shape[1:])), values])
+        if values.ndim == 1:  # a number for each subsequence, without a row between
+            self.values, self.row = self.values[self.row], None
 
     def sums(self, spans: list[str]) -> np.ndarray:
         """Weighted sum of the values of each span's subsequences, over the span's norm."""
@@ -168,13 +209,15 @@ class Table:
         for length, where in by_length.items():
             if length < ORDER:
                 continue
-            at_once = max(1, 1_000_000 // (_places(length)[0].shape[1] * max(1, out[0].size)))
+            at_once = max(1, AT_ONCE // (_places(length)[0].shape[1] * max(1, out[0].size)))
             for i in range(0, len(where), at_once):
                 some = where[i : i + at_once]
                 codes = _codes([spans[j] for j in some])
                 number, weight = _subsequences(codes)
-                value = self.values[self.row[number]]
-                found = value @ weight if value.ndim == 2 else np.einsum("bts,t->bs", value, weight)
+                if self.row is None:
+                    found = weight @ self.values[number.T]
+                else:
+                    found = np.einsum("bts,t->bs", self.values[self.row[number]], weight)
                 out[some] = (found.T / np.maximum(_norms(codes), 1e-300)).T
         return out
 
@@ -234,23 +277,42 @@ class Model:
     def margins(self, spans: list[str]) -> np.ndarray:
         return self.read(spans)[0]
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """Margin of the worst span of each text; that of no letters at all for a text without spans."""
-        pieces = [pieces_of(t) for t in texts]
+    def margins_of(self, pieces: list[str]) -> np.ndarray:
+        """Margin of the worst span of each piece, remembered for those met before; that of no letters at all for a piece without spans."""
         if len(self._known) > REMEMBERED:
             self._older, self._known = self._known, {}
         known, older = self._known, self._older
-        new = []
-        for p in set().union(*pieces).difference(known):
-            if p in older:
-                known[p] = older[p]
-            else:
-                new.append(p)
-        spans = [stretches(normal(p)) for p in new]
-        flat = list({s for some in spans for s in some})
+        missing = set(pieces).difference(known)
+        met = missing.intersection(older)
+        known.update(zip(met, map(older.__getitem__, met)))
+        new = list(missing.difference(met))
+        names = normals(new)
+        flat = list({s for n in names for s in stretches(n)})
         margin = dict(zip(flat, self.margins(flat).tolist()))
-        known.update((p, max([margin[s] for s in some], default=self.bias)) for p, some in zip(new, spans))
-        return np.array([max([known[p] for p in some], default=self.bias) for some in pieces], dtype=float)
+        for n in set(names).difference(margin):  # shorter than any span, or longer
+            margin[n] = max([margin[s] for s in stretches(n)], default=self.bias)
+        known.update(zip(new, map(margin.__getitem__, names)))
+        return np.array(list(map(known.__getitem__, pieces)), dtype=float)
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """Margin of the worst of each text's pieces, those of ``pieces_of``; that of no letters at all for a text without any.
+
+        Words are numbered over all texts, so that each word and pair is looked up once.
+        """
+        words = [t.lower().split() for t in texts]
+        runs = [(i, m[0]) for i, t in enumerate(texts) if _WITHIN.search(t) for m in _SPELLED.finditer(t)]
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        numbered = pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
+        names, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().astype(np.int64)
+        short = np.array([len(w) <= SHORT for w in names], dtype=bool)[at]
+        first = np.flatnonzero(short[:-1] & short[1:] & (owner[:-1] == owner[1:]))
+        pair, which = np.unique(at[first] * len(names) + at[first + 1], return_inverse=True)
+        pairs = [f"{names[i // len(names)]} {names[i % len(names)]}" for i in pair.tolist()]
+        margin = self.margins_of(names + pairs + [run for _, run in runs])
+        owner = np.concatenate([owner, owner[first], np.array([i for i, _ in runs], dtype=np.int64)])
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, owner, margin[np.concatenate([at, len(names) + which, np.arange(len(margin) - len(runs), len(margin))])])
+        return np.where(worst == -np.inf, self.bias, worst)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
@@ -356,7 +418,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            held = set().union(*map(spans_of, _SENTENCE.findall(text)))
+            held = sentence_spans(text)
             seen.update(held)
             if label:
                 toxic.update(held)
@@ -371,12 +433,14 @@ def _witnesses(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                spans = sorted(set().union(*map(spans_of, _SENTENCE.findall(text))))
-                margin = model.value.margins(spans) if spans else np.zeros(0)
-                at = int(margin.argmax()) if spans else -1
-                out.append((spans[at] if spans else None, float(margin[at]) if spans else model.value.bias, label))
+            out, texts, labels = [], batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
+            for i in range(0, len(texts), 100):
+                held = [sentence_spans(t) for t in texts[i : i + 100]]
+                flat = list(set().union(*held))
+                margin = dict(zip(flat, model.value.margins(flat).tolist()))  # once for all texts that share a span
+                for spans, label in zip(held, labels[i : i + 100]):
+                    at = max(spans, key=margin.__getitem__, default=None)
+                    out.append((at, margin.get(at, model.value.bias), label))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.float64(), pa.int32()))], ["span", "margin", "toxic"])
 
     return run
@@ -471,7 +535,7 @@ def score(model: Model, text: Column, spark) -> Column:
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()
-            found = [held.value.scores(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+            found = [held.value.scores(texts[i : i + 1_000]) for i in range(0, len(texts), 1_000)]
             yield pd.Series(np.concatenate(found) if found else [], dtype=float)
         give_back()
 
