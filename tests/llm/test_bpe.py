@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +118,13 @@ def test_files_of_other_kinds_are_refused():
     for change in ({"type": "WordPiece"}, {"dropout": 0.1}, {"continuing_subword_prefix": "##"}):
         with pytest.raises(ValueError):
             bpe.Coder(json.dumps(spec | {"model": spec["model"] | change}))
+
+
+def test_workers_keep_no_words_between_tasks(spark, documents):
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(c.known) + len(c.older) for c in bpe._coders.values())], pa.int64()), pa.array([len(bpe._coders)], pa.int64())], ["words", "coders"])
+
+    bpe.encode_documents(documents([(i, f"word{i} of many") for i in range(2_000)]).repartition(16), PATH).collect()
+    rows = spark.range(64).repartition(16).mapInArrow(kept, "words long, coders long").collect()
+    assert sum(r.coders for r in rows) and not sum(r.words for r in rows)

@@ -193,3 +193,13 @@ def test_scores_are_those_of_the_pieces_one_by_one(model):
     assert np.abs(model.worst(texts)[:300] - expected).max() < 1e-9
     pieces = [p for t in texts for p in toxicity.pieces_of(t)]
     assert any("\n" in p for p in pieces) and toxicity.normals(pieces) == [toxicity.normal(p) for p in pieces]
+
+
+def test_a_worker_keeps_nothing_of_the_texts_it_has_scored(model):
+    class Held:
+        value = model
+
+    texts = [text for _, text, _ in corpus(1_200, 12)]
+    found = np.concatenate([b.to_numpy() for b in toxicity._scores(Held)(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]))])
+    assert not model._known and not model._older
+    assert np.abs(found - model.scores(texts)).max() < 1e-12

@@ -96,6 +96,10 @@ class Coder:
         self.seams = 0  # joins made so far
         self._open = None
 
+    def forget(self) -> None:
+        """Drop what is remembered of parts."""
+        self.known, self.older = {}, {}
+
     def _new(self, part: bytes) -> tuple[str, int, str]:
         """Encode a part, of which the worker remembers two generations."""
         found = self.older.get(part)
@@ -270,6 +274,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 if size > AT_ONCE or row + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(out)), *(pa.array(x, t) for x, t in zip(zip(*out), types[1:]))], names)
                     out, size, first = [], 0, row + 1
+        code.forget()  # else an idle worker keeps it beside what other stages need
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units of a long text: stretches or single pretokens in order, and the leaves of long runs."""
@@ -299,6 +304,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             for ends, kind, text in zip(*(batch.column(c).to_pylist() for c in ("ends", "kind", "text"))):
                 ids.append(code.model(text, ends) if kind == "leaf" else list(map(int, (text if kind == "ids" else code.text(text.encode(), leaf)[0]).split())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "unit", "leaf")), pa.array(ids, pa.list_(pa.int32()))], ["doc", "unit", "leaf", "ids"])
+        code.forget()
 
     def joined(units: pd.DataFrame) -> pd.DataFrame:
         code = coder(spec)

@@ -54,7 +54,9 @@ CLASSES = 64
 #: A span whose margin is above this is also read with a letter left out.
 NEAR = -0.5
 #: Pieces whose margins a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Texts whose pieces are numbered together.
+TEXTS = 500
 #: Values of subsequences that are summed at a time.
 AT_ONCE = 100_000
 #: Rows of the machine that are worked on at a time.
@@ -314,6 +316,10 @@ class Model:
         np.maximum.at(worst, owner, margin[np.concatenate([at, len(names) + which, np.arange(len(margin) - len(runs), len(margin))])])
         return np.where(worst == -np.inf, self.bias, worst)
 
+    def forget(self) -> None:
+        """Drop what is remembered of pieces."""
+        self._known, self._older = {}, {}
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
@@ -524,19 +530,28 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, toxic_rows: int = 2_
         against |= {reading: weight[span] for span, reading in zip(near, readings) if reading != span}
 
 
+def _scores(model):
+    """The score of each text.  A worker keeps nothing of them: idle, it would hold it beside what other stages need."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [model.value.scores(batch.slice(i, TEXTS).to_pylist()) for i in range(0, len(batch), TEXTS)]
+            yield pa.array(np.concatenate(found) if found else [], pa.float64())
+        model.value.forget()
+        give_back()
+
+    return run
+
+
 def score(model: Model, text: Column, spark) -> Column:
     """Score of a text column; null texts are empty.
 
     Every span of a text is looked at, however long the text is; one text stands in one task.
     """
-    held = spark.sparkContext.broadcast(model)
+    run = _scores(spark.sparkContext.broadcast(model))
 
-    @F.pandas_udf(T.DoubleType())
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            texts = batch.tolist()
-            found = [held.value.scores(texts[i : i + 1_000]) for i in range(0, len(texts), 1_000)]
-            yield pd.Series(np.concatenate(found) if found else [], dtype=float)
-        give_back()
+    @F.arrow_udf(T.DoubleType())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
 
     return scores(F.coalesce(text, F.lit("")))
